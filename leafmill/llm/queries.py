@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import splitting
+from leafmill.llm import representatives, splitting
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -21,4 +21,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.page_pieces(load(spark, d, "pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving member of each family, and the members that fill its blank columns."""
+    return representatives.survivors(load(spark, d, "book_families"), load(spark, d, "books"))
+
+
+def p4_golden(spark: SparkSession, d: str) -> DataFrame:
+    """The record of each family built from whole bundles of its members."""
+    return representatives.golden_records(load(spark, d, "book_families"), load(spark, d, "books"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden}
