@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import representatives, splitting
+from leafmill.llm import representatives, splitting, tokenizing
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -31,4 +31,16 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return representatives.golden_records(load(spark, d, "book_families"), load(spark, d, "books"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokenizing.encode_corpus(load(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document decoded from its token ids again, and whether that is its text."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    back = tokenizing.decode_corpus(tokenizing.encode_corpus(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").selectExpr("doc_id", "decoded", "decoded = coalesce(text, '') AS same")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
