@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import representatives, splitting, tokenizing
+from leafmill.llm import leakage, representatives, splitting, tokenizing
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -43,4 +43,19 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").selectExpr("doc_id", "decoded", "decoded = coalesce(text, '') AS same")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p6_ids": p6_ids, "p6_decoded": p6_decoded}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and test item that share a run of twelve words."""
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run of each leak and where it begins in the document."""
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that no test item leaks into."""
+    return leakage.cleaned(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned}
