@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import leakage, representatives, splitting, tokenizing
+from leafmill.llm import languages, leakage, representatives, splitting, tokenizing
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -31,6 +31,21 @@ def p4_golden(spark: SparkSession, d: str) -> DataFrame:
     return representatives.golden_records(load(spark, d, "book_families"), load(spark, d, "books"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a long stretch in a language that isn't the book's label."""
+    return languages.mislabelled(load(spark, d, "pages"), load(spark, d, "books"))
+
+
+def p5_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of every page with its language and confidence."""
+    return languages.passages(load(spark, d, "pages"), load(spark, d, "books"))
+
+
+def p5_books(spark: SparkSession, d: str) -> DataFrame:
+    """Every book's language and confidence."""
+    return languages.book_languages(load(spark, d, "pages"), load(spark, d, "books"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return tokenizing.encode_corpus(load(spark, d, "documents"))
@@ -58,4 +73,4 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.cleaned(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p5_passages": p5_passages, "p5_books": p5_books, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned}
