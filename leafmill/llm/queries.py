@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import languages, leakage, representatives, splitting, tokenizing
+from leafmill.llm import languages, leakage, reading, representatives, splitting, tokenizing
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -73,4 +73,14 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.cleaned(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p5_passages": p5_passages, "p5_books": p5_books, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of each document of some length."""
+    return reading.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels")).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words of each source by reading level."""
+    return reading.profile(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p5_passages": p5_passages, "p5_books": p5_books, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned, "p8_found": p8_found, "p8_profile": p8_profile}
