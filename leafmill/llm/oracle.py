@@ -30,4 +30,11 @@ ORACLES = {
                  OR NOT (m.r1 > o.r1 OR m.r2 > o.r2 OR m.r3 > o.r3 OR m.r4 > o.r4 OR m.updated_at > o.updated_at))))
         SELECT family_key, 'record' AS field_name, book_id FROM s
         {" ".join(f"UNION ALL SELECT s.family_key, '{c}', m.book_id FROM s JOIN m USING (family_key) WHERE NOT s.h_{c} AND m.h_{c}" for c in _COLUMNS)}""",
+    "p3_found": rf"""
+        WITH t AS (SELECT book_id, lower(string_agg(coalesce(content, ''), chr(10) ORDER BY page_num)) AS t FROM ({_CURRENT_PAGES}) GROUP BY 1),
+        w AS (SELECT book_id, regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM t),
+        s AS (SELECT DISTINCT book_id, unnest(list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' '))) AS s FROM w WHERE len(w) >= 50),
+        n AS (SELECT book_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT x.book_id AS a, y.book_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.book_id < y.book_id GROUP BY 1, 2)
+        SELECT a AS book_id_a, b AS book_id_b FROM o JOIN n x ON x.book_id = a JOIN n y ON y.book_id = b WHERE 2 * c >= x.n + y.n - c""",
 }
