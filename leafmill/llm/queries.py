@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import duplicates, languages, leakage, reading, representatives, splitting, tokenizing
+from leafmill.llm import duplicates, languages, leakage, reading, representatives, scans, splitting, tokenizing
 from leafmill.llm.oracle import ORACLES
 from leafmill.tables import load
 
@@ -21,6 +21,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.page_pieces(load(spark, d, "pages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every noisy line: headers, page numbers, cut words, misread characters."""
+    return scans.noisy_lines(load(spark, d, "pages"), load(spark, d, "books"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as continuous paragraphs, with its length."""
+    return scans.repaired_pages(load(spark, d, "pages"), load(spark, d, "books"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of books that share at least half of their runs of four words."""
     return duplicates.similar_books(load(spark, d, "pages"))
@@ -93,4 +103,4 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(load(spark, d, "documents"), load(spark, d, "reading_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p5_passages": p5_passages, "p5_books": p5_books, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p5_passages": p5_passages, "p5_books": p5_books, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_matches": p7_matches, "p7_cleaned": p7_cleaned, "p8_found": p8_found, "p8_profile": p8_profile}
