@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
+_MODULES = ("text_queries",)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in _MODULES:
+    _module = importlib.import_module(f"leafmill.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
