@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the URL namespace of name-based UUIDs, in hexadecimal.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
@@ -54,7 +55,7 @@ def simhash_of_bits() -> Column:
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def simhash_compat(texts: pd.Series) -> pd.Series:
     """SimHash with 8-byte BLAKE2b over white-space tokens, as signed 64 bits; no tokens give 0."""
     import numpy as np

@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arabic vowel signs that are stripped; blocks of Arabic script.
 VOWEL_SIGNS = "[\\u064b-\\u065f\\u0670\\u06d6-\\u06ed]"
@@ -28,12 +29,12 @@ CONVERT_STOPS = (*TITLE_STOPS, "wa", "fi", "bi", "li")
 SOURCE_TYPES = {".txt": "txt", ".htm": "html", ".html": "html", ".docx": "docx", ".doc": "doc", ".pdf": "pdf", ".epub": "epub", ".ibooks": "ibooks"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -72,8 +72,8 @@ def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame
     page, SimHashes within five bits (six bands), or within ten bits (eleven bands) with a shared
     title word; any pair that reaches the threshold is in one of these blocks.
     """
-    if threshold < 0.9219:
-        raise ValueError("the blocks are derived for thresholds of 0.92 and more")
+    if threshold <= 1 - 6 / 64:
+        raise ValueError("the blocks are derived for thresholds over 0.90625")
     c = catalog.where(F.size("page_hashes") > 0).withColumn("title_words", F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != "")))
 
     def bands(n: int) -> Column:
@@ -92,19 +92,19 @@ def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame
     p = pairs.join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
     language = (F.col("language") == "unknown") | (F.col("o_language") == "unknown") | (F.col("language") == F.col("o_language"))
     pages_ok = (F.col("page_count") <= 0) | (F.col("o_page_count") <= 0) | (F.least("page_count", "o_page_count") / F.greatest("page_count", "o_page_count") >= PAGE_RATIO)
-    exact = (F.col("content_hash") == F.col("o_content_hash")) | (F.col("text_hash") == F.col("o_text_hash"))
+    exact = F.coalesce(F.col("content_hash") == F.col("o_content_hash"), F.lit(False)) | F.coalesce(F.col("text_hash") == F.col("o_text_hash"), F.lit(False))
     jaccard = F.size(F.array_intersect("page_hashes", "o_page_hashes")) / F.size(F.array_union("page_hashes", "o_page_hashes"))
     alike = F.when((F.col("simhash") != 0) & (F.col("o_simhash") != 0), 1.0 - hashing.hamming(F.col("simhash"), F.col("o_simhash")) / 64.0).otherwise(0.0)
     title = F.coalesce(F.try_divide(F.size(F.array_intersect("title_words", "o_title_words")), F.size(F.array_union("title_words", "o_title_words"))), F.lit(0.0))
-    p = p.where(language & pages_ok).withColumns({"exact": exact, "base": F.greatest(jaccard, alike), "by_text": alike > jaccard, "titles": title})
+    p = p.where(language & pages_ok).withColumns({"exact": F.coalesce(exact, F.lit(False)), "base": F.greatest(jaccard, alike), "by_text": alike > jaccard, "titles": title})
     bonus = (F.col("base") >= 0.80) & (F.col("titles") >= 0.40)
     score = F.when(F.col("exact"), 1.0).when(bonus, F.least(F.lit(1.0), F.col("base") + F.least(F.lit(0.08), F.col("titles") * 0.08))).otherwise(F.col("base"))
     kind = F.when(F.col("content_hash") == F.col("o_content_hash"), "exact").when(F.col("text_hash") == F.col("o_text_hash"), "text_exact")
     reason = F.coalesce(kind, F.concat(F.when(F.col("by_text"), "text_similarity").otherwise("page_overlap"), F.when(bonus, "+title").otherwise("")))
     p = p.withColumns({"score": score, "reason": reason}).where(F.col("exact") | (F.col("score") >= threshold))
     # An exact match ends the search at the first in order; else the greatest score, the earliest of equals.
-    rank = F.struct(F.col("exact").cast("int"), F.when(F.col("exact"), 0.0).otherwise(F.col("score")), -F.col("at"))
-    return p.groupBy("book_id").agg(F.max_by(F.struct(F.col("o_book_id").alias("duplicate_of"), tx.round4(F.col("score")).alias("score"), "reason"), rank).alias("m")).select("book_id", "m.*")
+    rank = F.struct(-F.col("exact").cast("int"), -F.when(F.col("exact"), 0.0).otherwise(F.col("score")), "at")
+    return p.groupBy("book_id").agg(F.min_by(F.struct(F.col("o_book_id").alias("duplicate_of"), tx.round4(F.col("score")).alias("score"), "reason"), rank).alias("m")).select("book_id", "m.*")
 
 
 def family_key(books: DataFrame, strict: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
@@ -54,8 +54,7 @@ def near_duplicate_best(spark: SparkSession, d: str) -> DataFrame:
     """Each book's best earlier duplicate by stored signatures."""
     hashes = _pages(spark, d, "page_hash").where("page_hash <> ''").groupBy("book_id").agg(F.array_sort(F.collect_set("page_hash")).alias("page_hashes"), F.count("*").alias("page_count"))
     b = _books(spark, d).join(hashes, "book_id", "left")
-    order = F.row_number().over(Window.orderBy("book_id"))
-    rows = b.select("book_id", order.alias("pos"), F.coalesce(F.nullif(F.lower(tx.strip(F.col("language"))), F.lit("")), F.lit("unknown")).alias("language"), "title", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("page_hashes", F.array().cast("array<string>")).alias("page_hashes"), "content_hash", "text_hash", F.coalesce("text_simhash", F.lit(0)).alias("simhash"))
+    rows = b.select("book_id", F.col("book_id").alias("pos"), F.coalesce(F.nullif(F.lower(tx.strip(F.col("language"))), F.lit("")), F.lit("unknown")).alias("language"), "title", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("page_hashes", F.array().cast("array<string>")).alias("page_hashes"), "content_hash", "text_hash", F.coalesce("text_simhash", F.lit(0)).alias("simhash"))
     return dedupe.near_duplicates(rows)
 
 
