@@ -46,7 +46,7 @@ PRIORITY = {
     "riyad_assalihin": 20, "mishkat_almasabih": 21, "bulugh_almaram": 22, "aladab_almufrad": 23, "shamail_muhammadiyah": 24, "nawawi40": 30, "qudsi40": 31, "shahwaliullah40": 32,
 }
 #: Queries that are broadcast at once against all records.
-BLOCK = 10_000
+QUERY_BLOCK = 10_000
 #: The text fields of a hadith record, in order.
 FIELDS = ("arabic", "translation_id", "translation_en", "english_text", "text", "narrator", "english_narrator", "chapter_title_ar", "chapter_title_en")
 
@@ -193,7 +193,7 @@ def resolve(texts: DataFrame, verses: DataFrame, hadith: DataFrame, blocks: Data
 def search_records(queries: DataFrame, records: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, query, rank, score, exact, reason and the record: the additive search over records.
 
-    A stated set of queries goes against all records in blocks of ``BLOCK``: each block is broadcast,
+    A stated set of queries goes against all records in blocks of ``QUERY_BLOCK``: each block is broadcast,
     and the records are scanned once a block.
     """
     limit = min(max(limit, 1), 50)
@@ -204,7 +204,7 @@ def search_records(queries: DataFrame, records: DataFrame, limit: int = 10) -> D
     parts = F.regexp_extract("query", "(?i)^([a-z0-9_]+)\\s*:\\s*([0-9a-zA-Z_.-]+)$", 1), F.regexp_extract("query", "(?i)^([a-z0-9_]+)\\s*:\\s*([0-9a-zA-Z_.-]+)$", 2)
     q = q.withColumns({"pc": F.nullif(collection(parts[0]), F.lit("")), "pn": F.nullif(parts[1], F.lit(""))})
     hits = F.size(F.filter("tokens", lambda t: F.contains(F.col("hay"), t)))
-    number = max(1, -(-q.count() // BLOCK))
+    number = max(1, -(-q.count() // QUERY_BLOCK))
     blocks = [F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == i) if number > 1 else q) for i in range(number)]
     parts = [r.join(b, F.col("pc").isNull() | (F.col("pc") == F.col("collection"))) for b in blocks]
     j = reduce(DataFrame.unionByName, parts).withColumn("hits", hits)

@@ -35,7 +35,10 @@ QUERY = "query string, must_have array<string>, expected_titles array<string>, l
 
 
 def scan_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, relpath, ext, length, modified of readable files, in order of size, suffix and path."""
+    """path, relpath, ext, length, modified of readable files, in order of size, suffix and path.
+
+    Spark's file sources don't list files of no bytes; such a file would have no page anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).drop("content")
     root = re.sub(r"/+$", "", folder)
     rows = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).withColumn("ext", tx.extension(F.col("path")))
