@@ -126,6 +126,7 @@ def book_quality(pages: DataFrame, books: DataFrame, limits: BookLimits = BookLi
     sums = m.withColumns({"raw": raw, "print": text_hash, "all_arabic": tx.count(F.col("clean"), tx.ARABIC), "all_latin": tx.count(F.col("clean"), tx.LATIN)}).groupBy("book_id").agg(
         *[F.sum(f"profile.{k}").alias(k) for k in kinds], F.count("*").alias("page_count"), F.sum("token_count").alias("token_count"), F.sum(F.length("raw")).alias("raw_chars"),
         F.count_if(F.length("raw") < lim.short_page).alias("short_pages"), F.count("print").alias("hashes"), F.sum("all_arabic").alias("all_arabic"), F.sum("all_latin").alias("all_latin"),
+        F.bool_or(F.contains("clean", F.lit("\n"))).alias("has_feed"),
     )
     # Distinct words, characters and page texts: one exploded column of hashes, aggregated before the shuffle.
     items = m.select("book_id", F.explode(F.array_distinct(F.concat(
@@ -137,8 +138,6 @@ def book_quality(pages: DataFrame, books: DataFrame, limits: BookLimits = BookLi
     c = F.col
     # Line feeds between pages are characters of the joined text too.
     chars = c("unique_chars") + F.when((c("page_count") > 1) & ~F.coalesce(c("has_feed"), F.lit(False)), 1).otherwise(0)
-    feed = m.where(F.col("clean").contains("\n")).select("book_id").distinct().withColumn("has_feed", F.lit(True))
-    b = b.join(feed, "book_id", "left")
     b = b.withColumns({
         "unique_word_ratio": F.when(c("token_count") > 0, c("unique_words") / c("token_count")).otherwise(0.0), "short_page_ratio": ratio(c("short_pages"), c("page_count")), "duplicate_page_ratio": ratio(c("hashes") - c("unique_pages"), c("hashes")),
         "symbol_ratio": ratio(c("punct") + c("symbols"), c("letters") + c("digits") + c("punct") + c("symbols")), "replacement_ratio": ratio(c("replacement"), c("total")), "arabic_ratio": ratio(c("arabic"), c("letters")), "latin_ratio": ratio(c("latin"), c("letters")),

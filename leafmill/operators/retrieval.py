@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.work import stage
 
 K1, B = 1.5, 0.75
 #: Queries compared at once; embedding width of the offline embedder.
@@ -207,7 +208,8 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "bal
     dense leg only, unless ``filter_lexical``.
     """
     plan = plan_queries(queries, compat=compat)
-    scores = bm25(docs, plan, compat)
+    # Both legs' fusion reads the scores; written once, they are not computed again.
+    scores = stage(bm25(docs, plan, compat), "bm25")
     if filter_lexical:
         scores = scores.join(docs.select("doc_id", "lang"), "doc_id").join(queries.select("query_id", "language"), "query_id").where("language IS NULL OR lang = language").drop("lang", "language")
     if mode == "fast":
