@@ -68,26 +68,21 @@ def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame
     """The best earlier record for each record: exact hashes first, then page overlap or SimHash with a title bonus.
 
     ``catalog``: pos (a total order), book_id, language, title, page_count, page_hashes,
-    content_hash, text_hash, simhash. Candidates come from blocking only: equal hashes, a shared
-    page, SimHashes within five bits (six bands), or within ten bits (eleven bands) with a shared
-    title word; any pair that reaches the threshold is in one of these blocks.
+    content_hash, text_hash, simhash. Candidates come from blocking only, and any pair that reaches
+    the threshold is in a block:
+
+    * equal hashes or SimHashes: every such pair has the score 1, so only the earliest record of
+      each language and page count can win, and hot hashes make no pairs among their records;
+    * page overlap of the threshold less the bonus: a shared page among each record's rarest pages
+      (prefix filtering), so pages that many books have, such as empty ones, make no pairs;
+    * SimHashes within five bits: six bands of the distinct values; within ten bits and with a title
+      word in common: eleven bands with the word. Records alike in all that counts are one.
     """
     if threshold <= 1 - 6 / 64:
         raise ValueError("the blocks are derived for thresholds over 0.90625")
-    c = catalog.where(F.size("page_hashes") > 0).withColumn("title_words", F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != "")))
-
-    def bands(n: int) -> Column:
-        edge = [64 * i // n for i in range(n + 1)]
-        return F.array(*[F.concat(F.lit(f"s{n}:{i}:"), F.shiftrightunsigned("simhash", edge[i]).bitwiseAND((1 << (edge[i + 1] - edge[i])) - 1).cast("string")) for i in range(n)])
-
-    hashed = F.col("simhash") != 0
-    titled = F.flatten(F.transform(bands(11), lambda b: F.transform("title_words", lambda w: F.concat(b, F.lit(":"), w))))
-    keys = F.concat(
-        F.array(F.concat(F.lit("c:"), "content_hash"), F.concat(F.lit("t:"), "text_hash")), F.transform(F.array_distinct("page_hashes"), lambda h: F.concat(F.lit("p:"), h)),
-        F.when(hashed, bands(6)).otherwise(F.array()), F.when(hashed, titled).otherwise(F.array()),
-    )
-    keyed = c.select("pos", F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.pos") > F.col("y.pos"))).select(F.col("x.pos").alias("pos"), F.col("y.pos").alias("at")).distinct()
+    c = catalog.where(F.size("page_hashes") > 0).withColumn("page_hashes", F.array_distinct("page_hashes"))
+    c = c.withColumn("title_words", F.array_sort(F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != ""))))
+    pairs = _equal_pairs(c).unionByName(_page_pairs(c, threshold - 0.08)).unionByName(_simhash_pairs(c)).distinct()
     old = c.select(*[F.col(k).alias(f"o_{k}") for k in c.columns])
     p = pairs.join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
     language = (F.col("language") == "unknown") | (F.col("o_language") == "unknown") | (F.col("language") == F.col("o_language"))
@@ -107,6 +102,54 @@ def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame
     return p.groupBy("book_id").agg(F.min_by(F.struct(F.col("o_book_id").alias("duplicate_of"), tx.round4(F.col("score")).alias("score"), "reason"), rank).alias("m")).select("book_id", "m.*")
 
 
+def _earlier(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """pos, at: rows of ``x`` with earlier rows of ``y``."""
+    return x.join(y.withColumnRenamed("pos", "at"), on).where("at < pos").select("pos", "at")
+
+
+def _equal_pairs(c: DataFrame) -> DataFrame:
+    keys = F.array_compact(F.array(F.concat(F.lit("c:"), "content_hash"), F.concat(F.lit("t:"), "text_hash"), F.when(F.col("simhash") != 0, F.concat(F.lit("s:"), F.col("simhash").cast("string")))))
+    keyed = c.select("pos", "language", "page_count", F.explode(keys).alias("key"))
+    first = keyed.groupBy("key", "language", "page_count").agg(F.min("pos").alias("pos"))
+    return _earlier(keyed.select("pos", "key"), first.select("pos", "key"), ["key"])
+
+
+def _page_pairs(c: DataFrame, least: float) -> DataFrame:
+    pages = c.select("pos", F.size("page_hashes").alias("n"), F.explode("page_hashes").alias("h"))
+    rare = pages.groupBy("h").agg(F.count("*").alias("uses"))
+    order = Window.partitionBy("pos").orderBy("uses", "h")
+    prefix = pages.join(rare, "h").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    # Books with the same pages that are alike in all that counts stand for one another.
+    kind = c.select("pos", F.xxhash64(F.array_sort("page_hashes"), "simhash", "language", "page_count", "title_words").alias("kind"))
+    first = prefix.join(kind, "pos").groupBy("h", "kind").agg(F.min("pos").alias("pos"))
+    return _earlier(prefix.select("pos", "h"), first.select("pos", "h"), ["h"])
+
+
+def _bands(n: int) -> Column:
+    edge = [64 * i // n for i in range(n + 1)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", edge[i]).bitwiseAND((1 << (edge[i + 1] - edge[i])) - 1).alias("bits")) for i in range(n)])
+
+
+def _simhash_pairs(c: DataFrame) -> DataFrame:
+    known = c.where("simhash <> 0")
+    near = lambda df, n, on: df.select(F.col("simhash").alias("h"), *on, F.explode(_bands(n)).alias("b"))
+
+    def close(df: DataFrame, n: int, low: int, high: int, on: list[str]) -> DataFrame:
+        x, y = near(df, n, on), near(df, n, on).withColumnRenamed("h", "o")
+        d = hashing.hamming(F.col("h"), F.col("o"))
+        return x.join(y, ["b", *on]).where((F.col("h") != F.col("o")) & d.between(low, high)).select("h", "o", *on).distinct()
+
+    kinds = known.groupBy("simhash", "language", "page_count", "title_words").agg(F.min("pos").alias("pos"))
+    five = close(known.select("simhash").distinct(), 6, 1, 5, [])
+    x, y = known.select("pos", F.col("simhash").alias("h")), kinds.select("pos", F.col("simhash").alias("o"))
+    one = _earlier(x.join(five, "h").select("pos", "o"), y, ["o"])
+    worded = known.select("pos", "simhash", F.explode("title_words").alias("word"))
+    ten = close(worded.select("simhash", "word").distinct(), 11, 6, 10, ["word"])
+    x = worded.select("pos", F.col("simhash").alias("h"), "word")
+    y = kinds.select("pos", F.col("simhash").alias("o"), F.explode("title_words").alias("word"))
+    return one.unionByName(_earlier(x.join(ten, ["h", "word"]).select("pos", "o", "word"), y, ["o", "word"]))
+
+
 def family_key(books: DataFrame, strict: bool = False) -> Column:
     """``language||type||stem``; a blank stem (another script) stands for the book alone unless ``strict``."""
     part = lambda c, d: F.coalesce(F.nullif(F.lower(F.trim(F.col(c))), F.lit("")), F.lit(d))
