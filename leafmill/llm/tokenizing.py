@@ -34,6 +34,7 @@ from leafmill.work import stage
 #: Folder with the public tokenizers' vocabulary files; a parameter of every function here.
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
+MOST_TOKENS = 300_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: The suffixes that the pattern splits off after an apostrophe.
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -210,16 +211,32 @@ def token_bytes(spark: SparkSession, folder: str = FOLDER, name: str = NAME) ->
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "bytes"]), "id int, bytes binary")
 
 
+def _decode(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    data, begins, sizes = shared.value
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            lists = pa.concat_arrays([part.column(1)])
+            ids, counts = lists.flatten().to_numpy(zero_copy_only=False), np.array([len(x) if x is not None else 0 for x in lists])
+            size = sizes[ids]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[ids] - (ends - size), size)
+            flat = data[at].tobytes()
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+            texts = [flat[x:y].decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
 def decode_corpus(encoded: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
-    """doc_id, text: the inverse of ``encode_corpus``, by a join with the token-byte table.
+    """doc_id, text: the inverse of ``encode_corpus``.
 
-    The vocabulary is a file of fixed size (under 70,000 entries), so it is broadcast. doc_id must be unique.
+    Every id is joined with the token-byte table by position in it. The table is a file of fixed
+    size (``MOST_TOKENS`` rows at most), so it is broadcast, and no token is shuffled.
     """
-    table = token_bytes(encoded.sparkSession, folder, name)
-    if table.count() > 70_000:
-        raise ValueError("the vocabulary is larger than what is broadcast")
-    tokens = encoded.select("doc_id", F.posexplode("ids").alias("at", "id"))
-    parts = tokens.join(F.broadcast(table), "id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("x"))
-    texts = parts.select("doc_id", F.expr("decode(unhex(array_join(transform(x, p -> hex(p.bytes)), '')), 'UTF-8')").alias("text"))
-    return encoded.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
+    rows = sorted(tuple(r) for r in token_bytes(encoded.sparkSession, folder, name).collect())
+    if len(rows) > MOST_TOKENS or [i for i, _ in rows] != list(range(len(rows))):
+        raise ValueError("the vocabulary is larger than what is broadcast, or has gaps")
+    sizes = np.array([len(b) for _, b in rows], np.int64)
+    table = np.frombuffer(b"".join(b for _, b in rows), np.uint8), np.cumsum(sizes) - sizes, sizes
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    return encoded.select("doc_id", "ids").mapInArrow(functools.partial(_decode, shared), "doc_id long, text string")
