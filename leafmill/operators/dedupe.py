@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,46 @@ SOURCE = {"docx": 6, "pdf": 5, "doc": 4, "txt": 3, "html": 2, "ibooks": 1}
 SIMILAR, PAGE_RATIO = 0.92, 0.45
 
 
+def page_hashes(pages: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
+    """book_id, page_num, page_hash of the pages that are not blank when normalised."""
+    rows = pages.select("book_id", "page_num", normalize(F.coalesce("content", F.lit(""))).alias("t")).where("t <> ''")
+    return rows.select("book_id", "page_num", hashing.sha256(F.col("t")).alias("page_hash"))
+
+
 def signatures(pages: DataFrame, normalize: Callable[[Column], Column], joiner: str = " ") -> DataFrame:
-    """book_id, page_hashes, content_hash, text_hash, page_count of the non-blank normalised pages.
+    """book_id, content_hash, text_hash, page_count of the non-blank normalised pages.
 
     ``joiner`` joins the pages for the text hash: a space for imports, a line feed for edits; the
-    two kinds of signatures are not comparable. A book's page hashes (64 characters each) and text
-    are put together per book, as its hash is defined on the whole.
+    two kinds of signatures are not comparable. The hashes run over a book's pages in order, as a
+    stream over sorted partitions: no book's text is ever held as a whole.
     """
-    rows = pages.select("book_id", "page_num", normalize(F.coalesce("content", F.lit(""))).alias("t")).where("t <> ''")
-    rows = rows.select("book_id", F.struct("page_num", hashing.sha256(F.col("t")).alias("h"), "t").alias("p"))
-    books = rows.groupBy("book_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    hashes = F.transform("p", lambda x: x["h"])
-    return books.select("book_id", hashes.alias("page_hashes"), hashing.sha256(F.array_join(hashes, "\n")).alias("content_hash"), hashing.sha256(F.array_join(F.transform("p", lambda x: x["t"]), joiner)).alias("text_hash"), F.size("p").alias("page_count"))
+    rows = pages.where("book_id IS NOT NULL").select("book_id", "page_num", normalize(F.coalesce("content", F.lit(""))).alias("t")).where("t <> ''")
+    ordered = rows.repartition("book_id").sortWithinPartitions("book_id", "page_num")
+    glue = joiner.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, pages_hash, text_hash, n = None, hashlib.sha256(), hashlib.sha256(), 0
+
+        def result(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], ["book_id", "content_hash", "text_hash", "page_count"])
+
+        for batch in batches:
+            done = []
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if b != book:
+                    if n:
+                        done.append((book, pages_hash.hexdigest(), text_hash.hexdigest(), n))
+                    book, pages_hash, text_hash, n = b, hashlib.sha256(), hashlib.sha256(), 0
+                data = t.encode()
+                pages_hash.update((b"\n" if n else b"") + hashlib.sha256(data).hexdigest().encode())
+                if n:
+                    text_hash.update(glue)
+                text_hash.update(data)
+                n += 1
+            yield result(done)
+        yield result([(book, pages_hash.hexdigest(), text_hash.hexdigest(), n)] if n else [])
+
+    return ordered.mapInArrow(run, "book_id string, content_hash string, text_hash string, page_count int")
 
 
 def first_by_source_hash(books: DataFrame, seen: DataFrame | None = None) -> DataFrame:

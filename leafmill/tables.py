@@ -18,7 +18,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def updated(column: str = "updated_at") -> Column:
     """The update time of a row, with a null as the earliest time of all."""
-    return F.coalesce(F.col(column), F.lit(LONG_AGO).cast("timestamp_ntz"))
+    return F.coalesce(F.col(column).cast("timestamp_ntz"), F.lit(LONG_AGO).cast("timestamp_ntz"))
 
 
 def current_rows(df: DataFrame, keys: Sequence[str], time: str = "updated_at") -> DataFrame:
