@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators import catalog, chunking, dedupe
 from leafmill.plans import sql
+from leafmill.plans.quality_queries import _PARTS
 from leafmill.tables import current_rows, load
 
 
@@ -162,7 +163,7 @@ def page_review_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state(b: DataFrame) -> DataFrame:
-    n = F.pmod(F.crc32(F.encode("book_id", "UTF-8")), F.lit(4))
+    n = F.conv(F.substr(F.md5("book_id"), F.lit(1), F.lit(4)), 16, 10).cast("int") % 4
     return b.where(n > 0).select("book_id", F.when(n == 1, F.lit("changed")).otherwise(F.col("source_hash")).alias("source_hash"), (n != 2).alias("complete"), F.lit(3).alias("next_batch_index"))
 
 
@@ -281,6 +282,9 @@ ORACLES = {
         l AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM e QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY created_at DESC, id DESC) = 1)
         SELECT book_id, {_STATUS} AS status, n AS actions, {_STATUS} <> 'pending_review' AS settled FROM l""",
     "page_review_fold": f"""SELECT book_id, page_num, CASE WHEN a = 'page_reviewed' THEN 'reviewed' WHEN a = 'page_pending' THEN 'pending_review' ELSE '' END AS status FROM (SELECT book_id, page_num, {_V('action')} AS a FROM review_actions WHERE {_V('scope')} = 'page' AND page_num IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, page_num ORDER BY created_at DESC, id DESC) = 1)""",
+    "ingest_actions": f"""WITH b AS (SELECT book_id, source_hash, ('0x' || substr(md5(book_id), 1, 4))::INT % 4 AS n FROM {sql.BOOKS}), s AS (SELECT *, CASE WHEN n = 1 THEN 'changed' ELSE source_hash END IS NOT DISTINCT FROM source_hash AS same FROM b)
+        SELECT book_id, CASE WHEN n = 0 THEN 'new' WHEN same AND n <> 2 THEN 'skip' WHEN same THEN 'resume' ELSE 'refresh' END AS action, CASE WHEN n <> 0 AND same AND n = 2 THEN 3 ELSE 0 END AS next_batch FROM s""",
+    "chunk_dedupe": _PARTS + f", q AS (SELECT book_id, page_num AS unit, chunk_idx, sha256(part) AS chunk_hash FROM p) SELECT chunk_hash, book_id, unit, chunk_idx FROM q WHERE chunk_hash NOT IN (SELECT chunk_hash FROM q WHERE book_id IN (SELECT book_id FROM {sql.BOOKS} WHERE lower(trim(quality_status)) = 'quarantine')) QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY book_id, unit, chunk_idx) = 1",
     "chunk_refcounts": f"SELECT chunk_hash, count(DISTINCT book_id) AS ref_count FROM {_BRIDGE} GROUP BY 1",
     "release_book": f"SELECT DISTINCT chunk_hash FROM {_BRIDGE} WHERE chunk_hash NOT IN (SELECT chunk_hash FROM {_BRIDGE} WHERE book_id NOT IN {_GONE})",
     "delete_books": f"SELECT (SELECT count(*) FROM {sql.BOOKS} WHERE book_id NOT IN {_GONE}) AS books, (SELECT count(*) FROM {sql.PAGES} WHERE book_id NOT IN {_GONE}) AS pages, (SELECT count(DISTINCT id) FROM review_actions WHERE book_id NOT IN {_GONE}) AS actions",

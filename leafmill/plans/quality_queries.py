@@ -117,13 +117,29 @@ _PAGE_QUALITY = rf"""WITH {_MEASURES},
     r AS (SELECT *, {_list(("ns < 25 OR tc < 5", "too_short_or_empty"), ("ns >= 80 AND ucr < 0.05", "low_character_diversity"), ("rr >= 0.01", "encoding_replacement_chars"), ("expected AND arabic = 0 AND latin >= 10 AND ns >= 30", "arabic_script_mismatch"), ("expected AND NOT (arabic = 0 AND latin >= 10 AND ns >= 30) AND arabic < 8 AND ns >= 50", "arabic_missing"), ("expected AND NOT (arabic = 0 AND latin >= 10 AND ns >= 30) AND NOT (arabic < 8 AND ns >= 50) AND script = 'latin' AND ns >= 30", "arabic_script_mismatch"))} AS reasons,
         {_list(("tc >= 60 AND uwr < 0.2", "low_vocab_diversity"), ("sr >= 0.45 AND ns >= 80", "high_symbol_density"), ("arabic >= 20 AND latin >= 20 AND ns >= 150", "mixed_script_content"))} AS warnings FROM q),
     s AS (SELECT *, CASE WHEN reasons <> '' THEN 'ocr_needed' WHEN warnings <> '' THEN 'warn' ELSE 'ok' END AS status FROM r)"""
-_PARTS = rf"""WITH RECURSIVE t AS (SELECT book_id, page_num, content AS t FROM {sql.PAGES} WHERE length(content) > 0),
-    c AS (SELECT book_id, page_num, t, 1 AS pos, 0 AS chunk_idx FROM t
-      UNION ALL SELECT book_id, page_num, t, pos + size - 50, chunk_idx + 1 FROM (
+def _parts(source: str, keys: str) -> str:
+    """A recursive table p(keys, chunk_idx, part) of the overlapping parts of column t of ``source``."""
+    return rf"""c AS (SELECT {keys}, t, 1 AS pos, 0 AS chunk_idx FROM {source}
+      UNION ALL SELECT {keys}, t, pos + size - 50, chunk_idx + 1 FROM (
         SELECT *, CASE WHEN feed > 251 THEN feed WHEN feed = 0 AND space > 251 THEN space ELSE 500 END AS size FROM (
           SELECT *, 500 - length(regexp_extract(w, '[^\n]*$')) AS feed, 500 - length(regexp_extract(w, '[^ ]*$')) AS space
           FROM (SELECT *, substr(t, pos, 500) AS w FROM c WHERE length(t) > 500 AND pos + 499 < length(t))))),
-    p AS (SELECT book_id, page_num, chunk_idx, CASE WHEN length(t) <= 500 THEN t WHEN pos + 499 >= length(t) THEN substr(t, pos) ELSE substr(t, pos, lead(pos) OVER (PARTITION BY book_id, page_num ORDER BY chunk_idx) + 50 - pos) END AS part FROM c)"""
+    p AS (SELECT {keys}, chunk_idx, CASE WHEN length(t) <= 500 THEN t WHEN pos + 499 >= length(t) THEN substr(t, pos) ELSE substr(t, pos, lead(pos) OVER (PARTITION BY {keys} ORDER BY chunk_idx) + 50 - pos) END AS part FROM c)"""
+
+
+_PARTS = f"WITH RECURSIVE t AS (SELECT book_id, page_num, content AS t FROM {sql.PAGES} WHERE length(content) > 0), {_parts('t', 'book_id, page_num')}"
+_CHUNKS = rf"""WITH RECURSIVE k AS (SELECT book_id, page_num, {sql.strip(_C)} AS t FROM {sql.PAGES}),
+    h AS (SELECT *, length(t) >= 80 AS long, list_filter(list_transform(string_split(t, chr(10)), lambda x: {sql.strip('x')}), lambda x: x <> '') AS ls FROM k WHERE t <> ''
+        AND NOT (length(t) < 30 OR (len(string_split(t, chr(10))) <= 3 AND contains(lower(t), 'cover')) OR (contains(t, 'HYPERLINK') AND length(t) < 300) OR regexp_matches(t, '^[0-9]{{4}}\s*[Hh]\s*$'))),
+    g AS (SELECT *, NOT long AND (regexp_matches(ls[1], '^\p{{Nd}}+[.)][{sql.SPACE}]') OR regexp_matches(ls[1], '^[IVXLCDM]+\.?[{sql.SPACE}]') OR (length(ls[1]) < 80 AND ((upper(ls[1]) = ls[1] AND lower(ls[1]) <> ls[1]) OR (len(ls) = 1 AND upper(left(ls[1], 1)) = left(ls[1], 1) AND lower(left(ls[1], 1)) <> left(ls[1], 1))))) AS heading FROM h),
+    l AS (SELECT book_id, page_num, t, long, heading FROM g QUALIFY bool_or(long OR heading) OVER (PARTITION BY book_id ORDER BY page_num ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT *, long OR (heading AND NOT coalesce(lag(page_num) OVER (PARTITION BY book_id ORDER BY page_num) = page_num - 1, false)) AS begins FROM l),
+    n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY book_id ORDER BY page_num ROWS UNBOUNDED PRECEDING) AS unit FROM b),
+    o AS (SELECT *, CASE WHEN first_value(long) OVER own THEN begins ELSE sum((heading AND NOT begins)::INT) OVER own = 0 END AS body FROM n WINDOW own AS (PARTITION BY book_id, unit ORDER BY page_num ROWS UNBOUNDED PRECEDING)),
+    u AS (SELECT book_id, unit, string_agg(t, chr(10) || chr(10) ORDER BY page_num) FILTER (body) AS t, string_agg(t, chr(10) || chr(10) ORDER BY page_num) FILTER (NOT body) AS tail, min(page_num) AS page_start, max(page_num) FILTER (body) AS body_end, max(page_num) AS unit_end FROM o GROUP BY 1, 2),
+    {_parts('u', 'book_id, unit')},
+    z AS (SELECT book_id, unit, page_start, chunk_idx, CASE WHEN tail IS NOT NULL AND chunk_idx = max(chunk_idx) OVER (PARTITION BY book_id, unit) THEN unit_end ELSE body_end END AS page_end,
+        CASE WHEN tail IS NOT NULL AND chunk_idx = max(chunk_idx) OVER (PARTITION BY book_id, unit) THEN part || chr(10) || chr(10) || tail ELSE part END AS text FROM p JOIN u USING (book_id, unit))"""
 _BOOK_QUALITY = rf"""WITH {_MEASURES},
     g AS (SELECT book_id, {", ".join(f"sum({k}) AS {k}" for k in ("total", "ns", "letters", "arabic", "latin", "digits", "punct", "symbols", "repl", "raw", "a_all", "l_all"))}, count(*) AS page_count, sum(len(tokens)) AS tc, sum((raw < 40)::INT) AS short,
         count(nullif(normal, '')) AS hashes, count(DISTINCT nullif(normal, '')) AS uh, len(list_distinct(flatten(list(tokens)))) AS uw, list_distinct(list_filter(flatten(list(chars)), lambda c: c <> '')) AS uc FROM m GROUP BY 1),
@@ -140,6 +156,7 @@ ORACLES = {
     "quality_routing": _BOOK_QUALITY + " SELECT book_id, status, CASE status WHEN 'quarantine' THEN 'failed' WHEN 'warn' THEN 'degraded' ELSE 'good' END AS conversion_status, CASE WHEN status = 'quarantine' THEN 'pending_review' ELSE 'approved_auto' END AS review_status, status = 'quarantine' AS review_required, status <> 'quarantine' AS ingest_ready FROM z",
     "pdf_text_suspicion": rf"""WITH p AS (SELECT book_id, sum(length({_C})) AS total, sum(length({_C}) - {sql.hits(_C, f'[{sql.SPACE}]')}) AS ns, sum({sql.hits(_C, r'\p{L}')}) AS letters, sum({sql.hits(_C, r'\x{fffd}')}) AS repl, count(*) AS pages FROM {sql.PAGES} GROUP BY 1)
         SELECT book_id, (size_bytes >= 200000 AND ns < 120) OR (size_bytes >= 1000000 AND ns < 350) OR (pages <= 1 AND size_bytes >= 100000 AND ns < 200) OR repl > total * 0.01 OR (letters / greatest(ns, 1) < 0.18 AND size_bytes >= 100000) AS suspicious FROM p JOIN {sql.BOOKS} USING (book_id)""",
+    "chunk_book": _CHUNKS + " SELECT book_id, unit::BIGINT AS unit, page_start, page_end, chunk_idx, text FROM z",
     "chunk_page_parts": _PARTS + " SELECT book_id, page_num, chunk_idx, part FROM p",
     "chunk_ids": _PARTS + " SELECT book_id, page_num, chunk_idx, sha256(concat_ws('|', book_id, page_num::VARCHAR, page_num::VARCHAR, chunk_idx::VARCHAR, part)) AS chunk_hash FROM p",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators import ocr, references
 from leafmill.plans import sql
+from leafmill.plans.quality_queries import _CHUNKS
 from leafmill.sources import readers, sinks
 from leafmill.streaming import ingest
 from leafmill.tables import current_rows, load
@@ -155,6 +156,9 @@ ORACLES = {
     "ocr_line_blocks": _WORDS + """ SELECT book_id, page, printf('p%03d_b%03d', page, row_number() OVER (PARTITION BY book_id, page ORDER BY top, "left")) AS block_id, text, "left", top, "right", bottom, floor(coalesce(c, 0) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS conf, ratio AS arabic_ratio, script AS script_guess FROM o""",
     "ocr_candidates": _WORDS + " SELECT book_id, page, count(*) AS blocks FROM o WHERE script <> 'latin' GROUP BY 1, 2",
     "html_to_text_native": rf"SELECT doc_id, {sql.strip(rf'''regexp_replace({_SHOWN}, '[\t\n\x0b\f\r ]*\n[\t\n\x0b\f\r ]*', chr(10), 'g')''')} AS text FROM documents",
+    "stream_chunks": _CHUNKS + " SELECT book_id, count(*) AS chunks FROM z GROUP BY 1",
+    "verse_formats": """WITH v AS (SELECT '2:' || (item_id % 1000) AS key, coalesce(max(passage) FILTER (language = 'ar'), max(passage)) AS ar, max(passage) FILTER (language = 'id') AS id, max(passage) FILTER (language = 'en') AS en FROM eval_items WHERE passage <> '' GROUP BY 1)
+        SELECT key, mode, CASE mode WHEN 'id' THEN coalesce(trim(id), '') WHEN 'en+ar' THEN concat_ws(chr(10) || chr(10), nullif(trim(ar), ''), nullif(trim(en), '')) WHEN 'id+en+ar' THEN concat_ws(chr(10) || chr(10), nullif(trim(ar), ''), nullif(trim(id), ''), nullif(trim(en), '')) ELSE trim(ar) END AS text FROM v, (SELECT unnest(['ar', 'id', 'en+ar', 'id+en+ar', 'odd']) AS mode)""",
     "routed_books": f"SELECT book_id, CASE WHEN document_type = 'empty' THEN '_empty' WHEN coalesce(total_pages, 0) <= 1 AND coalesce(size_bytes, 0) < 20000 THEN '_covers' ELSE 'main' END AS route FROM {sql.BOOKS}",
     "stream_review_counts": "SELECT to_timestamp(floor(epoch(created_at) / 604800) * 604800)::TIMESTAMP AS week, lower(trim(action)) AS action, count(DISTINCT id) AS n FROM review_actions GROUP BY 1, 2",
 }

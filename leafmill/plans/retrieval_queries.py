@@ -145,5 +145,6 @@ ORACLES = {
     "eval_metrics": f"""WITH {_BM25}{_NONE}{_FUSED}{_JUDGED}, per AS (SELECT query_id, min(CASE WHEN relevant THEN rank END) AS f, max(CASE WHEN rank = 1 THEN coverage END) AS c FROM rel GROUP BY 1), q AS (SELECT item_id, f, c FROM eval_items LEFT JOIN per ON query_id = item_id)
         SELECT count(*) AS queries, {", ".join(f"{sql.round4(f'avg(coalesce(f <= {k}, false)::INT::DOUBLE)')} AS recall_{k}" for k in (1, 3, 5, 10))}, {sql.round4("avg(coalesce(1.0::DOUBLE / f, 0))")} AS mrr_10, {sql.round4("avg(coalesce(c, 0)::DOUBLE)")} AS coverage, count_if(f IS NULL) AS failed FROM q""",
     "eval_failures": f"WITH {_BM25}{_NONE}{_FUSED}{_JUDGED} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS best FROM rel GROUP BY 1 HAVING NOT bool_or(relevant)",
+    "context_prompt": f"WITH {_BM25}{_NONE}{_FUSED}, l AS (SELECT *, '[' || rank || '] ' || coalesce(nullif(title, ''), '?') AS label FROM rk WHERE rank <= 5) SELECT query_id, string_agg(label || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(label, '; ' ORDER BY rank) AS sources FROM l GROUP BY 1",
     "model_route": "SELECT item_id, CASE WHEN " + " OR ".join("contains(lower(query), '{}')".format(w.replace("'", "''")) for w in r.LARGE) + " THEN 'large' ELSE 'local' END AS model FROM eval_items",
 }
