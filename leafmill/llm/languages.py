@@ -168,12 +168,22 @@ class Model:
             label[first[:k] + t - 1] = state[:k]
         return w, label, scores
 
+    def stretches(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, language, letters) of each stretch: spans of one language, across quoted words of others."""
+        s = self.spans(texts)
+        keep = ~s["quoted"]
+        text, language, letters = s["text"][keep], s["language"][keep], s["letters"][keep]
+        if not len(text):
+            return text, language, letters
+        begin = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (language[1:] != language[:-1])]))
+        return text[begin], language[begin], np.add.reduceat(letters, begin)
+
     def spans(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        """Spans in order: text, start and end (characters), language, letters, confidence."""
+        """Spans in order: text, start and end (characters), language, letters, confidence, quoted."""
         w, label, scores = self.decode(texts)
         n = len(label)
         if not n:
-            return {k: np.empty(0, np.int64) for k in ("text", "start", "end", "language", "letters")} | {"confidence": np.empty(0)}
+            return {k: np.empty(0, np.int64) for k in ("text", "start", "end", "language", "letters")} | {"confidence": np.empty(0), "quoted": np.empty(0, bool)}
         new = np.ones(n, bool)
         new[1:] = label[1:] != label[:-1]
         size = w.last - w.first
@@ -189,7 +199,9 @@ class Model:
         odds = np.exp(total - total.max(1, keepdims=True))
         confidence = (odds / odds.sum(1, keepdims=True))[np.arange(len(begin)), language]
         keep = letters > 0
-        return {"text": text[keep], "start": (w.start[begin] - w.offset[text])[keep], "end": (w.end[stop - 1] - w.offset[text])[keep], "language": language[keep], "letters": letters[keep], "confidence": confidence[keep]}
+        # One or two words in quotation marks or brackets don't end the stretch around them.
+        quoted = (stop - begin <= 2) & np.isin(w.cp[np.maximum(w.start[begin] - 1, 0)], [ord(c) for c in "«(\"'„“‘["])
+        return {"quoted": quoted[keep], "text": text[keep], "start": (w.start[begin] - w.offset[text])[keep], "end": (w.end[stop - 1] - w.offset[text])[keep], "language": language[keep], "letters": letters[keep], "confidence": confidence[keep]}
 
 
 def _scores(counts: np.ndarray, total: np.ndarray, smooth: float) -> np.ndarray:
@@ -261,10 +273,10 @@ def _mask(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = batch.column(3).to_pylist()
         out = []
         for a, b in kernel.blocks(texts):
-            s = model.spans(texts[a:b])
+            text, language, letters = model.stretches(texts[a:b])
             mask = np.zeros(b - a, np.int64)
-            long = s["letters"] >= LEAST_LETTERS
-            np.bitwise_or.at(mask, s["text"][long], np.left_shift(1, s["language"][long]))
+            long = letters >= LEAST_LETTERS
+            np.bitwise_or.at(mask, text[long], np.left_shift(1, language[long]))
             out.append(mask)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.concatenate(out).astype(np.int32))], ["book_id", "page_num", "at", "mask"])
 

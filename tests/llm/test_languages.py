@@ -44,6 +44,12 @@ def test_mixed_text(model):
     assert set(s["text"]) == {1, 4}
 
 
+def test_quoted_words_do_not_end_a_stretch(model):
+    text = "the reader opens («книга») the large book. " + TEXT["id"]
+    kinds, letters = model.stretches([text, None])[1:]
+    assert [lang.LANGUAGES[x] for x in kinds] == ["en", "id"] and letters[0] >= sum(c.isalpha() for c in "the reader opens the large book")
+
+
 def test_viterbi_is_optimal(model):
     text = "ibu le book. kitabı membaca père"
     w, label, scores = model.decode([text, "x", text])
