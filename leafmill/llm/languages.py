@@ -211,40 +211,59 @@ def _scores(counts: np.ndarray, total: np.ndarray, smooth: float) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS, most: int = MOST_WORDS) -> Model:
-    """A model from texts with (partly wrong) labels; None is no label."""
-    w = Words(texts)
-    kinds, number, size = np.unique(w.hash, return_inverse=True, return_counts=True)
+    """A model from texts with (partly wrong) labels; None is no label. Texts are held a block at a time."""
+    m = len(LANGUAGES)
+    parts = []
+    for a, b in kernel.blocks(texts):
+        w = Words(texts[a:b])
+        size = w.last - w.first
+        opens = w.opens.copy()
+        opens[w.first[size > 0]] = True
+        grams, bounds = _grams(w.cp, w.start, w.end) if len(w.start) else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        given = np.repeat(np.array([-1 if x is None else x for x in labels[a:b]], np.int8), size)
+        parts.append({"hash": w.hash, "letters": w.letters > 0, "script": w.script, "segment": np.cumsum(opens) - 1, "grams": grams.astype(np.uint16), "per_word": np.diff(bounds).astype(np.int32), "given": given})
+        del w
+    hashes = np.concatenate([p["hash"] for p in parts]) if parts else np.empty(0, np.uint64)
+    kinds, number, size = np.unique(hashes, return_inverse=True, return_counts=True)
+    number, ends = number.astype(np.int32), np.cumsum([len(p["hash"]) for p in parts])
     if len(kinds) > most:  # the most frequent words; ties by hash
         keep = np.zeros(len(kinds), bool)
         keep[np.lexsort((kinds, -size))[:most]] = True
     else:
         keep = np.ones(len(kinds), bool)
-    m = len(LANGUAGES)
-    text = np.repeat(np.arange(len(texts)), w.last - w.first)
-    opens = w.opens.copy()
-    opens[w.first[w.last > w.first]] = True
-    segment = np.cumsum(opens) - 1
-    allowed = ((w.script[:, None] >> np.arange(m)) & 1).astype(bool)
-    given = np.array([-1 if x is None else x for x in labels], np.int64)[text] if len(text) else np.empty(0, np.int64)
-    label = np.where((given >= 0) & allowed[np.arange(len(given)), np.maximum(given, 0)], given, -1)
-    one = (w.script & (w.script - 1)) == 0  # scripts of a single language need no label
-    label = np.where(one & (w.letters > 0), np.log2(np.maximum(w.script, 1)).astype(np.int64), label)
-    label[w.letters == 0] = -1
-    grams, bounds = _grams(w.cp, w.start, w.end) if len(w.start) else (np.empty(0, np.int64), np.zeros(1, np.int64))
-    owner = np.repeat(np.arange(len(w.hash)), np.diff(bounds))
-    for _ in range(rounds + 1):
-        counts, gram_counts = np.zeros((len(kinds), m)), np.zeros((_GRAMS, m))
-        ok = label >= 0
-        np.add.at(counts, (number[ok], label[ok]), 1)
-        by_word = label[owner]
-        np.add.at(gram_counts, (grams[by_word >= 0], by_word[by_word >= 0]), 1)
-        model = Model(kinds[keep], _scores(counts, counts.sum(0), 0.2)[keep], _scores(gram_counts, gram_counts.sum(0), 1.0) * 0.5)
-        if not len(segment):
+    for p, end in zip(parts, ends):
+        p["number"] = number[end - len(p["hash"]) : end]
+        # A label counts for words of its scripts; scripts of a single language need no label.
+        allowed = ((p["script"][:, None] >> np.arange(m)) & 1).astype(bool)
+        own = np.maximum(p["given"], 0)
+        label = np.where((p["given"] >= 0) & allowed[np.arange(len(own)), own], p["given"], -1)
+        one = (p["script"] & (p["script"] - 1)) == 0
+        label = np.where(one & p["letters"], np.log2(np.maximum(p["script"], 1)).astype(np.int8), label)
+        label[~p["letters"]] = -1
+        p["label"] = label.astype(np.int8)
+    model = Model(kinds[keep], np.zeros((int(keep.sum()), m)), np.zeros((_GRAMS, m)))
+    for r in range(rounds + 1):
+        counts, gram_counts = np.zeros(len(kinds) * m), np.zeros(_GRAMS * m)
+        for p in parts:
+            ok = p["label"] >= 0
+            counts += np.bincount(p["number"][ok].astype(np.int64) * m + p["label"][ok], minlength=len(counts))
+            by_word = np.repeat(p["label"], p["per_word"])
+            gram_counts += np.bincount(p["grams"][by_word >= 0].astype(np.int64) * m + by_word[by_word >= 0], minlength=len(gram_counts))
+        counts, gram_counts = counts.reshape(-1, m), gram_counts.reshape(-1, m)
+        scores = _scores(counts, counts.sum(0), 0.2)
+        model = Model(kinds[keep], scores[keep], _scores(gram_counts, gram_counts.sum(0), 1.0) * 0.5)
+        if r == rounds:
             break
-        total = np.zeros((segment[-1] + 1, m), np.float64)
-        np.add.at(total, segment, model.word_scores(w))
-        label = np.where(w.letters > 0, total.argmax(1)[segment], -1)
-        label[~allowed[np.arange(len(label)), np.maximum(label, 0)]] = -1
+        for p in parts:
+            if not len(p["segment"]):
+                continue
+            allowed = ((p["script"][:, None] >> np.arange(m)) & 1).astype(bool)
+            each = scores[p["number"]] - np.where(allowed, 0, OTHER_SCRIPT)
+            each[~p["letters"]] = 0
+            total = np.stack([np.bincount(p["segment"], each[:, k], p["segment"][-1] + 1) for k in range(m)], 1)
+            label = np.where(p["letters"], total.argmax(1)[p["segment"]], -1).astype(np.int8)
+            label[~allowed[np.arange(len(label)), np.maximum(label, 0)]] = -1
+            p["label"] = label
     return model
 
 
