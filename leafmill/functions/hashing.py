@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,22 @@ def simhash_of_bits() -> Column:
     return out
 
 
+@F.pandas_udf(T.LongType())
+def blake2b64(words: pd.Series) -> pd.Series:
+    """The 8-byte BLAKE2b of each word as a signed integer, big end first."""
+    return words.map(lambda w: None if w is None else int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big", signed=True))
+
+
+def simhash_by(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, simhash: ``simhash_compat`` over all texts of a key, as an aggregate over distinct words.
+
+    Words are counted before they are hashed, and bits are summed on the map side; no key's text is
+    put together. Keys without words give no row.
+    """
+    words = rows.select(key, F.explode(F.filter(F.split(text, " "), lambda w: w != "")).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    return words.select(key, "n", blake2b64("w").alias("h")).groupBy(key).agg(*simhash_bits()).select(key, simhash_of_bits().alias("simhash"))
+
+
 @F.pandas_udf(T.LongType())
 def simhash_compat(texts: pd.Series) -> pd.Series:
     """SimHash with 8-byte BLAKE2b over white-space tokens, as signed 64 bits; no tokens give 0."""

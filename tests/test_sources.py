@@ -102,3 +102,25 @@ def test_ingest_stream(spark, tmp_path):
     ingest.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
     got = {r.book_id: r.text[:26] for r in ingest.ingested(spark, out).collect()}
     assert got == {"a": "Isi halaman pertama yang d", "b": "Isi halaman kedua yang pan"}
+
+
+def test_import_folder(spark, tmp_path):
+    from leafmill.plans.importing import import_folder
+
+    make(tmp_path)
+    text = "Buku ini dibaca oleh para murid setiap pagi dengan tenang dan sabar. "
+    (tmp_path / "id_satu.txt").write_text(text * 2)
+    (tmp_path / "salinan.txt").write_text(text * 2)
+    (tmp_path / "mirip.txt").write_text("  " + (text * 2).upper())
+    (tmp_path / "lama.txt").write_text(text + "tambahan lain di akhir halaman")
+    seen = spark.createDataFrame([("0" * 64,)], "source_hash string")
+    out = import_folder(spark, str(tmp_path), "rak", seen)
+    books = {r.book_id: r for r in out["books"].collect()}
+    kinds = {r.book_id: r.kind for r in out["skipped"].collect()}
+    assert books["rak__lama.txt"].review_status == "approved_auto" and books["rak__a.txt"].review_status == "pending_review"
+    assert kinds["rak__bad.docx"] == kinds["rak__p.pdf"] == "problem" and kinds["rak__blank.txt"] == "empty_after_extraction"
+    assert sorted(kinds[f"rak__{n}.txt"] for n in ("id_satu", "salinan", "mirip") if f"rak__{n}.txt" in kinds) == ["content_family_skip", "source_hash_skip"]
+    assert books["rak__ar_b.html"].language == "ar" and not set(books) & set(kinds)
+    assert {r.book_id for r in out["pages"].collect()} == set(books)
+    again = import_folder(spark, str(tmp_path), "rak", spark.createDataFrame([(r.source_hash,) for r in books.values()], "source_hash string"), out["books"].select("book_id", "content_hash", "text_hash"))
+    assert again["books"].count() == 0

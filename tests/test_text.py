@@ -84,3 +84,5 @@ def test_hashes(spark):
 
     texts = ["", "a b c", "a a b", "satu dua tiga empat lima", None]
     assert run(spark, hashing.simhash_compat(F.col("t")), texts) == [simhash(t or "") for t in texts]
+    rows = spark.createDataFrame([("x", "satu dua"), ("x", "dua tiga empat lima"), ("y", " ")], "k string, t string")
+    assert [tuple(r) for r in hashing.simhash_by(rows, "k", "t").collect()] == [("x", simhash("satu dua dua tiga empat lima"))]
