@@ -145,9 +145,10 @@ def books(chunk: DataFrame) -> tuple[DataFrame, DataFrame]:
     per = per.select("book_id", "words", "parts", F.xxhash64("print", "words").alias("cls"))
     pieces = filled.select("book_id", "minima").unionByName(across.select("book_id", "minima"))
     several = pieces.join(per.where("parts > 1").select("book_id"), "book_id")
-    number = F.expr(f"posexplode(transform(sequence(0, {HASHES - 1}), i -> conv(hex(reverse(substring(minima, i * 4 + 1, 4))), 16, 10)))")
+    byte = "hex(substring(minima, i * 4 + {}, 1))"  # little end first
+    number = F.expr(f"posexplode(transform(sequence(0, {HASHES - 1}), i -> conv(concat({', '.join(byte.format(k) for k in (4, 3, 2, 1))}), 16, 10)))")
     low = several.select("book_id", number).select("book_id", "pos", F.col("col").cast("long").alias("v")).groupBy("book_id", "pos").agg(F.min("v").alias("v"))
-    merged = low.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).select("book_id", F.expr("unhex(array_join(transform(x, y -> hex(reverse(unhex(lpad(hex(y.v), 8, '0'))))), ''))").alias("minima"))
+    merged = low.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x")).select("book_id", F.expr("unhex(array_join(transform(x, y -> regexp_replace(lpad(hex(y.v), 8, '0'), '(..)(..)(..)(..)', '$4$3$2$1')), ''))").alias("minima"))
     single = filled.select("book_id", "minima").join(per.where("parts = 1").select("book_id"), "book_id")
     whole = single.unionByName(merged).join(per.select("book_id", "words", "cls"), "book_id")
     return whole, filled.select("book_id", "runs").unionByName(across.select("book_id", "runs"))

@@ -117,6 +117,16 @@ def test_books(spark):
     assert dup.similar_books(frame.limit(0)).count() == 0
 
 
+def test_minima_of_several_chunks(spark):
+    """A book's minima are the same however its text is cut into pages."""
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(600)]
+    pages = [(name, i // per + 1, " ".join(words[i : i + per]), T) for name, per in (("a", 600), ("b", 3), ("c", 1), ("d", 5)) for i in range(0, 600, per)]
+    whole, _ = dup.books(dup.chunks(spark.createDataFrame(pages, SCHEMA)))
+    rows = whole.collect()
+    assert len(rows) == 4 and len({bytes(r.minima) for r in rows}) == 1 and {r.words for r in rows} == {600}
+
+
 def test_groups(spark):
     pages = make(1)
     rows = dup.groups(spark.createDataFrame(pages, SCHEMA)).collect()
