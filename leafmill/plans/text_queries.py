@@ -107,10 +107,12 @@ def simhash_compat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simhash_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of books whose stored SimHashes differ in five bits at most, by six bands.
+    """Pairs of different stored SimHashes that differ in five bits at most, by six bands.
 
     Two hashes that differ in five bits agree in one of six bands (pigeonhole), so the equi-join on
-    (band, bits) loses nothing. Equal hashes are one class and joined once.
+    (band, bits) loses nothing. Equal hashes are one class, joined once and named by its first book;
+    ``simhash_classes`` has the class of every book, so that joined to it on both sides these are
+    all pairs of books at distances 1 to 5, and its classes those at distance 0.
     """
     books = _books(spark, d, "text_simhash").where("text_simhash <> 0")
     classes = books.groupBy("text_simhash").agg(F.count("*").alias("books"), F.min("book_id").alias("first"))
@@ -123,7 +125,17 @@ def simhash_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("book_a", "book_b", "distance")
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, text_normalize_compat, tokenize_tf, char_profile, detect_script, clean_title, book_id_slug, language_from_path, page_split, page_metrics, snippet_highlight, page_navigation, simhash_native, simhash_compat, simhash_hamming_pairs)}
+def simhash_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every book with the first book of its stored SimHash and the number of books that have it.
+
+    A book without a hash (null or 0) equals no other: it is a class of its own.
+    """
+    books = _books(spark, d, "text_simhash")
+    classes = books.where("text_simhash <> 0").groupBy("text_simhash").agg(F.min("book_id").alias("first"), F.count("*").alias("n"))
+    return books.join(classes, "text_simhash", "left").select("book_id", "text_simhash", F.coalesce("first", "book_id").alias("class_book"), F.coalesce("n", F.lit(1)).alias("books"))
+
+
+QUERIES = {f.__name__: f for f in (text_normalize, text_normalize_compat, tokenize_tf, char_profile, detect_script, clean_title, book_id_slug, language_from_path, page_split, page_metrics, snippet_highlight, page_navigation, simhash_native, simhash_compat, simhash_hamming_pairs, simhash_classes)}
 
 _C = "coalesce(content, '')"
 _STEM = r"regexp_replace(source_relpath, '^.*/|\.[^./]*$', '', 'g')"
@@ -163,4 +175,5 @@ ORACLES = {
         SELECT doc_id, lower(to_hex(list_sum([{_BITS}])::UBIGINT)) AS simhash FROM w GROUP BY 1""",
     "simhash_hamming_pairs": f"""WITH c AS (SELECT text_simhash AS h, min(book_id) AS book FROM {sql.BOOKS} WHERE text_simhash <> 0 GROUP BY 1)
         SELECT a.book AS book_a, b.book AS book_b, bit_count(xor(a.h, b.h))::INT AS distance FROM c a JOIN c b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 5""",
+    "simhash_classes": f"""WITH b AS {sql.BOOKS} SELECT book_id, text_simhash, CASE WHEN text_simhash <> 0 THEN min(book_id) OVER (PARTITION BY text_simhash) ELSE book_id END AS class_book, CASE WHEN text_simhash <> 0 THEN count(*) OVER (PARTITION BY text_simhash) ELSE 1 END AS books FROM b""",
 }
