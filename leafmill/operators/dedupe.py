@@ -79,21 +79,40 @@ def family_lookup(books: DataFrame, families: DataFrame) -> DataFrame:
     return found.select("book_id", F.coalesce("kc", "kt").alias("family_key"), F.when(F.col("kc").isNotNull(), "content_hash").when(F.col("kt").isNotNull(), "text_hash").otherwise("none").alias("matched"))
 
 
+def _page_sets(pages: DataFrame) -> DataFrame:
+    """book_id, n, s, s2: each book's number of different pages, and two sums of their hashes that stand for the set."""
+    known = "page_hash IS NOT NULL AND page_hash <> ''"
+    own = pages.select("book_id", F.when(F.expr(known), F.col("page_hash")).alias("page_hash")).distinct()
+    total = lambda *seed: F.coalesce(F.sum(F.when(F.col("page_hash").isNotNull(), F.xxhash64("page_hash", *seed)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return own.groupBy("book_id").agg(F.count("page_hash").alias("n"), total().alias("s"), total(F.lit(7)).alias("s2"))
+
+
 def page_jaccard(pages: DataFrame) -> DataFrame:
     """book_a, book_b, shared, jaccard of the books that share a page: an equi-join on page hashes.
 
     ``pages``: book_id, page_hash. Books with the same set of pages form one class (by the hash of
-    their sorted pages) and are represented by the first of them, so copies don't multiply the join.
+    their sorted pages) and are represented by the first of them, so copies don't multiply the join;
+    ``page_classes`` has the members.
     """
     own = pages.where("page_hash IS NOT NULL AND page_hash <> ''").distinct()
-    sets = own.groupBy("book_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page_hash").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("page_hash", F.lit(7)).cast("decimal(38,0)")).alias("s2"))
-    reps = sets.groupBy("n", "s", "s2").agg(F.min("book_id").alias("book_id")).select("book_id", "n")
+    reps = _page_sets(own).groupBy("n", "s", "s2").agg(F.min("book_id").alias("book_id")).select("book_id", "n")
     rows = own.join(reps, "book_id")
     a, b = (rows.select("page_hash", F.col("book_id").alias(f"book_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     pairs = a.join(b, "page_hash").where("book_a < book_b").groupBy("book_a", "book_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return pairs.select("book_a", "book_b", "shared", tx.round4(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
 
 
+def page_classes(pages: DataFrame) -> DataFrame:
+    """book_id, class_book, pages, books: every book with the first book of its set of pages, which ``page_jaccard`` names.
+
+    ``pages``: book_id, page_hash. Books of one class have Jaccard 1. A book without any page hash
+    shares nothing: it is a class of its own.
+    """
+    sets = _page_sets(pages)
+    classes = sets.where("n > 0").groupBy("n", "s", "s2").agg(F.min("book_id").alias("first"), F.count("*").alias("books"))
+    return sets.join(classes, ["n", "s", "s2"], "left").select("book_id", F.coalesce("first", "book_id").alias("class_book"), F.col("n").alias("pages"), F.coalesce("books", F.lit(1)).alias("books"))
+
+
 def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The best earlier record for each record: exact hashes first, then page overlap or SimHash with a title bonus.
 

@@ -47,10 +47,16 @@ def family_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Books that share pages, by the stored page hashes."""
+    """Books that share pages, by the stored page hashes; equal sets of pages are named by their first book."""
     return dedupe.page_jaccard(_pages(spark, d, "page_hash").select("book_id", "page_hash"))
 
 
+def page_jaccard_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every book, of no page too, with the first book that has the same pages."""
+    pages = _pages(spark, d, "page_hash").select("book_id", "page_hash")
+    return dedupe.page_classes(pages.unionByName(_books(spark, d).select("book_id", F.lit(None).cast("string").alias("page_hash"))))
+
+
 def near_duplicate_best(spark: SparkSession, d: str) -> DataFrame:
     """Each book's best earlier duplicate by stored signatures."""
     hashes = _pages(spark, d, "page_hash").where("page_hash <> ''").groupBy("book_id").agg(F.array_sort(F.collect_set("page_hash")).alias("page_hashes"), F.count("*").alias("page_count"))
@@ -210,7 +216,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    content_signature, edit_signature, source_hash_dedupe, family_lookup, page_jaccard_pairs, near_duplicate_best, canonical_per_family, archived_duplicates, kept_semi, removed_anti, family_members, index_counts, infer_metadata, reinferred_changes, stats_snapshot, library_page, approved_books,
+    content_signature, edit_signature, source_hash_dedupe, family_lookup, page_jaccard_pairs, page_jaccard_classes, near_duplicate_best, canonical_per_family, archived_duplicates, kept_semi, removed_anti, family_members, index_counts, infer_metadata, reinferred_changes, stats_snapshot, library_page, approved_books,
     inventory_join, set_if_missing, upsert_merge, upsert_any_key, record_overlay, review_fold, page_review_fold, ingest_actions, chunk_refcounts, release_book, delete_books, chunk_dedupe, citations,
 )}
 
@@ -249,6 +255,8 @@ ORACLES = {
     "page_jaccard_pairs": f"""WITH p AS (SELECT DISTINCT book_id, page_hash FROM {sql.PAGES} WHERE page_hash <> ''), s AS (SELECT book_id, count(*) AS n, string_agg(page_hash, ',' ORDER BY page_hash) AS k FROM p GROUP BY 1), r AS (SELECT min(book_id) AS book_id, any_value(n) AS n FROM s GROUP BY k),
         q AS (SELECT p.*, n FROM p JOIN r USING (book_id))
         SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, {sql.round4('count(*) / (any_value(a.n) + any_value(b.n) - count(*))')} AS jaccard FROM q a JOIN q b ON a.page_hash = b.page_hash AND a.book_id < b.book_id GROUP BY 1, 2""",
+    "page_jaccard_classes": f"""WITH p AS (SELECT book_id, page_hash FROM {sql.PAGES} UNION SELECT book_id, NULL FROM {sql.BOOKS}), s AS (SELECT book_id, count(DISTINCT nullif(page_hash, '')) AS n, coalesce(string_agg(DISTINCT nullif(page_hash, ''), ',' ORDER BY nullif(page_hash, '')), '#' || book_id) AS k FROM p GROUP BY 1)
+        SELECT book_id, min(book_id) OVER (PARTITION BY k) AS class_book, n AS pages, count(*) OVER (PARTITION BY k) AS books FROM s""",
     "near_duplicate_best": f"""WITH h AS (SELECT book_id, list_distinct(list(page_hash)) AS ph, count(*) AS pc FROM {sql.PAGES} WHERE page_hash <> '' GROUP BY 1),
         c AS (SELECT row_number() OVER (ORDER BY b.book_id) AS pos, b.book_id, coalesce({_V('language')}, 'unknown') AS language, list_distinct(list_filter(string_split({sql.normalize_import("coalesce(title, '')")}, ' '), lambda w: w <> '')) AS tw, pc, ph, content_hash, text_hash, coalesce(text_simhash, 0) AS sh FROM {sql.BOOKS} b LEFT JOIN h USING (book_id)),
         p AS (SELECT x.book_id, y.book_id AS dup, y.pos, coalesce(x.content_hash = y.content_hash, false) AS ec, coalesce(x.text_hash = y.text_hash, false) AS et, len(list_intersect(x.ph, y.ph)) / len(list_distinct(x.ph || y.ph)) AS j, CASE WHEN x.sh <> 0 AND y.sh <> 0 THEN 1.0::DOUBLE - bit_count(xor(x.sh, y.sh)) / 64.0::DOUBLE ELSE 0 END AS s,
