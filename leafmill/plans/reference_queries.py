@@ -86,8 +86,8 @@ def ocr_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The visible text of documents with markup, by the parser."""
-    docs = load(spark, d, "documents").where("text RLIKE '<[a-zA-Z/]'")
+    """The visible text of every document, with markup or without, by the parser."""
+    docs = load(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(tx.split_pages(readers.visible_text("text"))).alias("pos", "page")).select("doc_id", (F.col("pos") + 1).alias("page_num"), "page")
 
 

@@ -63,18 +63,39 @@ class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
+        self.piece: list[str] = []  # the parser cuts one stretch of text at a "<" that opens no tag
         self.hidden = 0
 
+    def end_piece(self) -> None:
+        piece = "".join(self.piece)
+        if piece.strip():
+            self.parts.append(piece)
+        self.piece.clear()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_piece()
         self.hidden += tag in ("script", "style", "noscript")
 
     def handle_endtag(self, tag: str) -> None:
+        self.end_piece()
         if tag in ("script", "style", "noscript") and self.hidden:
             self.hidden -= 1
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden and data.strip():
-            self.parts.append(data)
+        if not self.hidden:
+            self.piece.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self.end_piece()
+
+    def handle_decl(self, decl: str) -> None:
+        self.end_piece()
+
+    def handle_pi(self, data: str) -> None:
+        self.end_piece()
+
+    def unknown_decl(self, data: str) -> None:
+        self.end_piece()
 
 
 def _split(text: str) -> list[str]:
@@ -86,6 +107,7 @@ def html_text(markup: str) -> str:
     parser = _Text()
     parser.feed(markup)
     parser.close()
+    parser.end_piece()
     return "\n".join(parser.parts)
 
 
