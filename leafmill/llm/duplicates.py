@@ -14,7 +14,7 @@
 5. The pairs within the radius are verified on the runs themselves, in segments of bounded size.
 
 Defined cases: null and blank contents are empty pages; the latest row of a page counts; books under
-``LEAST_WORDS`` words are in no pair; null book_ids are left out; other columns are not read.
+``LEAST_WORDS`` words are in no pair, but have a class of equal texts; null book_ids are left out; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ TILE, BLOCK_ROWS, SEGMENT = 2_048, 65_536, 8_192
 #: Class ids that are broadcast to prune the sets (8 bytes each); beyond that the join shuffles.
 MOST_BROADCAST = 1_000_000
 _SEEDS = (kernel.mix(np.arange(1, HASHES + 1)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_CHUNKS = "book_id string, chunk long, words int, print long, minima binary, head array<long>, tail array<long>, runs binary"
+_CHUNKS = "book_id string, chunk long, words int, print long, minima binary, head array<long>, tail array<long>, runs binary, short array<long>"
 
 
 def _minima(runs: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -76,12 +76,12 @@ def _chunk_texts(rows: list) -> str:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("book_id", pa.string()), ("chunk", pa.int64()), ("words", pa.int32()), ("print", pa.int64()), ("minima", pa.binary()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("runs", pa.binary())])
+    schema = pa.schema([("book_id", pa.string()), ("chunk", pa.int64()), ("words", pa.int32()), ("print", pa.int64()), ("minima", pa.binary()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("runs", pa.binary()), ("short", pa.list_(pa.int64()))])
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
             part = batch.slice(a, 64)
             texts = [_chunk_texts(x) for x in part.column(2).to_pylist()]
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for p, q in kernel.blocks(texts):
                 words, first, last = kernel.words(texts[p:q])
                 signed = words.view(np.int64)
@@ -103,7 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints = kernel.mix(total[last] - total[first]).view(np.int64)
                 for i in range(q - p):
                     f, e = first[i], last[i]
-                    for column, value in zip(out, (int(e - f), int(prints[i]), minima[i].tobytes(), signed[f : min(e, f + 3)].tolist(), signed[max(f, e - 3) : e].tolist(), _pack(own[at[i] : at[i + 1]]))):
+                    for column, value in zip(out, (int(e - f), int(prints[i]), minima[i].tobytes(), signed[f : min(e, f + 3)].tolist(), signed[max(f, e - 3) : e].tolist(), _pack(own[at[i] : at[i + 1]]), signed[f:e].tolist() if e - f < LEAST_WORDS else None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(v, schema.field(i + 2).type) for i, v in enumerate(out)]], schema=schema)
 
@@ -355,9 +355,19 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similar: float
     return sums.where(F.col("both") >= F.lit(similar) * F.col("either")).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"))
 
 
-def similar_classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def short_classes(chunk: DataFrame) -> DataFrame:
+    """book_id, cls of the books of fewer than ``LEAST_WORDS`` words, empty ones too: equal words in order are one class.
+
+    A chunk of so few words carries them, so a class doesn't depend on how the text is cut.
+    """
+    few = chunk.groupBy("book_id").agg(F.sum("words").alias("total")).where(f"total < {LEAST_WORDS}")
+    parts = chunk.select("book_id", "chunk", "words", "short").join(few, "book_id")
+    whole = parts.groupBy("book_id").agg(F.array_sort(F.collect_list(F.when(F.col("words") > 0, F.struct("chunk", "short")))).alias("parts"))
+    return whole.select("book_id", F.flatten("parts.short").alias("text")).select("book_id", F.xxhash64("text", F.size("text")).alias("cls"))
+
+
+def similar_classes(chunk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: book_id, cls) of all books of enough words, and (links: a, b, similarity) of classes."""
-    chunk = stage(chunks(pages), "chunks")
     whole, sets = books(chunk)
     whole = stage(whole.where(f"words >= {LEAST_WORDS}"), "books")
     reps = whole.groupBy("cls").agg(F.min("book_id").alias("book_id")).join(whole.drop("cls"), "book_id")
@@ -368,7 +378,7 @@ def similar_classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_books(pages: DataFrame) -> DataFrame:
     """book_id_a, book_id_b: every pair of similar books, copies of one text included."""
-    members, links = similar_classes(pages)
+    members, links = similar_classes(stage(chunks(pages), "chunks"))
     a, b = members.selectExpr("cls as a", "book_id as one"), members.selectExpr("cls as b", "book_id as two")
     across = links.join(a, "a").join(b, "b").select(F.least("one", "two").alias("book_id_a"), F.greatest("one", "two").alias("book_id_b"))
     within = a.join(b, (F.col("a") == F.col("b")) & (F.col("one") < F.col("two"))).select(F.col("one").alias("book_id_a"), F.col("two").alias("book_id_b"))
@@ -396,8 +406,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(pages: DataFrame) -> DataFrame:
-    """book_id, class_id, group_id, links: every book with its class, its group and its class's links."""
-    members, links = similar_classes(pages)
+    """book_id, class_id, group_id, links: every book with its class, its group and its class's links.
+
+    Links are between books of enough words. Shorter books have a class of equal texts, no links, and
+    as no pair holds them, each a group of its own.
+    """
+    chunk = stage(chunks(pages), "chunks")
+    members, links = similar_classes(chunk)
     roots = components(members.select("cls").distinct(), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return members.join(roots, "cls").join(degree, "cls", "left").select("book_id", F.col("cls").alias("class_id"), F.col("root").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    short = short_classes(chunk).select("book_id", F.col("cls").alias("class_id"), F.xxhash64("cls", "book_id").alias("group_id"), F.lit(0).cast("long").alias("links"))
+    linked = members.join(roots, "cls").join(degree, "cls", "left")
+    return linked.select("book_id", F.col("cls").alias("class_id"), F.col("root").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")).unionByName(short)
