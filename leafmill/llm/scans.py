@@ -1,16 +1,20 @@
 """Noise in text from scanned pages: headers, page numbers, cut words, misread characters.
 
-Words are grouped by their *skeleton*, in which glyphs that scanners confuse are the same. In each
-group the frequent forms stand; a form that is rarer by ``RATIO`` is a misreading of one of them,
-of the one that follows the word before it most often (context) where several are frequent. Names
-after an honorific are too many to be frequent: they are judged by the character trigrams of all
-names. Lines at the top and bottom of pages are compared within a book after masking digits, with
-SQL windows; page numbers are recognised by their dress. Compounds with a hyphen of their own are
-known from the insides of lines.
-
-The corpus is read twice: once to count words (aggregated a block before the shuffle), once to mark
-lines. The forms found wrong are broadcast in blocks of at most ``MOST_FORMS``; with more blocks
-the marking pass is repeated for each, so nothing is left out at any size.
+1. The current pages are written once in blocks of about a million characters.
+2. Words are counted a block before the shuffle and grouped by their *skeleton*, in which glyphs that
+   scanners confuse are the same. In each group the frequent forms stand; a form that is rarer by
+   ``RATIO`` is a misreading. Context chooses among standing forms: what follows the word before most
+   often is meant, and a standing form whose neighbours support another one is misread too. Names are
+   too many to be frequent: the words that names follow are learned from the counts, and names
+   are judged by the character trigrams of all names.
+3. Each block gets, by joins on its own words, a lexicon of those words; lines are marked with it.
+4. Lines at the top and bottom of pages are compared within a book after masking digits; page
+   numbers are recognised by their dress. Compounds with a hyphen of their own are known from the
+   insides of lines.
+5. Pages are reflowed by SQL windows over their lines, which the lexicon has put right.
+
+Counts, forms and choices cover all current pages, without caps; nothing is collected. What joins on
+a word is one row a block, spread over several keys where blocks are very many.
 
 Defined cases: null, empty and blank contents have no noise; the latest row of a page counts, equal
 copies once; a book's first page has no header; page_ocr_needed, ocr_status and content_len are not
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +41,14 @@ from leafmill.work import stage
 RATIO, FREQUENT = 20, 10
 #: Uses inside lines that make a hyphenated word a compound of its own.
 COMPOUND = 3
-MOST_FORMS = 500_000
-#: Standing forms of one skeleton that the context chooses from, the most frequent ones.
-MOST_STANDING = 8
-_LONG = 40
+#: What names follow: its uses at least, and its share of rare words after it against that of all words.
+LEAST_CONTEXT, OPEN = 50, 5.0
+#: Uses in a block up to which the words before a word are listed.
+FEW = 8
+#: Pages in a block; blocks in which a word may occur before its rows are spread over several keys.
+MOST_PAGES, MOST_BLOCKS = 1 << 16, 100_000
+#: Letters in which a damaged header may differ from a whole one; in short ones a single letter.
+NEAR, SHORT_HEADER = 3, 8
 
 #: Glyphs that are misread, as (read, meant).
 CONFUSED = (
@@ -63,8 +72,7 @@ def _expansions() -> dict[str, str]:
     return table
 
 
-#: Words that names follow; marks at a line's end that cut a word; labels of page numbers.
-HONORIFICS = ("ustaz", "sheikh", "cheikh", "hoca", "шейх", "الشيخ", "مولانا")
+#: Marks at a line's end that cut a word; labels of page numbers.
 MARKS = "-\u2010\u00ac\u00ad"
 LABELS = ("page", "p", "pg", "pag", "halaman", "hal", "hlm", "sayfa", "syf", "s", "стр", "с", "страница", "صفحة", "الصفحة", "ص", "صفحہ", "صفحہ نمبر")
 #: Marks that stand alone in clean text.
@@ -77,6 +85,7 @@ _WITH_NUMBER = re.compile(rf"^(?:[{_DIGITS}]{{1,5}}\s{{2,}}(?P<a>\D.*)|(?P<b>.*\
 _ENDS = ".!?…؟۔:;,،؛»)\"”"
 _INSIDE = re.compile(r"[.!?؟۔;:]\s|[,،]")
 _TOKEN = re.compile("[^\\W_](?:[^\\W_]|[@'\u2019\u0300-\u036f\u064b-\u065f\u0670])*|@(?:[^\\W_]|[@'\u2019])+")
+_AT_END = re.compile(rf"[{MARKS}][^\S\n]*(?:\n|\Z)")
 _EXPANSIONS = _expansions()
 _TRANSLATION = str.maketrans(_EXPANSIONS)
 
@@ -118,6 +127,7 @@ class Tokens:
 
     def __init__(self, texts: list[str | None]):
         t = _tables()
+        self.texts = texts
         self.cp, self.begin, self.stop = kernel.encode([x.lower() if x else x for x in texts])
         cp = self.cp
         plain = t["plain"][cp]
@@ -129,20 +139,18 @@ class Tokens:
         inner[:-1] |= at[:-1] & plain[1:]
         self.start, self.end = kernel.runs(plain | inner)
         self.hash = kernel.span_hashes(cp, self.start, self.end)
-        size = self.end - self.start
         letters = np.concatenate([[0], np.cumsum(t["letter"][cp])])
-        self.word = (size < _LONG) & (letters[self.end] > letters[self.start])
+        self.word = letters[self.end] > letters[self.start]
         # A token is cut if a mark and a line feed follow it, or if the token before it is cut.
         last = np.minimum(self.end, len(cp) - 1)
         feeds = np.concatenate([[0], np.cumsum(cp == 10)])
         following = np.append(self.start[1:], len(cp))
         self.cut = t["mark"][cp[last]] & (feeds[following] > feeds[self.end])
         self.rest = np.concatenate([[False], self.cut[:-1]]) if len(self.cut) else self.cut
-        same_line = np.zeros(len(self.start), bool)
+        #: Whether the token before stands right before this one, but for three signs at most.
+        self.close = np.zeros(len(self.start), bool)
         if len(self.start) > 1:
-            same_line[1:] = (self.start[1:] - self.end[:-1] < 4)
-        named = np.isin(self.hash, _honorifics())
-        self.named = np.concatenate([[False], named[:-1]]) & same_line if len(named) else named
+            self.close[1:] = (self.start[1:] - self.end[:-1] < 4) & (self.text[1:] == self.text[:-1])
         odd = np.concatenate([[0], np.cumsum(t["odd"][cp])])
         latin = np.concatenate([[0], np.cumsum(t["latin"][cp])])
         cyrillic = np.concatenate([[0], np.cumsum(t["cyrillic"][cp])])
@@ -150,139 +158,320 @@ class Tokens:
         self.odd = self.word & ((count(odd) > 0) | ((count(latin) > 0) & (count(cyrillic) > 0)))
         self.feeds = feeds
 
+    @functools.cached_property
+    def text(self) -> np.ndarray:
+        """The number of each token's text."""
+        return np.searchsorted(self.begin, self.start, side="right") - 1
+
+    @functools.cached_property
+    def line(self) -> np.ndarray:
+        """The line within its text, from 0, on which each token begins."""
+        return self.feeds[self.start] - self.feeds[self.begin][self.text]
+
+    def after(self, words: np.ndarray) -> np.ndarray:
+        """Whether the token before each one, close by, has one of these hashes."""
+        own = _within(self.hash, words)
+        return np.concatenate([[False], own[:-1]]) & self.close if len(own) else own
+
     def string(self, i: int) -> str:
         return self.cp[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
-@functools.lru_cache(None)
-def _honorifics() -> np.ndarray:
-    return np.array([kernel.word_hash(x) for x in HONORIFICS], np.uint64)
+def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table) or not len(values):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: token, uses, uses after an honorific; and compounds (with a hyphen, as skeletons)."""
+def _hashes(words: list[str]) -> np.ndarray:
+    if not words:
+        return np.empty(0, np.uint64)
+    cp, starts, ends = kernel.encode(words)
+    return kernel.span_hashes(cp, starts, ends)
+
+
+# --- The current pages, in blocks
+
+
+def current_blocks(pages: DataFrame) -> DataFrame:
+    """block, books, nums, shares, texts: the current pages' contents in blocks of about a million characters.
+
+    Only keys that come back are settled by a join: the small table of those keys holds their last
+    time and a hash of the content, and the contents stay in their scan where it can be broadcast.
+    Equal copies have a share of the page each; ``_dropped`` names all but one of them.
+    """
+    rows = pages.select("book_id", "page_num", updated().alias("at"), F.col("content").cast("string").alias("content"))
+    kind = rows.schema["page_num"].dataType.simpleString()
+    seen = rows.select("book_id", "page_num", "at", F.xxhash64("content").alias("print")).groupBy("book_id", "page_num", "at", "print").agg(F.count("*").alias("n"))
+    last = seen.groupBy("book_id", "page_num").agg(F.sum("n").alias("rows"), F.max(F.struct("at", "print", "n")).alias("last")).where("rows > 1")
+    again = stage(last.select(F.col("book_id").alias("b"), F.col("page_num").alias("p"), "last"), "again")
+    same = F.col("book_id").eqNullSafe(F.col("b")) & F.col("page_num").eqNullSafe(F.col("p"))
+    kept = rows.join(again, same, "left").where("last IS NULL OR (at = last.at AND xxhash64(content) = last.print)")
+    kept = kept.select("book_id", "page_num", F.coalesce(1.0 / F.col("last.n"), F.lit(1.0)).alias("share"), "content")
+    return stage(kept.mapInArrow(_block, f"block long, books array<string>, nums array<{kind}>, shares array<double>, texts array<string>"), "page-blocks")
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    first, serial = TaskContext.get().partitionId() << 36, 0
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts = batch.column(3).to_pylist()
         for a, b in kernel.blocks(texts):
-            t = Tokens(texts[a:b])
+            for c in range(a, b, MOST_PAGES):
+                part = batch.slice(c, min(MOST_PAGES, b - c))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(i)])) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array([first + serial * MOST_PAGES], pa.int64()), *lists], ["block", "books", "nums", "shares", "texts"])
+                serial += 1
+
+
+def _dropped(blocks: DataFrame) -> DataFrame:
+    """block, word: the places in their blocks of all but one of equal copies."""
+    each = blocks.where(F.exists("shares", lambda x: x < 1)).select("block", F.posexplode(F.arrays_zip("books", "nums", "shares")).alias("i", "x")).where("x.shares < 1")
+    order = Window.partitionBy("x.books", "x.nums").orderBy("block", "i")
+    return each.withColumn("n", F.row_number().over(order)).where("n > 1").select("block", F.col("i").cast("string").alias("word"))
+
+
+# --- Counting words, learning what stands and what is misread
+
+
+def _cuts(lines: list[str], skip: set[int]) -> list[tuple[int, int, str, str]]:
+    """(line, next line, what is before the mark, what comes after) of the lines that end inside a word."""
+    out = []
+    for i, line in enumerate(lines):
+        s = line.rstrip()
+        if len(s) < 2 or s[-1] not in MARKS or not (s[-2].isalnum() or s[-2] == "@") or i in skip:
+            continue
+        j = i + 1
+        while j < len(lines) and (j in skip or not lines[j].strip()):
+            j += 1
+        a = _TOKEN.findall(s[:-1].lower())
+        b = _TOKEN.match(lines[j].strip().lower()) if j < len(lines) else None
+        out.append((i, j, a[-1] if a else "", b.group() if b else ""))
+    return out
+
+
+def _compound(a: str, b: str) -> str:
+    return f"{skeleton(a)}-{skeleton(b)}"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: its words (compounds as skeletons with a hyphen) with their uses.
+
+    Words that are rare in the block have a row for each word before them; ``rare`` counts the uses of
+    those that occur twice at most. Words that are cut at a line's end have no uses, but are listed.
+    """
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shares, texts = batch.column(2)[k].values.to_numpy(), batch.column(1)[k].as_py()
+            t = Tokens(texts)
             ok = np.flatnonzero(t.word & ~t.cut & ~t.rest)
-            kinds, first, number = np.unique(t.hash[ok], return_index=True, return_inverse=True)
-            words = [t.string(i) for i in ok[first]]
-            uses = np.bincount(number, minlength=len(kinds))
-            named = np.bincount(number, t.named[ok], minlength=len(kinds)).astype(np.int64)
-            joined: dict[str, int] = {}
+            kinds, first, number, size = np.unique(t.hash[ok], return_index=True, return_inverse=True, return_counts=True)
+            names = [t.string(i) for i in ok[first]]
+            share = shares[t.text[ok]]
+            often = size > FEW
+            uses = np.bincount(number, share, len(kinds))
+            rows = [(names[i], None, uses[i], 0.0) for i in np.flatnonzero(often).tolist()]
+            few = np.flatnonzero(~often[number])
+            before = np.where(t.close[ok[few]], t.hash[np.maximum(ok[few] - 1, 0)], np.uint64(0))
+            _, at, which = np.unique(kernel.mix(before) + number[few].astype(np.uint64), return_index=True, return_inverse=True)
+            total = np.bincount(which, share[few], len(at))
+            for i, n, b in zip(few[at].tolist(), total.tolist(), before[at].tolist()):
+                rows.append((names[number[i]], t.string(ok[i] - 1) if b else None, n, n if size[number[i]] <= 2 else 0.0))
             if len(t.start) > 1:
                 gap = np.flatnonzero((t.start[1:] - t.end[:-1] == 1) & (t.cp[np.minimum(t.end[:-1], len(t.cp) - 1)] == 45) & t.word[1:] & t.word[:-1])
-                pair = kernel.mix(t.hash[gap]) + t.hash[gap + 1]
-                for i, n in zip(*[x.tolist() for x in np.unique(pair, return_index=True, return_counts=True)[1:]]):
-                    w = f"{skeleton(t.string(gap[i]))}-{skeleton(t.string(gap[i] + 1))}"
-                    joined[w] = joined.get(w, 0) + n
+                _, at, which = np.unique(kernel.mix(t.hash[gap]) + t.hash[gap + 1], return_index=True, return_inverse=True)
+                total = np.bincount(which, shares[t.text[gap]], len(at))
+                rows += [(_compound(t.string(i), t.string(i + 1)), None, n, 0.0) for i, n in zip(gap[at].tolist(), total.tolist())]
+            for text in texts:
+                if text and _AT_END.search(text):
+                    lines = text.split("\n")
+                    for _, _, a, b in _cuts(lines, {i for i, _, _ in edges(lines)}):
+                        if a and b:
+                            rows += [(a + b, None, 0.0, 0.0), (_compound(a, b), None, 0.0, 0.0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words + list(joined), pa.string()), pa.array([*uses.tolist(), *joined.values()], pa.int64()), pa.array([*named.tolist(), *[0] * len(joined)], pa.int64())], ["word", "uses", "named"]
-            )
+                [pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64()))]], ["block", "word", "before", "uses", "rare"]
+            )
+
 
+def word_rows(blocks: DataFrame) -> DataFrame:
+    """block, word, before, uses, rare: the words of each block, as ``_count`` lists them."""
+    return blocks.select("block", "texts", "shares").mapInArrow(_count, "block long, word string, before string, uses double, rare double")
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """word, uses, named: of every token in all pages; compounds hold a hyphen."""
-    rows = pages.select(F.col("content").cast("string")).where("content IS NOT NULL").mapInArrow(_count, "word string, uses long, named long")
-    return rows.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("named").alias("named"))
+
+def word_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, uses, name: of every word in all pages; compounds hold a hyphen) and (word: what names follow).
+
+    Names are an open class: nearly all that follows an honorific is rare where it stands, while what
+    follows any other word is mostly frequent. So a word is a name's context if at least half of its
+    uses, and ``OPEN`` times as many as with words in general, have a word after it that occurs
+    twice at most in its block; and a word is a name if most of its uses, as far as the word before
+    is known, follow such a context.
+    """
+    total = rows.groupBy("word").agg(F.sum("uses").alias("uses"))
+    after = rows.where("before IS NOT NULL").groupBy(F.col("before").alias("word")).agg(F.sum("rare").alias("rare"))
+    overall = rows.where("NOT contains(word, '-')").agg((F.sum("rare") / F.sum("uses")).alias("share"))
+    found = after.join(total, "word").where(F.col("uses") >= LEAST_CONTEXT).crossJoin(F.broadcast(overall))
+    contexts = found.where(F.col("rare") >= F.col("uses") * F.greatest(F.lit(0.5), F.col("share") * OPEN)).select("word")
+    # A row without a word before it may follow an honorific at the end of the last page: it counts for neither side.
+    known = rows.where("before IS NOT NULL").join(contexts.select(F.col("word").alias("before"), F.lit(1.0).alias("context")), "before", "left")
+    named = known.groupBy("word").agg(F.sum("uses").alias("known"), F.sum(F.col("uses") * F.coalesce("context", F.lit(0.0))).alias("named"))
+    counts = total.join(named, "word", "left").select("word", "uses", F.coalesce((F.col("named") * 2 >= F.col("known")) & (F.col("known") * 2 >= F.col("uses")) & (F.col("named") > 0), F.lit(False)).alias("name"))
+    return counts, contexts
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """word, meant, forms: misreadings of far more frequent forms of the same skeleton (the first: meant)."""
-    words = counts.where((~F.col("word").contains("-")) & (F.length("word") > 1) & (F.col("named") * 2 < F.col("uses"))).withColumn("bones", skeletons(F.col("word")))
-    group = Window.partitionBy("bones")
-    best = F.max(F.struct("uses", "word")).over(group)
+    """bones, word, uses, meant, standing: words that are no names, by skeleton.
+
+    ``standing`` words have over 1/``RATIO`` of the uses of the most used form; the others are
+    misreadings, of that form (``meant``) unless their context says otherwise.
+    """
+    words = counts.where("NOT contains(word, '-') AND length(word) > 1 AND NOT name").withColumn("bones", skeletons(F.col("word")))
+    best = F.max(F.struct("uses", "word")).over(Window.partitionBy("bones"))
     ranked = words.select("bones", "word", "uses", best.alias("best")).where(F.col("best.uses") >= FREQUENT)
-    wrong = F.col("uses") * RATIO <= F.col("best.uses")
-    # Forms that are frequent enough to stand are few in a group: each has over 1/RATIO of the best one's uses.
-    standing = ranked.where(~wrong).groupBy("bones").agg(F.array_sort(F.collect_list(F.struct((-F.col("uses")).alias("n"), "word"))).alias("forms"))
-    forms = F.transform(F.slice("forms", 1, MOST_STANDING), lambda f: f["word"])
-    return ranked.where(wrong).select("bones", "word").join(standing, "bones").select("word", forms.alias("forms")).select("word", F.col("forms")[0].alias("meant"), "forms")
+    return ranked.select("bones", "word", "uses", F.col("best.word").alias("meant"), (F.col("uses") * RATIO > F.col("best.uses")).alias("standing"))
 
 
-def _trigrams(name: str) -> list[str]:
-    padded = f" {name} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def _grams(name: Column) -> Column:
+    """The trigrams of a name with a space at either end."""
+    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(F.concat(F.lit(" "), name, F.lit(" ")), i, F.lit(3)))
 
 
-def repaired_name(name: str, table: dict[str, int], low: float) -> str | None:
-    """The name with one glyph put right, if that turns rare trigrams into common ones; else None."""
-    if min(table.get(g, 0) for g in _trigrams(name)) > low:
-        return None
-    best = None
+def _variants(name: str) -> list[tuple[int, str]]:
+    """(order, the name with one glyph put right), for every glyph that may be misread."""
+    out = []
     for read, meant in CONFUSED:
         for one in ([meant] if len(read) > 1 else [m for m in (meant, "l", "а", "о") if m != read]):
             at = name.find(read)
             while at >= 0:
-                other = name[:at] + one + name[at + len(read) :]
-                least = min(table.get(g, 0) for g in _trigrams(other))
-                if least > 8 * low and (best is None or least > best[0]):
-                    best = (least, other)
+                out.append((len(out), name[:at] + one + name[at + len(read) :]))
                 at = name.find(read, at + 1)
-    return best and best[1]
+    return out
 
 
-def misread_names(counts: DataFrame, most: int = 100_000) -> DataFrame:
-    """word, meant: names whose rare trigrams become common ones when one glyph is put right.
+def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2_000):
+            rows = [(w, i, v) for w in batch.column(0).slice(a, 2_000).to_pylist() for i, v in _variants(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["word", "i", "variant"])
 
-    The trigram table is cut to its ``most`` most frequent rows, which bounds what is broadcast.
-    """
-    names = counts.where("named * 2 >= uses AND length(word) > 3").select("word", "named")
-    grams = names.select(F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(concat(' ', word, ' '), i, 3))")).alias("g"), "named")
-    rows = grams.groupBy("g").agg(F.sum("named").alias("n")).orderBy(F.desc("n"), "g").limit(most).collect()
-    table = {r.g: r.n for r in rows}
-    low = max(1.0, sum(table.values()) / 40_000)
-    shared = counts.sparkSession.sparkContext.broadcast((table, low))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, limit = shared.value
-        for batch in batches:
-            found = [(w, m) for w in batch.column(0).to_pylist() if (m := repaired_name(w, known, limit))]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([m for _, m in found], pa.string())], ["word", "meant"])
+def misread_names(counts: DataFrame) -> DataFrame:
+    """word, meant: names whose rarest trigram becomes a common one when one glyph is put right."""
+    names = counts.where("name AND length(word) > 3").select("word", "uses")
+    table = names.select(F.explode(_grams(F.col("word"))).alias("g"), "uses").groupBy("g").agg(F.sum("uses").alias("n"))
+    low = table.agg(F.greatest(F.lit(1.0), F.sum("n") / 40_000).alias("low"))
+    least = lambda rows, keys: rows.join(table, "g", "left").groupBy(*keys).agg(F.min(F.coalesce("n", F.lit(0.0))).alias("least")).crossJoin(F.broadcast(low))
+    doubtful = least(names.select("word", F.explode(_grams(F.col("word"))).alias("g")), ["word"]).where("least <= low").select("word")
+    each = doubtful.mapInArrow(_varied, "word string, i int, variant string")
+    right = least(each.select("word", "i", "variant", F.explode(_grams(F.col("variant"))).alias("g")), ["word", "i", "variant"]).where("least > 8 * low")
+    return right.groupBy("word").agg(F.max_by("variant", F.struct("least", -F.col("i"))).alias("meant"))
 
-    return names.select("word").mapInArrow(run, "word string, meant string")
 
+# --- Each block's own lexicon
 
-class Lexicon:
-    """A block of wrong forms (word -> meant), wrong names, and compounds."""
+_WRONG, _NAME, _COMPOUND, _CONTEXT, _CHOICE, _COPY = range(6)
 
-    def __init__(self, words: list[tuple[str, str]], names: list[tuple[str, str]], compounds: list[str], first: bool = True):
-        self.words, self.names, self.compounds, self.first = dict(words), dict(names), set(compounds), first
+
+class Lexicon:
+    """What a block needs to know of its words: wrong forms, wrong names, compounds, what names follow, choices."""
+
+    def __init__(self, entries: list[dict]):
+        own = lambda kind: [e for e in entries if e["kind"] == kind]
+        self.words = {e["word"]: e["meant"] for e in own(_WRONG)}
+        self.names = {e["word"]: e["meant"] for e in own(_NAME)}
+        self.compounds = {e["word"] for e in own(_COMPOUND)}
+        self.contexts = [e["word"] for e in own(_CONTEXT)]
+        #: What a form means after the word before it, where that differs from its own.
+        self.choices = {(e["before"], e["word"]): e["meant"] for e in own(_CHOICE)}
+        self.copies = {int(e["word"]) for e in own(_COPY)}
         table = lambda x: np.sort(_hashes(list(x)))
-        self.word_hashes, self.name_hashes = table(self.words), table(self.names)
-        #: Of words with several standing forms: those forms; and how often each follows a word.
-        self.choices: dict[str, list[str]] = {}
-        self.context: dict[tuple[str, str], int] = {}
+        self.word_hashes, self.name_hashes, self.context_hashes = table(self.words), table(self.names), table(self.contexts)
+        pairs = list(self.choices)
+        self.pair_hashes = np.sort(kernel.mix(_hashes([b for b, _ in pairs])) + _hashes([w for _, w in pairs]))
+
+    def flagged(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens that are misread, tokens after a context of names)."""
+        named = t.after(self.context_hashes)
+        whole = ~t.cut & ~t.rest
+        wrong = t.word & _within(t.hash, self.word_hashes)
+        if len(self.pair_hashes) and len(t.hash):
+            pair = np.concatenate([np.zeros(1, np.uint64), kernel.mix(t.hash[:-1]) + t.hash[1:]])
+            wrong |= t.word & t.close & _within(pair, self.pair_hashes)
+        return (wrong & ~named & whole) | (named & _within(t.hash, self.name_hashes) & ~t.cut), named
+
+    def right(self, word: str, before: str | None, named: bool) -> str:
+        if named:
+            return self.names.get(word, word)
+        return self.choices.get((before, word)) or self.words.get(word, word)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: each listed word with the words close before it, and how often."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            wanted = batch.column(3)[k].as_py()
+            if not wanted:
+                continue
+            t, shares = Tokens(batch.column(1)[k].as_py()), batch.column(2)[k].values.to_numpy()
+            at = np.flatnonzero(_within(t.hash, np.sort(_hashes(wanted))) & t.close & t.word)
+            _, first, which = np.unique(kernel.mix(t.hash[at - 1]) + t.hash[at], return_index=True, return_inverse=True)
+            n = np.bincount(which, shares[t.text[at]], len(first))
+            first = at[first].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(first), pa.int64()), pa.array([t.string(i - 1) for i in first], pa.string()), pa.array([t.string(i) for i in first], pa.string()), pa.array(n)], ["block", "before", "word", "n"])
 
-    def right(self, word: str, before: str) -> str:
-        """The form that a wrong word stands for after ``before``."""
-        forms = self.choices.get(word)
-        if not forms:
-            return self.words[word]
-        return max(forms, key=lambda f: (self.context.get((before, f), 0), -forms.index(f)))
 
+def choices(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """before, word, meant: what a form means after a word, chosen among the standing forms of its skeleton.
 
-def _hashes(words: list[str]) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.uint64)
-    cp, starts, ends = kernel.encode(words)
-    return kernel.span_hashes(cp, starts, ends)
+    A misreading means the standing form that follows the word before it most often. A standing
+    form is itself misread where another one follows that word ``RATIO`` times as often, and
+    ``FREQUENT`` times at least: its neighbours don't support it.
+    """
+    by = pairs.groupBy("before", "word").agg(F.sum("n").alias("n")).join(forms.select("bones", "word", "meant", "standing"), "word")
+    best = by.where("standing").groupBy("before", "bones").agg(F.max(F.struct("n", "word")).alias("best"))
+    both = by.join(best, ["before", "bones"]).where(F.col("word") != F.col("best.word"))
+    unsupported = (F.col("best.n") >= FREQUENT) & (F.col("best.n") >= F.col("n") * RATIO)
+    return both.where((~F.col("standing") & (F.col("best.word") != F.col("meant"))) | (F.col("standing") & unsupported)).select("before", "word", F.col("best.word").alias("meant"))
 
 
-def lexicons(pages: DataFrame, most: int = MOST_FORMS) -> list[Lexicon]:
-    """The wrong forms of the corpus in blocks of at most ``most``."""
-    counts = stage(word_counts(pages), "words")
-    wrong = misreadings(counts).select("word", "meant", "forms", F.lit(False).alias("name")).unionByName(misread_names(counts).select("word", "meant", F.array("meant").alias("forms"), F.lit(True).alias("name")))
-    compounds = [r.word for r in counts.where(F.col("word").contains("-") & (F.col("uses") >= COMPOUND)).orderBy(F.desc("uses"), "word").limit(most).select("word").collect()]
-    wrong = stage(wrong, "forms")
-    number = max(1, -(-wrong.count() // most))
-    out = []
-    for k in range(number):
-        rows = (wrong.where(F.pmod(F.xxhash64("word"), F.lit(number)) == k) if number > 1 else wrong).collect()
-        out.append(Lexicon([(r.word, r.meant) for r in rows if not r.name], [(r.word, r.meant) for r in rows if r.name], compounds, k == 0))
-        out[-1].choices = {r.word: list(r.forms) for r in rows if len(r.forms) > 1}
-    return out
+def _found_in(words: DataFrame, table: DataFrame, salts: int) -> DataFrame:
+    """The rows of ``table`` for each block that has the word. A word's blocks are spread over ``salts`` keys."""
+    if salts == 1:
+        return words.join(table, "word")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return words.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(spread, ["word", "salt"]).drop("salt")
+
+
+def with_lexicons(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``entries``: what their own words are, may mean, and what is left out.
+
+    Everything is joined on words; a block gets entries of its own words only, so neither the driver
+    nor a task holds the lexicon of the corpus. The blocks meet their entries in a join on the block,
+    which broadcasts the entries only where their staged size allows it.
+    """
+    rows = stage(word_rows(blocks), "words")
+    counts, contexts = word_counts(rows)
+    counts = stage(counts, "counts")
+    own = rows.select("block", "word").distinct()
+    salts = 1 + blocks.select("block").count() // MOST_BLOCKS
+    forms = stage(misreadings(counts), "forms")
+    ambiguous = forms.groupBy("bones").agg(F.count_if("standing").alias("n")).where("n > 1").select("bones")
+    listed = _found_in(own, forms.join(ambiguous, "bones", "left_semi").select("word"), salts).groupBy("block").agg(F.collect_set("word").alias("wanted"))
+    pairs = stage(blocks.select("block", "texts", "shares").join(stage(listed, "listed"), "block").mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
+    none = F.lit(None).cast("string")
+    entry = lambda df, kind, before=none, meant=none: df.select("block", F.struct(F.lit(kind).alias("kind"), "word", before.alias("before"), meant.alias("meant")).alias("e"))
+    meant = F.col("meant")
+    parts = [
+        entry(_found_in(own, forms.where("NOT standing").select("word", "meant"), salts), _WRONG, meant=meant), entry(_found_in(own, misread_names(counts), salts), _NAME, meant=meant),
+        entry(_found_in(own.where("contains(word, '-')"), counts.where(F.col("word").contains("-") & (F.col("uses") >= COMPOUND)).select("word"), salts), _COMPOUND), entry(_found_in(own, contexts, salts), _CONTEXT),
+        entry(pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]), _CHOICE, F.col("before"), meant), entry(_dropped(blocks), _COPY),
+    ]
+    entries = functools.reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.collect_list("e").alias("entries"))
+    return blocks.drop("shares").join(stage(entries, "entries"), "block", "left")
+
+
+# --- Lines at the edges of pages
 
 
 def page_number(line: str) -> bool:
@@ -315,35 +504,54 @@ def _title_like(s: str) -> bool:
     return 0 < len(words) <= 9 and (not cased or cased[0][0].isupper())
 
 
-def edges(lines: list[str]) -> tuple[list[tuple[int, str, str]], set[int]]:
-    """(line, kind, key) of the page numbers and possible headers, and all those lines.
+_LABEL_BONES = {skeleton(x) for x in LABELS}
+
+
+def masked(line: str) -> str:
+    """A header's key: letters only, lower case, as a skeleton; digits and dress are dropped."""
+    return skeleton("".join(c for c in line.lower() if c.isalpha()))
 
-    Kinds: page_number, header (by its dress: dashes, an attached number), header? (by its shape: it
-    has no end of a sentence, and what follows or comes before is a whole paragraph).
+
+def _title_like(s: str) -> bool:
+    """Whether the line may be a title: few words, and the first one with case is capitalised."""
+    words = re.findall(r"[^\W\d_]\S*", s)
+    cased = [w for w in words if w[0].lower() != w[0].upper()]
+    return 0 < len(words) <= 9 and (not cased or cased[0][0].isupper())
+
+
+def edges(lines: list[str]) -> list[tuple[int, str, str]]:
+    """(line, kind, key) of the page numbers and possible headers.
+
+    From each end lines are taken as long as they may be page numbers or headers. Kinds: page_number,
+    header (by its dress: dashes, an attached number), header? (by its shape: it has no end of a
+    sentence, and what follows or comes before is a whole paragraph), header?? (only if other pages or
+    the title say so), header??? (long lines, only if the title says so).
     """
     filled = [i for i, x in enumerate(lines) if x and not x.isspace()]
     if not filled:
-        return [], set()
+        return []
     width = max(len(lines[i].strip()) for i in filled)
-    found: list[tuple[int, str, str]] = []
+    found: dict[int, tuple[str, str]] = {}
     for order, step in ((filled, 1), (filled[::-1], -1)):
         beyond = False
-        for k in range(min(2, len(order))):
-            i = order[k]
+        for k, i in enumerate(order):
             s = lines[i].strip()
-            if any(i == x for x, _, _ in found):
+            if i in found:
                 continue
+            if k > 1 and beyond:
+                break
             if page_number(s):
-                found.append((i, "page_number", ""))
+                found[i] = ("page_number", "")
                 continue
-            if beyond or len(s) > 80 or len(s.split()) > 12 or not any(c.isalpha() for c in s):
+            if beyond or not any(c.isalpha() for c in s):
                 beyond = True  # only a page number may still follow
                 continue
             m = _WITH_NUMBER.match(s)
+            long = len(s) > 80 or len(s.split()) > 12
             dashed = len(s) > 4 and s[0] in "—–-" and s[-1] in "—–-"
             core = (m["a"] or m["b"]).strip() if m else s.strip("—–- ") if dashed else s
-            if (m or dashed) and core and core[-1] not in ").":
-                found.append((i, "header", masked(core)))
+            if (m or dashed) and not long and core and core[-1] not in ").":
+                found[i] = ("header", masked(core))
                 continue
             beyond = True
             if s[-1] in _ENDS and not (s[-1] in ".'" and len(s) < 0.8 * width):
@@ -357,94 +565,73 @@ def edges(lines: list[str]) -> tuple[list[tuple[int, str, str]], set[int]]:
                         continue
                 if step == -1 and not page_number(other) and other[-1] not in _ENDS:
                     continue
-            # Signs of a sentence inside, or many words, ask for support by other pages or the title.
-            # So does a last line, as a page's text may break off.
-            doubtful = not _title_like(s) or s[-1] in _ENDS or len(s.split()) > 7 or bool(_INSIDE.search(s)) or (step == -1 and k == 0)
-            found.append((i, "header??" if doubtful else "header?", masked(s)))
+            # Signs of a sentence inside, many words, or a place further inside ask for support by other pages or
+            # the title. So does a last line, as a page's text may break off.
+            doubtful = not _title_like(s) or s[-1] in _ENDS or len(s.split()) > 7 or bool(_INSIDE.search(s)) or (step == -1 and k == 0) or k > 1
+            found[i] = ("header???" if long else "header??" if doubtful else "header?", masked(core))
             beyond = False
-    return found, {i for i, _, _ in found}
+    return [(i, kind, key) for i, (kind, key) in found.items()]
 
 
-def _cut_words(lines: list[str], skip: set[int], compounds: set[str]) -> list[tuple[int, int, bool]]:
-    """(line, next line, whether the mark is noise) of the lines that end in a mark after a letter."""
-    out = []
-    for i, line in enumerate(lines):
-        s = line.rstrip()
-        if len(s) < 2 or s[-1] not in MARKS or not (s[-2].isalnum() or s[-2] == "@") or i in skip:
-            continue
-        j = i + 1
-        while j < len(lines) and (j in skip or not lines[j].strip()):
-            j += 1
-        a = _TOKEN.findall(s[:-1].lower().rsplit("-", 1)[-1])
-        b = _TOKEN.match(lines[j].strip().lower()) if j < len(lines) else None
-        noise = True
-        if s[-1] == "-" and a and b:
-            x, y = skeleton(a[-1]), skeleton(b.group())
-            noise = x != y and f"{x}-{y}" not in compounds
-        out.append((i, j, noise))
-    return out
+# --- Marking lines
 
 
 def marks(texts: list[str | None], lexicon: Lexicon) -> list[list[tuple[int, str, str]]]:
     """Per text its noisy lines: (line from 0, kind, key of a possible header)."""
-    out: list[list[tuple[int, str, str]]] = []
-    for a, b in kernel.blocks(texts):
-        part = texts[a:b]
-        t = Tokens(part)
-        split = [x.split("\n") if x else [] for x in part]
-        edge = [edges(x) for x in split]
-        flagged = ((t.odd if lexicon.first else np.zeros(len(t.odd), bool)) | (t.word & _within(t.hash, lexicon.word_hashes) & ~t.named)) & ~t.cut & ~t.rest
-        flagged |= t.named & _within(t.hash, lexicon.name_hashes) & ~t.cut
-        text = np.searchsorted(t.begin, t.start, side="right") - 1
-        base = t.feeds[t.begin]
-        bad: dict[int, set[int]] = {}
-        for i in np.flatnonzero(flagged).tolist():
-            bad.setdefault(int(text[i]), set()).add(int(t.feeds[t.start[i]] - base[text[i]]))
-        if lexicon.first:
-            for k, line in _specks(t):
-                bad.setdefault(k, set()).add(line)
-        # Words that are cut by a mark: joined, then looked up.
-        for k, lines in enumerate(split):
-            found, skip = edge[k]
-            own = list(found) if lexicon.first else []
-            wrong = bad.get(k, set())
-            if part[k] and any(m in part[k] for m in MARKS):
-                for i, j, noise in _cut_words(lines, skip, lexicon.compounds):
-                    if noise and lexicon.first:
-                        own.append((i, "hyphen", ""))
-                    line = _joined_damage(lines, i, j, lexicon)
-                    if line is not None:
-                        wrong.add(line)
-            own += [(i, "misread", "") for i in sorted(wrong) if not any(i == x and not y.startswith("header?") for x, y, _ in found)]
-            out.append(own)
+    t = Tokens(texts)
+    flagged, _ = lexicon.flagged(t)
+    flagged |= t.odd & ~t.cut & ~t.rest
+    bad: dict[int, set[int]] = {}
+    at = np.flatnonzero(flagged)
+    for k, line in zip(t.text[at].tolist(), t.line[at].tolist()):
+        bad.setdefault(k, set()).add(line)
+    for k, start, _ in _specks(t):
+        bad.setdefault(k, set()).add(int(t.feeds[start] - t.feeds[t.begin[k]]))
+    out = []
+    for k, text in enumerate(texts):
+        if k in lexicon.copies or not text:
+            out.append([])
+            continue
+        lines = text.split("\n")
+        own = edges(lines)
+        wrong = bad.get(k, set())
+        sure = {i for i, kind, _ in own if not kind.startswith("header?")}
+        if _AT_END.search(text):
+            # Words that are cut by a mark are joined, then looked up.
+            for i, j, a, b in _cuts(lines, {i for i, _, _ in own}):
+                if _noise(lines[i], a, b, lexicon):
+                    own.append((i, "hyphen", ""))
+                line = _joined_damage(i, j, a, b, lexicon)
+                if line is not None:
+                    wrong.add(line)
+        out.append(own + [(i, "misread", "") for i in sorted(wrong) if i not in sure])
     return out
 
 
-def _joined_damage(lines: list[str], i: int, j: int, lexicon: Lexicon) -> int | None:
-    """The line of the misread character of a word that is cut between two lines; None without one."""
-    if j >= len(lines):
-        return None
-    a, b = _TOKEN.findall(lines[i].rstrip()[:-1].lower()), _TOKEN.match(lines[j].strip().lower())
+def _noise(line: str, a: str, b: str, lexicon: Lexicon) -> bool:
+    """Whether the mark at the line's end doesn't belong to the word. A hyphen at the end of a page may."""
+    if line.rstrip()[-1] != "-":
+        return True
     if not a or not b:
+        return False
+    return skeleton(a) != skeleton(b) and _compound(a, b) not in lexicon.compounds
+
+
+def _joined_damage(i: int, j: int, left: str, right: str, lexicon: Lexicon) -> int | None:
+    """The line of the misread character of a word that is cut between two lines; None without one."""
+    if not left or not right:
         return None
-    left, right = a[-1], b.group()
     word = left + right
     meant = lexicon.words.get(word) or lexicon.names.get(word)
     odd = [k for k, c in enumerate(word) if c in "013569@" and k]
-    if meant is None and not (odd and any(c.isalpha() for c in word) and lexicon.first):
+    if meant is None and not (odd and any(c.isalpha() for c in word)):
         return None
     at = odd[0] if odd else next((k for k, (x, y) in enumerate(zip(word, meant)) if x != y), len(word) - 1)
     return i if at < len(left) else j
 
 
-def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table) or not len(values):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
-def _specks(t: Tokens) -> Iterator[tuple[int, int]]:
-    """(text, line) of signs that stand alone and have no business there."""
+def _specks(t: Tokens) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) of signs that stand alone and have no business there."""
     white = _tables()["white"][t.cp]
     start, end = kernel.runs(~white)
     plain = np.concatenate([[0], np.cumsum(_tables()["plain"][t.cp])])
@@ -452,157 +639,201 @@ def _specks(t: Tokens) -> Iterator[tuple[int, int]]:
         s = t.cp[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")
         if set(s) <= _ALONE or s in _PLAIN:
             continue
-        k = int(np.searchsorted(t.begin, start[i], side="right")) - 1
-        yield k, int(t.feeds[start[i]] - t.feeds[t.begin[k]])
+        yield int(np.searchsorted(t.begin, start[i], side="right")) - 1, int(start[i]), int(end[i])
 
 
-def _mark(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lexicon = shared.value
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[str | None], Lexicon]]:
     for batch in batches:
-        found = marks(batch.column(3).to_pylist(), lexicon)
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        for k in range(batch.num_rows):
+            yield batch, k, batch.column(3)[k].as_py(), Lexicon(batch.column(4)[k].as_py() or [])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, k, texts, lexicon in _rows(batches):
+        found = marks(texts, lexicon)
+        place = np.repeat(np.arange(len(found)), [len(x) for x in found])
         flat = [x for part in found for x in part]
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(3)], pa.array([x[0] + 1 for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.string())], ["book_id", "page_num", "at", "line_num", "kind", "key"])
+        take = pa.array(place)
+        keys = [batch.column(i)[k].values.take(take) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(place + batch.column(0)[k].as_py(), pa.int64()), *keys, pa.array([x[0] + 1 for x in flat], pa.int32()), *[pa.array([x[i] for x in flat], pa.string()) for i in (1, 2)]], ["pid", "book_id", "page_num", "line_num", "kind", "key"])
 
 
-def candidate_lines(pages: DataFrame, blocks: list[Lexicon]) -> DataFrame:
-    """book_id, page_num, line_num, kind, key of the current pages, headers not yet decided."""
-    rows = pages.select("book_id", "page_num", updated().alias("at"), F.col("content").cast("string").alias("content"))
-    kind = rows.schema["page_num"].dataType.simpleString()
-    parts = []
-    for block in blocks:
-        shared = pages.sparkSession.sparkContext.broadcast(block)
-        parts.append(rows.mapInArrow(functools.partial(_mark, shared), f"book_id string, page_num {kind}, at timestamp_ntz, line_num int, kind string, key string"))
-    found = functools.reduce(DataFrame.unionAll, parts)
-    latest = rows.groupBy("book_id", "page_num").agg(F.max("at").alias("last")).withColumnsRenamed({"book_id": "b", "page_num": "p"})
-    same = F.col("book_id").eqNullSafe(F.col("b")) & F.col("page_num").eqNullSafe(F.col("p")) & (F.col("at") == F.col("last"))
-    return found.join(latest, same).select("book_id", "page_num", "line_num", "kind", "key").distinct()
+def candidate_lines(blocks: DataFrame) -> DataFrame:
+    """pid, book_id, page_num, line_num, kind, key of the current pages, headers not yet decided."""
+    kind = blocks.schema["nums"].dataType.elementType.simpleString()
+    return blocks.select("block", "books", "nums", "texts", "entries").mapInArrow(_mark, f"pid long, book_id string, page_num {kind}, line_num int, kind string, key string")
 
 
-def noisy_lines(pages: DataFrame, books: DataFrame, blocks: list[Lexicon] | None = None) -> DataFrame:
-    """book_id, page_num, line_num, kind: every noisy line of every current page."""
-    found = stage(candidate_lines(pages, blocks or lexicons(pages)), "lines")
+@functools.lru_cache(None)
+def _segments(length: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a header's key: one more than the letters in which it may differ."""
+    n = NEAR + 1 if length >= SHORT_HEADER else 2
+    size, more = divmod(length, n)
+    ends = np.cumsum([size + (i >= n - more) for i in range(n)]).tolist()
+    return list(zip([0, *ends[:-1]], ends))
+
+
+def _pieces(probe: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Headers' keys by their parts; with ``probe`` by all parts that a key near enough would have.
+
+    There is one part more than there may be changes, so one at least is left as it is, near its own
+    place: an equi-join on (length, part, text) finds every near key.
+    """
+    for batch in batches:
+        books, keys, pieces = [], [], []
+        for book, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = set()
+            for n in range(max(2, len(key) - NEAR), len(key) + NEAR + 1) if probe else [len(key)]:
+                near = NEAR if n >= SHORT_HEADER else 1
+                if n < 2 or abs(n - len(key)) > near:
+                    continue
+                for i, (a, b) in enumerate(_segments(n)):
+                    # Of the changes, i at most lie before part i if none of the parts before is whole, and the rest after it.
+                    low, high = max(0, a - i, a + len(key) - n - near + i), min(len(key) - b + a, a + i, a + len(key) - n + near - i)
+                    for at in range(low, high + 1) if probe else [a]:
+                        own.add(f"{n}:{i}:{key[at : at + b - a]}")
+            books += [book] * len(own)
+            keys += [key] * len(own)
+            pieces += own
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (books, keys, pieces)], ["book_id", "key", "piece"])
+
+
+def near_headers(weak: DataFrame, strong: DataFrame) -> DataFrame:
+    """book_id, key: the keys of ``weak`` that nearly are one of ``strong`` in the same book."""
+    schema = "book_id string, key string, piece string"
+    a = weak.mapInArrow(functools.partial(_pieces, True), schema)
+    b = strong.mapInArrow(functools.partial(_pieces, False), schema).withColumnRenamed("key", "like")
+    most = F.when(F.length("like") >= SHORT_HEADER, NEAR).otherwise(1)
+    return a.join(b, ["book_id", "piece"]).select("book_id", "key", "like").distinct().where(F.levenshtein("key", "like") <= most).select("book_id", "key").distinct()
+
+
+def _decided(found: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
+    """pid, book_id, page_num, line_num, kind: the lines that are noise; possible headers are decided."""
     first = pages.groupBy("book_id").agg(F.min("page_num").alias("first")).withColumnRenamed("book_id", "b")
     titles = current_rows(books.select("book_id", "title", "updated_at"), ["book_id"]).select(F.col("book_id").alias("b"), skeletons(F.regexp_replace(F.lower("title"), r"\P{L}+", "")).alias("title"))
     heads = found.where("kind LIKE 'header%'").join(first, F.col("book_id") == F.col("b"), "left").drop("b").where("page_num > first")
     uses = heads.groupBy("book_id", "key").agg(F.count_distinct("page_num").alias("n"))
-    # A damaged header is near one that stands on several pages; those of a book are few.
-    strong = uses.where("n > 1").select(F.col("book_id").alias("b"), F.col("key").alias("like"))
-    weak = heads.where("kind = 'header??'").select("book_id", "key").distinct().join(strong, F.col("book_id") == F.col("b"))
-    alike = weak.where(F.levenshtein("key", "like", 3) >= 0).select("book_id", "key", F.lit(True).alias("alike")).distinct()
+    alike = near_headers(heads.where("kind = 'header??'").select("book_id", "key").distinct(), uses.where("n > 1").select("book_id", "key")).withColumn("alike", F.lit(True))
     heads = heads.join(uses, ["book_id", "key"]).join(alike, ["book_id", "key"], "left").join(titles, F.col("book_id") == F.col("b"), "left").drop("b")
-    near = (F.levenshtein(F.col("key"), F.coalesce("title", F.lit("")), 3) >= 0) | ((F.length("title") > 5) & (F.col("key").startswith(F.col("title")) | F.col("title").startswith(F.col("key"))) & (F.length("key") > 5))
-    support = (F.col("n") > 1) | F.coalesce("alike", F.lit(False)) | F.coalesce(near, F.lit(False))
+    near = (F.levenshtein(F.col("key"), F.coalesce("title", F.lit("")), NEAR) >= 0) | ((F.length("title") > 5) & (F.col("key").startswith(F.col("title")) | F.col("title").startswith(F.col("key"))) & (F.length("key") > 5))
+    near = F.coalesce(near, F.lit(False))
+    support = (F.col("n") > 1) | F.coalesce("alike", F.lit(False)) | near
     # A shape that alone says header is enough; one that ends like a sentence needs support.
-    sure = heads.where((F.col("kind") != "header??") | support).select("book_id", "page_num", "line_num", F.lit("header").alias("kind")).distinct()
-    rest = found.where("kind NOT LIKE 'header%'").select("book_id", "page_num", "line_num", "kind")
-    clean = rest.join(sure.drop("kind"), ["book_id", "page_num", "line_num"], "left_anti")
-    return clean.unionByName(sure)
+    sure = heads.where((F.col("kind").isin("header", "header?")) | (support & (F.col("kind") == "header??")) | near).select("pid", "book_id", "page_num", "line_num", F.lit("header").alias("kind"))
+    rest = found.where("kind NOT LIKE 'header%'").drop("key")
+    return rest.join(sure.select("pid", "line_num"), ["pid", "line_num"], "left_anti").select("pid", "book_id", "page_num", "line_num", "kind").unionByName(sure)
 
 
-def _pairs(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wanted = shared.value
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in kernel.blocks(texts):
-            t = Tokens(texts[a:b])
-            at = np.flatnonzero(_within(t.hash, wanted))
-            at = at[at > 0]
-            _, first, n = np.unique(kernel.mix(t.hash[at - 1]) + t.hash[at], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([t.string(i - 1) for i in at[first]], pa.string()), pa.array([t.string(i) for i in at[first]], pa.string()), pa.array(n, pa.int64())], ["before", "word", "n"])
-
+def noisy_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, page_num, line_num, kind: every noisy line of every current page."""
+    blocks = with_lexicons(current_blocks(pages))
+    return _decided(stage(candidate_lines(blocks), "lines"), pages, books).drop("pid")
 
-def with_context(pages: DataFrame, blocks: list[Lexicon], most: int = MOST_FORMS) -> list[Lexicon]:
-    """The lexicons with counts of the words before each form that competes with another.
 
-    Only the ``most`` most frequent pairs are kept: that bounds what is broadcast, and a pair
-    beyond it leaves the choice to the forms' frequency.
-    """
-    forms = sorted({f for x in blocks for c in x.choices.values() for f in c})
-    if not forms:
-        return blocks
-    shared = pages.sparkSession.sparkContext.broadcast(np.sort(_hashes(forms)))
-    rows = pages.select(F.col("content").cast("string")).where("content IS NOT NULL").mapInArrow(functools.partial(_pairs, shared), "before string, word string, n long")
-    pairs = rows.groupBy("before", "word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "before", "word").limit(most).collect()
-    for x in blocks:
-        x.context = {(r.before, r.word): r.n for r in pairs}
-    return blocks
+# --- Repair
 
 
 def _like(word: str, model: str) -> str:
-    return word.upper() if model.isupper() and len(model) > 1 and word.upper() != word and model.lower() != model.upper() and sum(c.isalpha() for c in model) > 1 else word[:1].upper() + word[1:] if model[:1].isupper() else word
-
-
-def repair(text: str | None, dropped: list[int] | None, lexicon: Lexicon) -> str:
-    """The text as paragraphs: without the dropped lines (from 1), cut words joined, misreadings put right."""
-    if not text:
-        return ""
-    drop = {i - 1 for i in dropped or ()}
-    lines = [x for i, x in enumerate(text.replace("\r", "").split("\n")) if i not in drop]
-    cut = {i: (j, noise) for i, j, noise in _cut_words(lines, set(), lexicon.compounds)}
-    width = max((len(x.strip()) for x in lines), default=0)
-    paragraphs: list[str] = []
-    glue = None  # what joins the next line: None begins a paragraph
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            if glue == " ":
-                glue = None
-            continue
-        if glue == " " and (line[:1] in " \t" or (lines[i - 1].strip()[-1:] in ".!?؟۔" and len(lines[i - 1].strip()) < 0.75 * width)):
-            glue = None
-        own = s
-        if i in cut:
-            own = s[:-1] if cut[i][1] else s
-        if glue is None:
-            paragraphs.append(own)
-        else:
-            paragraphs[-1] += glue + own
-        glue = "" if i in cut else " "
-
-    def put_right(paragraph: str) -> str:
-        before = ""
-
-        def one(m: re.Match) -> str:
-            nonlocal before
-            w = m.group()
-            low = w.lower()
-            name = before in HONORIFICS
-            out = w
-            if name and low in lexicon.names:
-                out = _like(lexicon.names[low], w)
-            elif not name and low in lexicon.words:
-                out = _like(lexicon.right(low, before), w)
-            before = out.lower()
-            return out
-
-        kept = [x for x in paragraph.split(" ") if x and not _lone(x)] if any(c in paragraph for c in "·^\\¦°•«_§¬`´¨") else paragraph.split(" ")
-        return _TOKEN.sub(one, " ".join(kept))
-
-    return "\n\n".join(put_right(p) for p in paragraphs)
-
-
-def _lone(s: str) -> bool:
-    return len(s) <= 3 and not any(c.isalnum() for c in s) and not set(s) <= _ALONE and s not in _PLAIN
-
-
-def _repair(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lexicon = shared.value
-    for batch in batches:
-        texts = [repair(t, d, lexicon) for t, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int32())], ["book_id", "page_num", "content", "content_len"])
+    """The word in the case of ``model``."""
+    if model.isupper() and len(model) > 1 and word.upper() != word and sum(c.isalpha() for c in model) > 1:
+        return word.upper()
+    return word[:1].upper() + word[1:] if model[:1].isupper() else word
+
 
+def right(texts: list[str | None], lexicon: Lexicon) -> tuple[list[str], list[dict[int, bool]]]:
+    """The texts with misreadings put right and specks gone; and of each the lines that end inside a word.
 
-def repaired_pages(pages: DataFrame, books: DataFrame, blocks: list[Lexicon] | None = None) -> DataFrame:
+    Lines keep their numbers. Where a line ends inside a word, True says that the mark is noise and gone.
+    """
+    t = Tokens(texts)
+    changes: dict[int, list[tuple[int, int, str]]] = {}
+    flagged, named = lexicon.flagged(t)
+    at = np.flatnonzero(flagged)
+    for i, k in zip(at.tolist(), t.text[at].tolist()):
+        out = lexicon.right(t.string(i), t.string(i - 1) if i and t.close[i] else None, bool(named[i]))
+        changes.setdefault(k, []).append((int(t.start[i] - t.begin[k]), int(t.end[i] - t.begin[k]), out))
+    for k, start, end in _specks(t):
+        a, b = start - int(t.begin[k]), end - int(t.begin[k])
+        changes.setdefault(k, []).append((a, b, ""))
+    done, cuts = [], []
+    for k, text in enumerate(texts):
+        text = text or ""
+        if k in changes:
+            low = text.lower()
+            # Lower case may be longer; then places are found by the lengths of the letters.
+            place = None if len(low) == len(text) else np.concatenate([[0], np.cumsum([len(c.lower()) for c in text])])
+            for a, b, word in sorted(changes[k], reverse=True):
+                if place is not None:
+                    a, b = int(np.searchsorted(place, a)), int(np.searchsorted(place, b))
+                if not word and text[b : b + 1] == " ":
+                    b += 1  # a speck goes with the space after it
+                text = text[:a] + (_like(word, text[a:b]) if word else "") + text[b:]
+        cut: dict[int, bool] = {}
+        if _AT_END.search(text):
+            lines = text.split("\n")
+            for i, j, a, b in _cuts(lines, {i for i, _, _ in edges(lines)}):
+                cut[i] = _noise(lines[i], a, b, lexicon)
+                if not cut[i]:
+                    continue
+                head = lines[i].rstrip()[:-1]
+                meant = lexicon.words.get(a + b) or lexicon.names.get(a + b)
+                if meant and b and head.lower().endswith(a) and lines[j].lstrip().lower().startswith(b):
+                    lead = lines[j][: len(lines[j]) - len(lines[j].lstrip())]
+                    head = head[: len(head) - len(a)] + _like(meant[: len(a)], head[len(head) - len(a) :])
+                    lines[j] = lead + meant[len(a) :] + lines[j].lstrip()[len(b) :]
+                lines[i] = head
+            text = "\n".join(lines)
+        done.append(text)
+        cuts.append(cut)
+    return done, cuts
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line of every page, put right and without outer white space."""
+    for batch, k, texts, lexicon in _rows(batches):
+        texts = [None if i in lexicon.copies else x for i, x in enumerate(texts)]
+        done, cuts = right(texts, lexicon)
+        lists = pc.split_pattern(pa.array(done, pa.string()), "\n")
+        size = np.diff(lists.offsets.to_numpy())
+        begin = np.concatenate([[0], np.cumsum(size)])
+        flat = pc.replace_substring(lists.flatten(), "\r", "")
+        glued = np.zeros(len(flat), bool)
+        glued[[begin[i] + x for i, cut in enumerate(cuts) for x in cut]] = True
+        pid = np.repeat(np.arange(len(texts)) + batch.column(0)[k].as_py(), size)
+        number = np.arange(len(flat)) - np.repeat(begin[:-1], size) + 1
+        for a in range(0, len(flat), 20_000):
+            part = flat.slice(a, 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(pid[a : a + 20_000]), pa.array(number[a : a + 20_000].astype(np.int32)), pc.utf8_trim_whitespace(part), pc.match_substring_regex(part, "^[ \t]"), pa.array(glued[a : a + 20_000])], ["pid", "line_num", "line", "indented", "glued"])
+
+
+def reflowed(lines: DataFrame, dropped: DataFrame) -> DataFrame:
+    """pid, content: the lines of each page, but for the dropped ones, as paragraphs; by windows over its lines.
+
+    ``lines``: pid, line_num, line, indented, glued (the line ends inside a word); ``dropped``: pid,
+    line_num. A paragraph begins after a blank line, with an indented line, and after a line that
+    ends a sentence and is much shorter than the page's longest.
+    """
+    gone = dropped.groupBy("pid").agg(F.collect_set("line_num").alias("gone"))
+    page = Window.partitionBy("pid")
+    order = page.orderBy("line_num")
+    kept = lines.join(gone, "pid", "left").where("gone IS NULL OR NOT array_contains(gone, line_num)").drop("gone")
+    kept = kept.withColumns({"n": F.row_number().over(order), "width": F.max(F.length("line")).over(page)}).where("line <> ''")
+    last = lambda c: F.lag(c).over(order)
+    kept = kept.withColumns({"before": last("line"), "inside": last("glued"), "blank": F.col("n") - last("n") > 1})
+    ended = F.right("before", F.lit(1)).isin(*".!?؟۔") & (F.length("before") < 0.75 * F.col("width"))
+    glue = F.when(F.col("before").isNull(), "").when(F.col("inside"), "").when(F.col("blank") | F.col("indented") | ended, "\n\n").otherwise(" ")
+    return kept.select("pid", "line_num", F.concat(glue, "line").alias("line")).groupBy("pid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]), "").alias("content"))
+
+
+def repaired_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
     """book_id, page_num, content, content_len: every current page as continuous paragraphs."""
-    blocks = with_context(pages, blocks or lexicons(pages))
-    lines = noisy_lines(pages, books, blocks).where("kind IN ('header', 'page_number')").groupBy("book_id", "page_num").agg(F.sort_array(F.collect_set("line_num")).alias("dropped")).withColumnsRenamed({"book_id": "b", "page_num": "p"})
-    rows = current_rows(pages.select("book_id", "page_num", F.col("content").cast("string").alias("content"), "updated_at"), ["book_id", "page_num"])
-    rows = rows.join(lines, F.col("book_id").eqNullSafe(F.col("b")) & F.col("page_num").eqNullSafe(F.col("p")), "left").select("book_id", "page_num", "content", "dropped")
-    kind = rows.schema["page_num"].dataType.simpleString()
-    for block in blocks:
-        shared = pages.sparkSession.sparkContext.broadcast(block)
-        rows = rows.select("book_id", "page_num", "content", "dropped" if "dropped" in rows.columns else F.lit(None).cast("array<int>").alias("dropped"))
-        rows = rows.mapInArrow(functools.partial(_repair, shared), f"book_id string, page_num {kind}, content string, content_len int")
-    return rows
+    blocks = with_lexicons(current_blocks(pages))
+    lines = _decided(stage(candidate_lines(blocks), "lines"), pages, books)
+    each = blocks.select("block", "books", "nums", "texts", "entries").mapInArrow(_lines, "pid long, line_num int, line string, indented boolean, glued boolean")
+    text = reflowed(each, lines.where("kind IN ('header', 'page_number')").select("pid", "line_num"))
+    # Pages without a line that is left are pages too; copies are not.
+    copies = F.transform(F.filter(F.coalesce("entries", F.array()), lambda e: e["kind"] == _COPY), lambda e: e["word"].cast("int"))
+    keys = blocks.select("block", copies.alias("copies"), F.posexplode(F.arrays_zip("books", "nums")).alias("i", "x")).where("NOT array_contains(copies, i)")
+    keys = keys.select((F.col("block") + F.col("i")).alias("pid"), F.col("x.books").alias("book_id"), F.col("x.nums").alias("page_num"))
+    content = F.coalesce("content", F.lit(""))
+    return keys.join(text, "pid", "left").select("book_id", "page_num", content.alias("content"), F.length(content).alias("content_len"))

@@ -87,12 +87,60 @@ def test_planted(spark):
     assert scans.noisy_lines(empty, b).count() == 0
 
 
-def test_blocks_of_forms(spark):
+def test_salted_words(spark, monkeypatch):
     pages, books, _ = corpus(2)
+    p, b = spark.createDataFrame(pages, SCHEMA).repartition(6), spark.createDataFrame(books, "book_id string, title string, updated_at timestamp_ntz")
+    one = {tuple(r) for r in scans.noisy_lines(p, b).collect()}
+    monkeypatch.setattr(scans, "MOST_BLOCKS", 2)
+    assert one == {tuple(r) for r in scans.noisy_lines(p, b).collect()}
+
+
+def test_copies_count_once(spark):
+    pages, books, _ = corpus(3)
     p, b = spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(books, "book_id string, title string, updated_at timestamp_ntz")
-    one, many = scans.lexicons(p), scans.lexicons(p, 1)
-    assert len(one) == 1 and len(many) > 1
-    assert {tuple(r) for r in scans.noisy_lines(p, b, one).collect()} == {tuple(r) for r in scans.noisy_lines(p, b, many).collect()}
+    twice = p.unionAll(p).unionAll(p.selectExpr("book_id", "page_num", "'Old rurnah' as content", "updated_at - interval 1 day as updated_at"))
+    for f in (scans.noisy_lines, scans.repaired_pages):
+        assert sorted(map(str, f(p, b).collect())) == sorted(map(str, f(twice, b).collect()))
+
+
+def test_words_that_names_follow_are_learned(spark):
+    rows = [(k, f"name{k}x{i}", "ustaz", 1.0, 1.0) for k in range(4) for i in range(60)] + [(k, w, b, 1.0, 0.0) for k in range(4) for w, b in (("rumah", "dan"), ("dan", "ibu"), ("ustaz", "kata"))]
+    rows += [(k, w, None, n, 0.0) for k in range(4) for w, n in (("ustaz", 70.0), ("dan", 4000.0), ("rumah", 900.0))]
+    counts, contexts = scans.word_counts(spark.createDataFrame(rows, "block long, word string, before string, uses double, rare double"))
+    assert [r.word for r in contexts.collect()] == ["ustaz"]
+    assert {r.word for r in counts.where("name").collect()} == {f"name{k}x{i}" for k in range(4) for i in range(60)}
+
+
+def test_near_headers(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abc", k=n))
+
+    def damaged(s):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + "x" + s[i:], s[:i] + "y" + s[i + 1 :]]) or "z"
+        return s
+
+    strong = {(f"b{rng.randint(0, 1)}", text(rng.randint(1, 25))) for _ in range(60)}
+    weak = {(b, damaged(k)) for b, k in strong} | {("b2", k) for _, k in strong}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {(b, k) for b, k in weak if any(b == c and len(s) > 1 and distance(k, s) <= (scans.NEAR if len(s) >= scans.SHORT_HEADER else 1) for c, s in strong)}
+    frame = lambda x: spark.createDataFrame(sorted(x), "book_id string, key string")
+    assert {tuple(r) for r in scans.near_headers(frame(weak), frame(strong)).collect()} == want
+
+
+def test_stacked_edges():
+    lines = ["Kisah Lama", "Bab Tiga", "12", "Ini baris pertama dari teks yang panjang sekali dan", "terus sampai di sini."]
+    assert {i: k for i, k, _ in scans.edges(lines)} == {0: "header?", 1: "header?", 2: "page_number"}
 
 
 def test_page_numbers():
@@ -109,19 +157,40 @@ def test_skeletons(spark):
     assert scans.skeleton("mcrnberi") == scans.skeleton("memberi") and scans.skeleton("clalarn") == scans.skeleton("dalam")
 
 
-def test_specks_and_names():
-    lexicon = scans.Lexicon([("rurnah", "rumah")], [("rarnimi", "ramimi")], ["anak-anak"])
+def entries(words=(), names=(), compounds=(), contexts=(), choices=()):
+    e = lambda kind, word, meant=None, before=None: {"kind": kind, "word": word, "meant": meant, "before": before}
+    return [e(0, w, m) for w, m in words] + [e(1, w, m) for w, m in names] + [e(2, w) for w in compounds] + [e(3, w) for w in contexts] + [e(4, w, m, b) for b, w, m in choices]
+
+
+def test_specks_and_names(spark):
+    lexicon = scans.Lexicon(entries([("rurnah", "rumah")], [("rarnimi", "ramimi")], ["anak-anak"], ["ustaz"]))
     found = scans.marks(["satu · dua\ntiga «' empat ; lima\nUstaz rarnimi rurnah.\nUstaz rurnah.", None, "• butir\n_ x"], lexicon)
     assert {(i, k) for i, k, _ in found[0] if not k.startswith("header")} == {(0, "misread"), (1, "misread"), (2, "misread")}
     assert found[1] == [] and {(i, k) for i, k, _ in found[2]} == {(1, "misread")}
-    table = {g: 500 for n in ("ramimi", "dimque", "nelbera") for g in scans._trigrams(n)}
-    assert scans.repaired_name("ramimi", table, 5) is None and scans.repaired_name("nelbcra", table, 5) == "nelbera"
+    names = [(f"{a}{b}{c}", 60.0, True) for a in ("ra", "ne", "dim") for b in ("mi", "lbe", "que") for c in ("mi", "ra")] + [("nelbcra", 1.0, True), ("rarnimi", 1.0, True), ("lain", 5.0, False)]
+    got = {r.word: r.meant for r in scans.misread_names(spark.createDataFrame(names, "word string, uses double, name boolean")).collect()}
+    assert got == {"nelbcra": "nelbera", "rarnimi": "ramimi"}
+
+
+def test_context_chooses(spark):
+    pairs = [(1, "ibu", "clari", 1.0), (1, "ibu", "dan", 9.0), (1, "ibu", "dari", 2.0), (2, "pulang", "dari", 40.0), (2, "pulang", "dan", 2.0), (2, "pulang", "clari", 1.0), (3, "ke", "clari", 1.0)]
+    forms = [("x", "dari", 90.0, "dari", True), ("x", "dan", 80.0, "dari", True), ("x", "clari", 3.0, "dari", False)]
+    got = scans.choices(spark.createDataFrame(pairs, "block long, before string, word string, n double"), spark.createDataFrame(forms, "bones string, word string, uses double, meant string, standing boolean"))
+    found = {tuple(r) for r in got.collect()}
+    # After "pulang" a "dan" is misread, as its neighbour supports "dari" twenty times as often.
+    assert found == {("ibu", "clari", "dan"), ("pulang", "dan", "dari")}
+    lexicon = scans.Lexicon(entries([("clari", "dari")], choices=found))
+    done, _ = scans.right(["Ibu clari pulang clari x clari", "Pulang dan", None, "İbu Clari"], lexicon)
+    assert done == ["Ibu dan pulang dari x dari", "Pulang dari", "", "İbu Dari"]
+    assert [k for _, k, _ in scans.marks(["ya\nPulang dan pergi ke pasar."], lexicon)[0] if k == "misread"] == ["misread"]
+    assert np.array_equal(scans._hashes([]), np.empty(0, np.uint64))
 
 
-def test_context_chooses():
-    lexicon = scans.Lexicon([("clari", "dari")], [], [])
-    lexicon.choices = {"clari": ["dari", "dan"]}
-    lexicon.context = {("ibu", "dan"): 9, ("pulang", "dari"): 4}
-    assert scans.repair("Ibu clari pulang clari x clari", None, lexicon) == "Ibu dan pulang dari x dari"
-    assert scans.repair("Clari", None, lexicon) == "Dari" and scans.repair(None, [1], lexicon) == ""
-    assert np.array_equal(scans._hashes([]), np.empty(0, np.uint64))
+def test_reflow(spark):
+    text = ["Satu dua tiga em-", "Judul Buku", "pat lima enam tujuh", "delapan.", "Sembilan sepuluh anak-", "anak dan rurnah · besar", "", "baru"]
+    lexicon = scans.Lexicon(entries([("rurnah", "rumah")], compounds=["anak-anak"]))
+    done, cuts = scans.right(["\n".join(text)], lexicon)
+    lines = [(7, i + 1, x.strip(), x[:1] == " ", i in cuts[0]) for i, x in enumerate(done[0].split("\n"))]
+    frame = spark.createDataFrame(lines, "pid long, line_num int, line string, indented boolean, glued boolean")
+    got = scans.reflowed(frame, spark.createDataFrame([(7, 2)], "pid long, line_num int")).collect()
+    assert [r.content for r in got] == ["Satu dua tiga empat lima enam tujuh delapan.\n\nSembilan sepuluh anak-anak dan rumah besar\n\nbaru"]
