@@ -418,7 +418,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, first, which = np.unique(kernel.mix(t.hash[at - 1]) + t.hash[at], return_index=True, return_inverse=True)
             n = np.bincount(which, shares[t.text[at]], len(first))
             first = at[first].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(first), pa.int64()), pa.array([t.string(i - 1) for i in first], pa.string()), pa.array([t.string(i) for i in first], pa.string()), pa.array(n)], ["block", "before", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(first), pa.int64()), pa.array([t.string(i - 1) for i in first], pa.string()), pa.array([t.string(i) for i in first], pa.string()), pa.array(n, pa.float64())], ["block", "before", "word", "n"])
 
 
 def choices(pairs: DataFrame, forms: DataFrame) -> DataFrame:
