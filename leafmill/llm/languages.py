@@ -4,11 +4,18 @@ Script ranges narrow the candidates of each word (a word of one script is charge
 under languages of another). Words known to the model score by their smoothed probability in each
 language, unknown ones by their character trigrams. Viterbi over the words, with a switching
 penalty that is lower where a sentence or line begins, labels the spans; all texts of a block are
-decoded side by side, one array step for the n-th word of each.
+decoded side by side, one array step for the n-th word of each. Long texts are cut into lanes of
+``LANE`` words, one for each state that the lane before may end in, and the lanes are chained: the
+path is the same, in as many steps as a lane has words.
 
-The model is fitted on the driver from a bounded sample of labelled pages (``SAMPLE_PAGES``; labels
-may be wrong: segments are labelled again by the model and counted again, ``ROUNDS`` times). It is
-at most ``MOST_WORDS`` words wide whatever the corpus, and is broadcast. Everything else covers all rows.
+Beside the seven languages there is a state ``other``, which likes unknown words nearly as well as
+the best language does; a long span of few known words is ``other`` too. It is never a finding.
+
+The model is fitted in one task from a bounded sample of current pages (``SAMPLE_PAGES`` pages,
+``SAMPLE_CHARS`` characters; labels may be wrong: segments are labelled again by the model and
+counted again, ``ROUNDS`` times), and is as large as that sample's vocabulary. A span's confidence is
+scaled so that what half of its words say predicts what the other half says, on the same
+sample. Everything else covers all rows.
 
 Defined cases: null, empty and blank texts, and texts without letters, have no span; ties go to the
 language that comes first in ``LANGUAGES``; the latest row of a page counts; other columns are not read.
@@ -17,11 +24,12 @@ language that comes first in ``LANGUAGES``; the latest row of a page counts; oth
 from __future__ import annotations
 
 import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import kernel
@@ -30,8 +38,13 @@ from leafmill.tables import current_rows, updated
 LANGUAGES = ("id", "en", "ar", "ru", "fr", "tr", "ur")
 #: Letters that make a stretch of another language a finding.
 LEAST_LETTERS = 40
-#: The fit: pages in the sample (about), rounds of relabelling, words of the model at most.
-SAMPLE_PAGES, ROUNDS, MOST_WORDS = 8_000, 3, 200_000
+#: The name of all other languages.
+OTHER = "other"
+STATES = len(LANGUAGES) + 1
+#: The fit: pages and characters in the sample at most, and rounds of relabelling.
+SAMPLE_PAGES, SAMPLE_CHARS, ROUNDS = 8_000, 40_000_000, 3
+#: Words of a lane of the decoder.
+LANE = 4_096
 #: The first and last code points of scripts, and the languages written in them.
 SCRIPTS = (
     ((0x0041, 0x024F), ("id", "en", "fr", "tr")),
@@ -46,6 +59,9 @@ SCRIPTS = (
 #: of a word in another language's script.
 SWITCH, SWITCH_AT_START, OTHER_SCRIPT = 9.0, 3.0, 8.0
 _SPREAD, _UNKNOWN = 6.0, 1.5
+#: Costs of a known and of an unknown word in another language; words of a span (of some length at most) and the
+#: share of known ones below which the span is of another language.
+OTHER_KNOWN, OTHER_UNKNOWN, OTHER_WORDS, OTHER_LENGTH, OTHER_SHARE = 4.0, 1.0, 8, 20, 0.25
 _GRAMS = 1 << 15
 _STOPS = "\n.!?…؟۔:;"
 
@@ -105,21 +121,21 @@ def _grams(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
 
 
 class Model:
-    """Word and trigram scores of each language."""
+    """Word and trigram scores of each language, and the scale of confidences."""
 
-    def __init__(self, hashes: np.ndarray, scores: np.ndarray, grams: np.ndarray):
-        self.hashes, self.scores, self.grams = hashes, scores.astype(np.float32), grams.astype(np.float32)
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray, grams: np.ndarray, scale: float = 1.0):
+        self.hashes, self.scores, self.grams, self.scale = hashes, scores.astype(np.float32), grams.astype(np.float32), scale
 
     def word_scores(self, w: Words) -> np.ndarray:
-        """For each word and language, a score (0 for the best language of a known word)."""
+        """For each word and state, a score (0 for the best language of a known word); sets the words' ``known``."""
         kinds, at, number = np.unique(w.hash, return_index=True, return_inverse=True)
-        out = np.zeros((len(kinds), len(LANGUAGES)), np.float32)
+        out = np.zeros((len(kinds), STATES), np.float32)
+        known = np.zeros(len(kinds), bool)
         if len(kinds) and len(self.hashes):
             place = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
             known = self.hashes[place] == kinds
-            out[known] = self.scores[place[known]]
-        else:
-            known = np.zeros(len(kinds), bool)
+            out[known, :-1] = self.scores[place[known]]
+            out[known, -1] = -OTHER_KNOWN
         new = np.flatnonzero(~known)
         if len(new):
             starts, ends = w.start[at[new]], w.end[at[new]]
@@ -127,11 +143,14 @@ class Model:
             total = np.add.reduceat(self.grams[grams], bounds[:-1], axis=0)
             total -= total.max(1, keepdims=True)
             # A long run without white space has the weight of the words in it.
-            out[new] = np.maximum(total, -_UNKNOWN * np.maximum(1, (ends - starts) / 12)[:, None])
+            weight = np.maximum(1, (ends - starts) / 12)
+            out[new, :-1] = np.maximum(total, -_UNKNOWN * weight[:, None])
+            out[new, -1] = -OTHER_UNKNOWN * weight
         bits = w.script[at]
         for k in range(len(LANGUAGES)):
             out[(bits >> k) & 1 == 0, k] -= OTHER_SCRIPT
         out[w.letters[at] == 0] = 0
+        w.known = known[number]
         return out[number]
 
     def decode(self, texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -139,15 +158,13 @@ class Model:
         w = Words(texts)
         scores = self.word_scores(w)
         label = np.zeros(len(w.hash), np.int8)
-        size = w.last - w.first
+        cost = np.where(w.opens, SWITCH_AT_START, SWITCH).astype(np.float32)
+        first, size, init, chains = _lanes(w, scores, cost)
         order = np.argsort(-size, kind="stable")
-        order = order[: int((size > 0).sum())]
-        first, size = w.first[order], size[order]
+        first, size, value = first[order], size[order], init[order]
         if not len(order):
             return w, label, scores
-        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than t
-        cost = np.where(w.opens, SWITCH_AT_START, SWITCH).astype(np.float32)
-        value = scores[first].copy()
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # lanes longer than t
         stays, froms = [], []
         for t in range(1, size[0]):
             k = active[t]
@@ -158,13 +175,33 @@ class Model:
             stay = v >= change[:, None]
             value[:k] = np.where(stay, v, change[:, None]) + scores[at]
             stays.append(stay)
-            froms.append(best)
+            froms.append(best.astype(np.int8))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         state = value.argmax(1)
+        chosen = np.ones(len(order), bool)
+        for chain in chains:
+            # Each part but the first has a lane for every state before it; the best way through is taken.
+            total, ways = value[place[chain[0][0]]], []
+            for part in chain[1:]:
+                each = total[:, None] + value[place[part]]
+                ways.append(each.argmax(0))
+                total = each.max(0)
+                chosen[place[part]] = False
+            end = int(total.argmax())
+            for part, way in zip(reversed(chain[1:]), reversed(ways)):
+                lane = place[part[way[end]]]
+                chosen[lane], state[lane] = True, end
+                end = int(way[end])
+            state[place[chain[0][0]]] = end
+        own = np.flatnonzero(chosen)
+        state, first, size = state[own], first[own], size[own]
         label[first + size - 1] = state
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")
         for t in range(size[0] - 1, 0, -1):
-            k = active[t]
-            rows = np.arange(k)
-            state[:k] = np.where(stays[t - 1][rows, state[:k]], state[:k], froms[t - 1])
+            k = live[t]
+            rows = own[:k]
+            state[:k] = np.where(stays[t - 1][rows, state[:k]], state[:k], froms[t - 1][rows])
             label[first[:k] + t - 1] = state[:k]
         return w, label, scores
 
@@ -195,22 +232,79 @@ class Model:
         language = label[begin].astype(np.int64)
         total = np.add.reduceat(scores, begin, axis=0).astype(np.float64)
         # Words of one span aren't independent evidence: the log odds grow with the root of their number.
-        total /= np.sqrt(stop - begin)[:, None]
+        total *= self.scale / np.sqrt(stop - begin)[:, None]
         odds = np.exp(total - total.max(1, keepdims=True))
         confidence = (odds / odds.sum(1, keepdims=True))[np.arange(len(begin)), language]
+        if len(self.hashes):
+            # Few known words in a long span: what its script or its trigrams suggest is not what it is. Numbers and
+            # runs of words without white space say nothing.
+            fair = (w.letters > 0) & (w.end - w.start <= OTHER_LENGTH)
+            fairs, known = np.add.reduceat(fair.astype(np.int64), begin), np.add.reduceat((fair & w.known).astype(np.int64), begin)
+            language[(fairs >= OTHER_WORDS) & (known < OTHER_SHARE * fairs)] = STATES - 1
         keep = letters > 0
         # One or two words in quotation marks or brackets don't end the stretch around them.
         quoted = (stop - begin <= 2) & np.isin(w.cp[np.maximum(w.start[begin] - 1, 0)], [ord(c) for c in "«(\"'„“‘["])
         return {"quoted": quoted[keep], "text": text[keep], "start": (w.start[begin] - w.offset[text])[keep], "end": (w.end[stop - 1] - w.offset[text])[keep], "language": language[keep], "letters": letters[keep], "confidence": confidence[keep]}
 
 
+def _lanes(w: Words, scores: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """First word, words and first values of each lane, and the lanes of each text that has several parts."""
+    size = w.last - w.first
+    short = np.flatnonzero((size > 0) & (size <= LANE))
+    firsts, sizes, init, chains, n = [w.first[short]], [size[short]], [scores[w.first[short]]], [], len(short)
+    for i in np.flatnonzero(size > LANE).tolist():
+        chain = []
+        for a in range(w.first[i], w.last[i], LANE):
+            states = 1 if a == w.first[i] else STATES
+            value = scores[a] + (np.where(np.eye(STATES, dtype=bool), 0, -cost[a]) if states > 1 else np.zeros((1, STATES), np.float32))
+            firsts.append(np.full(states, a))
+            sizes.append(np.full(states, min(LANE, w.last[i] - a)))
+            init.append(value.astype(np.float32))
+            chain.append(np.arange(n, n + states))
+            n += states
+        chains.append(chain)
+    return np.concatenate(firsts), np.concatenate(sizes), np.concatenate(init), chains
+
+
+def calibrated(model: Model, texts: list[str | None]) -> Model:
+    """The model with the scale at which the odds of every other word of a span best predict what the rest says."""
+    halves: list[list[np.ndarray]] = [[], []]
+    counts = []
+    for a, b in kernel.blocks(texts):
+        w, label, scores = model.decode(texts[a:b])
+        if not len(label):
+            continue
+        new = np.ones(len(label), bool)
+        new[1:] = label[1:] != label[:-1]
+        new[w.first[w.last > w.first]] = True
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(label)))
+        odd = (np.arange(len(label)) - np.repeat(begin, size)) % 2 == 1
+        some = size >= 2
+        for k in (0, 1):
+            halves[k].append(np.add.reduceat(scores * (odd == k)[:, None], begin, axis=0)[some])
+        counts.append((size - size // 2)[some])
+    if not counts:
+        return model
+    x, y, n = np.concatenate(halves[0]), np.concatenate(halves[1]).argmax(1), np.concatenate(counts)
+    x = x / np.sqrt(n)[:, None]
+
+    def fitness(scale: float) -> float:
+        z = x * scale
+        z = z - z.max(1, keepdims=True)
+        return float((z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))).mean())
+
+    model.scale = max((0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0), key=fitness)
+    return model
+
+
 def _scores(counts: np.ndarray, total: np.ndarray, smooth: float) -> np.ndarray:
     s = np.log(counts + smooth) - np.log(total + smooth * max(1, len(counts)))
     s -= s.max(1, keepdims=True)
     return np.maximum(s, -_SPREAD)
 
 
-def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS, most: int = MOST_WORDS) -> Model:
+def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS) -> Model:
     """A model from texts with (partly wrong) labels; None is no label. Texts are held a block at a time."""
     m = len(LANGUAGES)
     parts = []
@@ -224,13 +318,8 @@ def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS,
         parts.append({"hash": w.hash, "letters": w.letters > 0, "script": w.script, "segment": np.cumsum(opens) - 1, "grams": grams.astype(np.uint16), "per_word": np.diff(bounds).astype(np.int32), "given": given})
         del w
     hashes = np.concatenate([p["hash"] for p in parts]) if parts else np.empty(0, np.uint64)
-    kinds, number, size = np.unique(hashes, return_inverse=True, return_counts=True)
+    kinds, number = np.unique(hashes, return_inverse=True)
     number, ends = number.astype(np.int32), np.cumsum([len(p["hash"]) for p in parts])
-    if len(kinds) > most:  # the most frequent words; ties by hash
-        keep = np.zeros(len(kinds), bool)
-        keep[np.lexsort((kinds, -size))[:most]] = True
-    else:
-        keep = np.ones(len(kinds), bool)
     for p, end in zip(parts, ends):
         p["number"] = number[end - len(p["hash"]) : end]
         # A label counts for words of its scripts; scripts of a single language need no label.
@@ -241,7 +330,7 @@ def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS,
         label = np.where(one & p["letters"], np.log2(np.maximum(p["script"], 1)).astype(np.int8), label)
         label[~p["letters"]] = -1
         p["label"] = label.astype(np.int8)
-    model = Model(kinds[keep], np.zeros((int(keep.sum()), m)), np.zeros((_GRAMS, m)))
+    model = Model(kinds, np.zeros((len(kinds), m)), np.zeros((_GRAMS, m)))
     for r in range(rounds + 1):
         counts, gram_counts = np.zeros(len(kinds) * m), np.zeros(_GRAMS * m)
         for p in parts:
@@ -251,7 +340,7 @@ def fit(texts: list[str | None], labels: list[int | None], rounds: int = ROUNDS,
             gram_counts += np.bincount(p["grams"][by_word >= 0].astype(np.int64) * m + by_word[by_word >= 0], minlength=len(gram_counts))
         counts, gram_counts = counts.reshape(-1, m), gram_counts.reshape(-1, m)
         scores = _scores(counts, counts.sum(0), 0.2)
-        model = Model(kinds[keep], scores[keep], _scores(gram_counts, gram_counts.sum(0), 1.0) * 0.5)
+        model = Model(kinds, scores, _scores(gram_counts, gram_counts.sum(0), 1.0) * 0.5)
         if r == rounds:
             break
         for p in parts:
@@ -276,14 +365,24 @@ def _labels(books: DataFrame) -> DataFrame:
     return current_rows(books.select("book_id", "language", "updated_at"), ["book_id"]).select("book_id", label(F.col("language")).alias("label"))
 
 
-def fit_pages(pages: DataFrame, books: DataFrame, most: int = SAMPLE_PAGES) -> Model:
-    """The model fitted on about ``most`` pages, chosen by a hash of their key, at any corpus size."""
-    share = min(1.0, most / max(1, pages.count()))
-    chosen = pages.select("book_id", "content").where(F.pmod(F.xxhash64("book_id", "page_num"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = chosen.join(_labels(books), "book_id", "left").limit(2 * most).collect()
-    code = {x: i for i, x in enumerate(LANGUAGES)}
-    rows = sorted(((r.content, r.label) for r in sample if r.content), key=str)
-    return fit([t for t, _ in rows], [code.get(x) for _, x in rows])
+def fit_pages(pages: DataFrame, books: DataFrame, most: int = SAMPLE_PAGES, characters: int = SAMPLE_CHARS) -> Model:
+    """The model fitted in one task on at most ``most`` current pages of ``characters`` characters, those with the least hashes of their keys."""
+    key = F.xxhash64("book_id", "page_num")
+    last = pages.select(key.alias("key")).distinct().orderBy("key").limit(most).agg(F.max("key")).first()[0]
+    few = pages.select("book_id", "page_num", F.col("content").cast("string").alias("content"), "updated_at", key.alias("key")).where(F.col("key") <= F.lit(last))
+    few = current_rows(few, ["book_id", "page_num"]).where("content <> ''").join(_labels(books), "book_id", "left")
+    order = Window.orderBy("key", "book_id", "page_num").rowsBetween(Window.unboundedPreceding, 0)  # over the sample only
+    rows = few.withColumn("so_far", F.sum(F.length("content")).over(order)).where(F.col("so_far") <= characters).select("key", "content", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = {x: i for i, x in enumerate(LANGUAGES)}
+        sample = sorted(((k, t, x) for batch in batches for k, t, x in zip(*[c.to_pylist() for c in batch.columns])), key=lambda r: (r[0], r[1]))
+        texts = [t for _, t, _ in sample]
+        model = calibrated(fit(texts, [code.get(x) for _, _, x in sample]), texts[::4])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([], [])
 
 
 def _mask(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +426,7 @@ def mislabelled(pages: DataFrame, books: DataFrame, model: Model | None = None)
 
 def _spans(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = shared.value
-    names = np.array(LANGUAGES)
+    names = np.array([*LANGUAGES, OTHER])
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for a, b in kernel.blocks(texts):
@@ -355,6 +454,6 @@ def book_languages(pages: DataFrame, books: DataFrame, model: Model | None = Non
     """
     spans = passages(pages, books, model)
     by = spans.groupBy("book_id", "language").agg(F.sum("letters").alias("letters"), F.sum(F.col("letters") * F.col("confidence")).alias("sure"))
-    rank = F.struct("letters", *[(F.col("language") == x).cast("int") for x in LANGUAGES])
+    rank = F.struct("letters", *[(F.col("language") == x).cast("int") for x in (*LANGUAGES, OTHER)])
     best = by.groupBy("book_id").agg(F.max_by("language", rank).alias("language"), F.max_by("sure", rank).alias("sure"), F.sum("letters").alias("total"))
     return _labels(books).join(best, "book_id", "left").select("book_id", "label", "language", (F.floor(F.col("sure") / F.col("total") * 1e4 + 0.5) / 1e4).alias("confidence"))

@@ -7,11 +7,13 @@ depth of 16 words. Every suffix of every test passage is binary-searched in it;
 the place where it belongs hold its longest verbatim match, and the interval of suffixes that
 begin with its first 12 words holds all documents that share such a run.
 
-The corpus is read once and never shuffled; only the matches are. Test passages are held-out sets
-of fixed size: they are broadcast in blocks of at most ``BLOCK_WORDS`` words, however many there are.
+The corpus is read once, each shard's array is built once, and nothing is shuffled but the matches.
+Test passages are held-out sets: they are broadcast in blocks of at most ``BLOCK_WORDS`` words, however
+many there are, and each block is looked up in every shard of an Arrow batch before the next is loaded.
 
 Defined cases: null, empty and short passages or texts (under 12 words) leak nothing; a repeated
-document gives one row an item; item_id or doc_id null is an ordinary value.
+document gives one row an item; item_id or doc_id null is an ordinary value, also when affected
+documents are removed.
 """
 
 from __future__ import annotations
@@ -115,19 +117,13 @@ class Passages:
         self.item = np.concatenate(self.item) if self.item else np.empty(0, np.int64)
         self.ids = [i for i, _ in items]
 
-    def matches(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, longest run in words, its place) of each pair that shares a run of RUN words."""
         none = (np.empty(0, np.int64),) * 4
-        words, first, last = kernel.words([normalised(t) for t in texts])
-        if not len(self.start) or len(words) < RUN:
+        if not len(self.start) or not len(shard.order):
             return none
-        # A word of its own ends each text, so that no run goes from one text into the next.
-        shift = np.arange(len(texts))
-        place = np.arange(len(words)) + np.repeat(shift, last - first)
-        shard = kernel.mix(np.arange(len(words) + len(texts), dtype=np.uint64)) | np.uint64(1 << 63)
-        shard[place] = words
-        order = suffix_array(shard)
-        low, high = (_bound(shard, order, self.words, self.start, RUN, upper) for upper in (False, True))
+        words, order = shard.words, shard.order
+        low, high = (_bound(words, order, self.words, self.start, RUN, upper) for upper in (False, True))
         hit = np.flatnonzero(high > low)
         if not len(hit):
             return none
@@ -139,16 +135,31 @@ class Passages:
         going = np.arange(len(test))
         while len(going):  # every hit is carried on to its full length
             a, b = at[going] + size[going], j[going] + size[going]
-            same = (a < len(shard)) & (b < len(self.words))
-            same &= shard[np.minimum(a, len(shard) - 1)] == self.words[np.minimum(b, len(self.words) - 1)]
+            same = (a < len(words)) & (b < len(self.words))
+            same &= words[np.minimum(a, len(words) - 1)] == self.words[np.minimum(b, len(self.words) - 1)]
             going = going[same]
             size[going] += 1
-        text = np.searchsorted(first + shift, at, side="right") - 1
         # Empty texts begin where the next one does.
+        text = np.searchsorted(shard.first, at, side="right") - 1
         keys = text * len(self.ids) + self.item[test]
         best = np.lexsort((at, -size, keys))
         best = best[np.flatnonzero(np.diff(keys[best], prepend=-1))]
-        return text[best], self.item[test[best]], size[best], at[best] - (first + shift)[text[best]]
+        return text[best], self.item[test[best]], size[best], at[best] - shard.first[text[best]]
+
+
+class Shard:
+    """The words of a block of texts and their suffix array; a word of its own ends each text, so that no run goes on in the next."""
+
+    def __init__(self, texts: list[str | None]):
+        words, first, last = kernel.words([normalised(t) for t in texts])
+        shift = np.arange(len(texts))
+        self.first, self.order = first + shift, np.empty(0, np.int64)
+        self.words = np.empty(0, np.uint64)
+        if len(words) >= RUN:
+            place = np.arange(len(words)) + np.repeat(shift, last - first)
+            self.words = kernel.mix(np.arange(len(words) + len(texts), dtype=np.uint64)) | np.uint64(1 << 63)
+            self.words[place] = words
+            self.order = suffix_array(self.words)
 
 
 def passages(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Passages]:
@@ -167,27 +178,27 @@ def passages(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Passages]:
 
 def leaks(documents: DataFrame, items: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, words, position: each document and item that share a run, with the longest."""
-    spark = documents.sparkSession
-    parts = []
-    for block in passages(items, most):
-        shared = spark.sparkContext.broadcast(block)
-        parts.append(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(functools.partial(_scan, shared), "doc_id long, item_id long, words int, position int"))
-    if not parts:
-        return documents.limit(0).selectExpr("cast(doc_id as long) doc_id", "cast(null as long) item_id", "0 as words", "0 as position")
-    found = functools.reduce(DataFrame.unionAll, parts)
+    context = documents.sparkSession.sparkContext
+    shared = [context.broadcast(block) for block in passages(items, most)]
+    found = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(functools.partial(_scan, shared), "doc_id long, item_id long, words int, position int")
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max_by("position", F.struct("words", -F.col("position"))).alias("position"))
 
 
-def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = shared.value
+def _scan(shared: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in kernel.blocks(texts):
-            text, item, size, at = block.matches(texts[a:b])
-            if len(text):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + a)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))], ["doc_id", "item_id", "words", "position"])
+        shards = [(a, Shard(texts[a:b])) for a, b in kernel.blocks(texts)]
+        for one in shared:
+            block = one.value
+            for a, shard in shards:
+                text, item, size, at = block.matches(shard)
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + a)), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))], ["doc_id", "item_id", "words", "position"])
+            if len(shared) > 1:
+                one._value = None  # one block in memory; it is loaded from the worker's disk again
 
 
 def cleaned(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without those that hold a passage: an anti join on the matches."""
-    return documents.join(leaks(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = leaks(documents, items).select(F.col("doc_id").alias("__leaked")).distinct()
+    return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__leaked")), "left_anti")

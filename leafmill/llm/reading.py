@@ -1,14 +1,17 @@
 """Reading level of each document, from the levels of its sentences.
 
-Every sentence is classified by a softmax model over its words, its words' first and last
-characters, its words' lengths and its own length, all hashed, with ridge regularisation. The
-distribution over a document's sentences, with a few of its lengths, goes into a second, small
-softmax model that is fitted on documents whose sentences the first model did not see, so that its
-probabilities are calibrated.
-
-The classifier is fitted on the driver from at most ``MOST_LABELLED`` labelled documents, chosen by
-a hash of doc_id; a document's target is the distribution of its raters' distinct valid votes.
-Scoring reads each text once, with no shuffle; the model's size is fixed (``DIMENSION``).
+Every sentence is classified by a softmax model over its words, its words' character trigrams, its
+words' lengths and its own length, all hashed, with ridge regularisation. The distribution over a
+document's sentences, with a few of its lengths, goes into a second, small softmax model that is
+fitted on documents whose sentences the first model did not see, so that its probabilities are
+calibrated.
+
+The classifier is fitted from at most ``MOST_LABELLED`` labelled documents of ``MOST_CHARS`` characters
+together, chosen by a hash of doc_id; a document's target is the distribution of its raters' distinct
+valid votes. The two halves of that sample are fitted side by side in tasks; the driver gets their
+weights and a few numbers a document, and no text. Features are kept a distinct word, so both fitting
+and scoring look up each word of a block once. Scoring reads each text once, with no shuffle; the
+model's size is fixed (``DIMENSION``).
 
 Defined cases: null, empty and short texts (under ``LEAST_WORDS`` words) get no row; labels that are
 null or out of range are ignored, repeated ones count once; without any valid label no document
@@ -21,14 +24,18 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import kernel
+from leafmill.work import stage
 
 LEVELS, LEAST_WORDS = 4, 40
-MOST_LABELLED, DIMENSION = 6_000, 1 << 16
+MOST_LABELLED, MOST_CHARS, DIMENSION = 6_000, 60_000_000, 1 << 17
+#: Features of a document in the second model.
+FEATURES = 23
 _RIDGE, _STEPS, _RATE = 2e-4, 60, 0.5
 _STOPS = ".!?…؟۔"
 
@@ -78,23 +85,51 @@ class Sentences:
         self.commas = comma[e[stop]] - comma[s[self.begin]] if len(self.begin) else np.empty(0, np.int64)
         kind = script[cp[s]] if len(s) else np.empty(0, np.uint8)
         self.script = kind[self.begin] if len(self.begin) else np.empty(0, np.uint8)
-        head = kernel.span_hashes(cp, s, np.minimum(s + 3, e)) ^ np.uint64(0xA1)
-        tail = kernel.span_hashes(cp, np.maximum(e - 3, s), e) ^ np.uint64(0xB2)
-        wide = kernel.mix(np.minimum(length, 20).astype(np.uint64) * np.uint64(8) + kind) ^ np.uint64(0xC3)
-        per_word = np.stack([kernel.span_hashes(cp, s, e), head, tail, wide], 1) if len(s) else np.empty((0, 4), np.uint64)
-        self.features = (per_word & np.uint64(DIMENSION - 1)).astype(np.int64)
+        # Features are listed a distinct word: the word, its trigrams with a space at either end, its length.
+        kinds, at, self.number = np.unique(kernel.span_hashes(cp, s, e), return_index=True, return_inverse=True)
+        grams, bounds = _trigrams(cp, s[at], e[at]) if len(at) else (np.empty(0, np.uint64), np.zeros(1, np.int64))
+        wide = kernel.mix(np.minimum(length[at], 20).astype(np.uint64) * np.uint64(8) + kind[at]) ^ np.uint64(0xC3)
+        self.parts = np.concatenate([[0], np.cumsum(np.diff(bounds) + 2)]).astype(np.int64)
+        features = np.empty(self.parts[-1], np.uint64)
+        features[self.parts[:-1]], features[self.parts[:-1] + 1] = kinds, wide
+        inner = np.ones(len(features), bool)
+        inner[self.parts[:-1]] = inner[self.parts[:-1] + 1] = False
+        features[inner] = grams
+        self.features = (features & np.uint64(DIMENSION - 1)).astype(np.int64)
         bucket = np.minimum(self.size, 40).astype(np.uint64)
         own = [kernel.mix(bucket * np.uint64(8) + self.script) ^ np.uint64(0xD4), kernel.mix((bucket >> np.uint64(1)) + np.uint64(1000)) ^ np.uint64(0xE5), kernel.mix(np.minimum(self.commas, 6).astype(np.uint64) * np.uint64(8) + self.script + np.uint64(5000))]
         self.own = (np.stack(own, 1) & np.uint64(DIMENSION - 1)).astype(np.int64) if len(self.size) else np.empty((0, 3), np.int64)
 
+    @functools.cached_property
+    def share(self) -> np.ndarray:
+        """What each feature of a word counts for: the word itself and its length in full, its trigrams together as one."""
+        size = np.diff(self.parts)
+        share = np.repeat(1 / np.maximum(size - 2, 1), size)
+        share[self.parts[:-1]] = share[self.parts[:-1] + 1] = 1
+        return share.astype(np.float32)
+
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Mean of the words' weights (by root of their number) and the sentence's own."""
         if not len(self.size):
             return np.empty((0, LEVELS), np.float32)
-        total = np.add.reduceat(weights[self.features].sum(1), self.begin, axis=0)
+        words = np.add.reduceat(weights[self.features] * self.share[:, None], self.parts[:-1], axis=0)
+        total = np.add.reduceat(words[self.number], self.begin, axis=0)
         return total / np.sqrt(self.size)[:, None] + weights[self.own].sum(1)
 
 
+def _trigrams(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the trigrams of each span, padded with a space at either end, and where each span's begin."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 2)])
+    flat = np.full(at[-1] + 2, 32, np.uint64)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    flat[np.repeat(at[:-1] + 1, size) + inner] = cp[np.repeat(starts, size) + inner]
+    grams = kernel.mix(flat[:-2] + flat[1:-1] * np.uint64(0x1F123BB5) + flat[2:] * np.uint64(0x3C6EF372FE94F82B)) ^ np.uint64(0xA1)
+    keep = np.ones(at[-1], bool)
+    keep[at[1:] - 1] = keep[at[1:] - 2] = False  # those that go over a span's end
+    return grams[keep], np.concatenate([[0], np.cumsum(size)])
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -105,18 +140,22 @@ def _fit_sentences(s: Sentences, target: np.ndarray) -> np.ndarray:
     weights = np.zeros((DIMENSION, LEVELS), np.float32)
     if not len(s.size):
         return weights
-    scale = np.repeat(1 / np.sqrt(s.size), s.size)
-    index = np.concatenate([s.features.ravel(), s.own.ravel()])
-    sentence = np.concatenate([np.repeat(np.repeat(np.arange(len(s.size)), s.size), 4), np.repeat(np.arange(len(s.size)), 3)])
-    factor = np.concatenate([np.repeat(scale, 4), np.ones(s.own.size)]).astype(np.float32)
+    scale = np.repeat(1 / np.sqrt(s.size), s.size)[:, None].astype(np.float32)
+    owner = np.repeat(np.arange(len(s.size)), s.size)
+    tokens = np.argsort(s.number, kind="stable")
+    first = np.flatnonzero(np.diff(s.number[tokens], prepend=-1))
+    index = np.concatenate([s.features, s.own.ravel()])
+    factor = np.concatenate([s.share, np.ones(s.own.size, np.float32)])[:, None]
     order = np.argsort(index, kind="stable")
-    index, sentence, factor = index[order], sentence[order], factor[order]
-    begin = np.flatnonzero(np.diff(index, prepend=-1))
-    used = index[begin]
+    begin = np.flatnonzero(np.diff(index[order], prepend=-1))
+    used = index[order][begin]
     squares = np.full((len(used), LEVELS), 1e-8, np.float32)
+    words = np.repeat(np.arange(len(s.parts) - 1), np.diff(s.parts))
     for _ in range(_STEPS):
         wrong = (softmax(s.logits(weights)) - target).astype(np.float32) / len(s.size)
-        step = np.add.reduceat(wrong[sentence] * factor[:, None], begin, axis=0) + _RIDGE * weights[used] / len(used)
+        by_word = np.add.reduceat((wrong[owner] * scale)[tokens], first, axis=0)
+        each = np.concatenate([by_word[words], np.repeat(wrong, 3, axis=0)]) * factor
+        step = np.add.reduceat(each[order], begin, axis=0) + _RIDGE * weights[used] / len(used)
         squares += step**2
         weights[used] -= _RATE * 0.2 * step / np.sqrt(squares)
     return weights
@@ -154,32 +193,35 @@ class Model:
     """Sentence weights (of two halves of the labelled documents) and the document model."""
 
     def __init__(self, halves: list[np.ndarray], document: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.halves, self.document = halves, document
+        # Logits are linear in the weights, so the mean of both halves' logits is that of their mean weights.
+        self.weights, self.document = np.mean(halves, axis=0).astype(np.float32), document
 
     def levels(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the probabilities of the levels, and the number of words."""
         s = Sentences(texts)
-        p = softmax((s.logits(self.halves[0]) + s.logits(self.halves[1])) / 2) if len(s.size) else np.empty((0, LEVELS))
+        p = softmax(s.logits(self.weights)) if len(s.size) else np.empty((0, LEVELS))
         w, mean, spread = self.document
         return softmax((_documents(s, p, len(texts)) - mean) / spread @ w), s.words
 
 
 def fit(texts: list[str | None], votes: np.ndarray) -> Model:
-    """The model from texts and their distributions of votes (rows that sum to one)."""
+    """The model from texts and their distributions of votes (rows that sum to one), in one process."""
     half = np.arange(len(texts)) % 2
-    weights, features = [], np.zeros((len(texts), 0))
-    for k in (0, 1):
-        own = [t for t, h in zip(texts, half) if h == k]
-        s = Sentences(own)
-        weights.append(_fit_sentences(s, votes[half == k][s.text] if len(own) else votes))
-    for k in (0, 1):
-        other = [t for t, h in zip(texts, half) if h == k]
-        s = Sentences(other)
-        x = _documents(s, softmax(s.logits(weights[1 - k])), len(other))
-        if not features.shape[1]:
-            features = np.zeros((len(texts), x.shape[1]))
-        features[half == k] = x
-    return Model(weights, _fit_documents(features, votes))
+    parts = [[t for t, h in zip(texts, half) if h == k] for k in (0, 1)]
+    weights = [fit_half(parts[k], votes[half == k]) for k in (0, 1)]
+    features = [seen_by(parts[k], weights[1 - k]) for k in (0, 1)]
+    return Model(weights, _fit_documents(np.concatenate(features), np.concatenate([votes[half == k] for k in (0, 1)])))
+
+
+def fit_half(texts: list[str | None], votes: np.ndarray) -> np.ndarray:
+    s = Sentences(texts)
+    return _fit_sentences(s, votes[s.text] if len(texts) else votes)
+
+
+def seen_by(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """The document features of texts by a sentence model that did not see them."""
+    s = Sentences(texts)
+    return _documents(s, softmax(s.logits(weights)), len(texts))
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -188,14 +230,35 @@ def votes(labels: DataFrame) -> DataFrame:
     return valid.groupBy("doc_id").agg(*[F.avg((F.col("level") == k).cast("double")).alias(f"v{k}") for k in range(1, LEVELS + 1)])
 
 
-def fit_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
-    """The model from at most ``most`` labelled documents; None without any."""
+def fit_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, characters: int = MOST_CHARS) -> Model | None:
+    """The model from at most ``most`` labelled documents of ``characters`` characters together; None without any.
+
+    Repeated documents count once, by their longest text.
+    """
+    marks = [f"v{k}" for k in range(1, LEVELS + 1)]
     chosen = votes(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select(F.col("doc_id").cast("long"), "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: (r.doc_id * 2654435761) & 0xFFFFFFFF)
-    if not rows:
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", *marks).agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample only
+    kept = rows.select("doc_id", F.length("text").alias("n")).select("doc_id", (F.row_number().over(order) % 2).alias("half"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far")).where(F.col("so_far") <= characters)
+    sample = stage(rows.join(F.broadcast(kept.select("doc_id", "half")), "doc_id"), "labelled")
+
+    def each(work) -> list:
+        """``work`` on the texts and votes of each half, in a task of its own: (half, what it gives)."""
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("doc_id")
+            return pd.DataFrame({"half": [key[0]], "data": [work(int(key[0]), pdf["text"].tolist(), pdf[marks].to_numpy())]})
+
+        return sample.groupBy("half").applyInPandas(run, "half int, data binary").collect()
+
+    weights = {r.half: np.frombuffer(r.data, np.float32).reshape(DIMENSION, LEVELS) for r in each(lambda half, texts, v: fit_half(texts, v).tobytes())}
+    if not weights:
         return None
-    return fit([r.text for r in rows], np.array([[r[f"v{k}"] for k in range(1, LEVELS + 1)] for r in rows]))
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    seen = each(lambda half, texts, v: np.hstack([seen_by(texts, shared.value.get(1 - half, shared.value[half])), v]).astype(np.float64).tobytes())
+    table = np.concatenate([np.frombuffer(r.data).reshape(-1, FEATURES + LEVELS) for r in sorted(seen, key=lambda r: r.half)])
+    return Model([weights[h] for h in sorted(weights)], _fit_documents(table[:, :FEATURES], table[:, FEATURES:]))
 
 
 def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

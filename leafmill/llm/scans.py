@@ -492,21 +492,6 @@ def page_number(line: str) -> bool:
 _LABEL_BONES = {skeleton(x) for x in LABELS}
 
 
-def masked(line: str) -> str:
-    """A header's key: letters only, lower case, as a skeleton; digits and dress are dropped."""
-    return skeleton("".join(c for c in line.lower() if c.isalpha()))
-
-
-def _title_like(s: str) -> bool:
-    """Whether the line may be a title: few words, and the first one with case is capitalised."""
-    words = re.findall(r"[^\W\d_]\S*", s)
-    cased = [w for w in words if w[0].lower() != w[0].upper()]
-    return 0 < len(words) <= 9 and (not cased or cased[0][0].isupper())
-
-
-_LABEL_BONES = {skeleton(x) for x in LABELS}
-
-
 def masked(line: str) -> str:
     """A header's key: letters only, lower case, as a skeleton; digits and dress are dropped."""
     return skeleton("".join(c for c in line.lower() if c.isalpha()))

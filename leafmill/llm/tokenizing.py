@@ -5,7 +5,7 @@
    distinct pre-tokens. That is the exploded (word, position) relation, aggregated before any shuffle.
 2. The distinct words of all blocks meet in one shuffle on the word; each is encoded once.
 3. The ids go back to the blocks that hold the word (a join on the word; a word has at most one row
-   a block, so even the most frequent one is no hotter than the number of blocks, and narrow).
+   a block, and where blocks are very many each word's rows are spread over several keys).
 4. Each block is put together by position from its own words' ids.
 
 Blocks and words are written to the shared folder first, so that a lost executor never repeats
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from leafmill.work import stage
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 MOST_TOKENS = 300_000
+#: Blocks in which a word may occur before its rows are spread over several keys.
+MOST_BLOCKS = 100_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: The suffixes that the pattern splits off after an apostrophe.
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -108,10 +111,10 @@ def pre_tokens(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 @functools.lru_cache(4)
-def _encoder(folder: str, name: str):
+def _encoder(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(f"{folder}/{name}.json")
+    tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return tokenizer
 
@@ -162,10 +165,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_words(words: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
-    """(word, ids) of each distinct word: one call of the tokenizer a word in the whole corpus."""
+    """(word, ids) of each distinct word: one call of the tokenizer a word in the whole corpus.
+
+    The vocabulary file is read on the driver and shipped to the executors.
+    """
+    words.sparkSession.sparkContext.addFile(f"{folder}/{name}.json")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _encoder(folder, name)
+        tokenizer = _encoder(SparkFiles.get(f"{name}.json"))
         for pdf in batches:
             found = tokenizer.encode_batch(pdf["word"].tolist(), add_special_tokens=False)
             yield pd.DataFrame({"word": pdf["word"], "ids": [x.ids for x in found]})
@@ -199,7 +206,11 @@ def encode_corpus(documents: DataFrame, folder: str = FOLDER, name: str = NAME)
     blocks = stage(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks, _BLOCK), "token-blocks")
     entries = blocks.select("block", F.posexplode("words").alias("place", "word"))
     ids = encode_words(entries.select("word").distinct(), folder, name)
-    back = entries.join(ids, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("entries"))
+    salts = 1 + blocks.select("block").count() // MOST_BLOCKS
+    if salts > 1:
+        entries = entries.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+        ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    back = entries.join(ids, ["word"] + ["salt"] * (salts > 1)).groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("entries"))
     full = blocks.select("block", "numbers", "counts", "docs").join(back, "block", "left")
     full = full.select("numbers", "counts", "docs", F.coalesce("entries", F.expr("cast(array() as array<struct<place int, ids array<int>>>)")).alias("entries"))
     return full.mapInArrow(_reassemble, "doc_id long, ids array<int>")

@@ -63,6 +63,27 @@ def test_viterbi_is_optimal(model):
         assert cost(label[at : at + n].tolist(), at) == pytest.approx(best, abs=1e-3)
 
 
+def test_lanes_change_nothing(model, monkeypatch):
+    texts = [" ".join([TEXT["id"], TEXT["fr"], TEXT["ar"], TEXT["en"]] * 9), None, TEXT["tr"], "", TEXT["ur"] * 20 + "\n" + TEXT["ru"] * 7]
+    whole = model.decode(texts)[1]
+    for lane in (5, 17, 64):
+        monkeypatch.setattr(lang, "LANE", lane)
+        assert np.array_equal(whole, model.decode(texts)[1])
+
+
+def test_other_languages(spark, model):
+    # The toy model knows few words, so a text of a known language repeats its words.
+    other = "Der alte Fischer kannte jeden Winkel seiner kleinen Bucht und erzählte abends gern davon, während draußen Wellen gegen schwarze Felsen schlugen."
+    greek = "Ο γέρος ψαράς γνώριζε κάθε γωνιά του μικρού κόλπου του και το βράδυ του άρεσε να διηγείται ιστορίες."
+    s = model.spans([TEXT["en"] * 3, greek, other])
+    names = [*lang.LANGUAGES, lang.OTHER]
+    letters = {i: {names[k]: int(s["letters"][(s["text"] == i) & (s["language"] == k)].sum()) for k in range(lang.STATES)} for i in range(3)}
+    assert max(letters[0], key=letters[0].get) == "en" and max(letters[1], key=letters[1].get) == lang.OTHER and max(letters[2], key=letters[2].get) == lang.OTHER
+    p = spark.createDataFrame([("b", 1, greek, dt.datetime(2024, 1, 1))], "book_id string, page_num int, content string, updated_at timestamp_ntz")
+    b = spark.createDataFrame([("b", "en", dt.datetime(2024, 1, 1))], "book_id string, language string, updated_at timestamp_ntz")
+    assert lang.mislabelled(p, b, model).count() == 0 and lang.book_languages(p, b, model).first().language == lang.OTHER
+
+
 def test_label(spark):
     given = ["id", "EN_Latn", "fr-XA", "und", "", None, "  ", "unknown", "ar-001", "ms", " id"]
     df = spark.createDataFrame([(x,) for x in given], "language string").select(lang.label(lang.F.col("language")).alias("l"))
@@ -86,7 +107,8 @@ def test_found(spark, model):
 def test_tables(spark, sf):
     pages, books = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/books.parquet")
     model = lang.fit_pages(pages, books)
-    assert len(model.hashes) <= lang.MOST_WORDS
+    assert 0.1 <= model.scale <= 2 and np.array_equal(model.hashes, lang.fit_pages(pages, books).hashes)
+    assert lang.fit_pages(pages.limit(0), books).hashes.size == 0
     rows = [r for r in lang.book_languages(pages, books, model).collect() if r.label in CODE and r.language]
     # Most labels are right, so most books must come out with theirs.
     assert np.mean([r.label == r.language for r in rows]) > 0.7

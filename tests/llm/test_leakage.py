@@ -51,7 +51,7 @@ def test_against_brute_force(spark, sf):
         a = rng.randint(0, max(0, len(words) - 12))
         part = words[a : a + rng.choice([11, 12, 13])]
         docs.append((200 + k, text(4) + " " + rng.choice(["­ ", "&nbsp;", ", "]).join(part).upper() + " " + text(4)))
-    docs += docs[:5]
+    docs += docs[:5] + [(None, items_text), (None, "kata b")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "'z' as words")
     tests = spark.createDataFrame(items, "item_id long, passage string")
     want = brute(docs, items)

@@ -23,13 +23,13 @@ def cut(texts):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=12).map("".join), min_size=1, max_size=8))
 def test_pre_tokens(texts):
-    reference = tokenizing._encoder(tokenizing.FOLDER, tokenizing.NAME).pre_tokenizer
+    reference = tokenizing._encoder(f"{tokenizing.FOLDER}/{tokenizing.NAME}.json").pre_tokenizer
     for text, words in zip(texts, cut(texts)):
         assert words == [text[a:b] for _, (a, b) in reference.pre_tokenize_str(text)]
 
 
 def test_every_kind_of_character():
-    reference = tokenizing._encoder(tokenizing.FOLDER, tokenizing.NAME).pre_tokenizer
+    reference = tokenizing._encoder(f"{tokenizing.FOLDER}/{tokenizing.NAME}.json").pre_tokenizer
     texts = [f"a{chr(c)}1{chr(c)} {chr(c)}!" for c in [*range(0x3000), *range(0xA000, 0xD800), *range(0xE000, 0x20000)] if c % 3 == 0]
     for text, words in zip(texts, cut(texts)):
         assert words == [text[a:b] for _, (a, b) in reference.pre_tokenize_str(text)], hex(ord(text[1]))
@@ -42,7 +42,7 @@ def test_corpus(spark, sf):
     extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(odd)] + [(10**9, "again"), (None, "no id")], "doc_id long, text string")
     both = docs.unionByName(extra).selectExpr("*", "1 as block", "'x' as words", "2 as ids")
     want = both.select("doc_id", "text").collect()
-    tokenizer = tokenizing._encoder(tokenizing.FOLDER, tokenizing.NAME)
+    tokenizer = tokenizing._encoder(f"{tokenizing.FOLDER}/{tokenizing.NAME}.json")
     expected = sorted((str(r.doc_id), tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in want)
     got = tokenizing.encode_corpus(both)
     assert sorted((str(r.doc_id), list(r.ids)) for r in got.collect()) == expected
