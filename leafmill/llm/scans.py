@@ -1,6 +1,7 @@
 """Noise in text from scanned pages: headers, page numbers, cut words, misread characters.
 
-1. The current pages are written once in blocks of about a million characters.
+1. The current pages are read once and written in blocks of about a million characters, as numbers of
+   tokens, with what can be said of their lines without knowing the corpus.
 2. Words are counted a block before the shuffle and grouped by their *skeleton*, in which glyphs that
    scanners confuse are the same. In each group the frequent forms stand; a form that is rarer by
    ``RATIO`` is a misreading. Context chooses among standing forms: what follows the word before most
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import strip
 from leafmill.llm import kernel
 from leafmill.tables import current_rows, updated
 from leafmill.work import stage
@@ -47,8 +48,8 @@ LEAST_CONTEXT, OPEN = 50, 5.0
 FEW = 8
 #: Pages in a block; blocks in which a word may occur before its rows are spread over several keys.
 MOST_PAGES, MOST_BLOCKS = 1 << 16, 100_000
-#: Letters in which a damaged header may differ from a whole one; in short ones a single letter.
-NEAR, SHORT_HEADER = 3, 8
+#: Header keys of one side that are compared at once; letters in which a damaged header may differ from a whole one; in short ones a single letter.
+CELL, NEAR, SHORT_HEADER = 100_000, 3, 8
 
 #: Glyphs that are misread, as (read, meant).
 CONFUSED = (
@@ -168,11 +169,6 @@ class Tokens:
         """The line within its text, from 0, on which each token begins."""
         return self.feeds[self.start] - self.feeds[self.begin][self.text]
 
-    def after(self, words: np.ndarray) -> np.ndarray:
-        """Whether the token before each one, close by, has one of these hashes."""
-        own = _within(self.hash, words)
-        return np.concatenate([[False], own[:-1]]) & self.close if len(own) else own
-
     def string(self, i: int) -> str:
         return self.cp[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -190,28 +186,45 @@ def _hashes(words: list[str]) -> np.ndarray:
     return kernel.span_hashes(cp, starts, ends)
 
 
-# --- The current pages, in blocks
+# --- The current pages, as blocks of tokens
+
+_USE = "struct<word:string,before:string,uses:double,rare:double>"
+_LINE = "struct<i:int,line:int,kind:string,key:string,start:int,size:int>"
+_CUT = "struct<i:int,line:int,next:int,a:string,b:string,hyphen:boolean,at:int,to:int>"
+_WORD, _CUTS, _REST, _CLOSE, _SURE = 1, 2, 4, 8, 16
 
 
-def current_blocks(pages: DataFrame) -> DataFrame:
-    """block, books, nums, shares, texts: the current pages' contents in blocks of about a million characters.
+def _kept(pages: DataFrame) -> DataFrame:
+    """book_id, page_num, share, content of the current pages, as they lie in the scan.
 
     Only keys that come back are settled by a join: the small table of those keys holds their last
     time and a hash of the content, and the contents stay in their scan where it can be broadcast.
-    Equal copies have a share of the page each; ``_dropped`` names all but one of them.
+    Equal copies have a share of the page each; ``_copies`` names all but one of them.
     """
     rows = pages.select("book_id", "page_num", updated().alias("at"), F.col("content").cast("string").alias("content"))
-    kind = rows.schema["page_num"].dataType.simpleString()
     seen = rows.select("book_id", "page_num", "at", F.xxhash64("content").alias("print")).groupBy("book_id", "page_num", "at", "print").agg(F.count("*").alias("n"))
     last = seen.groupBy("book_id", "page_num").agg(F.sum("n").alias("rows"), F.max(F.struct("at", "print", "n")).alias("last")).where("rows > 1")
     again = stage(last.select(F.col("book_id").alias("b"), F.col("page_num").alias("p"), "last"), "again")
     same = F.col("book_id").eqNullSafe(F.col("b")) & F.col("page_num").eqNullSafe(F.col("p"))
     kept = rows.join(again, same, "left").where("last IS NULL OR (at = last.at AND xxhash64(content) = last.print)")
-    kept = kept.select("book_id", "page_num", F.coalesce(1.0 / F.col("last.n"), F.lit(1.0)).alias("share"), "content")
-    return stage(kept.mapInArrow(_block, f"block long, books array<string>, nums array<{kind}>, shares array<double>, texts array<string>"), "page-blocks")
+    return kept.select("book_id", "page_num", F.coalesce(1.0 / F.col("last.n"), F.lit(1.0)).alias("share"), "content")
+
+
+def token_blocks(pages: DataFrame) -> DataFrame:
+    """The current pages in blocks of about a million characters, each one row, written once.
+
+    block, books, nums, shares: the pages; words, numbers, flags, places, starts, sizes, counts: the
+    distinct tokens and, a token, its number among them, its flags, line and place in the text, and the
+    tokens of each page; uses: the words to count; lines: what is noise, or may be, without knowing
+    the corpus; cuts: lines that end inside a word. All that comes after reads this table, not the texts.
+    """
+    kept = _kept(pages)
+    kind = kept.schema["page_num"].dataType.simpleString()
+    schema = f"block long, books array<string>, nums array<{kind}>, shares array<double>, words array<string>, numbers binary, flags binary, places binary, starts binary, sizes binary, counts binary, uses array<{_USE}>, lines array<{_LINE}>, cuts array<{_CUT}>"
+    return stage(kept.mapInArrow(_read, schema), "token-blocks")
 
 
-def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     first, serial = TaskContext.get().partitionId() << 36, 0
@@ -220,23 +233,105 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in kernel.blocks(texts):
             for c in range(a, b, MOST_PAGES):
                 part = batch.slice(c, min(MOST_PAGES, b - c))
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(i)])) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array([first + serial * MOST_PAGES], pa.int64()), *lists], ["block", "books", "nums", "shares", "texts"])
+                own = encoded(texts[c : c + part.num_rows], part.column(2).to_numpy())
+                lists = [_listed(pa.concat_arrays([part.column(i)])) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([first + serial * MOST_PAGES], pa.int64()), *lists, *own.values()], ["block", "books", "nums", "shares", *own])
                 serial += 1
 
 
-def _dropped(blocks: DataFrame) -> DataFrame:
-    """block, word: the places in their blocks of all but one of equal copies."""
-    each = blocks.where(F.exists("shares", lambda x: x < 1)).select("block", F.posexplode(F.arrays_zip("books", "nums", "shares")).alias("i", "x")).where("x.shares < 1")
-    order = Window.partitionBy("x.books", "x.nums").orderBy("block", "i")
-    return each.withColumn("n", F.row_number().over(order)).where("n > 1").select("block", F.col("i").cast("string").alias("word"))
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-# --- Counting words, learning what stands and what is misread
+def _structs(rows: list[tuple], fields: str) -> pa.Array:
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    names = [f.split(":") for f in fields[fields.index("<") + 1 : -1].split(",")]
+    return _listed(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(names)], [n for n, _ in names]))
+
+
+def _small(values: np.ndarray) -> pa.Array:
+    """Integers, as they are narrowest: the first byte is their width."""
+    most = int(values.max()) if len(values) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return pa.array([bytes([width]) + values.astype(f"<u{width}").tobytes()], pa.binary())
 
 
-def _cuts(lines: list[str], skip: set[int]) -> list[tuple[int, int, str, str]]:
-    """(line, next line, what is before the mark, what comes after) of the lines that end inside a word."""
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
+    """The columns of a block that ``token_blocks`` describes."""
+    t = Tokens(texts)
+    _, first, number, size = np.unique(t.hash, return_index=True, return_inverse=True, return_counts=True)
+    words = [t.string(i) for i in first]
+    start, length = t.start - t.begin[t.text], t.end - t.start
+    sure: dict[int, set[int]] = {}
+    lines: list[tuple] = []
+    cuts: list[tuple] = []
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        if not text.isascii() and len(text.lower()) != len(text):
+            # Lower case may be longer; places are those in the text as it is.
+            place, own = np.cumsum([0] + [len(c.lower()) for c in text]), t.text == k
+            end = np.searchsorted(place, start[own] + length[own])
+            start[own] = np.searchsorted(place, start[own])
+            length[own] = end - start[own]
+        split = text.split("\n")
+        edge = edges(split)
+        lines += [(k, i, kind, key, None, None) for i, kind, key in edge]
+        sure[k] = {i for i, kind, _ in edge if not kind.startswith("header?")}
+        if _AT_END.search(text):
+            cuts += [(k, *cut) for cut in _cuts(split, {i for i, _, _ in edge})]
+    certain = np.fromiter((i in sure.get(k, ()) for k, i in zip(t.text.tolist(), t.line.tolist())), bool, len(t.text)) if any(sure.values()) else np.zeros(len(t.text), bool)
+    odd = np.flatnonzero(t.odd & ~t.cut & ~t.rest & ~certain)
+    bad = {(k, i) for k, i in zip(t.text[odd].tolist(), t.line[odd].tolist())}
+    for k, a, b in _specks(t):
+        at = a - int(t.begin[k])
+        lines.append((k, int(t.feeds[a] - t.feeds[t.begin[k]]), "speck", None, at, b - a))
+        if lines[-1][1] not in sure.get(k, ()):
+            bad.add((k, lines[-1][1]))
+    lines += [(k, i, "misread", None, None, None) for k, i in sorted(bad)]
+    flags = t.word * _WORD + t.cut * _CUTS + t.rest * _REST + t.close * _CLOSE + certain * _SURE
+    counts = np.bincount(t.text, minlength=len(texts)) if len(t.text) else np.zeros(len(texts), np.int64)
+    return {
+        "words": _listed(pa.array(words, pa.string())), "numbers": _small(number), "flags": pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), "places": _small(t.line), "starts": _small(start), "sizes": _small(length),
+        "counts": _small(counts), "uses": _structs(_uses(t, words, number, size, shares, cuts), _USE), "lines": _structs(lines, _LINE), "cuts": _structs(cuts, _CUT),
+    }
+
+
+def _uses(t: Tokens, words: list[str], number: np.ndarray, size: np.ndarray, shares: np.ndarray, cuts: list[tuple]) -> list[tuple]:
+    """(word, word before, uses, rare uses) of a block; compounds are skeletons with a hyphen.
+
+    Words that are rare in the block have a row for each word close before them; the rare uses are those of
+    words that occur twice at most. Words that are cut at a line's end have no uses, but are listed.
+    """
+    ok = np.flatnonzero(t.word & ~t.cut & ~t.rest)
+    own, share = number[ok], shares[t.text[ok]]
+    size = np.bincount(own, minlength=len(words))
+    uses = np.bincount(own, share, len(words))
+    rows = [(words[i], None, float(uses[i]), 0.0) for i in np.flatnonzero(size > FEW).tolist()]
+    few = ok[size[own] <= FEW]
+    before = np.where(t.close[few], number[np.maximum(few - 1, 0)], -1)
+    pair = number[few] * (len(words) + 1) + before + 1
+    _, at, which = np.unique(pair, return_index=True, return_inverse=True)
+    total = np.bincount(which, shares[t.text[few]], len(at))
+    for i, b, n in zip(number[few][at].tolist(), before[at].tolist(), total.tolist()):
+        rows.append((words[i], words[b] if b >= 0 else None, n, n if size[i] <= 2 else 0.0))
+    if len(t.start) > 1:
+        gap = np.flatnonzero((t.start[1:] - t.end[:-1] == 1) & (t.cp[np.minimum(t.end[:-1], len(t.cp) - 1)] == 45) & t.word[1:] & t.word[:-1])
+        _, at, which = np.unique(number[gap] * len(words) + number[gap + 1], return_index=True, return_inverse=True)
+        total = np.bincount(which, shares[t.text[gap]], len(at))
+        rows += [(_compound(words[number[i]], words[number[i + 1]]), None, n, 0.0) for i, n in zip(gap[at].tolist(), total.tolist())]
+    for _, _, _, a, b, *_ in cuts:
+        if a and b:
+            rows += [(a + b, None, 0.0, 0.0), (_compound(a, b), None, 0.0, 0.0)]
+    return rows
+
+
+def _cuts(lines: list[str], skip: set[int]) -> list[tuple[int, int, str, str, bool, int, int]]:
+    """(line, next line, what is before the mark, what comes after, whether the mark is a hyphen, places of both) of the lines that end inside a word."""
     out = []
     for i, line in enumerate(lines):
         s = line.rstrip()
@@ -246,8 +341,11 @@ def _cuts(lines: list[str], skip: set[int]) -> list[tuple[int, int, str, str]]:
         while j < len(lines) and (j in skip or not lines[j].strip()):
             j += 1
         a = _TOKEN.findall(s[:-1].lower())
-        b = _TOKEN.match(lines[j].strip().lower()) if j < len(lines) else None
-        out.append((i, j, a[-1] if a else "", b.group() if b else ""))
+        after = lines[j].lstrip() if j < len(lines) else ""
+        b = _TOKEN.match(after.lower())
+        offset = lambda n: sum(len(x) + 1 for x in lines[:n])
+        head = a[-1] if a else ""
+        out.append((i, j, head, b.group() if b else "", s[-1] == "-", offset(i) + len(s) - 1 - len(head), offset(j) + len(lines[j]) - len(after) if after else 0))
     return out
 
 
@@ -255,48 +353,26 @@ def _compound(a: str, b: str) -> str:
     return f"{skeleton(a)}-{skeleton(b)}"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: its words (compounds as skeletons with a hyphen) with their uses.
+def _specks(t: Tokens) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) of signs that stand alone and have no business there."""
+    white = _tables()["white"][t.cp]
+    start, end = kernel.runs(~white)
+    plain = np.concatenate([[0], np.cumsum(_tables()["plain"][t.cp])])
+    for i in np.flatnonzero((end - start <= 3) & (plain[end] == plain[start])).tolist():
+        s = t.cp[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        if set(s) <= _ALONE or s in _PLAIN:
+            continue
+        yield int(np.searchsorted(t.begin, start[i], side="right")) - 1, int(start[i]), int(end[i])
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """block, i: the places in their blocks of all but one of equal copies."""
+    each = blocks.where(F.exists("shares", lambda x: x < 1)).select("block", F.posexplode(F.arrays_zip("books", "nums", "shares")).alias("i", "x")).where("x.shares < 1")
+    order = Window.partitionBy("x.books", "x.nums").orderBy("block", "i")
+    return each.withColumn("n", F.row_number().over(order)).where("n > 1").select("block", "i")
 
-    Words that are rare in the block have a row for each word before them; ``rare`` counts the uses of
-    those that occur twice at most. Words that are cut at a line's end have no uses, but are listed.
-    """
-    for batch in batches:
-        for k in range(batch.num_rows):
-            shares, texts = batch.column(2)[k].values.to_numpy(), batch.column(1)[k].as_py()
-            t = Tokens(texts)
-            ok = np.flatnonzero(t.word & ~t.cut & ~t.rest)
-            kinds, first, number, size = np.unique(t.hash[ok], return_index=True, return_inverse=True, return_counts=True)
-            names = [t.string(i) for i in ok[first]]
-            share = shares[t.text[ok]]
-            often = size > FEW
-            uses = np.bincount(number, share, len(kinds))
-            rows = [(names[i], None, uses[i], 0.0) for i in np.flatnonzero(often).tolist()]
-            few = np.flatnonzero(~often[number])
-            before = np.where(t.close[ok[few]], t.hash[np.maximum(ok[few] - 1, 0)], np.uint64(0))
-            _, at, which = np.unique(kernel.mix(before) + number[few].astype(np.uint64), return_index=True, return_inverse=True)
-            total = np.bincount(which, share[few], len(at))
-            for i, n, b in zip(few[at].tolist(), total.tolist(), before[at].tolist()):
-                rows.append((names[number[i]], t.string(ok[i] - 1) if b else None, n, n if size[number[i]] <= 2 else 0.0))
-            if len(t.start) > 1:
-                gap = np.flatnonzero((t.start[1:] - t.end[:-1] == 1) & (t.cp[np.minimum(t.end[:-1], len(t.cp) - 1)] == 45) & t.word[1:] & t.word[:-1])
-                _, at, which = np.unique(kernel.mix(t.hash[gap]) + t.hash[gap + 1], return_index=True, return_inverse=True)
-                total = np.bincount(which, shares[t.text[gap]], len(at))
-                rows += [(_compound(t.string(i), t.string(i + 1)), None, n, 0.0) for i, n in zip(gap[at].tolist(), total.tolist())]
-            for text in texts:
-                if text and _AT_END.search(text):
-                    lines = text.split("\n")
-                    for _, _, a, b in _cuts(lines, {i for i, _, _ in edges(lines)}):
-                        if a and b:
-                            rows += [(a + b, None, 0.0, 0.0), (_compound(a, b), None, 0.0, 0.0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], x) for i, x in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64()))]], ["block", "word", "before", "uses", "rare"]
-            )
-
-
-def word_rows(blocks: DataFrame) -> DataFrame:
-    """block, word, before, uses, rare: the words of each block, as ``_count`` lists them."""
-    return blocks.select("block", "texts", "shares").mapInArrow(_count, "block long, word string, before string, uses double, rare double")
+
+# --- Counting words, learning what stands and what is misread
 
 
 def word_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,55 +446,43 @@ def misread_names(counts: DataFrame) -> DataFrame:
 
 # --- Each block's own lexicon
 
-_WRONG, _NAME, _COMPOUND, _CONTEXT, _CHOICE, _COPY = range(6)
-
-
-class Lexicon:
-    """What a block needs to know of its words: wrong forms, wrong names, compounds, what names follow, choices."""
-
-    def __init__(self, entries: list[dict]):
-        own = lambda kind: [e for e in entries if e["kind"] == kind]
-        self.words = {e["word"]: e["meant"] for e in own(_WRONG)}
-        self.names = {e["word"]: e["meant"] for e in own(_NAME)}
-        self.compounds = {e["word"] for e in own(_COMPOUND)}
-        self.contexts = [e["word"] for e in own(_CONTEXT)]
-        #: What a form means after the word before it, where that differs from its own.
-        self.choices = {(e["before"], e["word"]): e["meant"] for e in own(_CHOICE)}
-        self.copies = {int(e["word"]) for e in own(_COPY)}
-        table = lambda x: np.sort(_hashes(list(x)))
-        self.word_hashes, self.name_hashes, self.context_hashes = table(self.words), table(self.names), table(self.contexts)
-        pairs = list(self.choices)
-        self.pair_hashes = np.sort(kernel.mix(_hashes([b for b, _ in pairs])) + _hashes([w for _, w in pairs]))
-
-    def flagged(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens that are misread, tokens after a context of names)."""
-        named = t.after(self.context_hashes)
-        whole = ~t.cut & ~t.rest
-        wrong = t.word & _within(t.hash, self.word_hashes)
-        if len(self.pair_hashes) and len(t.hash):
-            pair = np.concatenate([np.zeros(1, np.uint64), kernel.mix(t.hash[:-1]) + t.hash[1:]])
-            wrong |= t.word & t.close & _within(pair, self.pair_hashes)
-        return (wrong & ~named & whole) | (named & _within(t.hash, self.name_hashes) & ~t.cut), named
-
-    def right(self, word: str, before: str | None, named: bool) -> str:
-        if named:
-            return self.names.get(word, word)
-        return self.choices.get((before, word)) or self.words.get(word, word)
+_WRONG, _NAME, _COMPOUND, _CONTEXT, _CHOICE = range(5)
+
+
+class Block:
+    """A block's tokens, as a row of ``token_blocks`` has them."""
+
+    def __init__(self, words: list[str], numbers: bytes, flags: bytes, counts: bytes):
+        self.words, self.number, self.flags = words, _wide(numbers), np.frombuffer(flags, np.uint8)
+        self.page = np.repeat(np.arange(len(_wide(counts))), _wide(counts))
+        self.close = (self.flags & _CLOSE) > 0
+        self.index = {w: i for i, w in enumerate(words)}
+
+    def listed(self, words: list[str]) -> np.ndarray:
+        """Which of the distinct tokens are among ``words``."""
+        mask = np.zeros(len(self.words) + 1, bool)
+        mask[[self.index[w] for w in words if w in self.index]] = True
+        return mask
+
+    def before(self) -> np.ndarray:
+        """The number of the token close before each token; one past the last number without one."""
+        out = np.full(len(self.number), len(self.words))
+        out[1:] = np.where(self.close[1:], self.number[:-1], len(self.words))
+        return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: each listed word with the words close before it, and how often."""
     for batch in batches:
         for k in range(batch.num_rows):
-            wanted = batch.column(3)[k].as_py()
-            if not wanted:
-                continue
-            t, shares = Tokens(batch.column(1)[k].as_py()), batch.column(2)[k].values.to_numpy()
-            at = np.flatnonzero(_within(t.hash, np.sort(_hashes(wanted))) & t.close & t.word)
-            _, first, which = np.unique(kernel.mix(t.hash[at - 1]) + t.hash[at], return_index=True, return_inverse=True)
-            n = np.bincount(which, shares[t.text[at]], len(first))
-            first = at[first].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(first), pa.int64()), pa.array([t.string(i - 1) for i in first], pa.string()), pa.array([t.string(i) for i in first], pa.string()), pa.array(n, pa.float64())], ["block", "before", "word", "n"])
+            block, shares, words, numbers, flags, counts, wanted = (batch.column(i)[k].as_py() for i in range(7))
+            own = Block(words, numbers, flags, counts)
+            before = own.before()
+            at = np.flatnonzero(own.listed(wanted)[own.number] & (before < len(words)) & ((own.flags & _WORD) > 0))
+            _, first, which = np.unique(before[at] * len(words) + own.number[at], return_index=True, return_inverse=True)
+            n = np.bincount(which, np.array(shares)[own.page[at]], len(first))
+            first = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(first), pa.int64()), *[pa.array([words[i] for i in x[first]], pa.string()) for x in (before, own.number)], pa.array(n, pa.float64())], ["block", "before", "word", "n"])
 
 
 def choices(pairs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -443,14 +507,13 @@ def _found_in(words: DataFrame, table: DataFrame, salts: int) -> DataFrame:
     return words.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(spread, ["word", "salt"]).drop("salt")
 
 
-def with_lexicons(blocks: DataFrame) -> DataFrame:
-    """The blocks with ``entries``: what their own words are, may mean, and what is left out.
+def lexicons(blocks: DataFrame) -> DataFrame:
+    """block, entries: what each block's own words are and may mean.
 
     Everything is joined on words; a block gets entries of its own words only, so neither the driver
-    nor a task holds the lexicon of the corpus. The blocks meet their entries in a join on the block,
-    which broadcasts the entries only where their staged size allows it.
+    nor a task holds the lexicon of the corpus.
     """
-    rows = stage(word_rows(blocks), "words")
+    rows = stage(blocks.select("block", F.explode("uses").alias("u")).select("block", "u.*"), "words")
     counts, contexts = word_counts(rows)
     counts = stage(counts, "counts")
     own = rows.select("block", "word").distinct()
@@ -458,17 +521,17 @@ def with_lexicons(blocks: DataFrame) -> DataFrame:
     forms = stage(misreadings(counts), "forms")
     ambiguous = forms.groupBy("bones").agg(F.count_if("standing").alias("n")).where("n > 1").select("bones")
     listed = _found_in(own, forms.join(ambiguous, "bones", "left_semi").select("word"), salts).groupBy("block").agg(F.collect_set("word").alias("wanted"))
-    pairs = stage(blocks.select("block", "texts", "shares").join(stage(listed, "listed"), "block").mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
+    tokens = blocks.select("block", "shares", "words", "numbers", "flags", "counts").join(stage(listed, "listed"), "block")
+    pairs = stage(tokens.mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
     none = F.lit(None).cast("string")
     entry = lambda df, kind, before=none, meant=none: df.select("block", F.struct(F.lit(kind).alias("kind"), "word", before.alias("before"), meant.alias("meant")).alias("e"))
     meant = F.col("meant")
     parts = [
         entry(_found_in(own, forms.where("NOT standing").select("word", "meant"), salts), _WRONG, meant=meant), entry(_found_in(own, misread_names(counts), salts), _NAME, meant=meant),
         entry(_found_in(own.where("contains(word, '-')"), counts.where(F.col("word").contains("-") & (F.col("uses") >= COMPOUND)).select("word"), salts), _COMPOUND), entry(_found_in(own, contexts, salts), _CONTEXT),
-        entry(pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]), _CHOICE, F.col("before"), meant), entry(_dropped(blocks), _COPY),
+        entry(pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]), _CHOICE, F.col("before"), meant),
     ]
-    entries = functools.reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.collect_list("e").alias("entries"))
-    return blocks.drop("shares").join(stage(entries, "entries"), "block", "left")
+    return stage(functools.reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.collect_list("e").alias("entries")), "entries")
 
 
 # --- Lines at the edges of pages
@@ -561,92 +624,74 @@ def edges(lines: list[str]) -> list[tuple[int, str, str]]:
 # --- Marking lines
 
 
-def marks(texts: list[str | None], lexicon: Lexicon) -> list[list[tuple[int, str, str]]]:
-    """Per text its noisy lines: (line from 0, kind, key of a possible header)."""
-    t = Tokens(texts)
-    flagged, _ = lexicon.flagged(t)
-    flagged |= t.odd & ~t.cut & ~t.rest
-    bad: dict[int, set[int]] = {}
-    at = np.flatnonzero(flagged)
-    for k, line in zip(t.text[at].tolist(), t.line[at].tolist()):
-        bad.setdefault(k, set()).add(line)
-    for k, start, _ in _specks(t):
-        bad.setdefault(k, set()).add(int(t.feeds[start] - t.feeds[t.begin[k]]))
-    out = []
-    for k, text in enumerate(texts):
-        if k in lexicon.copies or not text:
-            out.append([])
-            continue
-        lines = text.split("\n")
-        own = edges(lines)
-        wrong = bad.get(k, set())
-        sure = {i for i, kind, _ in own if not kind.startswith("header?")}
-        if _AT_END.search(text):
-            # Words that are cut by a mark are joined, then looked up.
-            for i, j, a, b in _cuts(lines, {i for i, _, _ in own}):
-                if _noise(lines[i], a, b, lexicon):
-                    own.append((i, "hyphen", ""))
-                line = _joined_damage(i, j, a, b, lexicon)
-                if line is not None:
-                    wrong.add(line)
-        out.append(own + [(i, "misread", "") for i in sorted(wrong) if i not in sure])
-    return out
-
-
-def _noise(line: str, a: str, b: str, lexicon: Lexicon) -> bool:
-    """Whether the mark at the line's end doesn't belong to the word. A hyphen at the end of a page may."""
-    if line.rstrip()[-1] != "-":
-        return True
-    if not a or not b:
-        return False
-    return skeleton(a) != skeleton(b) and _compound(a, b) not in lexicon.compounds
-
-
-def _joined_damage(i: int, j: int, left: str, right: str, lexicon: Lexicon) -> int | None:
-    """The line of the misread character of a word that is cut between two lines; None without one."""
-    if not left or not right:
-        return None
-    word = left + right
-    meant = lexicon.words.get(word) or lexicon.names.get(word)
-    odd = [k for k, c in enumerate(word) if c in "013569@" and k]
-    if meant is None and not (odd and any(c.isalpha() for c in word)):
-        return None
-    at = odd[0] if odd else next((k for k, (x, y) in enumerate(zip(word, meant)) if x != y), len(word) - 1)
-    return i if at < len(left) else j
-
+def marked(block: Block, places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cuts: list[dict], entries: list[dict]) -> list[tuple]:
+    """(page, line, kind, start, size, word): what the lexicon says of a block.
 
-def _specks(t: Tokens) -> Iterator[tuple[int, int, int]]:
-    """(text, start, end) of signs that stand alone and have no business there."""
-    white = _tables()["white"][t.cp]
-    start, end = kernel.runs(~white)
-    plain = np.concatenate([[0], np.cumsum(_tables()["plain"][t.cp])])
-    for i in np.flatnonzero((end - start <= 3) & (plain[end] == plain[start])).tolist():
-        s = t.cp[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass")
-        if set(s) <= _ALONE or s in _PLAIN:
+    Kinds: misread and hyphen are noise; joined says that a line ends inside a word whose hyphen is its
+    own; fix says what stands instead of so many characters.
+    """
+    kinds: dict[int, list[dict]] = {k: [] for k in range(5)}
+    for e in entries:
+        kinds[e["kind"]].append(e)
+    words, names = ({e["word"]: e["meant"] for e in kinds[k]} for k in (_WRONG, _NAME))
+    compounds = {e["word"] for e in kinds[_COMPOUND]}
+    other = {(e["before"], e["word"]): e["meant"] for e in kinds[_CHOICE]}
+    flag = lambda bit: (block.flags & bit) > 0
+    before = block.before()
+    named = block.listed([e["word"] for e in kinds[_CONTEXT]])[before] if len(before) else np.empty(0, bool)
+    width = len(block.words) + 1
+    pairs = np.array(sorted(block.index[b] * width + block.index[w] for b, w in other if b in block.index and w in block.index), np.int64)
+    wrong = block.listed(list(words))[block.number] | _within(before * width + block.number, pairs)
+    wrong = (wrong & flag(_WORD) & ~named & ~flag(_CUTS) & ~flag(_REST)) | (named & block.listed(list(names))[block.number] & ~flag(_CUTS))
+    out: list[tuple] = []
+    lines: set[tuple[int, int]] = set()
+    sure = flag(_SURE)
+    for i in np.flatnonzero(wrong).tolist():
+        page, line, word = int(block.page[i]), int(places[i]), block.words[block.number[i]]
+        prior = block.words[before[i]] if before[i] < len(block.words) else None
+        meant = names[word] if named[i] else other.get((prior, word)) or words[word]
+        out.append((page, line, "fix", int(starts[i]), int(sizes[i]), meant))
+        if not sure[i]:
+            lines.add((page, line))
+    for c in cuts:
+        a, b = c["a"], c["b"]
+        # A hyphen at the end of a page may belong to the word; other marks never do.
+        noise = not c["hyphen"] or bool(a and b and skeleton(a) != skeleton(b) and _compound(a, b) not in compounds)
+        out.append((c["i"], c["line"], "hyphen" if noise else "joined", None, None, None))
+        if not a or not b:
             continue
-        yield int(np.searchsorted(t.begin, start[i], side="right")) - 1, int(start[i]), int(end[i])
+        meant = words.get(a + b) or names.get(a + b)
+        odd = [k for k, x in enumerate(a + b) if x in "013569@" and k]
+        if meant is None and not (odd and any(x.isalpha() for x in a + b)):
+            continue
+        at = odd[0] if odd else next((k for k, (x, y) in enumerate(zip(a + b, meant)) if x != y), len(a + b) - 1)
+        lines.add((c["i"], c["line"] if at < len(a) else c["next"]))
+        if meant and noise:
+            out += [(c["i"], c["line"], "fix", c["at"], len(a), meant[: len(a)]), (c["i"], c["next"], "fix", c["to"], len(b), meant[len(a) :])]
+    return out + [(page, line, "misread", None, None, None) for page, line in sorted(lines)]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[str | None], Lexicon]]:
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch, k, batch.column(3)[k].as_py(), Lexicon(batch.column(4)[k].as_py() or [])
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, k, texts, lexicon in _rows(batches):
-        found = marks(texts, lexicon)
-        place = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        flat = [x for part in found for x in part]
-        take = pa.array(place)
-        keys = [batch.column(i)[k].values.take(take) for i in (1, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array(place + batch.column(0)[k].as_py(), pa.int64()), *keys, pa.array([x[0] + 1 for x in flat], pa.int32()), *[pa.array([x[i] for x in flat], pa.string()) for i in (1, 2)]], ["pid", "book_id", "page_num", "line_num", "kind", "key"])
+            get = lambda name: batch.column(name)[k]  # noqa: B023, E731
+            block = Block(*[get(c).as_py() for c in ("words", "numbers", "flags", "counts")])
+            found = marked(block, *[_wide(get(c).as_py()) for c in ("places", "starts", "sizes")], get("cuts").as_py(), get("entries").as_py() or [])
+            page = np.array([r[0] for r in found], np.int64)
+            keys = [get(c).values.take(pa.array(page)) for c in ("books", "nums")]
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([get("block").as_py()] * len(page), pa.int64()), pa.array(page.astype(np.int32)), *keys, *[pa.array([r[i + 1] for r in found], t) for i, t in enumerate(kinds)]], ["block", "i", "book_id", "page_num", "line", "kind", "start", "size", "word"])
 
 
 def candidate_lines(blocks: DataFrame) -> DataFrame:
-    """pid, book_id, page_num, line_num, kind, key of the current pages, headers not yet decided."""
+    """block, i, book_id, page_num, line_num, kind, key, start, size, word: all that is said of lines; headers are not yet decided."""
     kind = blocks.schema["nums"].dataType.elementType.simpleString()
-    return blocks.select("block", "books", "nums", "texts", "entries").mapInArrow(_mark, f"pid long, book_id string, page_num {kind}, line_num int, kind string, key string")
+    # The tokens of a block meet its entries in a join on the block, which broadcasts the entries where their size allows it.
+    both = blocks.drop("shares", "uses", "lines").join(lexicons(blocks), "block", "left")
+    marks = both.mapInArrow(_mark, f"block long, i int, book_id string, page_num {kind}, line int, kind string, start int, size int, word string")
+    own = blocks.select("block", "books", "nums", F.explode("lines").alias("x")).select("block", "x.i", F.get("books", F.col("x.i")).alias("book_id"), F.get("nums", F.col("x.i")).alias("page_num"), "x.line", "x.kind", "x.key", "x.start", "x.size")
+    every = marks.unionByName(own, allowMissingColumns=True).join(_copies(blocks), ["block", "i"], "left_anti")
+    return every.select((F.col("block") + F.col("i")).alias("pid"), "book_id", "page_num", (F.col("line") + 1).alias("line_num"), "kind", "key", "start", "size", "word")
 
 
 @functools.lru_cache(None)
@@ -658,45 +703,75 @@ def _segments(length: int) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends))
 
 
-def _pieces(probe: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Headers' keys by their parts; with ``probe`` by all parts that a key near enough would have.
+class _Parts:
+    """Keys by their parts, to find those that nearly are another key.
 
     There is one part more than there may be changes, so one at least is left as it is, near its own
-    place: an equi-join on (length, part, text) finds every near key.
+    place; a part is looked up only at places that the changes before and after it allow.
     """
+
+    def __init__(self) -> None:
+        self.by: dict[tuple[int, int, str], list[str]] = {}
+        self.lengths: set[int] = set()
+
+    def add(self, key: str) -> None:
+        if len(key) > 1:
+            self.lengths.add(len(key))
+            for i, (a, b) in enumerate(_segments(len(key))):
+                self.by.setdefault((len(key), i, key[a:b]), []).append(key)
+
+    def like(self, key: str) -> set[str]:
+        found: set[str] = set()
+        for n in self.lengths:
+            near = NEAR if n >= SHORT_HEADER else 1
+            more = len(key) - n
+            if abs(more) > near:
+                continue
+            for i, (a, b) in enumerate(_segments(n)):
+                for at in range(max(0, a - i, a + more - near + i), min(len(key) - b + a, a + i, a + more + near - i) + 1):
+                    found.update(self.by.get((n, i, key[at : at + b - a]), ()))
+        return found
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (book, row, column, side, key), sorted, strong keys before weak ones: the pairs that may be near."""
+    cell, parts = None, _Parts()
     for batch in batches:
-        books, keys, pieces = [], [], []
-        for book, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = set()
-            for n in range(max(2, len(key) - NEAR), len(key) + NEAR + 1) if probe else [len(key)]:
-                near = NEAR if n >= SHORT_HEADER else 1
-                if n < 2 or abs(n - len(key)) > near:
-                    continue
-                for i, (a, b) in enumerate(_segments(n)):
-                    # Of the changes, i at most lie before part i if none of the parts before is whole, and the rest after it.
-                    low, high = max(0, a - i, a + len(key) - n - near + i), min(len(key) - b + a, a + i, a + len(key) - n + near - i)
-                    for at in range(low, high + 1) if probe else [a]:
-                        own.add(f"{n}:{i}:{key[at : at + b - a]}")
-            books += [book] * len(own)
-            keys += [key] * len(own)
-            pieces += own
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (books, keys, pieces)], ["book_id", "key", "piece"])
+        out = []
+        for book, row, column, side, key in zip(*[c.to_pylist() for c in batch.columns]):
+            if (book, row, column) != cell:
+                cell, parts = (book, row, column), _Parts()
+            if side == 0:
+                parts.add(key)
+            else:
+                out += [(book, key, x) for x in parts.like(key)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["book_id", "key", "like"])
 
 
 def near_headers(weak: DataFrame, strong: DataFrame) -> DataFrame:
-    """book_id, key: the keys of ``weak`` that nearly are one of ``strong`` in the same book."""
-    schema = "book_id string, key string, piece string"
-    a = weak.mapInArrow(functools.partial(_pieces, True), schema)
-    b = strong.mapInArrow(functools.partial(_pieces, False), schema).withColumnRenamed("key", "like")
+    """book_id, key: the keys of ``weak`` that nearly are one of ``strong`` in the same book.
+
+    A book's keys are compared by their parts, in cells of ``CELL`` keys of either side: all of a book but a
+    very large one.
+    """
+    count = lambda df, name: df.groupBy("book_id").agg((1 + F.floor(F.count("*") / CELL)).cast("int").alias(name))
+    grid = count(weak, "rows").join(count(strong, "columns"), "book_id")
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = weak.join(grid, "book_id").select("book_id", place("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("side"), "key")
+    b = strong.join(grid, "book_id").select("book_id", every("rows").alias("row"), place("columns").alias("column"), F.lit(0).alias("side"), "key")
+    cells = a.unionByName(b).repartition("book_id", "row", "column").sortWithinPartitions("book_id", "row", "column", "side")
+    pairs = cells.mapInArrow(_alike, "book_id string, key string, like string")
     most = F.when(F.length("like") >= SHORT_HEADER, NEAR).otherwise(1)
-    return a.join(b, ["book_id", "piece"]).select("book_id", "key", "like").distinct().where(F.levenshtein("key", "like") <= most).select("book_id", "key").distinct()
+    return pairs.where(F.levenshtein("key", "like") <= most).select("book_id", "key").distinct()
 
 
 def _decided(found: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
-    """pid, book_id, page_num, line_num, kind: the lines that are noise; possible headers are decided."""
+    """``found`` with its possible headers decided: those that are none are gone, and so is what else is said of headers' lines."""
     first = pages.groupBy("book_id").agg(F.min("page_num").alias("first")).withColumnRenamed("book_id", "b")
     titles = current_rows(books.select("book_id", "title", "updated_at"), ["book_id"]).select(F.col("book_id").alias("b"), skeletons(F.regexp_replace(F.lower("title"), r"\P{L}+", "")).alias("title"))
-    heads = found.where("kind LIKE 'header%'").join(first, F.col("book_id") == F.col("b"), "left").drop("b").where("page_num > first")
+    heads = found.where("kind LIKE 'header%'").select("pid", "book_id", "page_num", "line_num", "kind", "key")
+    heads = heads.join(first, F.col("book_id") == F.col("b"), "left").drop("b").where("page_num > first")
     uses = heads.groupBy("book_id", "key").agg(F.count_distinct("page_num").alias("n"))
     alike = near_headers(heads.where("kind = 'header??'").select("book_id", "key").distinct(), uses.where("n > 1").select("book_id", "key")).withColumn("alike", F.lit(True))
     heads = heads.join(uses, ["book_id", "key"]).join(alike, ["book_id", "key"], "left").join(titles, F.col("book_id") == F.col("b"), "left").drop("b")
@@ -705,120 +780,79 @@ def _decided(found: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     support = (F.col("n") > 1) | F.coalesce("alike", F.lit(False)) | near
     # A shape that alone says header is enough; one that ends like a sentence needs support.
     sure = heads.where((F.col("kind").isin("header", "header?")) | (support & (F.col("kind") == "header??")) | near).select("pid", "book_id", "page_num", "line_num", F.lit("header").alias("kind"))
-    rest = found.where("kind NOT LIKE 'header%'").drop("key")
-    return rest.join(sure.select("pid", "line_num"), ["pid", "line_num"], "left_anti").select("pid", "book_id", "page_num", "line_num", "kind").unionByName(sure)
+    rest = found.where("kind NOT LIKE 'header%'").join(sure.select("pid", "line_num"), ["pid", "line_num"], "left_anti")
+    return rest.drop("key").unionByName(sure, allowMissingColumns=True)
 
 
 def noisy_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     """book_id, page_num, line_num, kind: every noisy line of every current page."""
-    blocks = with_lexicons(current_blocks(pages))
-    return _decided(stage(candidate_lines(blocks), "lines"), pages, books).drop("pid")
+    found = stage(candidate_lines(token_blocks(pages)), "lines")
+    noise = found.where("kind LIKE 'header%' OR kind IN ('page_number', 'hyphen', 'misread')").drop("start", "size", "word")
+    # The same line may be misread in several ways.
+    noise = noise.where("kind <> 'misread'").unionByName(noise.where("kind = 'misread'").dropDuplicates(["pid", "line_num"]))
+    return _decided(noise, pages, books).select("book_id", "page_num", "line_num", "kind")
 
 
 # --- Repair
 
 
-def _like(word: str, model: str) -> str:
+def _like(word: Column, model: Column) -> Column:
     """The word in the case of ``model``."""
-    if model.isupper() and len(model) > 1 and word.upper() != word and sum(c.isalpha() for c in model) > 1:
-        return word.upper()
-    return word[:1].upper() + word[1:] if model[:1].isupper() else word
+    loud = (F.upper(model) == model) & (F.lower(model) != model) & (F.regexp_count(model, F.lit(r"\p{L}")) > 1)
+    head = F.left(model, F.lit(1))
+    return F.when(loud, F.upper(word)).when(F.lower(head) != head, F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))).otherwise(word)
 
 
-def right(texts: list[str | None], lexicon: Lexicon) -> tuple[list[str], list[dict[int, bool]]]:
-    """The texts with misreadings put right and specks gone; and of each the lines that end inside a word.
+def righted(content: Column, fixes: Column) -> Column:
+    """The text with so many characters replaced at each place; ``fixes``: (start from 0, size, word), the last places first.
 
-    Lines keep their numbers. Where a line ends inside a word, True says that the mark is noise and gone.
+    Where nothing stands instead (specks), the space after it goes too.
     """
-    t = Tokens(texts)
-    changes: dict[int, list[tuple[int, int, str]]] = {}
-    flagged, named = lexicon.flagged(t)
-    at = np.flatnonzero(flagged)
-    for i, k in zip(at.tolist(), t.text[at].tolist()):
-        out = lexicon.right(t.string(i), t.string(i - 1) if i and t.close[i] else None, bool(named[i]))
-        changes.setdefault(k, []).append((int(t.start[i] - t.begin[k]), int(t.end[i] - t.begin[k]), out))
-    for k, start, end in _specks(t):
-        a, b = start - int(t.begin[k]), end - int(t.begin[k])
-        changes.setdefault(k, []).append((a, b, ""))
-    done, cuts = [], []
-    for k, text in enumerate(texts):
-        text = text or ""
-        if k in changes:
-            low = text.lower()
-            # Lower case may be longer; then places are found by the lengths of the letters.
-            place = None if len(low) == len(text) else np.concatenate([[0], np.cumsum([len(c.lower()) for c in text])])
-            for a, b, word in sorted(changes[k], reverse=True):
-                if place is not None:
-                    a, b = int(np.searchsorted(place, a)), int(np.searchsorted(place, b))
-                if not word and text[b : b + 1] == " ":
-                    b += 1  # a speck goes with the space after it
-                text = text[:a] + (_like(word, text[a:b]) if word else "") + text[b:]
-        cut: dict[int, bool] = {}
-        if _AT_END.search(text):
-            lines = text.split("\n")
-            for i, j, a, b in _cuts(lines, {i for i, _, _ in edges(lines)}):
-                cut[i] = _noise(lines[i], a, b, lexicon)
-                if not cut[i]:
-                    continue
-                head = lines[i].rstrip()[:-1]
-                meant = lexicon.words.get(a + b) or lexicon.names.get(a + b)
-                if meant and b and head.lower().endswith(a) and lines[j].lstrip().lower().startswith(b):
-                    lead = lines[j][: len(lines[j]) - len(lines[j].lstrip())]
-                    head = head[: len(head) - len(a)] + _like(meant[: len(a)], head[len(head) - len(a) :])
-                    lines[j] = lead + meant[len(a) :] + lines[j].lstrip()[len(b) :]
-                lines[i] = head
-            text = "\n".join(lines)
-        done.append(text)
-        cuts.append(cut)
-    return done, cuts
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line of every page, put right and without outer white space."""
-    for batch, k, texts, lexicon in _rows(batches):
-        texts = [None if i in lexicon.copies else x for i, x in enumerate(texts)]
-        done, cuts = right(texts, lexicon)
-        lists = pc.split_pattern(pa.array(done, pa.string()), "\n")
-        size = np.diff(lists.offsets.to_numpy())
-        begin = np.concatenate([[0], np.cumsum(size)])
-        flat = pc.replace_substring(lists.flatten(), "\r", "")
-        glued = np.zeros(len(flat), bool)
-        glued[[begin[i] + x for i, cut in enumerate(cuts) for x in cut]] = True
-        pid = np.repeat(np.arange(len(texts)) + batch.column(0)[k].as_py(), size)
-        number = np.arange(len(flat)) - np.repeat(begin[:-1], size) + 1
-        for a in range(0, len(flat), 20_000):
-            part = flat.slice(a, 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(pid[a : a + 20_000]), pa.array(number[a : a + 20_000].astype(np.int32)), pc.utf8_trim_whitespace(part), pc.match_substring_regex(part, "^[ \t]"), pa.array(glued[a : a + 20_000])], ["pid", "line_num", "line", "indented", "glued"])
-
-
-def reflowed(lines: DataFrame, dropped: DataFrame) -> DataFrame:
-    """pid, content: the lines of each page, but for the dropped ones, as paragraphs; by windows over its lines.
-
-    ``lines``: pid, line_num, line, indented, glued (the line ends inside a word); ``dropped``: pid,
-    line_num. A paragraph begins after a blank line, with an indented line, and after a line that
-    ends a sentence and is much shorter than the page's longest.
+
+    def one(text: Column, fix: Column) -> Column:
+        at, size = fix["start"] + 1, fix["size"]
+        model = F.substr(text, at, size)
+        speck = fix["word"] == ""
+        return F.overlay(text, _like(fix["word"], model), at, F.when(speck & (F.substr(text, at + size, F.lit(1)) == " "), size + 1).otherwise(size))
+
+    return F.aggregate(F.coalesce(fixes, F.array().cast("array<struct<start:int,size:int,word:string>>")), content, one)
+
+
+def reflowed(lines: DataFrame, key: str) -> DataFrame:
+    """key, content: the lines of each page as paragraphs, by windows over its lines.
+
+    ``lines``: key, line_num, line, gone (a header or page number), indented, glued (it ends inside a word). A
+    paragraph begins after a blank line, with an indented line, and after a line that ends a sentence
+    and is much shorter than the page's longest.
     """
-    gone = dropped.groupBy("pid").agg(F.collect_set("line_num").alias("gone"))
-    page = Window.partitionBy("pid")
+    page = Window.partitionBy(key)
     order = page.orderBy("line_num")
-    kept = lines.join(gone, "pid", "left").where("gone IS NULL OR NOT array_contains(gone, line_num)").drop("gone")
-    kept = kept.withColumns({"n": F.row_number().over(order), "width": F.max(F.length("line")).over(page)}).where("line <> ''")
-    last = lambda c: F.lag(c).over(order)
-    kept = kept.withColumns({"before": last("line"), "inside": last("glued"), "blank": F.col("n") - last("n") > 1})
-    ended = F.right("before", F.lit(1)).isin(*".!?؟۔") & (F.length("before") < 0.75 * F.col("width"))
-    glue = F.when(F.col("before").isNull(), "").when(F.col("inside"), "").when(F.col("blank") | F.col("indented") | ended, "\n\n").otherwise(" ")
-    return kept.select("pid", "line_num", F.concat(glue, "line").alias("line")).groupBy("pid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]), "").alias("content"))
+    rows = lines.withColumns({"n": F.sum((~F.col("gone")).cast("int")).over(order), "width": F.max(F.when(~F.col("gone"), F.length("line"))).over(page), "kept": ~F.col("gone") & (F.col("line") != "")})
+    last = F.last(F.when(F.col("kept"), F.struct("line", "glued", "n")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last", last)
+    ended = F.right("last.line", F.lit(1)).isin(*".!?؟۔") & (F.length("last.line") < 0.75 * F.col("width"))
+    glue = F.when(F.col("last").isNull() | F.col("last.glued"), "").when((F.col("n") - F.col("last.n") > 1) | F.col("indented") | ended, "\n\n").otherwise(" ")
+    piece = F.when(F.col("kept"), F.struct("line_num", F.concat(glue, "line").alias("line")))
+    return rows.select(key, piece.alias("piece")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["line"]), "").alias("content"))
 
 
 def repaired_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
-    """book_id, page_num, content, content_len: every current page as continuous paragraphs."""
-    blocks = with_lexicons(current_blocks(pages))
-    lines = _decided(stage(candidate_lines(blocks), "lines"), pages, books)
-    each = blocks.select("block", "books", "nums", "texts", "entries").mapInArrow(_lines, "pid long, line_num int, line string, indented boolean, glued boolean")
-    text = reflowed(each, lines.where("kind IN ('header', 'page_number')").select("pid", "line_num"))
-    # Pages without a line that is left are pages too; copies are not.
-    copies = F.transform(F.filter(F.coalesce("entries", F.array()), lambda e: e["kind"] == _COPY), lambda e: e["word"].cast("int"))
-    keys = blocks.select("block", copies.alias("copies"), F.posexplode(F.arrays_zip("books", "nums")).alias("i", "x")).where("NOT array_contains(copies, i)")
-    keys = keys.select((F.col("block") + F.col("i")).alias("pid"), F.col("x.books").alias("book_id"), F.col("x.nums").alias("page_num"))
-    content = F.coalesce("content", F.lit(""))
-    return keys.join(text, "pid", "left").select("book_id", "page_num", content.alias("content"), F.length(content).alias("content_len"))
+    """book_id, page_num, content, content_len: every current page as continuous paragraphs.
+
+    The contents are shuffled once, by page; notes on their lines are joined to them there.
+    """
+    said = _decided(stage(candidate_lines(token_blocks(pages)), "lines"), pages, books)
+    key = F.concat_ws(":", F.coalesce(F.concat(F.lit("b"), F.col("book_id")), F.lit("")), F.coalesce(F.col("page_num").cast("string"), F.lit(""))).alias("page")
+    fix = F.when(F.col("kind").isin("fix", "speck"), F.struct("start", "size", F.coalesce("word", F.lit("")).alias("word")))
+    those = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("line_num")))
+    notes = said.where("kind <> 'misread'").groupBy(key).agg(F.sort_array(F.collect_set(fix), asc=False).alias("fixes"), those("header", "page_number").alias("gone"), those("hyphen", "joined").alias("glued"), those("hyphen").alias("marked"))
+    rows = current_rows(pages.select("book_id", "page_num", F.col("content").cast("string").alias("content"), "updated_at", key), ["page"]).drop("updated_at")
+    rows = rows.join(notes, "page", "left").withColumn("content", righted(F.coalesce("content", F.lit("")), F.col("fixes")))
+    rows = rows.select(F.struct("page", "book_id", "page_num").alias("id"), "page", "gone", "glued", "marked", F.posexplode(F.split("content", "\n", -1)).alias("pos", "raw"))
+    within = lambda c: F.coalesce(F.array_contains(c, F.col("pos") + 1), F.lit(False))
+    line = strip(F.col("raw"))
+    lines = rows.select("page", "id", (F.col("pos") + 1).alias("line_num"), F.when(within("marked"), F.left(line, F.length(line) - 1)).otherwise(line).alias("line"), within("gone").alias("gone"), within("glued").alias("glued"), F.col("raw").rlike("^[ \t]").alias("indented"))
+    # The first line carries the page's own keys.
+    text = reflowed(lines, "page")
+    keys = lines.where("line_num = 1").select("page", "id.book_id", "id.page_num")
+    return keys.join(text, "page").select("book_id", "page_num", "content", F.length("content").alias("content_len"))

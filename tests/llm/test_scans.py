@@ -92,6 +92,7 @@ def test_salted_words(spark, monkeypatch):
     p, b = spark.createDataFrame(pages, SCHEMA).repartition(6), spark.createDataFrame(books, "book_id string, title string, updated_at timestamp_ntz")
     one = {tuple(r) for r in scans.noisy_lines(p, b).collect()}
     monkeypatch.setattr(scans, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(scans, "CELL", 2)
     assert one == {tuple(r) for r in scans.noisy_lines(p, b).collect()}
 
 
@@ -162,11 +163,35 @@ def entries(words=(), names=(), compounds=(), contexts=(), choices=()):
     return [e(0, w, m) for w, m in words] + [e(1, w, m) for w, m in names] + [e(2, w) for w in compounds] + [e(3, w) for w in contexts] + [e(4, w, m, b) for b, w, m in choices]
 
 
+def read(texts):
+    """A block's tokens, cuts and lines, as they are read back."""
+    own = {k: v[0].as_py() for k, v in scans.encoded(texts, np.ones(len(texts))).items()}
+    block = scans.Block(*[own[c] for c in ("words", "numbers", "flags", "counts")])
+    return block, [scans._wide(own[c]) for c in ("places", "starts", "sizes")], own["cuts"], own["lines"]
+
+
+def said(texts, lexicon):
+    block, where, cuts, lines = read(texts)
+    return scans.marked(block, *where, cuts, lexicon), lines
+
+
+def righted(texts, lexicon):
+    """The texts with their fixes, in Python."""
+    found, lines = said(texts, lexicon)
+    out = [list(t or "") for t in texts]
+    for page, _, kind, start, size, word in sorted(found, key=lambda r: -(r[3] or 0)):
+        if kind == "fix":
+            out[page][start : start + size] = word
+    return ["".join(t) for t in out]
+
+
 def test_specks_and_names(spark):
-    lexicon = scans.Lexicon(entries([("rurnah", "rumah")], [("rarnimi", "ramimi")], ["anak-anak"], ["ustaz"]))
-    found = scans.marks(["satu · dua\ntiga «' empat ; lima\nUstaz rarnimi rurnah.\nUstaz rurnah.", None, "• butir\n_ x"], lexicon)
-    assert {(i, k) for i, k, _ in found[0] if not k.startswith("header")} == {(0, "misread"), (1, "misread"), (2, "misread")}
-    assert found[1] == [] and {(i, k) for i, k, _ in found[2]} == {(1, "misread")}
+    lexicon = entries([("rurnah", "rumah")], [("rarnimi", "ramimi")], ["anak-anak"], ["ustaz"])
+    texts = ["satu · dua\ntiga «' empat ; lima\nUstaz rarnimi rurnah.\nUstaz rurnah.", None, "• butir\n_ x"]
+    found, lines = said(texts, lexicon)
+    assert {(k, i) for k, i, kind, *_ in found if kind == "misread"} == {(0, 2)}
+    assert {(x["i"], x["line"]) for x in lines if x["kind"] == "misread"} == {(0, 0), (0, 1), (2, 1)}
+    assert [texts[x["i"]][x["start"] : x["start"] + x["size"]] for x in lines if x["kind"] == "speck"] == ["·", "«'", "_"]
     names = [(f"{a}{b}{c}", 60.0, True) for a in ("ra", "ne", "dim") for b in ("mi", "lbe", "que") for c in ("mi", "ra")] + [("nelbcra", 1.0, True), ("rarnimi", 1.0, True), ("lain", 5.0, False)]
     got = {r.word: r.meant for r in scans.misread_names(spark.createDataFrame(names, "word string, uses double, name boolean")).collect()}
     assert got == {"nelbcra": "nelbera", "rarnimi": "ramimi"}
@@ -179,18 +204,31 @@ def test_context_chooses(spark):
     found = {tuple(r) for r in got.collect()}
     # After "pulang" a "dan" is misread, as its neighbour supports "dari" twenty times as often.
     assert found == {("ibu", "clari", "dan"), ("pulang", "dan", "dari")}
-    lexicon = scans.Lexicon(entries([("clari", "dari")], choices=found))
-    done, _ = scans.right(["Ibu clari pulang clari x clari", "Pulang dan", None, "İbu Clari"], lexicon)
-    assert done == ["Ibu dan pulang dari x dari", "Pulang dari", "", "İbu Dari"]
-    assert [k for _, k, _ in scans.marks(["ya\nPulang dan pergi ke pasar."], lexicon)[0] if k == "misread"] == ["misread"]
+    lexicon = entries([("clari", "dari")], choices=found)
+    assert righted(["ibu clari pulang clari x clari", "pulang dan", None, "İbu clari"], lexicon) == ["ibu dan pulang dari x dari", "pulang dari", "", "İbu dari"]
+    assert [(i, k) for _, i, k, *_ in said(["ya\nPulang dan pergi ke pasar."], lexicon)[0] if k == "misread"] == [(1, "misread")]
     assert np.array_equal(scans._hashes([]), np.empty(0, np.uint64))
 
 
+def test_fixes_keep_the_case(spark):
+    fixes = [(13, 1, ""), (6, 6, "rumah"), (0, 5, "dari")]
+    frame = spark.createDataFrame([("CLARI Rurnah · ya", fixes), ("x", None)], "t string, f array<struct<start:int,size:int,word:string>>")
+    assert [r.t for r in frame.select(scans.righted(scans.F.col("t"), scans.F.col("f")).alias("t")).collect()] == ["DARI Rumah ya", "x"]
+
+
 def test_reflow(spark):
-    text = ["Satu dua tiga em-", "Judul Buku", "pat lima enam tujuh", "delapan.", "Sembilan sepuluh anak-", "anak dan rurnah · besar", "", "baru"]
-    lexicon = scans.Lexicon(entries([("rurnah", "rumah")], compounds=["anak-anak"]))
-    done, cuts = scans.right(["\n".join(text)], lexicon)
-    lines = [(7, i + 1, x.strip(), x[:1] == " ", i in cuts[0]) for i, x in enumerate(done[0].split("\n"))]
-    frame = spark.createDataFrame(lines, "pid long, line_num int, line string, indented boolean, glued boolean")
-    got = scans.reflowed(frame, spark.createDataFrame([(7, 2)], "pid long, line_num int")).collect()
-    assert [r.content for r in got] == ["Satu dua tiga empat lima enam tujuh delapan.\n\nSembilan sepuluh anak-anak dan rumah besar\n\nbaru"]
+    text = ["Satu dua tiga em", "Judul Buku", "pat lima enam tujuh", "delapan.", "Sembilan sepuluh anak-", "anak dan rumah besar", "", "baru"]
+    lines = [("p", i + 1, x.strip(), x == "Judul Buku", False, i in (0, 4)) for i, x in enumerate(text)] + [("q", 1, "", False, False, False)]
+    frame = spark.createDataFrame(lines, "page string, line_num int, line string, gone boolean, indented boolean, glued boolean")
+    got = {r.page: r.content for r in scans.reflowed(frame, "page").collect()}
+    assert got == {"p": "Satu dua tiga empat lima enam tujuh delapan.\n\nSembilan sepuluh anak-anak dan rumah besar\n\nbaru", "q": ""}
+
+
+def test_cut_words(spark):
+    pages = [("b1", p, f"Judul\nIbu membaca buku besar tentang ru-\nrnah dan pasar dengan anak-\nanak besar sekali {p}.", T) for p in range(2, 5)]
+    pages += [("b2", p, "ibu rumah besar anak-anak. " * 20, T) for p in range(1, 4)]
+    p, b = spark.createDataFrame(pages, SCHEMA), spark.createDataFrame([("b1", None, T)], "book_id string, title string, updated_at timestamp_ntz")
+    rows = {(r.page_num, r.line_num, r.kind) for r in scans.noisy_lines(p, b).where("book_id = 'b1'").collect()}
+    assert {(2, 2, "hyphen"), (3, 3, "misread")} <= rows and (2, 3, "hyphen") not in rows
+    text = {r.page_num: r.content for r in scans.repaired_pages(p, b).where("book_id = 'b1'").collect()}
+    assert text[3].endswith("tentang rumah dan pasar dengan anak-anak besar sekali 3.")
