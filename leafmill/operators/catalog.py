@@ -1,4 +1,4 @@
-"""The catalog: inferred fields, counts, search pages, merges, reviews and ingest state."""
+"""The catalog: inferred fields, counts, search pages, merges, reviews and intake state."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 
-#: Statuses that may be ingested, and those actions that set a status.
+#: Statuses that may be taken in, and those actions that set a status.
 APPROVED = ("approved", "approved_auto", "approved_manual", "approved_lease")
 ACTIONS = {"approved": "approved_manual", "approved_manual": "approved_manual", "approved_lease": "approved_lease", "rejected": "rejected", "duplicate": "rejected", "pending_review": "pending_review", "edit": "pending_review"}
 
@@ -74,7 +74,7 @@ def library(books: DataFrame, query: str = "", language: str = "", status: str =
 
 
 def approved(books: DataFrame, languages: str = "id", limit: int | None = None) -> DataFrame:
-    """Books that may be ingested: approved ones of the listed languages (``all`` for any), a head limit if given."""
+    """Books that may be taken in: approved ones of the listed languages (``all`` for any), a head limit if given."""
     rows = books.where(_value("review_status").isin(*APPROVED))
     wanted = [x.strip().lower() for x in languages.split(",") if x.strip()]
     if not set(wanted) & {"all", "*"}:
@@ -140,7 +140,7 @@ def delete_books(tables: dict[str, DataFrame], books: DataFrame) -> dict[str, Da
     return {name: t.join(gone, "book_id", "left_anti") for name, t in tables.items()}
 
 
-def ingest_actions(books: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
+def intake_actions(books: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
     """book_id, action, next_batch: new, skip, resume or refresh, from the last state of each book."""
     s = state.select("book_id", F.col("source_hash").alias("was"), "complete", "next_batch_index")
     j = books.select("book_id", "source_hash").join(s, "book_id", "left")

@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import hashing
 from leafmill.functions.text import strip
 
 LIMIT, OVERLAP, LEAST = 500, 50, 80
+#: Page numbers of a book that are looked at in one task.
+RANGE = 10_000
 
 
-def _last(text: Column, needle: str) -> Column:
-    """The 1-based place of the last ``needle``; 0 without one."""
-    back = F.instr(F.reverse(text), needle)
-    return F.when(back > 0, F.length(text) - back + 1).otherwise(0)
+def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
+    """The parts of a text: cut after the last line feed in a window's second half; only without any line
+    feed after the last space there; else at the limit. Each part repeats ``overlap`` characters."""
+    parts, at, half = [], 0, limit // 2
+    while at + limit < len(text):
+        feed = text.rfind("\n", at, at + limit) - at + 1
+        space = text.rfind(" ", at, at + limit) - at + 1
+        size = feed if feed > half + 1 else space if feed <= 0 and space > half + 1 else limit
+        parts.append(text[at : at + size])
+        at += size - overlap
+    return [*parts, text[at:]]
 
 
-def split_parts(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """The parts of a text: cut after the last line feed in a window's second half; only without any
-    line feed after the last space there; else at the limit. Each part repeats ``overlap`` characters."""
-    half = limit // 2
-    state = F.struct(F.lit(1).alias("at"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
+@functools.lru_cache(None)
+def _cutter(limit: int, overlap: int):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_text(t, limit, overlap) for t in texts], dtype=object)
 
-    def step(s: Column, _: Column) -> Column:
-        window = F.substr(text, s["at"], F.lit(limit))
-        ends = s["at"] + limit - 1 >= F.length(text)
-        feed, space = _last(window, "\n"), _last(window, " ")
-        size = F.when(feed > half + 1, feed).when((feed == 0) & (space > half + 1), space).otherwise(F.lit(limit))
-        part = F.when(ends, F.substr(text, s["at"])).otherwise(F.substr(text, s["at"], size))
-        more = F.struct((s["at"] + size - overlap).alias("at"), ends.alias("done"), F.concat(s["parts"], F.array(part)).alias("parts"))
-        return F.when(s["done"], s).otherwise(more)
+    return cut
 
-    rounds = F.sequence(F.lit(0), F.floor(F.length(text) / (half - overlap)).cast("int") + 1)
-    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.aggregate(rounds, state, step)["parts"])
+
+def split_parts(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
+    """``cut_text`` as a column function, linear in the text; texts within the limit stay in the JVM."""
+    return F.coalesce(_cutter(limit, overlap)(F.when(F.length(text) > limit, text)), F.array(text))
 
 
 def is_metadata(text: Column) -> Column:
@@ -57,17 +65,23 @@ def chunk_books(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
     Long pages are units of their own. A short heading begins a unit unless the page just before it
     was kept; any other short page, and such a heading, belongs to the unit before it. What comes
-    before the first unit is dropped. These are windows over narrow rows (kinds and page numbers);
-    only a unit's own texts are put together.
+    before the first unit is dropped. These are windows over narrow rows (kinds and page numbers) of
+    ``RANGE`` page numbers of a book; what one range hands on to the next (its last page, the units so
+    far) is a row a range. Only a unit's own texts are put together.
     """
     kept = pages.select("book_id", "page_num", strip(F.coalesce("content", F.lit(""))).alias("text")).where((F.length("text") > 0) & ~is_metadata(F.col("text")))
-    kept = kept.withColumn("long", F.length("text") >= least).withColumn("heading", ~F.col("long") & is_heading(F.col("text")))
-    order = Window.partitionBy("book_id").orderBy("page_num")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = kept.select("book_id", "page_num", "long", "heading").withColumn("live", F.max(F.col("long") | F.col("heading")).over(so_far)).where("live")
-    rows = rows.withColumn("before", F.lag("page_num").over(order))
-    begins = F.col("long") | (F.col("heading") & ~F.coalesce(F.col("before") == F.col("page_num") - 1, F.lit(False)))
-    rows = rows.withColumn("begins", begins).withColumn("unit", F.sum(F.col("begins").cast("int")).over(so_far))
+    kept = kept.withColumn("long", F.length("text") >= least).withColumn("heading", ~F.col("long") & is_heading(F.col("text"))).withColumn("range", F.floor(F.col("page_num") / RANGE))
+    narrow = kept.select("book_id", "range", "page_num", "long", "heading")
+    first = narrow.where("long OR heading").groupBy("book_id").agg(F.min("page_num").alias("first"))
+    live = narrow.join(first, "book_id").where("page_num >= first").drop("first")
+    order = Window.partitionBy("book_id", "range").orderBy("page_num")
+    ranges = Window.partitionBy("book_id").orderBy("range")
+    last = live.groupBy("book_id", "range").agg(F.max("page_num").alias("last")).select("book_id", "range", F.lag("last").over(ranges).alias("carried"))
+    rows = live.join(last, ["book_id", "range"]).withColumn("before", F.coalesce(F.lag("page_num").over(order), "carried"))
+    rows = rows.withColumn("begins", F.col("long") | (F.col("heading") & ~F.coalesce(F.col("before") == F.col("page_num") - 1, F.lit(False))))
+    begun = rows.groupBy("book_id", "range").agg(F.count_if("begins").alias("n")).select("book_id", "range", F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("so_far"))
+    within = F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(begun, ["book_id", "range"]).withColumn("unit", F.col("so_far") + within)
     # In a unit that a heading began, short pages up to the next heading are split together with it.
     own = Window.partitionBy("book_id", "unit").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)
     closed = F.sum((F.col("heading") & ~F.col("begins")).cast("int")).over(own) > 0

@@ -221,7 +221,7 @@ def ranked_families(books: DataFrame, strict: bool = False) -> DataFrame:
 
     A family's rank is a window over narrow keys; the order is total as json_path and book_id end it.
     """
-    ready = F.coalesce(F.col("ingest_ready").cast("int"), F.lit(0)) if "ingest_ready" in books.columns else F.lit(0)
+    ready = F.coalesce(F.col("intake_ready").cast("int"), F.lit(0)) if "intake_ready" in books.columns else F.lit(0)
     keys = [_rank("quality_status", QUALITY), _rank("conversion_status", CONVERSION), _rank("review_status", REVIEW), ready, F.coalesce("total_pages", F.lit(0)), _rank("source_type", SOURCE), F.coalesce("size_bytes", F.lit(0)), F.coalesce("json_path", F.lit("")), F.col("book_id")]
     order = Window.partitionBy("family_key").orderBy(*[k.desc() for k in keys])
     return books.withColumn("family_key", family_key(books, strict)).withColumn("rank", F.row_number().over(order))

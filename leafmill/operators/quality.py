@@ -171,7 +171,7 @@ def conversion_status(quality: Column) -> Column:
 def routing(quality: DataFrame) -> DataFrame:
     """How each book goes on: quarantined ones wait for review, others are approved."""
     held = F.col("status") == "quarantine"
-    return quality.select("book_id", "status", conversion_status(F.col("status")).alias("conversion_status"), F.when(held, "pending_review").otherwise("approved_auto").alias("review_status"), held.alias("review_required"), (~held).alias("ingest_ready"))
+    return quality.select("book_id", "status", conversion_status(F.col("status")).alias("conversion_status"), F.when(held, "pending_review").otherwise("approved_auto").alias("review_status"), held.alias("review_required"), (~held).alias("intake_ready"))
 
 
 def page_summary(quality: DataFrame) -> DataFrame:
@@ -180,10 +180,14 @@ def page_summary(quality: DataFrame) -> DataFrame:
     return pages.withColumn("ocr_candidates", F.array_join(F.transform("ocr_candidates", lambda x: x.cast("string")), ","))
 
 
-def suspicious_text_layer(profile: Column, text: Column, pages: Column, size: Column, extractor: Column) -> Column:
-    """Whether a PDF's text layer looks lost: too little text for its size, or broken characters."""
-    ns = profile["nonspace"]
+def suspicious_text_layer(profile: Column, has_cid: Column, pages: Column, size: Column, extractor: Column) -> Column:
+    """Whether a PDF's text layer looks lost: no text, too little for its size, or broken characters.
+
+    ``has_cid``: whether the text names characters by number (``cid:``).
+    """
+    ns, letters, small = profile["nonspace"], profile["letters"], F.coalesce(size, F.lit(0))
     return (
-        ((size >= 200_000) & (ns < 120)) | ((size >= 1_000_000) & (ns < 350)) | ((pages <= 1) & (size >= 100_000) & (ns < 200))
-        | (profile["replacement"] > ratio(profile["total"], F.lit(1)) * 0.01) | ((extractor == "pdftotext") & text.contains("cid:")) | ((ratio(profile["letters"], ns) < 0.18) & (size >= 100_000))
+        (ns == 0) | ((small >= 200_000) & (ns < 120)) | ((small >= 1_000_000) & (ns < 350)) | ((pages <= 1) & (small >= 100_000) & (ns < 200))
+        | (profile["replacement"] > profile["total"] * 0.01) | ((F.coalesce(extractor, F.lit("")) == "pdftotext") & F.coalesce(has_cid, F.lit(False)))
+        | ((letters > 0) & (ratio(letters, ns) < 0.18) & (small >= 100_000))
     )

@@ -119,7 +119,7 @@ def library_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def approved_books(spark: SparkSession, d: str) -> DataFrame:
-    """Books that may be ingested in two languages."""
+    """Books that may be taken in in two languages."""
     return catalog.approved(_books(spark, d), "id,ar").select("book_id")
 
 
@@ -173,10 +173,10 @@ def _state(b: DataFrame) -> DataFrame:
     return b.where(n > 0).select("book_id", F.when(n == 1, F.lit("changed")).otherwise(F.col("source_hash")).alias("source_hash"), (n != 2).alias("complete"), F.lit(3).alias("next_batch_index"))
 
 
-def ingest_actions(spark: SparkSession, d: str) -> DataFrame:
-    """What the next ingest does with each book."""
+def intake_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What the next intake does with each book."""
     b = _books(spark, d)
-    return catalog.ingest_actions(b, _state(b))
+    return catalog.intake_actions(b, _state(b))
 
 
 def _bridge(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     content_signature, edit_signature, source_hash_dedupe, family_lookup, page_jaccard_pairs, page_jaccard_classes, near_duplicate_best, canonical_per_family, archived_duplicates, kept_semi, removed_anti, family_members, index_counts, infer_metadata, reinferred_changes, stats_snapshot, library_page, approved_books,
-    inventory_join, set_if_missing, upsert_merge, upsert_any_key, record_overlay, review_fold, page_review_fold, ingest_actions, chunk_refcounts, release_book, delete_books, chunk_dedupe, citations,
+    inventory_join, set_if_missing, upsert_merge, upsert_any_key, record_overlay, review_fold, page_review_fold, intake_actions, chunk_refcounts, release_book, delete_books, chunk_dedupe, citations,
 )}
 
 _C = "coalesce(content, '')"
@@ -290,7 +290,7 @@ ORACLES = {
         l AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM e QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY created_at DESC, id DESC) = 1)
         SELECT book_id, {_STATUS} AS status, n AS actions, {_STATUS} <> 'pending_review' AS settled FROM l""",
     "page_review_fold": f"""SELECT book_id, page_num, CASE WHEN a = 'page_reviewed' THEN 'reviewed' WHEN a = 'page_pending' THEN 'pending_review' ELSE '' END AS status FROM (SELECT book_id, page_num, {_V('action')} AS a FROM review_actions WHERE {_V('scope')} = 'page' AND page_num IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, page_num ORDER BY created_at DESC, id DESC) = 1)""",
-    "ingest_actions": f"""WITH b AS (SELECT book_id, source_hash, ('0x' || substr(md5(book_id), 1, 4))::INT % 4 AS n FROM {sql.BOOKS}), s AS (SELECT *, CASE WHEN n = 1 THEN 'changed' ELSE source_hash END IS NOT DISTINCT FROM source_hash AS same FROM b)
+    "intake_actions": f"""WITH b AS (SELECT book_id, source_hash, ('0x' || substr(md5(book_id), 1, 4))::INT % 4 AS n FROM {sql.BOOKS}), s AS (SELECT *, CASE WHEN n = 1 THEN 'changed' ELSE source_hash END IS NOT DISTINCT FROM source_hash AS same FROM b)
         SELECT book_id, CASE WHEN n = 0 THEN 'new' WHEN same AND n <> 2 THEN 'skip' WHEN same THEN 'resume' ELSE 'refresh' END AS action, CASE WHEN n <> 0 AND same AND n = 2 THEN 3 ELSE 0 END AS next_batch FROM s""",
     "chunk_dedupe": _PARTS + f", q AS (SELECT book_id, page_num AS unit, chunk_idx, sha256(part) AS chunk_hash FROM p) SELECT chunk_hash, book_id, unit, chunk_idx FROM q WHERE chunk_hash NOT IN (SELECT chunk_hash FROM q WHERE book_id IN (SELECT book_id FROM {sql.BOOKS} WHERE lower(trim(quality_status)) = 'quarantine')) QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY book_id, unit, chunk_idx) = 1",
     "chunk_refcounts": f"SELECT chunk_hash, count(DISTINCT book_id) AS ref_count FROM {_BRIDGE} GROUP BY 1",

@@ -56,11 +56,12 @@ def page_quality_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pdf_text_suspicion(spark: SparkSession, d: str) -> DataFrame:
-    """Books whose text layer looks lost for their size."""
+    """Books whose text layer looks lost for their size; books without pages have none."""
     pages, books = inputs(spark, d)
-    profile = pages.select("book_id", "content", char_profile(F.col("content")).alias("p")).groupBy("book_id").agg(*[F.sum(f"p.{k}").alias(k) for k in ("total", "nonspace", "letters", "replacement")], F.count("*").alias("pages"))
-    rows = books.join(profile, "book_id").withColumn("p", F.struct("total", "nonspace", "letters", "replacement"))
-    return rows.select("book_id", quality.suspicious_text_layer(F.col("p"), F.lit(""), F.col("pages"), F.col("size_bytes"), F.coalesce("extractor", F.lit(""))).alias("suspicious"))
+    kinds = ("total", "nonspace", "letters", "replacement")
+    profile = pages.select("book_id", "content", char_profile(F.col("content")).alias("p")).groupBy("book_id").agg(*[F.sum(f"p.{k}").alias(k) for k in kinds], F.count("*").alias("pages"), F.bool_or(F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit("cid:"))).alias("cid"))
+    rows = books.join(profile, "book_id", "left").na.fill(0, [*kinds, "pages"]).withColumn("p", F.struct(*kinds))
+    return rows.select("book_id", quality.suspicious_text_layer(F.col("p"), F.col("cid"), F.col("pages"), F.col("size_bytes"), F.col("extractor")).alias("suspicious"))
 
 
 def chunk_page_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -153,9 +154,11 @@ ORACLES = {
         reasons, warnings, status <> 'ok' AS ocr_needed, {sql.round4('uwr')} AS unique_word_ratio, {sql.round4('sr')} AS symbol_ratio, {sql.round4('ucr')} AS unique_char_ratio FROM s""",
     "page_quality_summary": _PAGE_QUALITY + " SELECT book_id, count(*) AS pages, count_if(status = 'ok') AS ok, count_if(status = 'warn') AS warn, count_if(status = 'ocr_needed') AS ocr_needed, coalesce(array_to_string(list_sort(list(page_num) FILTER (status <> 'ok')), ','), '') AS ocr_candidates FROM s GROUP BY 1",
     "book_quality": _BOOK_QUALITY + f" SELECT book_id, status, reasons, warnings, script, page_count, tc AS token_count, floor(raw / greatest(page_count, 1) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS avg_page_chars, {sql.round4('uwr')} AS unique_word_ratio, {sql.round4('spr')} AS short_page_ratio, {sql.round4('dpr')} AS duplicate_page_ratio, {sql.round4('sr')} AS symbol_ratio, {sql.round4('ar')} AS arabic_ratio, {sql.round4('ucr')} AS unique_char_ratio FROM z",
-    "quality_routing": _BOOK_QUALITY + " SELECT book_id, status, CASE status WHEN 'quarantine' THEN 'failed' WHEN 'warn' THEN 'degraded' ELSE 'good' END AS conversion_status, CASE WHEN status = 'quarantine' THEN 'pending_review' ELSE 'approved_auto' END AS review_status, status = 'quarantine' AS review_required, status <> 'quarantine' AS ingest_ready FROM z",
-    "pdf_text_suspicion": rf"""WITH p AS (SELECT book_id, sum(length({_C})) AS total, sum(length({_C}) - {sql.hits(_C, f'[{sql.SPACE}]')}) AS ns, sum({sql.hits(_C, r'\p{L}')}) AS letters, sum({sql.hits(_C, r'\x{fffd}')}) AS repl, count(*) AS pages FROM {sql.PAGES} GROUP BY 1)
-        SELECT book_id, (size_bytes >= 200000 AND ns < 120) OR (size_bytes >= 1000000 AND ns < 350) OR (pages <= 1 AND size_bytes >= 100000 AND ns < 200) OR repl > total * 0.01 OR (letters / greatest(ns, 1) < 0.18 AND size_bytes >= 100000) AS suspicious FROM p JOIN {sql.BOOKS} USING (book_id)""",
+    "quality_routing": _BOOK_QUALITY + " SELECT book_id, status, CASE status WHEN 'quarantine' THEN 'failed' WHEN 'warn' THEN 'degraded' ELSE 'good' END AS conversion_status, CASE WHEN status = 'quarantine' THEN 'pending_review' ELSE 'approved_auto' END AS review_status, status = 'quarantine' AS review_required, status <> 'quarantine' AS intake_ready FROM z",
+    "pdf_text_suspicion": rf"""WITH p AS (SELECT book_id, sum(length({_C})) AS total, sum(length({_C}) - {sql.hits(_C, f'[{sql.SPACE}]')}) AS ns, sum({sql.hits(_C, r'\p{L}')}) AS letters, sum({sql.hits(_C, r'\x{fffd}')}) AS repl, count(*) AS pages, bool_or(contains(lower({_C}), 'cid:')) AS cid FROM {sql.PAGES} GROUP BY 1),
+        j AS (SELECT b.book_id, coalesce(size_bytes, 0) AS size, coalesce(extractor, '') AS extractor, coalesce(total, 0) AS total, coalesce(ns, 0) AS ns, coalesce(letters, 0) AS letters, coalesce(repl, 0) AS repl, coalesce(pages, 0) AS pages, coalesce(cid, false) AS cid FROM {sql.BOOKS} b LEFT JOIN p USING (book_id))
+        SELECT book_id, CASE WHEN ns = 0 THEN true WHEN size >= 200000 AND ns < 120 THEN true WHEN size >= 1000000 AND ns < 350 THEN true WHEN pages <= 1 AND size >= 100000 AND ns < 200 THEN true
+            WHEN repl > 0 AND repl / greatest(total, 1) > 0.01 THEN true WHEN extractor = 'pdftotext' AND cid THEN true WHEN letters > 0 AND letters / greatest(ns, 1) < 0.18 AND size >= 100000 THEN true ELSE false END AS suspicious FROM j""",
     "chunk_book": _CHUNKS + " SELECT book_id, unit::BIGINT AS unit, page_start, page_end, chunk_idx, text FROM z",
     "chunk_page_parts": _PARTS + " SELECT book_id, page_num, chunk_idx, part FROM p",
     "chunk_ids": _PARTS + " SELECT book_id, page_num, chunk_idx, sha256(concat_ws('|', book_id, page_num::VARCHAR, page_num::VARCHAR, chunk_idx::VARCHAR, part)) AS chunk_hash FROM p",

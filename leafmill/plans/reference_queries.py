@@ -12,7 +12,7 @@ from leafmill.operators import ocr, references
 from leafmill.plans import sql
 from leafmill.plans.quality_queries import _CHUNKS
 from leafmill.sources import readers, sinks
-from leafmill.streaming import ingest
+from leafmill.streaming import intake
 from leafmill.tables import current_rows, load
 from leafmill.work import shared_folder
 
@@ -116,15 +116,11 @@ def _stream_source(spark: SparkSession, d: str, name: str):
 
 
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of all books, ingested as a stream that ends when all files are read."""
+    """Chunks of all books, taken in as a stream that ends when all files are read."""
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, number: int) -> None:
-        ingest.chunk_batch(batch).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-
     source = _stream_source(spark, d, "pages").select("book_id", "page_num", "content", "updated_at")
-    source.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return ingest.ingested(spark, f"{out}/chunks").groupBy("book_id").agg(F.count("*").alias("chunks"))
+    source.writeStream.foreachBatch(lambda batch, number: intake.take_in(batch, number, out)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return intake.taken_in(spark, out).groupBy("book_id").agg(F.count("*").alias("chunks"))
 
 
 def stream_review_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -134,11 +130,10 @@ def stream_review_counts(spark: SparkSession, d: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
 
-    counts = ingest.review_counts(_stream_source(spark, d, "review_actions"), "3650 days")
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/counts")
-    last = rows.agg(F.max("batch").alias("last"))
-    return rows.join(F.broadcast(last), rows["batch"] == last["last"]).select("week", "action", "n")
+    # Only counts that changed are written; the state holds what the watermark may still let in.
+    counts = intake.review_counts(_stream_source(spark, d, "review_actions"))
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/counts").groupBy("week", "action").agg(F.max_by("n", "batch").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (verse_markers, unresolved_markers, hadith_search, verse_formats, ocr_line_blocks, ocr_candidates, html_to_pages, html_to_text_native, routed_books, page_diffs, stream_chunks, stream_review_counts)}

@@ -27,7 +27,7 @@ SKIPPED = (".json", ".py", ".md", ".log", ".lock", ".tmp")
 PAGES = "array<string>"
 BOOK = T.StructType([
     *[T.StructField(c, T.StringType()) for c in ("book_id", "filename", "language", "title", "json_path", "source_root", "source_path", "source_relpath", "source_ext", "source_type", "document_type", "source_hash", "content_hash", "text_hash", "extractor", "quality_status", "conversion_status", "review_status")],
-    T.StructField("size_bytes", T.LongType()), T.StructField("total_pages", T.IntegerType()), T.StructField("text_simhash", T.DecimalType(20, 0)), T.StructField("ingest_ready", T.BooleanType()),
+    T.StructField("size_bytes", T.LongType()), T.StructField("total_pages", T.IntegerType()), T.StructField("text_simhash", T.DecimalType(20, 0)), T.StructField("intake_ready", T.BooleanType()),
     T.StructField("pages", T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("page_quality_status", T.StringType())]))),
     T.StructField("_corrupt_record", T.StringType()),
 ])

@@ -117,8 +117,8 @@ def test_catalog_merges(spark):
     assert sorted(r.v for r in catalog.upsert_any(old, new, ["book_id", "json_path"]).collect()) == [3, 5, 7, 9]
     state = spark.createDataFrame([("a", "h", True, 4), ("b", "h", False, 2), ("c", "old", True, 1)], "book_id string, source_hash string, complete boolean, next_batch_index int")
     books = spark.createDataFrame([(x, "h") for x in "abcd"], "book_id string, source_hash string")
-    assert {r.book_id: (r.action, r.next_batch) for r in catalog.ingest_actions(books, state).collect()} == {"a": ("skip", 0), "b": ("resume", 2), "c": ("refresh", 0), "d": ("new", 0)}
-    assert {r.action for r in catalog.ingest_actions(books, state, force=True).collect()} == {"refresh", "new"}
+    assert {r.book_id: (r.action, r.next_batch) for r in catalog.intake_actions(books, state).collect()} == {"a": ("skip", 0), "b": ("resume", 2), "c": ("refresh", 0), "d": ("new", 0)}
+    assert {r.action for r in catalog.intake_actions(books, state, force=True).collect()} == {"refresh", "new"}
     bridge = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "book_id string, chunk_hash string")
     assert [r.chunk_hash for r in catalog.release(bridge, spark.createDataFrame([("b",)], "book_id string"))[1].collect()] == ["y"]
 

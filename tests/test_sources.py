@@ -1,4 +1,4 @@
-"""Readers and writers on files made here, and the ingest stream."""
+"""Readers and writers on files made here, and the intake stream."""
 
 import datetime as dt
 import json
@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from leafmill.sources import readers, sinks
-from leafmill.streaming import ingest
+from leafmill.streaming import intake
 
 
 def make(folder):
@@ -91,17 +91,22 @@ def test_writers(spark, tmp_path):
     assert [r.d for r in df.collect()][0].splitlines()[-2:] == ["-b", "+c"]
 
 
-def test_ingest_stream(spark, tmp_path):
+def test_intake_stream(spark, tmp_path):
     schema = "book_id string, page_num int, content string, updated_at timestamp_ntz"
     row = lambda b, text: (b, 1, text * 4, dt.datetime(2024, 1, 1))
     path, out, check = str(tmp_path / "pages"), str(tmp_path / "out"), str(tmp_path / "check")
     spark.createDataFrame([row("a", "Isi halaman pertama yang panjang. "), row("b", "Isi halaman kedua yang panjang. ")], schema).coalesce(1).write.parquet(path)
-    ingest.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
+    intake.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
     spark.createDataFrame([row("a", "Isi halaman pertama yang diubah. ")], schema).coalesce(1).write.mode("append").parquet(path)
-    ingest.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
-    ingest.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
-    got = {r.book_id: r.text[:26] for r in ingest.ingested(spark, out).collect()}
+    intake.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
+    intake.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
+    got = {r.book_id: r.text[:26] for r in intake.taken_in(spark, out).collect()}
     assert got == {"a": "Isi halaman pertama yang d", "b": "Isi halaman kedua yang pan"}
+    # The rest of a book's pages comes in another batch: the book keeps what it had.
+    more = [("b", n, f"Halaman {n} yang menyusul kemudian. " * 4, dt.datetime(2024, 1, 1)) for n in (2, 3)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(path)
+    intake.start(spark, path, spark.read.parquet(path).schema, out, check).awaitTermination()
+    assert sorted((r.book_id, r.page_start) for r in intake.taken_in(spark, out).collect()) == [("a", 1), ("b", 1), ("b", 2), ("b", 3)]
 
 
 def test_import_folder(spark, tmp_path):
