@@ -1,22 +1,28 @@
 """Lexical and dense retrieval, their fusion and reranking, and evaluation; every step is keyed by query.
 
-Postings are filtered by the queries' terms before anything is shuffled. Vectors are compared by
-matrix products of a block of queries with each Arrow batch, which keeps only its best rows; the
-best of all is a window with a group limit. No step joins all queries with all documents.
+The lexical index has a row a document: its terms with their frequencies. It is built in one narrow pass
+over the texts and kept in a folder. A search reads the index, not the texts: each Arrow batch of it
+scores its documents for a block of queries and keeps only its best rows, as each batch of vectors does
+by matrix products; the best of all is a window with a group limit. What is shuffled grows with
+queries and batches, not with the documents that hold a term.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
-from leafmill.work import stage
+from leafmill.work import shared_folder, stage
 
 K1, B = 1.5, 0.75
 #: Queries compared at once; embedding width of the offline embedder.
@@ -24,9 +30,9 @@ BLOCK, WIDTH = 4_096, 64
 
 #: Words that are no keywords; groups of words with one meaning, by word.
 STOPWORDS = (
-    "apa bagaimana bagi dalam dengan dan dari di ke kepada oleh pada para sebagai sebab sesuai untuk yang atau itu ini cara tentang agar maka serta karena adalah ada berapa siapa "
-    "what how the and of to in for is are"
-).split()
+    "apa", "bagaimana", "bagi", "dalam", "dengan", "dan", "dari", "di", "ke", "kepada", "oleh", "pada", "para", "sebagai", "sebab", "sesuai", "untuk", "yang", "atau", "itu", "ini", "cara",
+    "tentang", "agar", "maka", "serta", "karena", "adalah", "ada", "berapa", "siapa", "what", "how", "the", "and", "of", "to", "in", "for", "is", "are",
+)
 _PRAYER, _PROPHET, _REPORT = ["salat", "shalat", "sholat"], ["hadis", "hadits", "muhammad", "nabi", "rasul", "sunnah"], ["hadis", "hadits"]
 _WASHING, _NOVELTY = ["wudhu", "wudlu"], ["bid'ah", "bidaah", "bidah"]
 EXPANSIONS = {
@@ -49,37 +55,158 @@ def plan_queries(queries: DataFrame, expansions: dict[str, list[str]] | None = N
     return rows.withColumn("variants", F.when(F.size(merged) > 0, F.array("query", second)).otherwise(F.array("query")))
 
 
-def tokens(docs: DataFrame, compat: bool = True) -> DataFrame:
-    """doc_id, tokens, length of each document with at least one term (title and text)."""
+def steady(x: Column) -> Column:
+    """A score to nine places, by which rows are ranked: equal in every order of summation."""
+    return F.floor(x * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+
+
+def _steady(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e9 + 0.5) / 1e9
+
+
+class Index(NamedTuple):
+    """docs: doc_id, lang, length, terms, tfs of each document with a term; terms: term, df; totals: docs, mean_length."""
+
+    docs: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def tallied(docs: DataFrame, compat: bool = True) -> DataFrame:
+    """doc_id, lang, length, terms, tfs: each document's terms (of title and text), sorted, with their frequencies."""
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", tx.search_tokens(tx.normalize_search(body, compat=compat)).alias("tokens"))
-    return rows.where(F.size("tokens") > 0).withColumn("length", F.size("tokens"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", lang.cast("string").alias("lang"), tx.search_tokens(tx.normalize_search(body, compat=compat)).alias("tokens")).where(F.size("tokens") > 0)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_tally, f"doc_id {kind}, lang string, length int, terms array<string>, tfs array<int>")
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = pa.concat_arrays([batch.column(2)])
+        size = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        kinds = pc.unique(flat)
+        kinds = kinds.take(pc.sort_indices(kinds))
+        key = np.repeat(np.arange(len(size)), size) * len(kinds) + pc.index_in(flat, kinds).to_numpy()
+        pairs, tf = np.unique(key, return_counts=True)
+        offsets = pa.array(np.searchsorted(pairs, np.arange(len(size) + 1) * len(kinds)).astype(np.int32))
+        terms = kinds.take(pa.array(pairs % max(1, len(kinds))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], ["doc_id", "lang", "length", "terms", "tfs"])
+
+
+def build_index(docs: DataFrame, folder: str, compat: bool = True) -> Index:
+    """The index of ``docs`` (doc_id, title, text, lang), written into ``folder``; the totals come last, so that they mark it whole."""
+    spark = docs.sparkSession
+    tallied(docs, compat).write.mode("overwrite").parquet(f"{folder}/docs")
+    rows = spark.read.parquet(f"{folder}/docs")
+    rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    return load_index(spark, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in Index._fields])
+
+
+def kept_index(docs: DataFrame, path: str, compat: bool = True) -> Index:
+    """The index of ``docs``, which are the table at ``path``: built unless the shared folder has that of the same state of the table."""
+    spark = docs.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = hadoop(path).getFileSystem(conf)
+    state = files.getContentSummary(hadoop(path))
+    print_ = hashlib.sha256(f"{path}|{files.getFileStatus(hadoop(path)).getModificationTime()}|{state.getLength()}|{state.getFileCount()}|{compat}".encode()).hexdigest()[:24]
+    folder = f"{shared_folder(spark)}/lexical-{print_}"
+    done = hadoop(f"{folder}/totals/_SUCCESS")
+    return load_index(spark, folder) if done.getFileSystem(conf).exists(done) else build_index(docs, folder, compat)
 
 
 def postings(docs: DataFrame, compat: bool = True) -> DataFrame:
     """term, doc_id, tf, length: the inverted index."""
-    t = tokens(docs, compat)
-    return t.select("doc_id", "length", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    return tallied(docs, compat).select("doc_id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("x.terms", "doc_id", "x.tfs", "length").toDF("term", "doc_id", "tf", "length")
+
+
+def _weight(tf, length, mean, idf):
+    """BM25 of a term in a document; the same for columns and arrays."""
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))
+
 
+def _idf(index: Index) -> DataFrame:
+    """term, idf, mean_length."""
+    return index.terms.crossJoin(F.broadcast(index.totals)).select("term", F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")
 
-def bm25(docs: DataFrame, plan: DataFrame, compat: bool = True) -> DataFrame:
-    """query_id, doc_id, bm25, terms: every document that holds a term of a query.
 
-    Only a document's query terms are exploded and joined; document frequencies are counted on them.
+def lexical(index: Index, plan: DataFrame, top_k: int = 5, by_language: bool = False, block: int = BLOCK) -> DataFrame:
+    """query_id, doc_id, bm25, matched, lex_rank: the lexical candidates of each query, max(80, 8 top_k) at most.
+
+    Queries are read in blocks, each broadcast with the weights of its terms. ``by_language``: a query with
+    a language takes documents of that language only.
     """
-    t = tokens(docs, compat)
-    wanted = plan.select("query_id", F.explode("terms").alias("term")).distinct()
-    totals = t.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    # The totals are one row; the list of distinct query terms is small next to the corpus, and the
-    # optimiser broadcasts it only if its size allows.
-    hits = t.select("doc_id", "length", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(totals))
-    idf = F.log(1.0 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (F.col("tf") * (K1 + 1)) / F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")), F.lit(1e-9))
-    each = wanted.join(scored.select("term", "doc_id", weight.alias("w")), "term")
-    return each.groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("matched"))
+    n = max(80, 8 * top_k, 50)
+    spark = index.docs.sparkSession
+    parts, held = [], []
+
+    def flush() -> None:
+        wanted = sorted({t for _, _, terms in held for t in terms})
+        if wanted:
+            rows = _idf(index).join(F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string")), "term").collect()  # the block's terms at most
+            idf = {r.term: r.idf for r in rows}
+            shared = spark.sparkContext.broadcast(([q for q, _, _ in held], [x for _, x, _ in held] if by_language else None, {t: [i for i, (_, _, own) in enumerate(held) if t in own] for t in wanted if t in idf}, idf, rows[0].mean_length if rows else 1.0))
+            parts.append(index.docs.mapInArrow(functools.partial(_score, shared, n), f"query_id {plan.schema['query_id'].dataType.simpleString()}, doc_id {index.docs.schema['doc_id'].dataType.simpleString()}, bm25 double, matched string"))
+        held.clear()
+
+    language = F.col("language") if "language" in plan.columns else F.lit(None)
+    for row in plan.select("query_id", language.cast("string").alias("language"), "terms").toLocalIterator():
+        held.append((row.query_id, row.language, set(row.terms)))
+        if len(held) == block:
+            flush()
+    flush()
+    if not parts:
+        return spark.createDataFrame([], "query_id long, doc_id long, bm25 double, matched string, lex_rank int")
+    found = functools.reduce(DataFrame.unionAll, parts)
+    return top(found, n, [F.desc("bm25"), F.col("doc_id")], name="lex_rank")
+
+
+def _score(shared, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, languages, queries_of, idf, mean = shared.value
+    wanted = pa.array(sorted(queries_of), pa.string())
+    names = wanted.to_pylist()
+    for whole in batches:
+        for a in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(a, 2_000)
+            lists, tfs = (pa.concat_arrays([batch.column(i)]) for i in (3, 4))
+            term = pc.fill_null(pc.index_in(lists.flatten(), wanted), -1).to_numpy()
+            at = np.flatnonzero(term >= 0)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))[at]
+            tf, term, length = tfs.flatten().to_numpy()[at], term[at], batch.column(2).to_numpy()[doc]
+            order = np.argsort(term, kind="stable")
+            scores = np.zeros((len(ids), batch.num_rows))
+            begin = np.flatnonzero(np.diff(term[order], prepend=-1)) if len(order) else order
+            for own in np.split(order, begin[1:]) if len(order) else ():  # the terms in their order
+                t = names[term[own[0]]]
+                scores[np.ix_(queries_of[t], doc[own])] += _weight(tf[own], length[own], mean, idf[t])
+            if languages is not None:
+                lang = np.array(batch.column(1).to_pylist(), dtype=object)
+                scores *= np.stack([np.ones(len(lang), bool) if x is None else lang == x for x in languages])
+            scores = _steady(scores)
+            least = np.partition(scores, -n, axis=1)[:, -n, None] if scores.shape[1] > n else 0
+            q, d = np.nonzero((scores > 0) & (scores >= least))
+            have: dict[int, set[int]] = {}
+            for i, t in zip(doc.tolist(), term.tolist()):
+                have.setdefault(i, set()).add(t)
+            own_terms = [{k for k, t in enumerate(names) if i in queries_of[t]} for i in range(len(ids))] if len(q) else []
+            matched = [",".join(names[k] for k in sorted(own_terms[i] & have[j])) for i, j in zip(q.tolist(), d.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], pa.int64()), batch.column(0).take(pa.array(d)), pa.array(scores[q, d]), pa.array(matched, pa.string())], ["query_id", "doc_id", "bm25", "matched"])
+
+
+def pair_scores(index: Index, plan: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, doc_id, bm25 of given pairs that share a term."""
+    each = pairs.join(plan.select("query_id", F.array_distinct("terms").alias("wanted")), "query_id").join(index.docs.select("doc_id", "length", "terms", "tfs"), "doc_id")
+    hits = F.filter(F.arrays_zip("terms", "tfs"), lambda x: F.array_contains("wanted", x["terms"]))
+    hits = each.select("query_id", "doc_id", "length", F.explode(hits).alias("x")).join(_idf(index), F.col("x.terms") == F.col("term"))
+    w = _weight(F.col("x.tfs"), F.col("length"), F.col("mean_length"), F.col("idf"))
+    return hits.groupBy("query_id", "doc_id").agg(steady(F.sum(w)).alias("bm25"))
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -87,12 +214,6 @@ def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id", name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def lexical_top(scores: DataFrame, top_k: int = 5) -> DataFrame:
-    """The lexical candidates of each query, ranked on the rounded score."""
-    s = scores.withColumn("bm25", tx.round4(F.col("bm25")))
-    return top(s, max(80, 8 * top_k, 50), [F.desc("bm25"), F.col("doc_id")], name="lex_rank")
-
-
 def embed(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
     """The offline embedder: counts of words hashed into ``width`` places. A service can take its place."""
     out = np.zeros((len(texts), width))
@@ -149,7 +270,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
-    return top(found.withColumn("score", tx.round4(F.col("score"))), k, [F.desc("score"), F.col("id")])
+    return top(found, k, [F.desc("score"), F.col("id")])
 
 
 def _best(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
@@ -166,8 +287,8 @@ def _best(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Reco
             own = np.array(batch.column(2).to_pylist(), dtype=object)[rows]
             scores[tagged] = np.where(own[None, :] == np.array(tags, dtype=object)[tagged, None], scores[tagged], -np.inf)
         point_ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
-        # All points that round to the batch's k-th best score stay: ties are settled by id over all batches.
-        rounded = np.floor(scores * 1e4 + 0.5)
+        # All points with the batch's k-th best score stay: ties are settled by id over all batches.
+        rounded = scores = _steady(scores)
         if scores.shape[1] > k:
             least = np.partition(rounded, -k, axis=1)[:, -k, None]
             q, p = np.nonzero((rounded >= least) & np.isfinite(scores))
@@ -180,15 +301,18 @@ def _contained(hay: Column, groups: Column) -> Column:
     return F.size(F.filter(groups, lambda g: F.exists(g, lambda t: F.contains(hay, t))))
 
 
-def fused(plan: DataFrame, docs: DataFrame, bm25_scores: DataFrame, dense: DataFrame, top_k: int = 5, compat: bool = True) -> DataFrame:
+def fused(plan: DataFrame, docs: DataFrame, index: Index, lex: DataFrame, dense: DataFrame, top_k: int = 5, compat: bool = True) -> DataFrame:
     """query_id, doc_id, score and its parts, rank: lexical and dense candidates in one order.
 
-    ``dense``: query_id, doc_id, variant, rank, score. Candidates are the full outer join of both
-    legs; each takes its BM25 score whether or not the lexical leg proposed it.
+    ``lex``: what ``lexical`` gives; ``dense``: query_id, doc_id, variant, rank, score. Candidates are the
+    full outer join of both legs; each takes its BM25 score whether or not the lexical leg proposed it.
+    Scores enter the formula as they are; the result is rounded to four places and ranked.
     """
-    lex = lexical_top(bm25_scores, top_k).select("query_id", "doc_id", "lex_rank")
+    lex = lex.select("query_id", "doc_id", "lex_rank", F.col("bm25").alias("lex_bm25"))
     best = dense.groupBy("query_id", "doc_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("dense"), F.min(F.struct("variant", "rank")).alias("place"))
-    merged = lex.join(best, ["query_id", "doc_id"], "full").join(bm25_scores.select("query_id", "doc_id", tx.round4(F.col("bm25")).alias("bm25")), ["query_id", "doc_id"], "left").na.fill(0.0, ["bm25", "dense"])
+    merged = lex.join(best, ["query_id", "doc_id"], "full")
+    rest = pair_scores(index, plan, merged.where("lex_rank IS NULL").select("query_id", "doc_id"))
+    merged = merged.join(rest, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("lex_bm25", "bm25", F.lit(0.0))).na.fill(0.0, ["dense"])
     c = merged.join(docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")), "doc_id").join(plan.select("query_id", "groups", "terms"), "query_id")
     hay, title = tx.normalize_search(F.concat_ws(" ", "title", "text"), compat=compat), tx.normalize_search(F.col("title"), compat=compat)
     c = c.withColumns({"hay": hay, "head": title})
@@ -201,26 +325,26 @@ def fused(plan: DataFrame, docs: DataFrame, bm25_scores: DataFrame, dense: DataF
     return top(c, top_k, [F.desc("score"), F.col("lex_rank").asc_nulls_last(), F.col("place").asc_nulls_last(), F.col("doc_id")])
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "balanced", filter_lexical: bool = False, dense_limit: int = 12, compat: bool = True) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "balanced", filter_lexical: bool = False, dense_limit: int = 12, compat: bool = True, index: Index | None = None) -> DataFrame:
     """Ranked documents of each query. ``mode`` fast leaves the dense leg out.
 
     docs: doc_id, title, text, lang; queries: query_id, query, language. The language narrows the
-    dense leg only, unless ``filter_lexical``.
+    dense leg only, unless ``filter_lexical``. Without an ``index`` one is built for this search.
     """
     plan = plan_queries(queries, compat=compat)
-    # Both legs' fusion reads the scores; written once, they are not computed again.
-    scores = stage(bm25(docs, plan, compat), "bm25")
-    if filter_lexical:
-        scores = scores.join(docs.select("doc_id", "lang"), "doc_id").join(queries.select("query_id", "language"), "query_id").where("language IS NULL OR lang = language").drop("lang", "language")
+    index = index or build_index(docs, f"{shared_folder(docs.sparkSession)}/lexical-{uuid.uuid4().hex}", compat)
+    # The candidates are few, and read twice; written once, they are not computed again.
+    lex = stage(lexical(index, plan, top_k, filter_lexical), "lexical")
     if mode == "fast":
-        dense = scores.sparkSession.createDataFrame([], "query_id long, doc_id long, variant int, rank int, score double")
+        dense = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, variant int, rank int, score double")
     else:
         points = embedded(docs.withColumn("tag", F.col("lang")), "doc_id", tx.normalize_search(F.concat_ws(" ", "title", "text"), compat=compat), ["tag"]).withColumnRenamed("doc_id", "id")
         each = plan.select("query_id", F.col("language").alias("tag"), F.posexplode("variants").alias("variant", "v")).withColumn("vid", F.col("query_id") * 2 + F.col("variant"))
         vectors = embedded(each, "vid", tx.normalize_search(F.col("v"), compat=compat), ["tag"]).withColumnRenamed("vid", "query_id")
         near = nearest(points, vectors, dense_limit)
         dense = near.select(F.expr("query_id div 2").alias("query_id"), F.col("id").alias("doc_id"), F.expr("cast(query_id % 2 as int)").alias("variant"), "rank", "score")
-    return fused(plan, docs, scores, dense, top_k, compat)
+        dense = stage(dense, "dense")
+    return fused(plan, docs, index, lex, dense, top_k, compat)
 
 
 def relevant(results: DataFrame, queries: DataFrame) -> DataFrame:
@@ -249,16 +373,30 @@ def failures(judged: DataFrame) -> DataFrame:
     return per.where("NOT ok").select("query_id", F.array_join(F.transform("best", lambda x: x["doc_id"].cast("string")), ",").alias("best"))
 
 
+def page_label(first: Column, last: Column) -> Column:
+    """The pages of a passage: one number, or a range; ``?`` where they are not known."""
+    text = lambda c, d: F.coalesce(c.cast("string"), F.lit(d))
+    return F.when(first.eqNullSafe(last), text(first, "?")).otherwise(F.concat(text(first, "?"), F.lit("–"), text(last, "")))
+
+
 def answer_context(results: DataFrame) -> DataFrame:
-    """query_id, context, sources: the numbered passages of a prompt and their citations, in rank order."""
-    label = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce(F.nullif("title", F.lit("")), F.lit("?")))
-    block = F.concat(label, F.lit("\n"), F.col("text"))
-    per = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b"), label.alias("l")))).alias("x"))
-    return per.select("query_id", F.array_join(F.transform("x", lambda i: i["b"]), "\n\n").alias("context"), F.array_join(F.transform("x", lambda i: i["l"]), "; ").alias("sources"))
+    """query_id, context, listing: the passages of a prompt under their sources, and as a list, in rank order.
+
+    ``results``: query_id, rank, title, text, page_start, page_end (pages may be missing).
+    """
+    own = [F.col(c) if c in results.columns else F.lit(None).cast("int") for c in ("page_start", "page_end")]
+    pages, title = page_label(*own), F.coalesce("title", F.lit("?"))
+    block = F.concat(F.lit("[Buku: "), title, F.lit(", Halaman "), pages, F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    item = F.concat(F.lit("["), title, F.lit(", hlm. "), pages, F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n---"))
+    per = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b"), item.alias("l")))).alias("x"))
+    return per.select("query_id", F.array_join(F.transform("x", lambda i: i["b"]), "\n").alias("context"), F.array_join(F.transform("x", lambda i: i["l"]), "\n").alias("listing"))
 
 
 #: Words in a question that ask for the large model.
-LARGE = "hukum wajib sunnah haram makruh mubah bid'ah sah batal dalil hadis ayat khilaf akidah tauhid syirik kafir shalat puasa zakat haji wudhu nikah".split()
+LARGE = (
+    "hukum", "wajib", "sunnah", "haram", "makruh", "mubah", "bid'ah", "sah", "batal", "dalil", "hadis", "ayat", "khilaf", "akidah", "tauhid", "syirik", "kafir", "shalat", "puasa", "zakat",
+    "haji", "wudhu", "nikah",
+)
 
 
 def route(query: Column, mode: str = "auto", strict: bool = True) -> Column:
