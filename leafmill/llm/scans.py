@@ -44,8 +44,6 @@ RATIO, FREQUENT = 20, 10
 COMPOUND = 3
 #: What names follow: its uses at least, and its share of rare words after it against that of all words.
 LEAST_CONTEXT, OPEN = 50, 5.0
-#: Uses in a block up to which the words before a word are listed.
-FEW = 8
 #: Pages in a block; blocks in which a word may occur before its rows are spread over several keys.
 MOST_PAGES, MOST_BLOCKS = 1 << 16, 100_000
 #: Header keys of one side that are compared at once; letters in which a damaged header may differ from a whole one; in short ones a single letter.
@@ -188,7 +186,7 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 # --- The current pages, as blocks of tokens
 
-_USE = "struct<word:string,before:string,uses:double,rare:double>"
+_USE = "struct<word:string,uses:double,rare:double>"
 _LINE = "struct<i:int,line:int,kind:string,key:string,start:int,size:int>"
 _CUT = "struct<i:int,line:int,next:int,a:string,b:string,hyphen:boolean,at:int,to:int>"
 _WORD, _CUTS, _REST, _CLOSE, _SURE = 1, 2, 4, 8, 16
@@ -215,12 +213,13 @@ def token_blocks(pages: DataFrame) -> DataFrame:
 
     block, books, nums, shares: the pages; words, numbers, flags, places, starts, sizes, counts: the
     distinct tokens and, a token, its number among them, its flags, line and place in the text, and the
-    tokens of each page; uses: the words to count; lines: what is noise, or may be, without knowing
-    the corpus; cuts: lines that end inside a word. All that comes after reads this table, not the texts.
+    tokens of each page; uses: the words to count; asked: words that are only looked up; lines: what is
+    noise, or may be, without knowing the corpus; cuts: lines that end inside a word. All that comes
+    after reads this table, not the texts.
     """
     kept = _kept(pages)
     kind = kept.schema["page_num"].dataType.simpleString()
-    schema = f"block long, books array<string>, nums array<{kind}>, shares array<double>, words array<string>, numbers binary, flags binary, places binary, starts binary, sizes binary, counts binary, uses array<{_USE}>, lines array<{_LINE}>, cuts array<{_CUT}>"
+    schema = f"block long, books array<string>, nums array<{kind}>, shares array<double>, words array<string>, numbers binary, flags binary, places binary, starts binary, sizes binary, counts binary, uses array<{_USE}>, asked array<string>, lines array<{_LINE}>, cuts array<{_CUT}>"
     return stage(kept.mapInArrow(_read, schema), "token-blocks")
 
 
@@ -263,7 +262,7 @@ def _wide(data: bytes) -> np.ndarray:
 def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
     """The columns of a block that ``token_blocks`` describes."""
     t = Tokens(texts)
-    _, first, number, size = np.unique(t.hash, return_index=True, return_inverse=True, return_counts=True)
+    _, first, number = np.unique(t.hash, return_index=True, return_inverse=True)
     words = [t.string(i) for i in first]
     start, length = t.start - t.begin[t.text], t.end - t.start
     sure: dict[int, set[int]] = {}
@@ -294,39 +293,31 @@ def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
             bad.add((k, lines[-1][1]))
     lines += [(k, i, "misread", None, None, None) for k, i in sorted(bad)]
     flags = t.word * _WORD + t.cut * _CUTS + t.rest * _REST + t.close * _CLOSE + certain * _SURE
+    asked = {x for _, _, _, a, b, *_ in cuts if a and b for x in (a + b, _compound(a, b))}
     counts = np.bincount(t.text, minlength=len(texts)) if len(t.text) else np.zeros(len(texts), np.int64)
     return {
         "words": _listed(pa.array(words, pa.string())), "numbers": _small(number), "flags": pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), "places": _small(t.line), "starts": _small(start), "sizes": _small(length),
-        "counts": _small(counts), "uses": _structs(_uses(t, words, number, size, shares, cuts), _USE), "lines": _structs(lines, _LINE), "cuts": _structs(cuts, _CUT),
+        "counts": _small(counts), "uses": _structs(_uses(t, words, number, shares), _USE), "asked": _listed(pa.array(sorted(asked - set(words)), pa.string())), "lines": _structs(lines, _LINE), "cuts": _structs(cuts, _CUT),
     }
 
 
-def _uses(t: Tokens, words: list[str], number: np.ndarray, size: np.ndarray, shares: np.ndarray, cuts: list[tuple]) -> list[tuple]:
-    """(word, word before, uses, rare uses) of a block; compounds are skeletons with a hyphen.
+def _uses(t: Tokens, words: list[str], number: np.ndarray, shares: np.ndarray) -> list[tuple]:
+    """(word, uses, rare uses) of a block; compounds are skeletons with a hyphen.
 
-    Words that are rare in the block have a row for each word close before them; the rare uses are those of
-    words that occur twice at most. Words that are cut at a line's end have no uses, but are listed.
+    The rare uses of a word are those right after which there is a word that occurs twice at most in the
+    block. Words that are cut at a line's end have no uses.
     """
     ok = np.flatnonzero(t.word & ~t.cut & ~t.rest)
-    own, share = number[ok], shares[t.text[ok]]
-    size = np.bincount(own, minlength=len(words))
-    uses = np.bincount(own, share, len(words))
-    rows = [(words[i], None, float(uses[i]), 0.0) for i in np.flatnonzero(size > FEW).tolist()]
-    few = ok[size[own] <= FEW]
-    before = np.where(t.close[few], number[np.maximum(few - 1, 0)], -1)
-    pair = number[few] * (len(words) + 1) + before + 1
-    _, at, which = np.unique(pair, return_index=True, return_inverse=True)
-    total = np.bincount(which, shares[t.text[few]], len(at))
-    for i, b, n in zip(number[few][at].tolist(), before[at].tolist(), total.tolist()):
-        rows.append((words[i], words[b] if b >= 0 else None, n, n if size[i] <= 2 else 0.0))
+    size = np.bincount(number[ok], minlength=len(words))
+    uses = np.bincount(number[ok], shares[t.text[ok]], len(words))
+    after = ok[t.close[ok] & (size[number[ok]] <= 2)]
+    rare = np.bincount(number[after - 1], shares[t.text[after]], len(words))
+    rows = [(words[i], float(uses[i]), float(rare[i])) for i in np.flatnonzero((uses > 0) | (rare > 0)).tolist()]
     if len(t.start) > 1:
         gap = np.flatnonzero((t.start[1:] - t.end[:-1] == 1) & (t.cp[np.minimum(t.end[:-1], len(t.cp) - 1)] == 45) & t.word[1:] & t.word[:-1])
         _, at, which = np.unique(number[gap] * len(words) + number[gap + 1], return_index=True, return_inverse=True)
         total = np.bincount(which, shares[t.text[gap]], len(at))
-        rows += [(_compound(words[number[i]], words[number[i + 1]]), None, n, 0.0) for i, n in zip(gap[at].tolist(), total.tolist())]
-    for _, _, _, a, b, *_ in cuts:
-        if a and b:
-            rows += [(a + b, None, 0.0, 0.0), (_compound(a, b), None, 0.0, 0.0)]
+        rows += [(_compound(words[number[i]], words[number[i + 1]]), n, 0.0) for i, n in zip(gap[at].tolist(), total.tolist())]
     return rows
 
 
@@ -375,25 +366,16 @@ def _copies(blocks: DataFrame) -> DataFrame:
 # --- Counting words, learning what stands and what is misread
 
 
-def word_counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, uses, name: of every word in all pages; compounds hold a hyphen) and (word: what names follow).
+def name_contexts(totals: DataFrame) -> DataFrame:
+    """word: what names follow. ``totals``: word, uses, rare, as ``token_blocks`` counts them, over the corpus.
 
     Names are an open class: nearly all that follows an honorific is rare where it stands, while what
     follows any other word is mostly frequent. So a word is a name's context if at least half of its
-    uses, and ``OPEN`` times as many as with words in general, have a word after it that occurs
-    twice at most in its block; and a word is a name if most of its uses, as far as the word before
-    is known, follow such a context.
+    uses, and ``OPEN`` times as many as with words in general, have a rare word after it.
     """
-    total = rows.groupBy("word").agg(F.sum("uses").alias("uses"))
-    after = rows.where("before IS NOT NULL").groupBy(F.col("before").alias("word")).agg(F.sum("rare").alias("rare"))
-    overall = rows.where("NOT contains(word, '-')").agg((F.sum("rare") / F.sum("uses")).alias("share"))
-    found = after.join(total, "word").where(F.col("uses") >= LEAST_CONTEXT).crossJoin(F.broadcast(overall))
-    contexts = found.where(F.col("rare") >= F.col("uses") * F.greatest(F.lit(0.5), F.col("share") * OPEN)).select("word")
-    # A row without a word before it may follow an honorific at the end of the last page: it counts for neither side.
-    known = rows.where("before IS NOT NULL").join(contexts.select(F.col("word").alias("before"), F.lit(1.0).alias("context")), "before", "left")
-    named = known.groupBy("word").agg(F.sum("uses").alias("known"), F.sum(F.col("uses") * F.coalesce("context", F.lit(0.0))).alias("named"))
-    counts = total.join(named, "word", "left").select("word", "uses", F.coalesce((F.col("named") * 2 >= F.col("known")) & (F.col("known") * 2 >= F.col("uses")) & (F.col("named") > 0), F.lit(False)).alias("name"))
-    return counts, contexts
+    overall = totals.where("NOT contains(word, '-')").agg((F.sum("rare") / F.sum("uses")).alias("share"))
+    found = totals.where(F.col("uses") >= LEAST_CONTEXT).crossJoin(F.broadcast(overall))
+    return found.where(F.col("rare") >= F.col("uses") * F.greatest(F.lit(0.5), F.col("share") * OPEN)).select("word")
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
@@ -446,7 +428,7 @@ def misread_names(counts: DataFrame) -> DataFrame:
 
 # --- Each block's own lexicon
 
-_WRONG, _NAME, _COMPOUND, _CONTEXT, _CHOICE = range(5)
+_WRONG, _NAME, _COMPOUND, _CONTEXT, _CHOICE, _AMBIGUOUS = range(6)
 
 
 class Block:
@@ -471,6 +453,18 @@ class Block:
         return out
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block: the words after a listed word, and how often."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shares, words, numbers, flags, counts, wanted = (batch.column(i)[k].as_py() for i in range(6))
+            own = Block(words, numbers, flags, counts)
+            at = np.flatnonzero(own.listed(wanted)[own.before()] & ((own.flags & (_WORD | _CUTS | _REST)) == _WORD)) if len(own.number) else np.empty(0, np.int64)
+            n = np.bincount(own.number[at], np.array(shares)[own.page[at]], len(words))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(n[some], pa.float64())], ["word", "named"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: each listed word with the words close before it, and how often."""
     for batch in batches:
@@ -510,28 +504,34 @@ def _found_in(words: DataFrame, table: DataFrame, salts: int) -> DataFrame:
 def lexicons(blocks: DataFrame) -> DataFrame:
     """block, entries: what each block's own words are and may mean.
 
-    Everything is joined on words; a block gets entries of its own words only, so neither the driver
-    nor a task holds the lexicon of the corpus.
+    All that is known of words goes into one table, which is joined with the words of the blocks once; a
+    block gets entries of its own words only, so neither the driver nor a task holds the lexicon of
+    the corpus.
     """
-    rows = stage(blocks.select("block", F.explode("uses").alias("u")).select("block", "u.*"), "words")
-    counts, contexts = word_counts(rows)
-    counts = stage(counts, "counts")
-    own = rows.select("block", "word").distinct()
+    own = blocks.select("block", F.explode(F.concat("words", "asked")).alias("word"))
     salts = 1 + blocks.select("block").count() // MOST_BLOCKS
+    asked = blocks.select(F.explode("asked").alias("word"), F.lit(0.0).alias("uses"), F.lit(0.0).alias("rare"))
+    totals = stage(blocks.select(F.explode("uses").alias("u")).select("u.*").unionByName(asked).groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("rare").alias("rare")), "totals")
+    contexts = stage(name_contexts(totals), "contexts")
+    tokens = ("words", "numbers", "flags", "counts")
+    listed = lambda found: stage(found.groupBy("block").agg(F.collect_set("word").alias("wanted")), "listed")
+    named = blocks.select("block", "shares", *tokens).join(listed(_found_in(own, contexts, salts)), "block").drop("block").mapInArrow(_named, "word string, named double")
+    named = named.groupBy("word").agg(F.sum("named").alias("named"))
+    counts = stage(totals.join(named, "word", "left").select("word", "uses", F.coalesce(F.col("named") * 2 >= F.col("uses"), F.lit(False)).alias("name")), "counts")
     forms = stage(misreadings(counts), "forms")
     ambiguous = forms.groupBy("bones").agg(F.count_if("standing").alias("n")).where("n > 1").select("bones")
-    listed = _found_in(own, forms.join(ambiguous, "bones", "left_semi").select("word"), salts).groupBy("block").agg(F.collect_set("word").alias("wanted"))
-    tokens = blocks.select("block", "shares", "words", "numbers", "flags", "counts").join(stage(listed, "listed"), "block")
-    pairs = stage(tokens.mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
     none = F.lit(None).cast("string")
-    entry = lambda df, kind, before=none, meant=none: df.select("block", F.struct(F.lit(kind).alias("kind"), "word", before.alias("before"), meant.alias("meant")).alias("e"))
-    meant = F.col("meant")
-    parts = [
-        entry(_found_in(own, forms.where("NOT standing").select("word", "meant"), salts), _WRONG, meant=meant), entry(_found_in(own, misread_names(counts), salts), _NAME, meant=meant),
-        entry(_found_in(own.where("contains(word, '-')"), counts.where(F.col("word").contains("-") & (F.col("uses") >= COMPOUND)).select("word"), salts), _COMPOUND), entry(_found_in(own, contexts, salts), _CONTEXT),
-        entry(pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]), _CHOICE, F.col("before"), meant),
+    kind = lambda df, k, meant=none: df.select("word", F.lit(k).alias("kind"), meant.alias("meant"))
+    known = [
+        kind(forms.where("NOT standing"), _WRONG, F.col("meant")), kind(misread_names(counts), _NAME, F.col("meant")), kind(counts.where(F.col("word").contains("-") & (F.col("uses") >= COMPOUND)), _COMPOUND), kind(contexts, _CONTEXT),
+        kind(forms.join(ambiguous, "bones", "left_semi"), _AMBIGUOUS),
     ]
-    return stage(functools.reduce(DataFrame.unionByName, parts).groupBy("block").agg(F.collect_list("e").alias("entries")), "entries")
+    found = stage(_found_in(own, stage(functools.reduce(DataFrame.unionByName, known), "lexicon"), salts), "found")
+    pairs = blocks.select("block", "shares", *tokens).join(listed(found.where(F.col("kind") == _AMBIGUOUS)), "block")
+    pairs = stage(pairs.mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
+    chosen = pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]).withColumn("kind", F.lit(_CHOICE))
+    entries = found.where(F.col("kind") != _AMBIGUOUS).unionByName(chosen, allowMissingColumns=True)
+    return stage(entries.groupBy("block").agg(F.collect_list(F.struct("kind", "word", "before", "meant")).alias("entries")), "entries")
 
 
 # --- Lines at the edges of pages
@@ -687,7 +687,7 @@ def candidate_lines(blocks: DataFrame) -> DataFrame:
     """block, i, book_id, page_num, line_num, kind, key, start, size, word: all that is said of lines; headers are not yet decided."""
     kind = blocks.schema["nums"].dataType.elementType.simpleString()
     # The tokens of a block meet its entries in a join on the block, which broadcasts the entries where their size allows it.
-    both = blocks.drop("shares", "uses", "lines").join(lexicons(blocks), "block", "left")
+    both = blocks.drop("shares", "uses", "asked", "lines").join(lexicons(blocks), "block", "left")
     marks = both.mapInArrow(_mark, f"block long, i int, book_id string, page_num {kind}, line int, kind string, start int, size int, word string")
     own = blocks.select("block", "books", "nums", F.explode("lines").alias("x")).select("block", "x.i", F.get("books", F.col("x.i")).alias("book_id"), F.get("nums", F.col("x.i")).alias("page_num"), "x.line", "x.kind", "x.key", "x.start", "x.size")
     every = marks.unionByName(own, allowMissingColumns=True).join(_copies(blocks), ["block", "i"], "left_anti")

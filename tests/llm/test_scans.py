@@ -105,11 +105,15 @@ def test_copies_count_once(spark):
 
 
 def test_words_that_names_follow_are_learned(spark):
-    rows = [(k, f"name{k}x{i}", "ustaz", 1.0, 1.0) for k in range(4) for i in range(60)] + [(k, w, b, 1.0, 0.0) for k in range(4) for w, b in (("rumah", "dan"), ("dan", "ibu"), ("ustaz", "kata"))]
-    rows += [(k, w, None, n, 0.0) for k in range(4) for w, n in (("ustaz", 70.0), ("dan", 4000.0), ("rumah", 900.0))]
-    counts, contexts = scans.word_counts(spark.createDataFrame(rows, "block long, word string, before string, uses double, rare double"))
-    assert [r.word for r in contexts.collect()] == ["ustaz"]
-    assert {r.word for r in counts.where("name").collect()} == {f"name{k}x{i}" for k in range(4) for i in range(60)}
+    rng = random.Random(8)
+    names = ["".join(rng.choices(["ra", "mi", "ho", "te", "lu", "ka", "so", "ne", "wi", "da"], k=4)) for _ in range(4000)]
+    pages = [("b", i, " ".join(sentence(rng) + f" Ustaz {rng.choice(names).capitalize()} membaca." for _ in range(6)), T) for i in range(400)]
+    blocks = scans.token_blocks(spark.createDataFrame(pages, SCHEMA).repartition(3))
+    totals = blocks.select(scans.F.explode("uses").alias("u")).select("u.*").groupBy("word").agg(scans.F.sum("uses").alias("uses"), scans.F.sum("rare").alias("rare"))
+    contexts = {r.word for r in scans.name_contexts(totals).collect()}
+    assert contexts == {"ustaz"}
+    entries = [e for r in scans.lexicons(blocks).collect() for e in r.entries]
+    assert {e.word for e in entries if e.kind == scans._CONTEXT} == contexts and not any(e.kind == scans._WRONG and e.word in names for e in entries)
 
 
 def test_near_headers(spark):
