@@ -113,31 +113,65 @@ def page_classes(pages: DataFrame) -> DataFrame:
     return sets.join(classes, ["n", "s", "s2"], "left").select("book_id", F.coalesce("first", "book_id").alias("class_book"), F.col("n").alias("pages"), F.coalesce("books", F.lit(1)).alias("books"))
 
 
-def near_duplicates(catalog: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def page_jaccard_near(pages: DataFrame, least: float = 0.8) -> DataFrame:
+    """book_a, book_b, shared, jaccard of the books whose sets of pages have at least that Jaccard similarity.
+
+    Like ``page_jaccard``, but books meet only by their rarest pages (prefix filtering): of n pages as many
+    as two similar sets can't both leave out. Pages that very many books have make no pairs.
+    """
+    own = pages.where("page_hash IS NOT NULL AND page_hash <> ''").distinct()
+    reps = _page_sets(own).groupBy("n", "s", "s2").agg(F.min("book_id").alias("book_id")).select("book_id", "n")
+    rows = own.join(reps, "book_id").select(F.col("book_id").alias("pos"), F.col("page_hash").alias("h"), "n")
+    rare = _rarest(rows, least)
+    pairs = _earlier(rare.select("pos", "h"), rare.select("pos", "h"), ["h"]).distinct()
+    both = _shared(pairs, rows.select("pos", "h")).join(reps.selectExpr("book_id as pos", "n as x"), "pos").join(reps.selectExpr("book_id as at", "n as y"), "at")
+    jaccard = F.col("shared") / (F.col("x") + F.col("y") - F.col("shared"))
+    return both.where(jaccard >= least).select(F.col("at").alias("book_a"), F.col("pos").alias("book_b"), "shared", tx.round4(jaccard).alias("jaccard"))
+
+
+def _rarest(pages: DataFrame, least: float) -> DataFrame:
+    """Of each set (pos, h, n) the rarest members by which sets of that similarity must meet."""
+    order = Window.partitionBy("pos").orderBy("uses", "h")
+    ranked = pages.join(pages.groupBy("h").agg(F.count("*").alias("uses")), "h").withColumn("i", F.row_number().over(order))
+    return ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
+
+
+def _shared(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """pos, at, shared: how many pages two sets have in common, counted on rows."""
+    both = pairs.join(pages, "pos").join(pages.withColumnRenamed("pos", "at"), ["at", "h"])
+    return both.groupBy("pos", "at").agg(F.count("*").alias("shared"))
+
+
+def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The best earlier record for each record: exact hashes first, then page overlap or SimHash with a title bonus.
 
-    ``catalog``: pos (a total order), book_id, language, title, page_count, page_hashes,
-    content_hash, text_hash, simhash. Candidates come from blocking only, and any pair that reaches
-    the threshold is in a block:
+    ``catalog``: pos (a total order), book_id, language, title, page_count, content_hash, text_hash,
+    simhash; ``pages``: pos, h (page hashes; records without any have no duplicate). Candidates come from
+    blocking only, and any pair that reaches the threshold is in a block:
 
     * equal hashes or SimHashes: every such pair has the score 1, so only the earliest record of
       each language and page count can win, and hot hashes make no pairs among their records;
     * page overlap of the threshold less the bonus: a shared page among each record's rarest pages
       (prefix filtering), so pages that many books have, such as empty ones, make no pairs;
-    * SimHashes within five bits: six bands of the distinct values; within ten bits and with a title
-      word in common: eleven bands with the word. Records alike in all that counts are one.
+    * SimHashes within five bits, by three of eight blocks of the distinct values; within ten bits and with
+      a title word in common, by two of twelve blocks with the word. Records alike in all that counts are one.
+
+    Overlaps are counted on rows of pages; no record's pages are put together.
     """
     if threshold <= 1 - 6 / 64:
         raise ValueError("the blocks are derived for thresholds over 0.90625")
-    c = catalog.where(F.size("page_hashes") > 0).withColumn("page_hashes", F.array_distinct("page_hashes"))
+    pages = pages.where("h IS NOT NULL").select("pos", "h").distinct()
+    sets = pages.groupBy("pos").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(7))).alias("s2"))
+    c = catalog.join(sets, "pos")
     c = c.withColumn("title_words", F.array_sort(F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != ""))))
-    pairs = _equal_pairs(c).unionByName(_page_pairs(c, threshold - 0.08)).unionByName(_simhash_pairs(c)).distinct()
+    pairs = _equal_pairs(c).unionByName(_page_pairs(c, pages, threshold - 0.08)).unionByName(_simhash_pairs(c)).distinct()
     old = c.select(*[F.col(k).alias(f"o_{k}") for k in c.columns])
-    p = pairs.join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
+    p = pairs.join(_shared(pairs, pages), ["pos", "at"], "left").join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
     language = (F.col("language") == "unknown") | (F.col("o_language") == "unknown") | (F.col("language") == F.col("o_language"))
     pages_ok = (F.col("page_count") <= 0) | (F.col("o_page_count") <= 0) | (F.least("page_count", "o_page_count") / F.greatest("page_count", "o_page_count") >= PAGE_RATIO)
     exact = F.coalesce(F.col("content_hash") == F.col("o_content_hash"), F.lit(False)) | F.coalesce(F.col("text_hash") == F.col("o_text_hash"), F.lit(False))
-    jaccard = F.size(F.array_intersect("page_hashes", "o_page_hashes")) / F.size(F.array_union("page_hashes", "o_page_hashes"))
+    shared = F.coalesce("shared", F.lit(0))
+    jaccard = shared / (F.col("n") + F.col("o_n") - shared)
     alike = F.when((F.col("simhash") != 0) & (F.col("o_simhash") != 0), 1.0 - hashing.hamming(F.col("simhash"), F.col("o_simhash")) / 64.0).otherwise(0.0)
     title = F.coalesce(F.try_divide(F.size(F.array_intersect("title_words", "o_title_words")), F.size(F.array_union("title_words", "o_title_words"))), F.lit(0.0))
     p = p.where(language & pages_ok).withColumns({"exact": F.coalesce(exact, F.lit(False)), "base": F.greatest(jaccard, alike), "by_text": alike > jaccard, "titles": title})
@@ -163,40 +197,24 @@ def _equal_pairs(c: DataFrame) -> DataFrame:
     return _earlier(keyed.select("pos", "key"), first.select("pos", "key"), ["key"])
 
 
-def _page_pairs(c: DataFrame, least: float) -> DataFrame:
-    pages = c.select("pos", F.size("page_hashes").alias("n"), F.explode("page_hashes").alias("h"))
-    rare = pages.groupBy("h").agg(F.count("*").alias("uses"))
-    order = Window.partitionBy("pos").orderBy("uses", "h")
-    prefix = pages.join(rare, "h").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+def _page_pairs(c: DataFrame, pages: DataFrame, least: float) -> DataFrame:
+    prefix = _rarest(pages.join(c.select("pos", "n"), "pos"), least)
     # Books with the same pages that are alike in all that counts stand for one another.
-    kind = c.select("pos", F.xxhash64(F.array_sort("page_hashes"), "simhash", "language", "page_count", "title_words").alias("kind"))
+    kind = c.select("pos", F.struct("n", "s1", "s2", "simhash", "language", "page_count", "title_words").alias("kind"))
     first = prefix.join(kind, "pos").groupBy("h", "kind").agg(F.min("pos").alias("pos"))
     return _earlier(prefix.select("pos", "h"), first.select("pos", "h"), ["h"])
 
 
-def _bands(n: int) -> Column:
-    edge = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", edge[i]).bitwiseAND((1 << (edge[i + 1] - edge[i])) - 1).alias("bits")) for i in range(n)])
-
-
 def _simhash_pairs(c: DataFrame) -> DataFrame:
     known = c.where("simhash <> 0")
-    near = lambda df, n, on: df.select(F.col("simhash").alias("h"), *on, F.explode(_bands(n)).alias("b"))
-
-    def close(df: DataFrame, n: int, low: int, high: int, on: list[str]) -> DataFrame:
-        x, y = near(df, n, on), near(df, n, on).withColumnRenamed("h", "o")
-        d = hashing.hamming(F.col("h"), F.col("o"))
-        return x.join(y, ["b", *on]).where((F.col("h") != F.col("o")) & d.between(low, high)).select("h", "o", *on).distinct()
-
     kinds = known.groupBy("simhash", "language", "page_count", "title_words").agg(F.min("pos").alias("pos"))
-    five = close(known.select("simhash").distinct(), 6, 1, 5, [])
+    five = hashing.near_values(known.select(F.col("simhash").alias("h")).distinct(), 5)
     x, y = known.select("pos", F.col("simhash").alias("h")), kinds.select("pos", F.col("simhash").alias("o"))
     one = _earlier(x.join(five, "h").select("pos", "o"), y, ["o"])
-    worded = known.select("pos", "simhash", F.explode("title_words").alias("word"))
-    ten = close(worded.select("simhash", "word").distinct(), 11, 6, 10, ["word"])
-    x = worded.select("pos", F.col("simhash").alias("h"), "word")
+    worded = known.select("pos", F.col("simhash").alias("h"), F.explode("title_words").alias("word"))
+    ten = hashing.near_values(worded.select("h", "word").distinct(), 10, 6, ("word",))
     y = kinds.select("pos", F.col("simhash").alias("o"), F.explode("title_words").alias("word"))
-    return one.unionByName(_earlier(x.join(ten, ["h", "word"]).select("pos", "o", "word"), y, ["o", "word"]))
+    return one.unionByName(_earlier(worded.join(ten, ["h", "word"]).select("pos", "o", "word"), y, ["o", "word"]))
 
 
 def family_key(books: DataFrame, strict: bool = False) -> Column:
@@ -244,6 +262,15 @@ def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return keep_first(chunks, ["chunk_hash"], [F.col("book_id"), F.col("unit"), F.col("chunk_idx")]).join(known.select("chunk_hash").distinct(), "chunk_hash", "left_anti")
 
 
+def stored_points(points: DataFrame) -> DataFrame:
+    """chunk_hash, point_id, points: of stored points with the same chunk the one that stays: an id that is no number, else the least.
+
+    ``points``: chunk_hash, point_id (numbers as text).
+    """
+    number = F.col("point_id").rlike("^[0-9]+$")
+    return points.where("chunk_hash IS NOT NULL").groupBy("chunk_hash").agg(F.min_by("point_id", F.struct(number, "point_id")).alias("point_id"), F.count("*").alias("points"))
+
+
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """chunk_hash, ref_count, kept: how many books hold each chunk text, and the id that stays."""
     return chunks.groupBy("chunk_hash").agg(F.count_distinct("book_id").alias("ref_count"), F.count("*").alias("points"), F.min("point_id").alias("kept"))

@@ -57,12 +57,18 @@ def page_jaccard_classes(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.page_classes(pages.unionByName(_books(spark, d).select("book_id", F.lit(None).cast("string").alias("page_hash"))))
 
 
+def page_jaccard_near(spark: SparkSession, d: str) -> DataFrame:
+    """Books whose sets of pages have a Jaccard similarity of 0.8 or more; equal sets are named by their first book."""
+    return dedupe.page_jaccard_near(_pages(spark, d, "page_hash").select("book_id", "page_hash"))
+
+
 def near_duplicate_best(spark: SparkSession, d: str) -> DataFrame:
     """Each book's best earlier duplicate by stored signatures."""
-    hashes = _pages(spark, d, "page_hash").where("page_hash <> ''").groupBy("book_id").agg(F.array_sort(F.collect_set("page_hash")).alias("page_hashes"), F.count("*").alias("page_count"))
-    b = _books(spark, d).join(hashes, "book_id", "left")
-    rows = b.select("book_id", F.col("book_id").alias("pos"), F.coalesce(F.nullif(F.lower(tx.strip(F.col("language"))), F.lit("")), F.lit("unknown")).alias("language"), "title", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("page_hashes", F.array().cast("array<string>")).alias("page_hashes"), "content_hash", "text_hash", F.coalesce("text_simhash", F.lit(0)).alias("simhash"))
-    return dedupe.near_duplicates(rows)
+    hashed = _pages(spark, d, "page_hash").where("page_hash <> ''")
+    counts = hashed.groupBy("book_id").agg(F.count("*").alias("page_count"))
+    language = F.coalesce(F.nullif(F.lower(tx.strip(F.col("language"))), F.lit("")), F.lit("unknown")).alias("language")
+    rows = _books(spark, d).join(counts, "book_id").select("book_id", F.col("book_id").alias("pos"), language, "title", "page_count", "content_hash", "text_hash", F.coalesce("text_simhash", F.lit(0)).alias("simhash"))
+    return dedupe.near_duplicates(rows, hashed.select(F.col("book_id").alias("pos"), F.col("page_hash").alias("h")))
 
 
 def canonical_per_family(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +222,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    content_signature, edit_signature, source_hash_dedupe, family_lookup, page_jaccard_pairs, page_jaccard_classes, near_duplicate_best, canonical_per_family, archived_duplicates, kept_semi, removed_anti, family_members, index_counts, infer_metadata, reinferred_changes, stats_snapshot, library_page, approved_books,
+    content_signature, edit_signature, source_hash_dedupe, family_lookup, page_jaccard_pairs, page_jaccard_near, page_jaccard_classes, near_duplicate_best, canonical_per_family, archived_duplicates, kept_semi, removed_anti, family_members, index_counts, infer_metadata, reinferred_changes, stats_snapshot, library_page, approved_books,
     inventory_join, set_if_missing, upsert_merge, upsert_any_key, record_overlay, review_fold, page_review_fold, intake_actions, chunk_refcounts, release_book, delete_books, chunk_dedupe, citations,
 )}
 
@@ -255,6 +261,9 @@ ORACLES = {
     "page_jaccard_pairs": f"""WITH p AS (SELECT DISTINCT book_id, page_hash FROM {sql.PAGES} WHERE page_hash <> ''), s AS (SELECT book_id, count(*) AS n, string_agg(page_hash, ',' ORDER BY page_hash) AS k FROM p GROUP BY 1), r AS (SELECT min(book_id) AS book_id, any_value(n) AS n FROM s GROUP BY k),
         q AS (SELECT p.*, n FROM p JOIN r USING (book_id))
         SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, {sql.round4('count(*) / (any_value(a.n) + any_value(b.n) - count(*))')} AS jaccard FROM q a JOIN q b ON a.page_hash = b.page_hash AND a.book_id < b.book_id GROUP BY 1, 2""",
+    "page_jaccard_near": f"""WITH p AS (SELECT DISTINCT book_id, page_hash FROM {sql.PAGES} WHERE page_hash <> ''), s AS (SELECT book_id, count(*) AS n, string_agg(page_hash, ',' ORDER BY page_hash) AS k FROM p GROUP BY 1), r AS (SELECT min(book_id) AS book_id, any_value(n) AS n FROM s GROUP BY k),
+        q AS (SELECT p.*, n FROM p JOIN r USING (book_id))
+        SELECT a.book_id AS book_a, b.book_id AS book_b, count(*) AS shared, {sql.round4('count(*) / (any_value(a.n) + any_value(b.n) - count(*))')} AS jaccard FROM q a JOIN q b ON a.page_hash = b.page_hash AND a.book_id < b.book_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8""",
     "page_jaccard_classes": f"""WITH p AS (SELECT book_id, page_hash FROM {sql.PAGES} UNION SELECT book_id, NULL FROM {sql.BOOKS}), s AS (SELECT book_id, count(DISTINCT nullif(page_hash, '')) AS n, coalesce(string_agg(DISTINCT nullif(page_hash, ''), ',' ORDER BY nullif(page_hash, '')), '#' || book_id) AS k FROM p GROUP BY 1)
         SELECT book_id, min(book_id) OVER (PARTITION BY k) AS class_book, n AS pages, count(*) OVER (PARTITION BY k) AS books FROM s""",
     "near_duplicate_best": f"""WITH h AS (SELECT book_id, list_distinct(list(page_hash)) AS ph, count(*) AS pc FROM {sql.PAGES} WHERE page_hash <> '' GROUP BY 1),

@@ -107,22 +107,18 @@ def simhash_compat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simhash_hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of different stored SimHashes that differ in five bits at most, by six bands.
+    """Pairs of different stored SimHashes that differ in five bits at most.
 
-    Two hashes that differ in five bits agree in one of six bands (pigeonhole), so the equi-join on
-    (band, bits) loses nothing. Equal hashes are one class, joined once and named by its first book;
+    Values meet by the bits of three of eight blocks (pigeonhole), so the equi-join loses nothing and
+    few others meet. Equal hashes are one class, joined once and named by its first book;
     ``simhash_classes`` has the class of every book, so that joined to it on both sides these are
     all pairs of books at distances 1 to 5, and its classes those at distance 0.
     """
     books = _books(spark, d, "text_simhash").where("text_simhash <> 0")
-    classes = books.groupBy("text_simhash").agg(F.count("*").alias("books"), F.min("book_id").alias("first"))
-    width = [11, 11, 11, 11, 10, 10]
-    low = [sum(width[:i]) for i in range(6)]
-    band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("text_simhash", low[i]).bitwiseAND((1 << width[i]) - 1).alias("bits")) for i in range(6)])
-    keyed = classes.select("text_simhash", "first", F.explode(band).alias("band"))
-    a, b = (keyed.select(F.col("band").alias("band"), F.col("text_simhash").alias(f"h{x}"), F.col("first").alias(f"book_{x}")) for x in "ab")
-    pairs = a.join(b, "band").where("ha < hb").select("ha", "hb", "book_a", "book_b", hashing.hamming(F.col("ha"), F.col("hb")).alias("distance")).where("distance <= 5").distinct()
-    return pairs.select("book_a", "book_b", "distance")
+    classes = books.groupBy(F.col("text_simhash").alias("h")).agg(F.min("book_id").alias("book"))
+    pairs = hashing.near_values(classes.select("h"), 5).where("h < o")
+    named = pairs.join(classes.withColumnRenamed("book", "book_a"), "h").join(classes.withColumnsRenamed({"h": "o", "book": "book_b"}), "o")
+    return named.select("book_a", "book_b", hashing.hamming(F.col("h"), F.col("o")).alias("distance"))
 
 
 def simhash_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from leafmill.functions import hashing
 from leafmill.operators import catalog, chunking, dedupe, ocr, quality, references, retrieval
 
 
@@ -104,10 +105,45 @@ def test_near_duplicates_brute_force(spark):
                 best = (e[1], score)
         if best:
             want[c[1]] = best[0]
-    got = {r.book_id: r.duplicate_of for r in dedupe.near_duplicates(df).collect()}
+    got = {r.book_id: r.duplicate_of for r in dedupe.near_duplicates(df.drop("page_hashes"), df.selectExpr("pos", "explode(page_hashes) AS h")).collect()}
     assert got == want and len(want) > 10
 
 
+def test_near_values(spark):
+    rng = random.Random(9)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(values):
+        for n in (1, 5, 6, 10, 11):
+            w = v
+            for bit in rng.sample(range(64), n):
+                w ^= 1 << bit
+            values.add(w)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    frame = spark.createDataFrame([(v,) for v in signed], "h long")
+    for bits, least in ((5, 1), (10, 6)):
+        want = {(a, b) for a in signed for b in signed if a != b and least <= ((a ^ b) & (2**64 - 1)).bit_count() <= bits}
+        assert {tuple(r) for r in hashing.near_values(frame, bits, least).collect()} == want and len(want) > 30
+
+
+def test_page_jaccard_near_has_no_hot_pages(spark):
+    """A page that all books have makes no candidates, and no similar pair is lost."""
+    rng = random.Random(3)
+    sets = {f"b{i:03}": {"filler", *(f"p{rng.randint(0, 300)}" for _ in range(9))} for i in range(120)}
+    for i in range(0, 120, 4):
+        sets[f"b{i:03}"] = set(sorted(sets[f"b{i + 1:03}"])[1:])
+    rows = spark.createDataFrame([(b, x) for b, s in sets.items() for x in s], "book_id string, page_hash string")
+    got = {(r.book_a, r.book_b): r.jaccard for r in dedupe.page_jaccard_near(rows).collect()}
+    firsts = {}
+    for b in sorted(sets):
+        firsts.setdefault(frozenset(sets[b]), b)
+    names = sorted(firsts.values())
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {k: round(v, 4) for k, v in want.items()} == got and len(want) >= 25
+    n = rows.groupBy("book_id").count().selectExpr("book_id as pos", "count as n")
+    prefix = dedupe._rarest(rows.selectExpr("book_id as pos", "page_hash as h").join(n, "pos"), 0.8)
+    assert prefix.where("h = 'filler'").count() == 0
+
+
 def test_catalog_merges(spark):
     old = spark.createDataFrame([("a", "p1", 1), ("b", "p2", 2), (None, "p3", 3)], "book_id string, json_path string, v int")
     new = spark.createDataFrame([("a", "p9", 7), (None, "p4", 9), ("z", "p2", 5)], "book_id string, json_path string, v int")
@@ -158,7 +194,7 @@ def test_nearest_in_blocks(spark):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     want = {}
     for i in range(11):
-        s = np.floor(unit @ unit[i] * 1e4 + 0.5) / 1e4
+        s = np.floor(unit @ unit[i] * 1e9 + 0.5) / 1e9
         ids = [j for j in range(300) if i % 2 or j % 3 == i % 3]
         want[i] = sorted(ids, key=lambda j: (-s[j], j))[:6]
     for block in (4, 100):
