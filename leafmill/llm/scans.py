@@ -417,10 +417,11 @@ def _varied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def misread_names(counts: DataFrame) -> DataFrame:
     """word, meant: names whose rarest trigram becomes a common one when one glyph is put right."""
     names = counts.where("name AND length(word) > 3").select("word", "uses")
-    table = names.select(F.explode(_grams(F.col("word"))).alias("g"), "uses").groupBy("g").agg(F.sum("uses").alias("n"))
+    table = stage(names.select(F.explode(_grams(F.col("word"))).alias("g"), "uses").groupBy("g").agg(F.sum("uses").alias("n")), "trigrams")
     low = table.agg(F.greatest(F.lit(1.0), F.sum("n") / 40_000).alias("low"))
     least = lambda rows, keys: rows.join(table, "g", "left").groupBy(*keys).agg(F.min(F.coalesce("n", F.lit(0.0))).alias("least")).crossJoin(F.broadcast(low))
     doubtful = least(names.select("word", F.explode(_grams(F.col("word"))).alias("g")), ["word"]).where("least <= low").select("word")
+    doubtful = stage(doubtful, "doubtful")
     each = doubtful.mapInArrow(_varied, "word string, i int, variant string")
     right = least(each.select("word", "i", "variant", F.explode(_grams(F.col("variant"))).alias("g")), ["word", "i", "variant"]).where("least > 8 * low")
     return right.groupBy("word").agg(F.max_by("variant", F.struct("least", -F.col("i"))).alias("meant"))
@@ -755,7 +756,7 @@ def near_headers(weak: DataFrame, strong: DataFrame) -> DataFrame:
     very large one.
     """
     count = lambda df, name: df.groupBy("book_id").agg((1 + F.floor(F.count("*") / CELL)).cast("int").alias(name))
-    grid = count(weak, "rows").join(count(strong, "columns"), "book_id")
+    grid = stage(count(weak, "rows").join(count(strong, "columns"), "book_id"), "header-grid")
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = weak.join(grid, "book_id").select("book_id", place("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("side"), "key")
@@ -771,10 +772,11 @@ def _decided(found: DataFrame, pages: DataFrame, books: DataFrame) -> DataFrame:
     first = pages.groupBy("book_id").agg(F.min("page_num").alias("first")).withColumnRenamed("book_id", "b")
     titles = current_rows(books.select("book_id", "title", "updated_at"), ["book_id"]).select(F.col("book_id").alias("b"), skeletons(F.regexp_replace(F.lower("title"), r"\P{L}+", "")).alias("title"))
     heads = found.where("kind LIKE 'header%'").select("pid", "book_id", "page_num", "line_num", "kind", "key")
-    heads = heads.join(first, F.col("book_id") == F.col("b"), "left").drop("b").where("page_num > first")
-    uses = heads.groupBy("book_id", "key").agg(F.count_distinct("page_num").alias("n"))
-    alike = near_headers(heads.where("kind = 'header??'").select("book_id", "key").distinct(), uses.where("n > 1").select("book_id", "key")).withColumn("alike", F.lit(True))
-    heads = heads.join(uses, ["book_id", "key"]).join(alike, ["book_id", "key"], "left").join(titles, F.col("book_id") == F.col("b"), "left").drop("b")
+    # Headers are few, and looked at from several sides; written once, they are not computed again.
+    heads = stage(heads.join(first, F.col("book_id") == F.col("b"), "left").drop("b").where("page_num > first"), "heads")
+    uses = stage(heads.groupBy("book_id", "key").agg(F.count_distinct("page_num").alias("n"), F.bool_or(F.col("kind") == "header??").alias("weak")), "header-keys")
+    alike = stage(near_headers(uses.where("weak").select("book_id", "key"), uses.where("n > 1").select("book_id", "key")).withColumn("alike", F.lit(True)), "near-headers")
+    heads = heads.join(uses.drop("weak"), ["book_id", "key"]).join(alike, ["book_id", "key"], "left").join(titles, F.col("book_id") == F.col("b"), "left").drop("b")
     near = (F.levenshtein(F.col("key"), F.coalesce("title", F.lit("")), NEAR) >= 0) | ((F.length("title") > 5) & (F.col("key").startswith(F.col("title")) | F.col("title").startswith(F.col("key"))) & (F.length("key") > 5))
     near = F.coalesce(near, F.lit(False))
     support = (F.col("n") > 1) | F.coalesce("alike", F.lit(False)) | near
