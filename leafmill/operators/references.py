@@ -22,23 +22,23 @@ SEARCH = "(?is)\\[\\[(?:DORAR_SEARCH|FIX_HADITH_DORAR|CANDIDATE_HADITH_DORAR)\\s
 
 #: Names of collections by their usual name.
 ALIASES = {
-    "bukhari": "sahih_bukhari sahih_al_bukhari bukhari",
-    "muslim": "sahih_muslim sahih_al_muslim muslim",
-    "abudawud": "sunan_abi_dawud sunan_abu_dawud abu_dawud abudawud abu_daud",
-    "tirmidhi": "sunan_at_tirmidhi jami_at_tirmidhi jami_tirmidhi tirmidhi at_tirmidhi",
-    "nasai": "sunan_an_nasai sunan_an_nasa_i sunan_an_nasa nasai an_nasai an_nasa_i",
-    "ibnmajah": "sunan_ibn_majah ibn_majah ibnmajah",
-    "malik": "muwatta_malik al_muwatta muwatta malik",
-    "ahmed": "musnad_ahmad musnad_ahmed ahmad ahmed",
-    "darimi": "darimi sunan_darimi",
-    "riyad_assalihin": "riyad_as_salihin riyadh_as_salihin riyad_assalihin riyadussalihin",
-    "shamail_muhammadiyah": "shamail_muhammadiyah",
-    "bulugh_almaram": "bulugh_al_maram bulugh_almaram",
-    "aladab_almufrad": "al_adab_al_mufrad aladab_al_mufrad aladab_almufrad",
-    "mishkat_almasabih": "mishkat_al_masabih mishkat_almasabih",
-    "nawawi40": "forty_hadith_nawawi nawawi40",
-    "qudsi40": "forty_hadith_qudsi qudsi40",
-    "shahwaliullah40": "forty_hadith_shah_waliullah shahwaliullah40",
+    "bukhari": ("sahih_bukhari", "sahih_al_bukhari", "bukhari",),
+    "muslim": ("sahih_muslim", "sahih_al_muslim", "muslim",),
+    "abudawud": ("sunan_abi_dawud", "sunan_abu_dawud", "abu_dawud", "abudawud", "abu_daud",),
+    "tirmidhi": ("sunan_at_tirmidhi", "jami_at_tirmidhi", "jami_tirmidhi", "tirmidhi", "at_tirmidhi",),
+    "nasai": ("sunan_an_nasai", "sunan_an_nasa_i", "sunan_an_nasa", "nasai", "an_nasai", "an_nasa_i",),
+    "ibnmajah": ("sunan_ibn_majah", "ibn_majah", "ibnmajah",),
+    "malik": ("muwatta_malik", "al_muwatta", "muwatta", "malik",),
+    "ahmed": ("musnad_ahmad", "musnad_ahmed", "ahmad", "ahmed",),
+    "darimi": ("darimi", "sunan_darimi",),
+    "riyad_assalihin": ("riyad_as_salihin", "riyadh_as_salihin", "riyad_assalihin", "riyadussalihin",),
+    "shamail_muhammadiyah": ("shamail_muhammadiyah",),
+    "bulugh_almaram": ("bulugh_al_maram", "bulugh_almaram",),
+    "aladab_almufrad": ("al_adab_al_mufrad", "aladab_al_mufrad", "aladab_almufrad",),
+    "mishkat_almasabih": ("mishkat_al_masabih", "mishkat_almasabih",),
+    "nawawi40": ("forty_hadith_nawawi", "nawawi40",),
+    "qudsi40": ("forty_hadith_qudsi", "qudsi40",),
+    "shahwaliullah40": ("forty_hadith_shah_waliullah", "shahwaliullah40",),
 }
 #: The order of collections in results; others come after with 100.
 PRIORITY = {
@@ -51,14 +51,34 @@ QUERY_BLOCK = 10_000
 FIELDS = ("arabic", "translation_id", "translation_en", "english_text", "text", "narrator", "english_narrator", "chapter_title_ar", "chapter_title_en")
 
 
+def flat_name(name: Column) -> Column:
+    """A collection's name in lower case, with underscores between its words."""
+    low = F.regexp_replace(F.lower(tx.nfkc(F.trim(name))), "['`]", "")
+    return F.btrim(F.regexp_replace(low, "[^a-z0-9]+", "_"), F.lit("_"))
+
+
 def collection(name: Column) -> Column:
     """The usual name of a collection."""
-    low = F.regexp_replace(F.lower(tx.nfkc(F.trim(name))), "['`]", "")
-    flat = F.btrim(F.regexp_replace(low, "[^a-z0-9]+", "_"), F.lit("_"))
-    table = F.create_map(*[F.lit(x) for usual, names in ALIASES.items() for n in names.split() for x in (n, usual)])
+    flat = flat_name(name)
+    table = F.create_map(*[F.lit(x) for usual, names in ALIASES.items() for n in names for x in (n, usual)])
     return F.coalesce(table[flat], flat)
 
 
+def with_collection(rows: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """``rows`` with ``coll``: of the collections in ``known`` the one that column ``name`` means, else its usual name.
+
+    By its usual name, then as it is written, then without underscores. ``known``: collection; a dimension of few rows.
+    """
+    names = known.select("collection").where("collection IS NOT NULL").distinct()
+    plain = lambda c: F.regexp_replace(c, "_", "")
+    compact = names.groupBy(plain(F.col("collection")).alias("short")).agg(F.min("collection").alias("long"))
+    j = rows.withColumns({"__usual": collection(F.col(name)), "__flat": flat_name(F.col(name))})
+    for i, c in enumerate(("__usual", "__flat")):
+        j = j.join(names.select(F.col("collection").alias(f"__n{i}")), F.col(c) == F.col(f"__n{i}"), "left")
+        j = j.join(compact.select(F.col("short").alias(f"__s{i}"), F.col("long").alias(f"__l{i}")), plain(F.col(c)) == F.col(f"__s{i}"), "left")
+    return j.withColumn("coll", F.coalesce("__n0", "__n1", "__l0", "__l1", "__usual")).select(*rows.columns, "coll")
+
+
 def verse_key(surah: Column, ayah: Column) -> Column:
     return F.concat_ws(":", surah.cast("int").cast("string"), ayah.cast("int").cast("string"))
 
@@ -118,6 +138,11 @@ def format_hadith(mode: Column, arabic: Column, translation: Column, grade: Colu
     return F.when(m == "id", _joined(translation, rated)).when(m.isin("ar+id", "id+ar"), _joined(arabic, translation, rated)).otherwise(F.coalesce(F.trim(arabic), F.lit("")))
 
 
+def source_label(collection_name: Column, number: Column) -> Column:
+    """Where a record comes from: its collection and number, those that are known."""
+    return F.concat_ws(" ", F.nullif(F.trim(collection_name), F.lit("")), F.concat(F.lit("no. "), F.nullif(F.trim(number), F.lit(""))))
+
+
 def preview(*fields: Column) -> Column:
     """The first two fields that are filled."""
     filled = F.filter(F.array(*[F.nullif(F.trim(f), F.lit("")) for f in fields]), lambda x: x.isNotNull())
@@ -157,11 +182,17 @@ def resolve(texts: DataFrame, verses: DataFrame, hadith: DataFrame, blocks: Data
         return m.join(v, "k", "left").select("doc_id", "place", "marker", F.when(F.col("hit"), said).otherwise(F.concat(F.lit("[[ERROR_QS_NOT_FOUND "), "k", F.lit("]]"))).alias("answer"), F.coalesce("hit", F.lit(False)).alias("found"))
 
     def record(m: DataFrame) -> DataFrame:
-        number = F.when(F.col("g2").rlike("^[0-9]+$"), F.expr("cast(cast(g2 as bigint) as string)")).otherwise(F.col("g2"))
-        m = m.withColumns({"coll": collection(F.col("g1")), "num": number})
-        h = hadith.select(F.col("collection").alias("coll"), F.col("number").alias("num"), "arabic", F.coalesce("translation_id", "translation_en").alias("tr"), F.lit(None).cast("string").alias("grade"), F.lit(True).alias("hit")).dropDuplicates(["coll", "num"])
-        said = format_hadith(F.nullif("g3", F.lit("")), F.col("arabic"), F.col("tr"), F.col("grade"))
-        return m.join(h, ["coll", "num"], "left").select("doc_id", "place", "marker", F.when(F.col("hit"), said).otherwise(F.col("marker")).alias("answer"), F.coalesce("hit", F.lit(False)).alias("found"))
+        m = with_collection(m, "g1", hadith)
+        whole = F.when(F.col("g2").rlike("^[0-9]+$"), F.expr("cast(cast(g2 as decimal(38)) as string)"))
+        keys = [F.concat_ws(":", "coll", "g2"), whole, F.concat_ws("_", "coll", "g2"), F.concat_ws("-", "coll", "g2"), F.col("g2")]
+        # A record is looked up by its key, in five forms, then by its number.
+        tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(by).alias("by"), k.alias("k")) for by, own in (("key", keys), ("number", [keys[1], keys[4]])) for i, k in enumerate(own, 0 if by == "key" else 5)])
+        each = m.select("doc_id", "place", "coll", F.explode(tries).alias("t")).select("doc_id", "place", "coll", "t.*")
+        h = hadith.select(F.col("collection").alias("coll"), F.explode(F.array(F.struct(F.lit("key").alias("by"), F.col("key").alias("k")), F.struct(F.lit("number").alias("by"), F.col("number").alias("k")))).alias("t"), "key", "arabic", F.coalesce("translation_id", "translation_en").alias("tr")).select("coll", "t.*", F.struct("key", "arabic", "tr").alias("r"))
+        hit = each.join(h, ["coll", "by", "k"]).groupBy("doc_id", "place").agg(F.min_by("r", F.struct("i", "r.key")).alias("r"))
+        j = m.join(hit, ["doc_id", "place"], "left")
+        said = format_hadith(F.nullif("g3", F.lit("")), F.col("r.arabic"), F.col("r.tr"), F.lit(None).cast("string"))
+        return j.select("doc_id", "place", "marker", F.when(F.col("r").isNotNull(), said).otherwise(F.col("marker")).alias("answer"), F.col("r").isNotNull().alias("found"))
 
     def block(m: DataFrame) -> DataFrame:
         b = blocks.select(F.lower("block_id").alias("bid"), F.trim("text").alias("btext")).dropDuplicates(["bid"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text_queries", "quality_queries", "catalog_queries", "retrieval_queries", "reference_queries")
+_MODULES = ("text_queries", "quality_queries", "catalog_queries", "retrieval_queries", "reference_queries", "record_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -160,6 +160,8 @@ ORACLES = {
         SELECT book_id, CASE WHEN ns = 0 THEN true WHEN size >= 200000 AND ns < 120 THEN true WHEN size >= 1000000 AND ns < 350 THEN true WHEN pages <= 1 AND size >= 100000 AND ns < 200 THEN true
             WHEN repl > 0 AND repl / greatest(total, 1) > 0.01 THEN true WHEN extractor = 'pdftotext' AND cid THEN true WHEN letters > 0 AND letters / greatest(ns, 1) < 0.18 AND size >= 100000 THEN true ELSE false END AS suspicious FROM j""",
     "chunk_book": _CHUNKS + " SELECT book_id, unit::BIGINT AS unit, page_start, page_end, chunk_idx, text FROM z",
+    "point_uuid": _CHUNKS + """, hashed AS (SELECT *, sha256(concat_ws('|', book_id, page_start::VARCHAR, page_end::VARCHAR, chunk_idx::VARCHAR, text)) AS chunk_hash FROM z), named AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('rag-chunk:' || chunk_hash)) AS h FROM hashed)
+        SELECT book_id, page_start, page_end, chunk_idx, chunk_hash, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, ((row_number() OVER (PARTITION BY book_id ORDER BY unit, chunk_idx) - 1) // 128)::INT AS batch FROM named""",
     "chunk_page_parts": _PARTS + " SELECT book_id, page_num, chunk_idx, part FROM p",
     "chunk_ids": _PARTS + " SELECT book_id, page_num, chunk_idx, sha256(concat_ws('|', book_id, page_num::VARCHAR, page_num::VARCHAR, chunk_idx::VARCHAR, part)) AS chunk_hash FROM p",
 }

@@ -47,7 +47,7 @@ def _blocks(spark: SparkSession) -> DataFrame:
 
 def verse_markers(spark: SparkSession, d: str) -> DataFrame:
     """Texts with all kinds of markers resolved."""
-    return references.resolve(_marked(spark, d), _verses(spark, d), _records(spark, d), _blocks(spark), policy="first")[0]
+    return references.resolve(_marked(spark, d), _verses(spark, d), _records(spark, d), _blocks(spark), policy="first")[0].select("doc_id", "text")
 
 
 def unresolved_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,30 @@ _WORDS = rf"""WITH l AS (SELECT book_id, page_num AS page, line_num - 1 AS line_
     o AS (SELECT *, CASE WHEN ratio >= 0.25 THEN 'arabic' WHEN ratio >= 0.12 THEN 'mixed' ELSE 'latin' END AS script FROM q)"""
 _BARE = r"regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', '', 'g'), '<[^>]*>', chr(10), 'g')"
 _SHOWN = f"replace(replace(replace(replace(replace(replace({_BARE}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_NORM = lambda x: sql.collapse(f"regexp_replace({sql.low(x)}, '[\\x{{640}}\\x{{64b}}-\\x{{65f}}\\x{{670}}]', '', 'g')")
+_VERSES = "v AS (SELECT '2:' || (item_id % 1000) AS key, coalesce(max(passage) FILTER (language = 'ar'), max(passage)) AS ar, max(passage) FILTER (language = 'id') AS id FROM eval_items WHERE passage <> '' GROUP BY 1)"
+# The query set holds no query of the form collection:number.
+_FOUND = rf"""r AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'bukhari' ELSE 'muslim' END AS collection, item_id::VARCHAR AS number, CASE WHEN language = 'ar' THEN passage END AS arabic, CASE WHEN language <> 'ar' THEN passage END AS tr FROM eval_items),
+    h AS (SELECT *, collection || ':' || number AS key, {_NORM("concat_ws(' ' || chr(10) || ' ', nullif(arabic, ''), nullif(tr, ''))")} AS hay FROM r),
+    q AS (SELECT item_id AS query_id, trim(query) AS query, {_NORM('trim(query)')} AS nq FROM eval_items WHERE trim(query) <> ''),
+    t AS (SELECT *, list_filter(regexp_extract_all(nq, '[\p{{L}}\p{{N}}_\x{{600}}-\x{{6ff}}]+'), lambda x: length(x) >= 2) AS toks FROM q),
+    j AS (SELECT *, len(list_filter(toks, lambda x: contains(hay, x))) AS hits FROM t CROSS JOIN (SELECT * FROM h WHERE hay <> '')),
+    s AS (SELECT *, CASE WHEN nq = hay THEN 1000 ELSE 0 END + CASE WHEN nq <> '' AND contains(hay, nq) THEN 500 ELSE 0 END + hits * 40 + hits / greatest(len(toks), 1)::DOUBLE * 30::DOUBLE + CASE WHEN regexp_matches(query, '[\x{{600}}-\x{{6ff}}]') AND regexp_matches(coalesce(arabic, ''), '[\x{{600}}-\x{{6ff}}]') THEN 20 ELSE 0 END
+        + CASE WHEN regexp_matches(query, '^\d+$') AND number = query THEN 140 ELSE 0 END + CASE WHEN nq = {_NORM('key')} THEN 150 ELSE 0 END + CASE WHEN nq <> '' AND contains({_NORM('key')}, nq) THEN 40 ELSE 0 END AS score,
+        CASE WHEN nq = hay THEN 'teks' WHEN regexp_matches(query, '^\d+$') AND number = query THEN 'nomor' WHEN nq = {_NORM('key')} THEN 'kode' ELSE '' END AS reason FROM j),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE collection WHEN 'bukhari' THEN 0 ELSE 1 END, collection, number, key) AS rank FROM s WHERE score > 0)"""
+_TWO = "chr(10) || chr(10)"
 ORACLES = {
+    "hadith_search": f"WITH {_FOUND} SELECT query_id, rank::INT AS rank, score::DOUBLE AS score, collection, number, reason <> '' AS exact, reason FROM k WHERE rank <= 10",
+    "verse_markers": f"""WITH {_VERSES}, {_FOUND}, m AS (SELECT e.item_id, '2:' || (e.item_id % 1000) AS key, 'bukhari' AS c, coalesce(e.query, 'x') AS query FROM eval_items e)
+        SELECT m.item_id AS doc_id, 'a ' || CASE WHEN v.key IS NULL THEN '[[ERROR_QS_NOT_FOUND ' || m.key || ']]' ELSE concat_ws({_TWO}, nullif(trim(v.ar), ''), nullif(trim(v.id), '')) END || ' b '
+            || CASE WHEN b.number IS NULL THEN '[[HADITH Bukhari:' || m.item_id || ' id]]' ELSE coalesce(trim(b.tr), '') END || ' c [[ERROR_QS_NOT_FOUND 9:999]] d recognised '
+            || CASE WHEN k.query_id IS NULL THEN '[[DORAR_SEARCH ' || m.query || '::ar+id]]' ELSE concat_ws({_TWO}, nullif(trim(k.arabic), ''), nullif(trim(k.tr), '')) END || '.' AS text
+        FROM m LEFT JOIN v ON v.key = m.key LEFT JOIN h b ON b.collection = m.c AND b.number = m.item_id::VARCHAR LEFT JOIN k ON k.rank = 1 AND k.query_id = (SELECT min(query_id) FROM q WHERE q.query = trim(m.query))""",
+    "unresolved_markers": f"""WITH {_VERSES} SELECT item_id AS doc_id, 'verse' AS type, 1 AS place, '[[QS 9:999]]' AS marker FROM eval_items
+        UNION ALL SELECT item_id, 'verse', 0, '[[QS 002:' || (item_id % 1000) || ' id+ar]]' FROM eval_items WHERE '2:' || (item_id % 1000) NOT IN (SELECT key FROM v)
+        UNION ALL SELECT item_id, 'hadith', 0, '[[HADITH Bukhari:' || item_id || ' id]]' FROM eval_items WHERE item_id % 2 <> 0
+        UNION ALL SELECT item_id, 'search', 0, '[[DORAR_SEARCH ' || coalesce(query, 'x') || '::ar+id]]' FROM eval_items""",
     "ocr_line_blocks": _WORDS + """ SELECT book_id, page, printf('p%03d_b%03d', page, row_number() OVER (PARTITION BY book_id, page ORDER BY top, "left")) AS block_id, text, "left", top, "right", bottom, floor(coalesce(c, 0) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS conf, ratio AS arabic_ratio, script AS script_guess FROM o""",
     "ocr_candidates": _WORDS + " SELECT book_id, page, count(*) AS blocks FROM o WHERE script <> 'latin' GROUP BY 1, 2",
     "html_to_text_native": rf"SELECT doc_id, {sql.strip(rf'''regexp_replace({_SHOWN}, '[\t\n\x0b\f\r ]*\n[\t\n\x0b\f\r ]*', chr(10), 'g')''')} AS text FROM documents",

@@ -165,6 +165,9 @@ ORACLES = {
     "page_split": rf"""SELECT doc_id, i AS page_num, length(pages[i]) AS chars FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS i FROM (
         SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\f+'), lambda x: {sql.strip('x')}), lambda x: x <> '') AS pages FROM documents))""",
     "page_metrics": f"SELECT book_id, page_num, length({_C}) AS content_len, sha256({sql.collapse(_C)}) AS page_hash, sha256({sql.strip(_C)}) AS page_text_hash FROM {sql.PAGES}",
+    "snippet_highlight": rf"""WITH t AS (SELECT *, trim(regexp_replace(passage, '[{sql.SPACE}]+', ' ', 'g')) AS flat, list_distinct(regexp_extract_all({sql.low('query')}, '[\p{{L}}\p{{N}}_\x{{600}}-\x{{6ff}}]{{3,}}')) AS ts FROM eval_items),
+        o AS (SELECT item_id, string_agg(w, '|' ORDER BY length(w) DESC, w) AS p FROM (SELECT item_id, unnest(ts) AS w FROM t) GROUP BY 1)
+        SELECT item_id, CASE WHEN length(flat) > 360 THEN left(flat, 360) || '...' ELSE flat END AS snippet, CASE WHEN len(ts) > 0 THEN regexp_replace(passage, '(?i)(' || p || ')', '<mark>\1</mark>', 'g') ELSE passage END AS marked FROM t LEFT JOIN o USING (item_id)""",
     "page_navigation": f"""WITH p AS {sql.PAGES}, t AS (SELECT book_id, max(page_num) AS total FROM p GROUP BY 1)
         SELECT book_id, page_num, array_to_string(list_sort(list_distinct(list_filter([1, 2, 3] || range(page_num - 4, page_num + 5) || range(total - 2, total + 1), lambda x: x >= 1 AND x <= total))), ',') AS links FROM p JOIN t USING (book_id)""",
     "simhash_native": f"""WITH w AS (SELECT doc_id, w, count(*) AS n, ('0x' || substr(sha256(w), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(string_split({sql.normalize_import('text')}, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2)
