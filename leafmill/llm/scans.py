@@ -195,8 +195,8 @@ _WORD, _CUTS, _REST, _CLOSE, _SURE = 1, 2, 4, 8, 16
 def _kept(pages: DataFrame) -> DataFrame:
     """book_id, page_num, share, content of the current pages, as they lie in the scan.
 
-    Only keys that come back are settled by a join: the small table of those keys holds their last
-    time and a hash of the content, and the contents stay in their scan where it can be broadcast.
+    Keys that come back are settled by a join with the table of those keys, their last time and a hash of
+    the content.
     Equal copies have a share of the page each; ``_copies`` names all but one of them.
     """
     rows = pages.select("book_id", "page_num", updated().alias("at"), F.col("content").cast("string").alias("content"))
@@ -204,22 +204,22 @@ def _kept(pages: DataFrame) -> DataFrame:
     last = seen.groupBy("book_id", "page_num").agg(F.sum("n").alias("rows"), F.max(F.struct("at", "print", "n")).alias("last")).where("rows > 1")
     again = stage(last.select(F.col("book_id").alias("b"), F.col("page_num").alias("p"), "last"), "again")
     same = F.col("book_id").eqNullSafe(F.col("b")) & F.col("page_num").eqNullSafe(F.col("p"))
-    kept = rows.join(again, same, "left").where("last IS NULL OR (at = last.at AND xxhash64(content) = last.print)")
+    kept = rows.join(again.hint("merge"), same, "left").where("last IS NULL OR (at = last.at AND xxhash64(content) = last.print)")
     return kept.select("book_id", "page_num", F.coalesce(1.0 / F.col("last.n"), F.lit(1.0)).alias("share"), "content")
 
 
 def token_blocks(pages: DataFrame) -> DataFrame:
     """The current pages in blocks of about a million characters, each one row, written once.
 
-    block, books, nums, shares: the pages; words, numbers, flags, places, starts, sizes, counts: the
-    distinct tokens and, a token, its number among them, its flags, line and place in the text, and the
-    tokens of each page; uses: the words to count; asked: words that are only looked up; lines: what is
+    block, books, nums, shares: the pages; words, numbers, flags, places, gaps, counts: the distinct
+    tokens and, a token, its number among them, its flags, the lines and characters since the token
+    before, and the tokens of each page; uses: the words to count; asked: words that are only looked up; lines: what is
     noise, or may be, without knowing the corpus; cuts: lines that end inside a word. All that comes
     after reads this table, not the texts.
     """
     kept = _kept(pages)
     kind = kept.schema["page_num"].dataType.simpleString()
-    schema = f"block long, books array<string>, nums array<{kind}>, shares array<double>, words array<string>, numbers binary, flags binary, places binary, starts binary, sizes binary, counts binary, uses array<{_USE}>, asked array<string>, lines array<{_LINE}>, cuts array<{_CUT}>"
+    schema = f"block long, books array<string>, nums array<{kind}>, shares array<double>, words array<string>, numbers binary, flags binary, places binary, gaps binary, counts binary, uses array<{_USE}>, asked array<string>, lines array<{_LINE}>, cuts array<{_CUT}>"
     return stage(kept.mapInArrow(_read, schema), "token-blocks")
 
 
@@ -259,12 +259,35 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _lengths(words: list[str]) -> np.ndarray:
+    """Characters of each word in the text: a dotted capital I is two in lower case."""
+    return np.array([len(w) - w.count("i\u0307") for w in words] or [0], np.int64)
+
+
+def _steps(values: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> pa.Array:
+    """What each value is beyond the one before it and its length, within a text; small numbers mostly, that compress."""
+    before = np.concatenate([np.zeros(min(1, len(values)), np.int64), (values + lengths)[:-1]])
+    before[np.concatenate([np.ones(min(1, len(text)), bool), text[1:] != text[:-1]])] = 0
+    step = values - before
+    return _small(np.where(step < 0, -2 * step - 1, 2 * step))
+
+
+def _sums(data: bytes, lengths: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The values that ``_steps`` wrote."""
+    step = _wide(data)
+    step = np.where(step & 1, -(step + 1) >> 1, step >> 1)
+    total = np.cumsum(step + lengths) - lengths
+    first = np.concatenate([np.ones(min(1, len(page)), bool), page[1:] != page[:-1]])
+    start = np.repeat(total[first] - step[first], np.diff(np.append(np.flatnonzero(first), len(page))))
+    return total - start
+
+
 def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
     """The columns of a block that ``token_blocks`` describes."""
     t = Tokens(texts)
     _, first, number = np.unique(t.hash, return_index=True, return_inverse=True)
     words = [t.string(i) for i in first]
-    start, length = t.start - t.begin[t.text], t.end - t.start
+    start = t.start - t.begin[t.text]
     sure: dict[int, set[int]] = {}
     lines: list[tuple] = []
     cuts: list[tuple] = []
@@ -274,9 +297,7 @@ def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
         if not text.isascii() and len(text.lower()) != len(text):
             # Lower case may be longer; places are those in the text as it is.
             place, own = np.cumsum([0] + [len(c.lower()) for c in text]), t.text == k
-            end = np.searchsorted(place, start[own] + length[own])
             start[own] = np.searchsorted(place, start[own])
-            length[own] = end - start[own]
         split = text.split("\n")
         edge = edges(split)
         lines += [(k, i, kind, key, None, None) for i, kind, key in edge]
@@ -296,7 +317,7 @@ def encoded(texts: list[str | None], shares: np.ndarray) -> dict[str, pa.Array]:
     asked = {x for _, _, _, a, b, *_ in cuts if a and b for x in (a + b, _compound(a, b))}
     counts = np.bincount(t.text, minlength=len(texts)) if len(t.text) else np.zeros(len(texts), np.int64)
     return {
-        "words": _listed(pa.array(words, pa.string())), "numbers": _small(number), "flags": pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), "places": _small(t.line), "starts": _small(start), "sizes": _small(length),
+        "words": _listed(pa.array(words, pa.string())), "numbers": _small(number), "flags": pa.array([flags.astype(np.uint8).tobytes()], pa.binary()), "places": _steps(t.line, np.zeros(len(t.line), np.int64), t.text), "gaps": _steps(start, _lengths(words)[number], t.text),
         "counts": _small(counts), "uses": _structs(_uses(t, words, number, shares), _USE), "asked": _listed(pa.array(sorted(asked - set(words)), pa.string())), "lines": _structs(lines, _LINE), "cuts": _structs(cuts, _CUT),
     }
 
@@ -447,6 +468,10 @@ class Block:
         mask[[self.index[w] for w in words if w in self.index]] = True
         return mask
 
+    def placed(self, places: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The line and the first character of each token within its page."""
+        return _sums(places, np.zeros(len(self.number), np.int64), self.page), _sums(gaps, _lengths(self.words)[self.number], self.page)
+
     def before(self) -> np.ndarray:
         """The number of the token close before each token; one past the last number without one."""
         out = np.full(len(self.number), len(self.words))
@@ -516,7 +541,7 @@ def lexicons(blocks: DataFrame) -> DataFrame:
     contexts = stage(name_contexts(totals), "contexts")
     tokens = ("words", "numbers", "flags", "counts")
     listed = lambda found: stage(found.groupBy("block").agg(F.collect_set("word").alias("wanted")), "listed")
-    named = blocks.select("block", "shares", *tokens).join(listed(_found_in(own, contexts, salts)), "block").drop("block").mapInArrow(_named, "word string, named double")
+    named = blocks.select("block", "shares", *tokens).join(listed(_found_in(own, contexts, salts)).hint("merge"), "block").drop("block").mapInArrow(_named, "word string, named double")
     named = named.groupBy("word").agg(F.sum("named").alias("named"))
     counts = stage(totals.join(named, "word", "left").select("word", "uses", F.coalesce(F.col("named") * 2 >= F.col("uses"), F.lit(False)).alias("name")), "counts")
     forms = stage(misreadings(counts), "forms")
@@ -528,7 +553,7 @@ def lexicons(blocks: DataFrame) -> DataFrame:
         kind(forms.join(ambiguous, "bones", "left_semi"), _AMBIGUOUS),
     ]
     found = stage(_found_in(own, stage(functools.reduce(DataFrame.unionByName, known), "lexicon"), salts), "found")
-    pairs = blocks.select("block", "shares", *tokens).join(listed(found.where(F.col("kind") == _AMBIGUOUS)), "block")
+    pairs = blocks.select("block", "shares", *tokens).join(listed(found.where(F.col("kind") == _AMBIGUOUS)).hint("merge"), "block")
     pairs = stage(pairs.mapInArrow(_pairs, "block long, before string, word string, n double"), "pairs")
     chosen = pairs.select("block", "before", "word").join(choices(pairs, forms), ["before", "word"]).withColumn("kind", F.lit(_CHOICE))
     entries = found.where(F.col("kind") != _AMBIGUOUS).unionByName(chosen, allowMissingColumns=True)
@@ -625,7 +650,7 @@ def edges(lines: list[str]) -> list[tuple[int, str, str]]:
 # --- Marking lines
 
 
-def marked(block: Block, places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cuts: list[dict], entries: list[dict]) -> list[tuple]:
+def marked(block: Block, places: np.ndarray, starts: np.ndarray, cuts: list[dict], entries: list[dict]) -> list[tuple]:
     """(page, line, kind, start, size, word): what the lexicon says of a block.
 
     Kinds: misread and hyphen are noise; joined says that a line ends inside a word whose hyphen is its
@@ -651,7 +676,7 @@ def marked(block: Block, places: np.ndarray, starts: np.ndarray, sizes: np.ndarr
         page, line, word = int(block.page[i]), int(places[i]), block.words[block.number[i]]
         prior = block.words[before[i]] if before[i] < len(block.words) else None
         meant = names[word] if named[i] else other.get((prior, word)) or words[word]
-        out.append((page, line, "fix", int(starts[i]), int(sizes[i]), meant))
+        out.append((page, line, "fix", int(starts[i]), len(word) - word.count("i\u0307"), meant))
         if not sure[i]:
             lines.add((page, line))
     for c in cuts:
@@ -677,7 +702,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             get = lambda name: batch.column(name)[k]  # noqa: B023, E731
             block = Block(*[get(c).as_py() for c in ("words", "numbers", "flags", "counts")])
-            found = marked(block, *[_wide(get(c).as_py()) for c in ("places", "starts", "sizes")], get("cuts").as_py(), get("entries").as_py() or [])
+            found = marked(block, *block.placed(get("places").as_py(), get("gaps").as_py()), get("cuts").as_py(), get("entries").as_py() or [])
             page = np.array([r[0] for r in found], np.int64)
             keys = [get(c).values.take(pa.array(page)) for c in ("books", "nums")]
             kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
@@ -687,8 +712,8 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_lines(blocks: DataFrame) -> DataFrame:
     """block, i, book_id, page_num, line_num, kind, key, start, size, word: all that is said of lines; headers are not yet decided."""
     kind = blocks.schema["nums"].dataType.elementType.simpleString()
-    # The tokens of a block meet its entries in a join on the block, which broadcasts the entries where their size allows it.
-    both = blocks.drop("shares", "uses", "asked", "lines").join(lexicons(blocks), "block", "left")
+    # The tokens of a block meet its entries in a join on the block. It is a shuffle at every size, as entries grow with the pages.
+    both = blocks.drop("shares", "uses", "asked", "lines").join(lexicons(blocks).hint("merge"), "block", "left")
     marks = both.mapInArrow(_mark, f"block long, i int, book_id string, page_num {kind}, line int, kind string, start int, size int, word string")
     own = blocks.select("block", "books", "nums", F.explode("lines").alias("x")).select("block", "x.i", F.get("books", F.col("x.i")).alias("book_id"), F.get("nums", F.col("x.i")).alias("page_num"), "x.line", "x.kind", "x.key", "x.start", "x.size")
     every = marks.unionByName(own, allowMissingColumns=True).join(_copies(blocks), ["block", "i"], "left_anti")

@@ -171,7 +171,14 @@ def read(texts):
     """A block's tokens, cuts and lines, as they are read back."""
     own = {k: v[0].as_py() for k, v in scans.encoded(texts, np.ones(len(texts))).items()}
     block = scans.Block(*[own[c] for c in ("words", "numbers", "flags", "counts")])
-    return block, [scans._wide(own[c]) for c in ("places", "starts", "sizes")], own["cuts"], own["lines"]
+    return block, block.placed(own["places"], own["gaps"]), own["cuts"], own["lines"]
+
+
+def test_places_are_read_back():
+    texts = ["Satu dua\n\n  tiga ·empat", None, "", "x", "İstanbul ve İzmir'de bir yol\nson", "ya"]
+    block, (lines, starts), _, _ = read(texts)
+    got = [(int(p), int(i), texts[p][a : a + len(w) - w.count("i\u0307")].lower()) for p, i, a, w in zip(block.page, lines, starts, (block.words[n] for n in block.number))]
+    assert got == [(0, 0, "satu"), (0, 0, "dua"), (0, 2, "tiga"), (0, 2, "empat"), (3, 0, "x"), (4, 0, "i̇stanbul"), (4, 0, "ve"), (4, 0, "i̇zmir'de"), (4, 0, "bir"), (4, 0, "yol"), (4, 1, "son"), (5, 0, "ya")]
 
 
 def said(texts, lexicon):
