@@ -10,6 +10,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from leafmill import work
 from leafmill.plans import catalogue
 
 
@@ -27,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("a known query, --data and --out are needed")
     spark = SparkSession.builder.appName(f"leafmill {args.query}").getOrCreate()
     catalogue.QUERIES[args.query](spark, args.data).write.mode("errorifexists").parquet(args.out)
+    work.release()
 
 
 if __name__ == "__main__":

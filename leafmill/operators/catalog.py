@@ -61,9 +61,9 @@ def stats(books: DataFrame) -> DataFrame:
     )
 
 
-def library(books: DataFrame, query: str = "", language: str = "", status: str = "", page: int = 1, limit: int = 24) -> DataFrame:
-    """A page of the library: substring over nine fields, language, any of three statuses; sorted and cut."""
-    limit = min(max(limit, 1), 96)
+def library(books: DataFrame, query: str = "", language: str = "", status: str = "", page: int = 1, limit: int = 24, most: int = 96) -> DataFrame:
+    """A page of the library: substring over nine fields, language, any of three statuses; sorted and cut at ``most`` rows (500 in plain listings)."""
+    limit = min(max(limit, 1), most)
     fields = ("book_id", "filename", "title", "language", "source_type", "document_type", "review_status", "quality_status", "source_path")
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in fields]))
     rows = books.where(hay.contains(query.strip().lower())) if query.strip() else books

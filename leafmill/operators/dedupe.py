@@ -142,7 +142,7 @@ def _shared(pairs: DataFrame, pages: DataFrame) -> DataFrame:
     return both.groupBy("pos", "at").agg(F.count("*").alias("shared"))
 
 
-def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIMILAR, new: DataFrame | None = None) -> DataFrame:
     """The best earlier record for each record: exact hashes first, then page overlap or SimHash with a title bonus.
 
     ``catalog``: pos (a total order), book_id, language, title, page_count, content_hash, text_hash,
@@ -156,7 +156,8 @@ def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIM
     * SimHashes within five bits, by three of eight blocks of the distinct values; within ten bits and with
       a title word in common, by two of twelve blocks with the word. Records alike in all that counts are one.
 
-    Overlaps are counted on rows of pages; no record's pages are put together.
+    Overlaps are counted on rows of pages; no record's pages are put together. As the catalog grows, ``new``
+    (pos) names the records to look up: those that come after the others.
     """
     if threshold <= 1 - 6 / 64:
         raise ValueError("the blocks are derived for thresholds over 0.90625")
@@ -165,6 +166,8 @@ def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIM
     c = catalog.join(sets, "pos")
     c = c.withColumn("title_words", F.array_sort(F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != ""))))
     pairs = _equal_pairs(c).unionByName(_page_pairs(c, pages, threshold - 0.08)).unionByName(_simhash_pairs(c)).distinct()
+    if new is not None:
+        pairs = pairs.join(new.select("pos").distinct(), "pos", "left_semi")
     old = c.select(*[F.col(k).alias(f"o_{k}") for k in c.columns])
     p = pairs.join(_shared(pairs, pages), ["pos", "at"], "left").join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
     language = (F.col("language") == "unknown") | (F.col("o_language") == "unknown") | (F.col("language") == F.col("o_language"))

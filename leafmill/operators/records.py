@@ -63,11 +63,11 @@ def states(raw: DataFrame, column: str = "state") -> tuple[DataFrame, DataFrame]
     text = F.col(column)
     whole = F.get_json_object(text, "$.books").isNotNull() | F.get_json_object(text, "$.chunks").isNotNull()
     books = F.when(whole, F.get_json_object(text, "$.books")).otherwise(text)
-    rows = raw.select(F.from_json(books, f"map<string,{STATE}>").alias("b"), F.from_json(F.when(whole, F.get_json_object(text, "$.chunks")), f"map<string,{CHUNK}>").alias("c"))
-    b = rows.select(F.explode("b").alias("book_id", "s")).where("s IS NOT NULL")
+    rows = raw.select(F.from_json(books, "map<string,string>").alias("b"), F.from_json(F.when(whole, F.get_json_object(text, "$.chunks")), "map<string,string>").alias("c"))
+    each = lambda column, key, schema: rows.select(F.explode(column).alias(key, "v")).where("v LIKE '{%'").select(key, F.from_json("v", schema).alias("s"))
+    b = each("b", "book_id", STATE)
     b = b.select("book_id", F.coalesce("s.source_hash", F.lit("")).alias("source_hash"), F.coalesce("s.next_batch_index", F.lit(0)).alias("next_batch_index"), F.coalesce("s.complete", F.lit(False)).alias("complete"), F.coalesce("s.chunk_hashes", F.array().cast("array<string>")).alias("chunk_hashes"), F.coalesce("s.point_count", F.lit(0)).alias("point_count"), F.coalesce("s.updated_at", F.lit(0.0)).alias("updated_at"))
-    c = rows.select(F.explode("c").alias("chunk_hash", "s")).where("s IS NOT NULL")
-    return b, c.select("chunk_hash", F.coalesce("s.point_id", hashing.point_id(F.col("chunk_hash"))).alias("point_id"), F.coalesce("s.ref_count", F.lit(0)).alias("ref_count"), F.coalesce("s.first_seen_at", F.lit(0.0)).alias("first_seen_at"))
+    return b, each("c", "chunk_hash", CHUNK).select("chunk_hash", F.coalesce("s.point_id", hashing.point_id(F.col("chunk_hash"))).alias("point_id"), F.coalesce("s.ref_count", F.lit(0)).alias("ref_count"), F.coalesce("s.first_seen_at", F.lit(0.0)).alias("first_seen_at"))
 
 
 #: Fields that content rows take over from the index.

@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -226,7 +226,28 @@ def embed(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def embedded(df: DataFrame, key: str, text: Column, extra: list[str] = ()) -> DataFrame:
+Embedder = Callable[[list[str | None]], np.ndarray]
+
+
+def batched(call: Embedder, size: int = 64, tries: int = 3) -> Embedder:
+    """An embedder that asks a service for ``size`` texts at a time, and again where a call fails."""
+
+    def run(texts: list[str | None]) -> np.ndarray:
+        parts = []
+        for a in range(0, len(texts), size):
+            for left in reversed(range(tries)):
+                try:
+                    parts.append(np.asarray(call(texts[a : a + size]), dtype=np.float64))
+                    break
+                except Exception:  # noqa: BLE001 - the last failure is raised
+                    if not left:
+                        raise
+        return np.concatenate(parts) if parts else np.zeros((0, 1))
+
+    return run
+
+
+def embedded(df: DataFrame, key: str, text: Column, extra: list[str] = (), embedder: Embedder = embed) -> DataFrame:
     """key, extra columns, vector: embeddings of normalised texts, Arrow batch by batch."""
     rows = df.select(key, *extra, text.alias("__t"))
     names = [key, *extra, "vector"]
@@ -235,8 +256,8 @@ def embedded(df: DataFrame, key: str, text: Column, extra: list[str] = ()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 1
-            flat = embed(batch.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * WIDTH, pa.int32()), pa.array(flat.ravel()))], names)
+            flat = embedder(batch.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * (flat.shape[1] if len(flat) else 0), pa.int32()), pa.array(flat.ravel()))], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -325,7 +346,7 @@ def fused(plan: DataFrame, docs: DataFrame, index: Index, lex: DataFrame, dense:
     return top(c, top_k, [F.desc("score"), F.col("lex_rank").asc_nulls_last(), F.col("place").asc_nulls_last(), F.col("doc_id")])
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "balanced", filter_lexical: bool = False, dense_limit: int = 12, compat: bool = True, index: Index | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "balanced", filter_lexical: bool = False, dense_limit: int = 12, compat: bool = True, index: Index | None = None, embedder: Embedder = embed) -> DataFrame:
     """Ranked documents of each query. ``mode`` fast leaves the dense leg out.
 
     docs: doc_id, title, text, lang; queries: query_id, query, language. The language narrows the
@@ -338,9 +359,9 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, mode: str = "bal
     if mode == "fast":
         dense = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, variant int, rank int, score double")
     else:
-        points = embedded(docs.withColumn("tag", F.col("lang")), "doc_id", tx.normalize_search(F.concat_ws(" ", "title", "text"), compat=compat), ["tag"]).withColumnRenamed("doc_id", "id")
+        points = embedded(docs.withColumn("tag", F.col("lang")), "doc_id", tx.normalize_search(F.concat_ws(" ", "title", "text"), compat=compat), ["tag"], embedder).withColumnRenamed("doc_id", "id")
         each = plan.select("query_id", F.col("language").alias("tag"), F.posexplode("variants").alias("variant", "v")).withColumn("vid", F.col("query_id") * 2 + F.col("variant"))
-        vectors = embedded(each, "vid", tx.normalize_search(F.col("v"), compat=compat), ["tag"]).withColumnRenamed("vid", "query_id")
+        vectors = embedded(each, "vid", tx.normalize_search(F.col("v"), compat=compat), ["tag"], embedder).withColumnRenamed("vid", "query_id")
         near = nearest(points, vectors, dense_limit)
         dense = near.select(F.expr("query_id div 2").alias("query_id"), F.col("id").alias("doc_id"), F.expr("cast(query_id % 2 as int)").alias("variant"), "rank", "score")
         dense = stage(dense, "dense")

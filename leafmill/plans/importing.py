@@ -20,7 +20,7 @@ def import_folder(spark: SparkSession, folder: str, label: str, seen: DataFrame
     or if its text is that of a known or an earlier book. Every stage is a join or an aggregation
     over all files; extracted texts are written once.
     """
-    files = readers.with_contents(spark, readers.scan_files(spark, folder), folder)
+    files = readers.with_contents(spark, folder)
     rows = files.withColumns({
         "book_id": tx.book_id(F.lit(label), F.col("relpath")), "filename": F.element_at(F.split("relpath", "/"), -1), "source_type": tx.source_type(F.col("ext")), "language": tx.language_from_path(F.col("path")),
         "title": tx.clean_title(F.regexp_replace(F.element_at(F.split("relpath", "/"), -1), "\\.[^.]*$", "")),

@@ -34,29 +34,28 @@ BOOK = T.StructType([
 QUERY = "query string, must_have array<string>, expected_titles array<string>, language string"
 
 
-def scan_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, relpath, ext, length, modified of readable files, in order of size, suffix and path.
+def scan_files(spark: SparkSession, folder: str, recursive: bool = True, contents: bool = False) -> DataFrame:
+    """path, relpath, ext, length, modified (and content) of readable files, in no order.
 
     Spark's file sources don't list files of no bytes; such a file would have no page anyway.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).drop("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     root = re.sub(r"/+$", "", folder)
     rows = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).withColumn("ext", tx.extension(F.col("path")))
     rows = rows.where(F.col("ext").isin(*READABLE) & ~F.element_at(F.split("path", "/"), -1).startswith(".~lock."))
     rel = F.when(F.startswith("path", F.lit(root + "/")), F.substr("path", F.lit(len(root) + 2))).otherwise(F.col("path"))
-    return rows.select("path", rel.alias("relpath"), "ext", "length", F.col("modificationTime").alias("modified")).orderBy("length", "ext", "path")
+    return rows.select("path", rel.alias("relpath"), "ext", "length", F.col("modificationTime").alias("modified"), *(["content"] if contents else []))
 
 
 def list_flat(spark: SparkSession, folder: str) -> DataFrame:
-    """path of the files directly in a folder that are no byproducts, by name."""
+    """path of the files directly in a folder that are no byproducts, in no order."""
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
-    return files.where(~tx.extension(F.col("path")).isin(*SKIPPED)).orderBy("path")
+    return files.where(~tx.extension(F.col("path")).isin(*SKIPPED))
 
 
-def with_contents(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """The files with their bytes and SHA-256."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    return files.join(read, "path").withColumn("source_hash", F.sha2("content", 256))
+def with_contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """The files of ``scan_files`` with their bytes and SHA-256, in the same one scan."""
+    return scan_files(spark, folder, recursive, contents=True).withColumn("source_hash", F.sha2("content", 256))
 
 
 class _Text(HTMLParser):
@@ -172,6 +171,36 @@ def extract(files: DataFrame, extractors: dict | None = None) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+#: The suffix whose extractor reads files of a source type.
+SUFFIXES = {"txt": ".txt", "html": ".html", "docx": ".docx", "pdf": ".pdf", "epub": ".epub", "ibooks": ".epub", "doc": ".doc"}
+
+
+def preview(files: DataFrame, extractors: dict | None = None) -> DataFrame:
+    """``extract`` for files of records: by ``source_type``, else by the suffix, else as plain text; blank pages are dropped.
+
+    ``files``: path, source_type, content. Failures have no pages.
+    """
+    kinds = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])
+    suffix = tx.extension(F.col("path"))
+    ext = F.coalesce(kinds[F.lower(F.trim(F.coalesce("source_type", F.lit(""))))], F.when(suffix.isin(*READABLE), suffix), F.lit(".txt"))
+    return extract(files.withColumn("ext", ext), extractors).withColumn("pages", F.filter("pages", lambda p: F.trim(p) != ""))
+
+
+def longest(*candidates: Callable[[bytes], list[str]]) -> Callable[[bytes], list[str]]:
+    """An extractor that takes the longest text of several; one that fails counts as empty."""
+
+    def run(data: bytes) -> list[str]:
+        found: list[list[str]] = []
+        for one in candidates:
+            try:
+                found.append(one(data))
+            except Exception:  # noqa: BLE001 - another extractor may do
+                continue
+        return max(found, key=lambda pages: sum(map(len, pages)), default=[])
+
+    return run
+
+
 def numbered_pages(extracted: DataFrame, key: str = "path") -> DataFrame:
     return extracted.select(key, F.posexplode("pages").alias("pos", "content")).select(key, (F.col("pos") + 1).alias("page_num"), "content")
 
@@ -255,6 +284,37 @@ def nested_items(spark: SparkSession, path: str, needed: tuple[str, ...] = ("id"
     return files.mapInPandas(run, "file string, item string")
 
 
+def read_collection(spark: SparkSession, folder: str, name: str, listed: tuple[str, ...] = ()) -> DataFrame:
+    """key, item (JSON) of a collection: from the first file that exists of ``listed`` and four usual places below ``folder``.
+
+    A JSON object is keyed already; items of a list, and of JSON lines, are keyed by id, key or number, the last of
+    equal ones counts; broken files have no items. A collection is one file, read as one row.
+    """
+    import json
+
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    places = [p for p in (*listed, f"{folder}/{name}.json", f"{folder}/{name}.jsonl", f"{folder}/by_book/{name}.json", f"{folder}/by_book/{name}.jsonl") if p]
+    found = next((p for p in places if (h := hadoop(p)).getFileSystem(conf).exists(h)), None)
+    if found is None:
+        return spark.createDataFrame([], "key string, item string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[str, str] = {}
+            for path, data in zip(pdf["path"], pdf["content"]):
+                try:
+                    text = data.decode("utf-8", "replace")
+                    whole = [json.loads(x) for x in text.splitlines() if x.strip()] if path.endswith(".jsonl") else json.loads(text)
+                except ValueError:
+                    continue
+                pairs = whole.items() if isinstance(whole, dict) else [(x.get("id") or x.get("key") or x.get("number"), x) for x in whole if isinstance(x, dict)]
+                out |= {str(k): json.dumps(v, ensure_ascii=False) for k, v in pairs if k is not None}
+            yield pd.DataFrame(list(out.items()), columns=["key", "item"])
+
+    return spark.read.format("binaryFile").load(found).select("path", "content").mapInPandas(run, "key string, item string")
+
+
 def jsonp(text):
     """The JSON inside a callback."""
     return F.coalesce(F.nullif(F.regexp_extract(text, "(?s)^\\s*[\\w.$]+\\((.*)\\)\\s*;?\\s*$", 1), F.lit("")), text)

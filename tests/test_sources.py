@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.sources import readers, sinks
@@ -32,8 +34,8 @@ def make(folder):
 def test_scan_and_extract(spark, tmp_path):
     make(tmp_path)
     files = readers.scan_files(spark, str(tmp_path))
-    assert [r.relpath for r in files.collect()][:2] == ["p.pdf", "bad.docx"] and files.count() == 7
-    full = readers.with_contents(spark, files, str(tmp_path))
+    assert [r.relpath for r in files.orderBy("length", "ext", "path").collect()][:2] == ["p.pdf", "bad.docx"] and files.count() == 7
+    full = readers.with_contents(spark, str(tmp_path))
     got = {r.relpath: r for r in readers.extract(full, {".pdf": ("pdf", lambda data: [f"{len(data)} bytes"])}).collect()}
     assert got["a.txt"].pages == ["satu", "dua �"] and got["blank.txt"].pages == [""]
     assert got["ar/b.html"].pages == ["Halo & apa\nkabar"] and got["c.epub"].pages == ["pertama", "kedua"]
@@ -129,3 +131,37 @@ def test_import_folder(spark, tmp_path):
     assert {r.book_id for r in out["pages"].collect()} == set(books)
     again = import_folder(spark, str(tmp_path), "rak", spark.createDataFrame([(r.source_hash,) for r in books.values()], "source_hash string"), out["books"].select("book_id", "content_hash", "text_hash"))
     assert again["books"].count() == 0
+
+
+def test_previews_and_collections(spark, tmp_path):
+    files = [("/x/a.bin", "html", b"<p>satu</p><p> </p>"), ("/x/b.TXT", None, b"dua\x0ctiga"), ("/x/c.zzz", " ", b" empat "), ("/x/d.docx", "docx", b"broken")]
+    got = {r.path[-5:]: list(r.pages) for r in readers.preview(spark.createDataFrame(files, "path string, source_type string, content binary")).collect()}
+    assert got == {"a.bin": ["satu"], "b.TXT": ["dua", "tiga"], "c.zzz": ["empat"], "/d.docx"[-5:]: []}
+    pick = readers.longest(lambda b: ["x"], lambda b: 1 / 0, lambda b: ["satu", "dua"])
+    assert pick(b"") == ["satu", "dua"] and readers.longest(lambda b: 1 / 0)(b"") == []
+    (tmp_path / "by_book").mkdir()
+    (tmp_path / "satu.json").write_text('{"satu:1": {"text": "a"}}')
+    (tmp_path / "by_book" / "dua.jsonl").write_text('{"id": 7, "t": 1}\n\n{"key": "k"}\n{"number": 7, "t": 2}\n[1]')
+    (tmp_path / "tiga.json").write_text("{broken")
+    read = lambda name, *listed: {r.key: r.item for r in readers.read_collection(spark, str(tmp_path), name, listed).collect()}
+    assert read("satu") == {"satu:1": '{"text": "a"}'} and read("dua") == {"7": '{"number": 7, "t": 2}', "k": '{"key": "k"}'}
+    assert read("tiga") == {} == read("nihil") and read("nihil", f"{tmp_path}/satu.json") == read("satu")
+
+
+def test_shared_folder_of_a_cluster(spark):
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = Context
+
+    from leafmill import work
+
+    with pytest.raises(RuntimeError):
+        work.shared_folder(Session)
+    df = work.stage(spark.range(3), "three")
+    path = work._written[-1][1]
+    assert df.count() == 3
+    work.release()
+    assert not os.path.exists(path.replace("file:", ""))
