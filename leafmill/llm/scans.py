@@ -177,13 +177,6 @@ def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.uint64)
-    cp, starts, ends = kernel.encode(words)
-    return kernel.span_hashes(cp, starts, ends)
-
-
 # --- The current pages, as blocks of tokens
 
 _USE = "struct<word:string,uses:double,rare:double>"
