@@ -838,8 +838,8 @@ def righted(content: Column, fixes: Column) -> Column:
     return F.aggregate(F.coalesce(fixes, F.array().cast("array<struct<start:int,size:int,word:string>>")), content, one)
 
 
-def reflowed(lines: DataFrame, key: str) -> DataFrame:
-    """key, content: the lines of each page as paragraphs, by windows over its lines.
+def reflowed(lines: DataFrame, key: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """key, carried columns, content: the lines of each page as paragraphs, by windows over its lines.
 
     ``lines``: key, line_num, line, gone (a header or page number), indented, glued (it ends inside a word). A
     paragraph begins after a blank line, with an indented line, and after a line that ends a sentence
@@ -853,7 +853,7 @@ def reflowed(lines: DataFrame, key: str) -> DataFrame:
     ended = F.right("last.line", F.lit(1)).isin(*".!?؟۔") & (F.length("last.line") < 0.75 * F.col("width"))
     glue = F.when(F.col("last").isNull() | F.col("last.glued"), "").when((F.col("n") - F.col("last.n") > 1) | F.col("indented") | ended, "\n\n").otherwise(" ")
     piece = F.when(F.col("kept"), F.struct("line_num", F.concat(glue, "line").alias("line")))
-    return rows.select(key, piece.alias("piece")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["line"]), "").alias("content"))
+    return rows.select(key, *carried, piece.alias("piece")).groupBy(key).agg(*[F.first(c).alias(c) for c in carried], F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["line"]), "").alias("content"))
 
 
 def repaired_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
@@ -872,7 +872,5 @@ def repaired_pages(pages: DataFrame, books: DataFrame) -> DataFrame:
     within = lambda c: F.coalesce(F.array_contains(c, F.col("pos") + 1), F.lit(False))
     line = strip(F.col("raw"))
     lines = rows.select("page", "id", (F.col("pos") + 1).alias("line_num"), F.when(within("marked"), F.left(line, F.length(line) - 1)).otherwise(line).alias("line"), within("gone").alias("gone"), within("glued").alias("glued"), F.col("raw").rlike("^[ \t]").alias("indented"))
-    # The first line carries the page's own keys.
-    text = reflowed(lines, "page")
-    keys = lines.where("line_num = 1").select("page", "id.book_id", "id.page_num")
-    return keys.join(text, "page").select("book_id", "page_num", "content", F.length("content").alias("content_len"))
+    # Every line carries its page's own keys.
+    return reflowed(lines, "page", ("id",)).select("id.book_id", "id.page_num", "content", F.length("content").alias("content_len"))
