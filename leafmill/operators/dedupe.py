@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill import work
 from leafmill.functions import hashing
 from leafmill.functions import text as tx
+from leafmill.operators import matching
 
 #: Ranks that choose a family's canonical record; anything else ranks 0.
 QUALITY = {"ok": 3, "warn": 2}
@@ -18,6 +20,9 @@ CONVERSION = {"good": 3, "degraded": 2}
 REVIEW = {"approved_manual": 4, "approved_lease": 4, "approved_auto": 3, "pending_review": 1}
 SOURCE = {"docx": 6, "pdf": 5, "doc": 4, "txt": 3, "html": 2, "ibooks": 1}
 SIMILAR, PAGE_RATIO = 0.92, 0.45
+#: What equal titles add to a score, and the similarity of titles from which they do.
+BONUS, TITLES = 0.08, 0.4
+TILE = 4096
 
 
 def page_hashes(pages: DataFrame, normalize: Callable[[Column], Column]) -> DataFrame:
@@ -146,41 +151,39 @@ def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIM
     """The best earlier record for each record: exact hashes first, then page overlap or SimHash with a title bonus.
 
     ``catalog``: pos (a total order), book_id, language, title, page_count, content_hash, text_hash,
-    simhash; ``pages``: pos, h (page hashes; records without any have no duplicate). Candidates come from
-    blocking only, and any pair that reaches the threshold is in a block:
-
-    * equal hashes or SimHashes: every such pair has the score 1, so only the earliest record of
-      each language and page count can win, and hot hashes make no pairs among their records;
-    * page overlap of the threshold less the bonus: a shared page among each record's rarest pages
-      (prefix filtering), so pages that many books have, such as empty ones, make no pairs;
-    * SimHashes within five bits, by three of eight blocks of the distinct values; within ten bits and with
-      a title word in common, by two of twelve blocks with the word. Records alike in all that counts are one.
-
-    Overlaps are counted on rows of pages; no record's pages are put together. As the catalog grows, ``new``
-    (pos) names the records to look up: those that come after the others.
+    simhash; ``pages``: pos, h (page hashes; records without any have no duplicate). A record's best is the best
+    of what four searches find, each of which keeps one row a record, so that what is shuffled grows with the
+    records and not with the pairs that are alike:
+
+    * equal hashes or SimHashes: the earliest record of each that fits in language and page count;
+    * SimHashes within five bits, whatever the titles: the nearest, by three of eight blocks;
+    * SimHashes within ten bits and titles that earn the bonus: the best that shares one of the title's rarest words;
+    * page overlap of the threshold less the bonus: all pairs with a shared page among each record's rarest pages
+      (prefix filtering) and sizes that allow it, so pages that many books have, such as empty ones, make no pairs.
+
+    The SimHash searches rank by SimHash and title, which give a pair's score or less; a pair whose pages give
+    more is among those of the last. Pages, title words and languages are compared as 64-bit hashes, exact hashes
+    as 128-bit ones. As the catalog grows, ``new`` (pos) names the records to look up: those that come after the others.
     """
     if threshold <= 1 - 6 / 64:
         raise ValueError("the blocks are derived for thresholds over 0.90625")
-    pages = pages.where("h IS NOT NULL").select("pos", "h").distinct()
-    sets = pages.groupBy("pos").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(7))).alias("s2"))
-    c = catalog.join(sets, "pos")
-    c = c.withColumn("title_words", F.array_sort(F.array_distinct(F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != ""))))
-    pairs = _equal_pairs(c).unionByName(_page_pairs(c, pages, threshold - 0.08)).unionByName(_simhash_pairs(c)).distinct()
+    c, pages = _numbered(catalog, pages)
+    overlapping = _page_pairs(c, pages, threshold - BONUS)
+    pairs = _equal_pairs(c).unionByName(overlapping).unionByName(_simhash_pairs(c)).unionByName(_title_pairs(c, threshold)).distinct()
     if new is not None:
-        pairs = pairs.join(new.select("pos").distinct(), "pos", "left_semi")
+        pairs = pairs.join(c.join(new.select(F.col("pos").alias("key")).distinct(), "key", "left_semi").select("pos"), "pos", "left_semi")
+    c = c.drop("key", "kind")
     old = c.select(*[F.col(k).alias(f"o_{k}") for k in c.columns])
-    p = pairs.join(_shared(pairs, pages), ["pos", "at"], "left").join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
-    language = (F.col("language") == "unknown") | (F.col("o_language") == "unknown") | (F.col("language") == F.col("o_language"))
-    pages_ok = (F.col("page_count") <= 0) | (F.col("o_page_count") <= 0) | (F.least("page_count", "o_page_count") / F.greatest("page_count", "o_page_count") >= PAGE_RATIO)
-    exact = F.coalesce(F.col("content_hash") == F.col("o_content_hash"), F.lit(False)) | F.coalesce(F.col("text_hash") == F.col("o_text_hash"), F.lit(False))
+    p = pairs.join(_shared(overlapping, pages.select("pos", "h")), ["pos", "at"], "left").join(c, "pos").join(old, F.col("at") == F.col("o_pos"))
+    exact = F.coalesce(F.col("content") == F.col("o_content"), F.lit(False)) | F.coalesce(F.col("text") == F.col("o_text"), F.lit(False))
     shared = F.coalesce("shared", F.lit(0))
     jaccard = shared / (F.col("n") + F.col("o_n") - shared)
     alike = F.when((F.col("simhash") != 0) & (F.col("o_simhash") != 0), 1.0 - hashing.hamming(F.col("simhash"), F.col("o_simhash")) / 64.0).otherwise(0.0)
-    title = F.coalesce(F.try_divide(F.size(F.array_intersect("title_words", "o_title_words")), F.size(F.array_union("title_words", "o_title_words"))), F.lit(0.0))
-    p = p.where(language & pages_ok).withColumns({"exact": F.coalesce(exact, F.lit(False)), "base": F.greatest(jaccard, alike), "by_text": alike > jaccard, "titles": title})
-    bonus = (F.col("base") >= 0.80) & (F.col("titles") >= 0.40)
-    score = F.when(F.col("exact"), 1.0).when(bonus, F.least(F.lit(1.0), F.col("base") + F.least(F.lit(0.08), F.col("titles") * 0.08))).otherwise(F.col("base"))
-    kind = F.when(F.col("content_hash") == F.col("o_content_hash"), "exact").when(F.col("text_hash") == F.col("o_text_hash"), "text_exact")
+    title = F.coalesce(F.try_divide(F.size(F.array_intersect("words", "o_words")), F.size(F.array_union("words", "o_words"))), F.lit(0.0))
+    p = p.where(_fits()).withColumns({"exact": exact, "base": F.greatest(jaccard, alike), "by_text": alike > jaccard, "titles": title})
+    bonus = (F.col("base") >= 0.80) & (F.col("titles") >= TITLES)
+    score = F.when(F.col("exact"), 1.0).when(bonus, F.least(F.lit(1.0), F.col("base") + F.least(F.lit(BONUS), F.col("titles") * BONUS))).otherwise(F.col("base"))
+    kind = F.when(F.col("content") == F.col("o_content"), "exact").when(F.col("text") == F.col("o_text"), "text_exact")
     reason = F.coalesce(kind, F.concat(F.when(F.col("by_text"), "text_similarity").otherwise("page_overlap"), F.when(bonus, "+title").otherwise("")))
     p = p.withColumns({"score": score, "reason": reason}).where(F.col("exact") | (F.col("score") >= threshold))
     # An exact match ends the search at the first in order; else the greatest score, the earliest of equals.
@@ -188,36 +191,82 @@ def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIM
     return p.groupBy("book_id").agg(F.min_by(F.struct(F.col("o_book_id").alias("duplicate_of"), tx.round4(F.col("score")).alias("score"), "reason"), rank).alias("m")).select("book_id", "m.*")
 
 
+def _numbered(catalog: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records with a number in their order as ``pos`` (and it as ``key``), and pos, h, n of their pages; both staged.
+
+    ``lang`` is 0 for unknown; a missing language fits no other, a missing page count any.
+    """
+    own = pages.where("h IS NOT NULL").select(F.col("pos").alias("key"), F.xxhash64("h").alias("h")).distinct()
+    sets = own.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("h").alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(7))).alias("s2"))
+    words = F.filter(F.split(tx.normalize_import(F.coalesce("title", F.lit("")), compat=False), " "), lambda w: w != "")
+    lang = F.when(F.col("language") == "unknown", F.lit(0).cast("bigint")).when(F.col("language").isNull(), F.xxhash64("pos", F.lit(1))).otherwise(F.xxhash64("language"))
+    short = lambda k: F.unhex(F.md5(F.col(k)))
+    c = catalog.select(F.col("pos").alias("key"), "book_id", lang.alias("lang"), F.coalesce(F.col("page_count").cast("bigint"), F.lit(0)).alias("page_count"), short("content_hash").alias("content"), short("text_hash").alias("text"), F.coalesce("simhash", F.lit(0).cast("bigint")).alias("simhash"), F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("words"))
+    c = c.join(sets, "key").withColumn("kind", F.xxhash64("n", "s1", "s2", "simhash", "lang", "page_count", "words")).drop("s1", "s2")
+    # Partitions come in the order of the keys, and ids within and over partitions in theirs.
+    c = work.stage(c.repartitionByRange("key").sortWithinPartitions("key").withColumn("pos", F.monotonically_increasing_id()), "records")
+    return c, work.stage(own.join(c.select("key", "pos", "n"), "key").select("pos", "h", "n"), "record-pages")
+
+
+def _fits() -> Column:
+    """Whether a record and an earlier one (o_) fit in language and page count."""
+    language = (F.col("lang") == 0) | (F.col("o_lang") == 0) | (F.col("lang") == F.col("o_lang"))
+    ratio = F.try_divide(F.least("page_count", "o_page_count"), F.greatest("page_count", "o_page_count"))
+    return language & ((F.col("page_count") <= 0) | (F.col("o_page_count") <= 0) | (ratio >= PAGE_RATIO))
+
+
 def _earlier(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
     """pos, at: rows of ``x`` with earlier rows of ``y``."""
     return x.join(y.withColumnRenamed("pos", "at"), on).where("at < pos").select("pos", "at")
 
 
 def _equal_pairs(c: DataFrame) -> DataFrame:
-    keys = F.array_compact(F.array(F.concat(F.lit("c:"), "content_hash"), F.concat(F.lit("t:"), "text_hash"), F.when(F.col("simhash") != 0, F.concat(F.lit("s:"), F.col("simhash").cast("string")))))
-    keyed = c.select("pos", "language", "page_count", F.explode(keys).alias("key"))
-    first = keyed.groupBy("key", "language", "page_count").agg(F.min("pos").alias("pos"))
-    return _earlier(keyed.select("pos", "key"), first.select("pos", "key"), ["key"])
+    """The earliest record that fits, by each of a record's hashes: records of a hash that are alike in what fits have the same."""
+    key = lambda k, there: F.when(there, F.xxhash64(F.lit(k), k))
+    keys = F.array_compact(F.array(*[key(k, F.col(k).isNotNull()) for k in ("content", "text")], key("simhash", F.col("simhash") != 0)))
+    keyed = c.select("pos", "lang", "page_count", F.explode(keys).alias("key"))
+    kinds = keyed.groupBy("key", "lang", "page_count").agg(F.min("pos").alias("pos"))
+    fitting = kinds.drop("pos").join(kinds.select("key", F.col("lang").alias("o_lang"), F.col("page_count").alias("o_page_count"), F.col("pos").alias("at")), "key").where(_fits())
+    first = fitting.groupBy("key", "lang", "page_count").agg(F.min("at").alias("at"))
+    return keyed.join(first, ["key", "lang", "page_count"]).where("at < pos").select("pos", "at")
 
 
 def _page_pairs(c: DataFrame, pages: DataFrame, least: float) -> DataFrame:
-    prefix = _rarest(pages.join(c.select("pos", "n"), "pos"), least)
+    prefix = _rarest(pages, least).select("pos", "h", "n")
     # Books with the same pages that are alike in all that counts stand for one another.
-    kind = c.select("pos", F.struct("n", "s1", "s2", "simhash", "language", "page_count", "title_words").alias("kind"))
-    first = prefix.join(kind, "pos").groupBy("h", "kind").agg(F.min("pos").alias("pos"))
-    return _earlier(prefix.select("pos", "h"), first.select("pos", "h"), ["h"])
+    first = prefix.join(c.select("pos", "kind"), "pos").groupBy("h", "kind", F.col("n").alias("m")).agg(F.min("pos").alias("at"))
+    both = prefix.join(first, "h").where((F.col("at") < F.col("pos")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - 1e-9))
+    return both.select("pos", "at").distinct()
+
+
+def _best(rows: DataFrame, search: Callable) -> DataFrame:
+    """pos, at: the best of what the search finds in a record's buckets."""
+    found = rows.repartition("bucket").sortWithinPartitions("bucket", "pos").mapInArrow(search, "pos long, at long, score double")
+    return found.groupBy("pos").agg(F.min_by("at", F.struct(-F.col("score"), "at")).alias("at"))
 
 
 def _simhash_pairs(c: DataFrame) -> DataFrame:
-    known = c.where("simhash <> 0")
-    kinds = known.groupBy("simhash", "language", "page_count", "title_words").agg(F.min("pos").alias("pos"))
-    five = hashing.near_values(known.select(F.col("simhash").alias("h")).distinct(), 5)
-    x, y = known.select("pos", F.col("simhash").alias("h")), kinds.select("pos", F.col("simhash").alias("o"))
-    one = _earlier(x.join(five, "h").select("pos", "o"), y, ["o"])
-    worded = known.select("pos", F.col("simhash").alias("h"), F.explode("title_words").alias("word"))
-    ten = hashing.near_values(worded.select("h", "word").distinct(), 10, 6, ("word",))
-    y = kinds.select("pos", F.col("simhash").alias("o"), F.explode("title_words").alias("word"))
-    return one.unionByName(_earlier(worded.join(ten, ["h", "word"]).select("pos", "o", "word"), y, ["o", "word"]))
+    """The nearest within five bits, of the first record of each kind: the others have it as their equal."""
+    kinds = c.where("simhash <> 0").groupBy("simhash", "lang", "page_count").agg(F.min("pos").alias("pos"))
+    keyed = kinds.withColumn("b", F.explode(hashing.shared_blocks(F.col("simhash"), 5)))
+    return _best(keyed.select(F.xxhash64("b.i", "b.part").alias("bucket"), "pos", "simhash", "lang", "page_count"), matching.best_earlier(5, PAGE_RATIO))
+
+
+def _title_pairs(c: DataFrame, threshold: float) -> DataFrame:
+    """The best by SimHash and title for the records of each kind, which is the same for all, or their first.
+
+    The records that share a word are compared in tiles of about TILE.
+    """
+    kind = ["simhash", "lang", "page_count", "words"]
+    known = c.where("simhash <> 0 AND size(words) > 0").select("pos", *kind)
+    kinds = known.groupBy(*kind).agg(F.min("pos").alias("pos"))
+    rare = _rarest(kinds.select("pos", F.explode("words").alias("h"), F.size("words").alias("n")), TITLES).where("uses > 1")
+    tiles = F.ceil(F.col("uses") / TILE)
+    rows = rare.withColumn("k", F.pmod(F.xxhash64("pos"), tiles)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)))
+    rows = rows.select(F.xxhash64("h", F.least("k", "o"), F.greatest("k", "o")).alias("bucket"), "pos", F.when(F.col("k") == F.col("o"), F.lit(-1).cast("bigint")).otherwise(F.col("k")).alias("side"))
+    bits = int((1 - threshold + BONUS) * 64 + 1e-9)
+    found = _best(rows.join(kinds, "pos"), matching.best_earlier(bits, PAGE_RATIO, threshold, BONUS, TITLES))
+    return known.join(found.join(kinds, "pos").select("at", *kind), kind).select("pos", "at")
 
 
 def family_key(books: DataFrame, strict: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import work
 from leafmill.functions import text as tx
 from leafmill.operators import catalog, chunking, dedupe
 from leafmill.plans import sql
@@ -64,7 +65,7 @@ def page_jaccard_near(spark: SparkSession, d: str) -> DataFrame:
 
 def near_duplicate_best(spark: SparkSession, d: str) -> DataFrame:
     """Each book's best earlier duplicate by stored signatures."""
-    hashed = _pages(spark, d, "page_hash").where("page_hash <> ''")
+    hashed = work.stage(_pages(spark, d, "page_hash").where("page_hash <> ''").select("book_id", "page_hash"), "page-hashes")
     counts = hashed.groupBy("book_id").agg(F.count("*").alias("page_count"))
     language = F.coalesce(F.nullif(F.lower(tx.strip(F.col("language"))), F.lit("")), F.lit("unknown")).alias("language")
     rows = _books(spark, d).join(counts, "book_id").select("book_id", F.col("book_id").alias("pos"), language, "title", "page_count", "content_hash", "text_hash", F.coalesce("text_simhash", F.lit(0)).alias("simhash"))
