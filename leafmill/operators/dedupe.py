@@ -152,8 +152,8 @@ def near_duplicates(catalog: DataFrame, pages: DataFrame, threshold: float = SIM
 
     ``catalog``: pos (a total order), book_id, language, title, page_count, content_hash, text_hash,
     simhash; ``pages``: pos, h (page hashes; records without any have no duplicate). A record's best is the best
-    of what four searches find, each of which keeps one row a record, so that what is shuffled grows with the
-    records and not with the pairs that are alike:
+    of what four searches find. The first three keep one row a record (the first one for each hash), so that what
+    they shuffle grows with the records and not with the pairs that are alike:
 
     * equal hashes or SimHashes: the earliest record of each that fits in language and page count;
     * SimHashes within five bits, whatever the titles: the nearest, by three of eight blocks;
